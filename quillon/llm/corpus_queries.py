@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from quillon.llm import exact_dedup, language, simhash
 from quillon.llm.common import table
 
 
+def held_out(id_col: str = "doc_id"):
+    """Rows that no model learns from."""
+    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+
+
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~held_out())
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup,)}
+    return {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op10_simhash)}
