@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, language, simhash
+from quillon.llm import bpe, exact_dedup, idfile, language, packing, simhash
 from quillon.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no model learns from."""
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
@@ -24,9 +31,21 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_index(spark, sf_dir):
+    return idfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op6_token_index, op8_bpe, op9_packing, op10_simhash)}
