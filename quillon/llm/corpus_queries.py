@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, idfile, language, packing, simhash
+from quillon.llm import bpe, exact_dedup, idfile, language, maintext, packing, simhash, warc
 from quillon.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_main_text(spark, sf_dir):
+    return maintext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_token_index(spark, sf_dir):
     return idfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -48,4 +56,4 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op6_token_index, op8_bpe, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op3_main_text, op4_exact_dedup, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
