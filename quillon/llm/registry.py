@@ -11,8 +11,14 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return corpus_queries.queries()
+    return corpus_queries.queries() | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
