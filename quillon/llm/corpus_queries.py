@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, idfile, language, maintext, packing, simhash, warc
+from quillon.llm import bpe, exact_dedup, idfile, language, license_scan, maintext, packing, simhash, warc
 from quillon.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_main_text(spark, sf_dir):
     return maintext.main_text(table(spark, sf_dir, "pages"))
 
@@ -56,4 +60,4 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_main_text, op4_exact_dedup, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_main_text, op4_exact_dedup, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
