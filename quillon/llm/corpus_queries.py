@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, idfile, language, license_scan, maintext, packing, simhash, warc
+from quillon.llm import bpe, chroma, exact_dedup, idfile, language, license_scan, maintext, packing, simhash, warc
 from quillon.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_chroma(spark, sf_dir):
+    """No table has recordings: those of ``embeddings`` are its vectors, sounded as notes."""
+    recordings = chroma.sounded(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return chroma.search(recordings, lambda i: i % 20 == 0, "id", "media").withColumnRenamed("id", "vec_id")
+
+
 def op6_token_index(spark, sf_dir):
     return idfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -60,4 +66,4 @@ def op10_simhash(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_main_text, op4_exact_dedup, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_main_text, op4_exact_dedup, op5_chroma, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
