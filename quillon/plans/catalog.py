@@ -1,15 +1,251 @@
-"""Registry of the engine's named queries (filled in by the modules beside this one)."""
+"""Named queries over the test tables, one or more for each operator of the engine."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+from quillon.functions.distances import distance
+from quillon.operators import evaluate
+from quillon.operators.classify import Knn, NearestCentroid
+from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions
+from quillon.plans import experiment, oracle
+from quillon.sources.labelled import Labelled, from_columns, from_vectors
+
+FOLDS5 = KFold(5, stratify=True, shuffle=False)
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+RATES = ("precision", "recall", "sensitivity", "specificity", "f1")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark, d) -> Labelled:
+    return from_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+
+
+def customers(spark, d) -> Labelled:
+    return from_columns(table(spark, d, "customer"), "c_mktsegment", "c_custkey", features=["c_acctbal"])
+
+
+def parts(spark, d) -> Labelled:
+    return from_columns(table(spark, d, "part"), "p_brand", "p_partkey", features=["p_size", "p_retailprice"])
+
+
+def graded(spark, d) -> Labelled:
+    met = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return from_columns(met, "quality", "doc_id", features=["n_chars"])
+
+
+def lines(spark, d) -> Labelled:
+    """lineitem has no key: its rows are numbered in the order they are read."""
+    return from_columns(table(spark, d, "lineitem"), "l_returnflag", features=MEASURES)
+
+
+def nations(spark, d) -> tuple[Labelled, Labelled]:
+    """Suppliers to train on and customers to test: account balance against nation."""
+    train = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("acctbal"), F.col("s_nationkey").alias("nation"))
+    test = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"), F.col("c_nationkey").alias("nation"))
+    return from_columns(train, "nation", "id"), from_columns(test, "nation", "id")
+
+
+def shown(predictions: DataFrame) -> DataFrame:
+    return predictions.select(F.col("fold").cast("long").alias("fold"), "row_idx", "true_s", "pred_s")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- scans and splitters -------------------------------------------------------------------------
+
+
+def feature_scan(spark, d):
+    frame = parts(spark, d).frame
+    return frame.select("row_idx", "label_s", F.get("features", F.lit(0)).alias("f0"), F.get("features", F.lit(1)).alias("f1"))
+
+
+def row_numbers(spark, d):
+    """Numbers of a table without a key: what they are depends on reading order, that they have no gaps does not."""
+    return lines(spark, d).frame.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("low"), F.max("row_idx").alias("high"), F.countDistinct("row_idx").alias("distinct_n"))
+
+
+def class_counts(spark, d):
+    return customers(spark, d).frame.groupBy("label_s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_dictionary(spark, d):
+    events = from_columns(table(spark, d, "events"), "event_type", "event_id", features=["value"])
+    return spark.createDataFrame(list(enumerate(events.classes)), "position long, label_s string")
+
+
+def _folds(how):
+    def query(spark, d):
+        return how.assign(customers(spark, d)).select("row_idx", F.col("fold_id").cast("long").alias("fold_id"))
+
+    return query
+
+
+def holdout_strat_imbalanced(spark, d):
+    return Holdout(0.25, 7).assign(graded(spark, d)).select("row_idx", F.col("fold_id").cast("long").alias("fold_id"))
+
+
+def kfold_fold_stats(spark, d):
+    orders = from_columns(table(spark, d, "orders"), "o_orderstatus", "o_orderkey", features=["o_totalprice"])
+    return fold_stats(KFold(10, stratify=True, shuffle=True).assign(orders), orders.classes).withColumn("fold_id", F.col("fold_id").cast("long"))
+
+
+def loo_fold_stats(spark, d):
+    data = graded(spark, d)
+    return fold_stats(LeaveOneOut().assign(data), data.classes).withColumn("fold_id", F.col("fold_id").cast("long"))
+
+
+def partition_export_rows(spark, d):
+    assigned = FOLDS5.assign(graded(spark, d))
+    return partitions(assigned).select(F.col("fold").cast("long").alias("fold"), "role", "row_idx", "label_s")
+
+
+# --- distances and classifiers -------------------------------------------------------------------
+
+
+def _to_centroids(metric):
+    def query(spark, d):
+        data = vectors(spark, d)
+        frame = data.frame.withColumn("fold_id", F.lit(-1))
+        model = NearestCentroid().fit(frame, spark.range(1).select(F.lit(0).alias("fold_id")), data.width).select(F.col("label_s").alias("to_class"), "centroid")
+        gap = distance(metric).between(F.col("features"), F.col("centroid"), data.width)
+        # As many centroids as classes, whatever the table's size.
+        return frame.join(F.broadcast(model)).select("row_idx", "to_class", F.round(gap, 6).alias("d"))
+
+    return query
+
+
+MINKOWSKI = {"type": "minkowski", "params": {"p": 3}}
+
+
+def knn_neighbors_topk(spark, d):
+    data = vectors(spark, d)
+    assigned = LeaveOneOut().assign(data)
+    near = Knn(5).neighbours(assigned, assigned, data.width, data.n, data.n)
+    return near.select("row_idx", F.col("nth").cast("long").alias("nth"), F.col("r_idx").alias("neighbour"), F.round("d", 6).alias("d"))
+
+
+def _predicted(load, how, what):
+    return lambda spark, d: shown(experiment.predictions(load(spark, d), how, what))
+
+
+def centroid_fit(spark, d):
+    data = lines(spark, d)
+    model = NearestCentroid().fit(data.frame.withColumn("fold_id", F.lit(-1)), spark.range(1).select(F.lit(0).alias("fold_id")), data.width)
+    return model.select("label_s", "n", *[F.round(F.get("centroid", F.lit(i)), 6).alias(f"c{i}") for i in range(data.width)])
+
+
+def centroid_train_test_predict(spark, d):
+    train, test = nations(spark, d)
+    return shown(experiment.between(train, test, NearestCentroid()))
+
+
+def knn_train_test_predict(spark, d):
+    train, test = nations(spark, d)
+    return shown(experiment.between(train, test, Knn(3)))
+
+
+def centroid_lineitem_confusion(spark, d):
+    data = lines(spark, d)
+    return evaluate.confusion(experiment.between(data, data, NearestCentroid()), data.classes)
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+
+def _pooled(spark, d):
+    data = vectors(spark, d)
+    return experiment.predictions(data, FOLDS5, NearestCentroid()), data.classes
+
+
+def confusion_long(spark, d):
+    return evaluate.confusion(*_pooled(spark, d))
+
+
+def confusion_wide(spark, d):
+    found, labels = _pooled(spark, d)
+    return evaluate.wide(evaluate.confusion(found, labels), labels)
+
+
+def confusion_norm_rows(spark, d):
+    return rounded(evaluate.by_rows(confusion_long(spark, d)), "share")
+
+
+def confusion_norm_cols(spark, d):
+    return rounded(evaluate.by_columns(confusion_long(spark, d)), "share")
+
+
+def metrics_per_class(spark, d):
+    return rounded(evaluate.per_class(confusion_long(spark, d)), *RATES)
+
+
+def metrics_macro(spark, d):
+    macro = evaluate.summary(confusion_long(spark, d))
+    return rounded(macro.select(*[f"macro_{c}" for c in RATES], "balanced_accuracy"), *[f"macro_{c}" for c in RATES], "balanced_accuracy")
+
+
+def metrics_mcc(spark, d):
+    return rounded(evaluate.overall(confusion_long(spark, d)), "accuracy", "mcc")
+
+
+def support(spark, d):
+    return evaluate.support(*_pooled(spark, d))
+
+
+def merged_labels(spark, d):
+    train, test = nations(spark, d)
+    return evaluate.merged_labels(train.frame, test.frame)
+
+
+def pooled_run_summary(spark, d):
+    data = vectors(spark, d)
+    cm = evaluate.confusion(experiment.predictions(data, FOLDS5, Knn(3)), data.classes)
+    return rounded(evaluate.overall(cm), "accuracy", "mcc")
+
+
+def lineitem_metrics(spark, d):
+    return rounded(evaluate.per_class(centroid_lineitem_confusion(spark, d)), *RATES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 5-fold, 3 nearest neighbours, all folds in one plan."""
+    return shown(experiment.predictions(vectors(spark, sf_dir), FOLDS5, Knn(3)))
 
 
 def queries() -> dict:
-    return {}
+    plain = [
+        feature_scan, row_numbers, class_counts, class_dictionary, holdout_strat_imbalanced, kfold_fold_stats, loo_fold_stats, partition_export_rows, knn_neighbors_topk, centroid_fit, centroid_train_test_predict,
+        knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
+    ]
+    return {f.__name__: f for f in plain} | {
+        "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),
+        "kfold_plain_shuffled": _folds(KFold(5, stratify=False)),
+        "kfold_strat_assign": _folds(FOLDS5),
+        "kfold_strat_shuffled": _folds(KFold(5)),
+        "holdout_plain": _folds(Holdout(0.2, stratify=False)),
+        "holdout_strat": _folds(Holdout(0.2)),
+        "dist_euclidean": _to_centroids("euclidean"),
+        "dist_manhattan": _to_centroids("manhattan"),
+        "dist_chebyshev": _to_centroids("chebyshev"),
+        "dist_minkowski": _to_centroids(MINKOWSKI),
+        "knn_kfold_predict": _predicted(vectors, FOLDS5, Knn(3)),
+        "knn_blocked_predict": _predicted(vectors, FOLDS5, Knn(3, strategy="blocks")),
+        "knn_holdout_predict": _predicted(vectors, Holdout(0.25, 7), Knn(5)),
+        "knn_loo_1nn_predict": _predicted(vectors, LeaveOneOut(), Knn(1)),
+        "knn_manhattan_predict": _predicted(vectors, FOLDS5, Knn(3, distance("manhattan"))),
+        "knn_chebyshev_predict": _predicted(vectors, FOLDS5, Knn(3, distance("chebyshev"))),
+        "knn_minkowski_predict": _predicted(vectors, FOLDS5, Knn(3, distance(MINKOWSKI))),
+        "knn_vote_tiebreak": _predicted(lambda s, d: from_columns(table(s, d, "part"), "p_brand", "p_partkey", features=["p_size"]), FOLDS5, Knn(4)),
+        "centroid_kfold_predict": _predicted(vectors, FOLDS5, NearestCentroid()),
+        "centroid_loo_predict": _predicted(vectors, LeaveOneOut(), NearestCentroid()),
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracle.statements()
