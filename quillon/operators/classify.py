@@ -16,6 +16,8 @@ from quillon.sources.labelled import Labelled
 BROADCAST_BYTES = 32 << 20
 #: Bytes of one block of either side.
 BLOCK_BYTES = 16 << 20
+#: Differences of coordinates that one task may take.
+PART_WORK = 20_000_000
 #: Classes times features up to which centroid distances are unrolled.
 UNROLLED = 512
 
@@ -64,6 +66,9 @@ class Knn(Classifier):
         apart = F.col("fold") != F.col("r_fold")
         size = n_train * _row_bytes(width)
         if self.strategy == "broadcast" or self.strategy == "auto" and size <= BROADCAST_BYTES:
+            # A small file is one partition: test rows are dealt out by the work they make, once for all that follows.
+            parts = min(n_test, n_train * n_test * max(1, width) // PART_WORK)
+            t = t.repartition(parts, "fold", "row_idx") if parts > 1 else t
             pairs = t.join(F.broadcast(r), apart)
         else:
             blocks = max(1, -(-size // BLOCK_BYTES))

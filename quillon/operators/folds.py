@@ -55,6 +55,10 @@ class Splitter(ABC):
     def assign(self, data: Labelled) -> DataFrame:
         """The frame with its fold_id."""
 
+    @abstractmethod
+    def sizes(self, data: Labelled) -> list[int]:
+        """Test rows of each fold, as the classes' sizes give them."""
+
 
 def _natural(data: Labelled) -> list[tuple]:
     """Classes in their natural order: numbers by size, texts by code points."""
@@ -134,13 +138,14 @@ class Holdout(Splitter):
         if self.stratify:
             classes = _natural(data)
             take = quotas([m for _, _, m in classes], self.test_size)
-            if not sum(take):
-                raise ValidationError("no class is large enough to give a test row")
             limit = F.element_at(F.create_map(*[F.lit(x) for (_, text, _), k in zip(classes, take) for x in (text, k)]), F.col("label_s"))
         else:
             limit = F.lit(clip(half_even(n * self.test_size), 1, n - 1))
         return ranked.withColumn("fold_id", F.when(F.col("rank") <= limit, 0).otherwise(-1).cast("int")).drop("rank")
 
+    def sizes(self, data: Labelled) -> list[int]:
+        return [clip(half_even(data.n * self.test_size), 1, data.n - 1)]
+
 
 @dataclass(frozen=True)
 class KFold(Splitter):
@@ -161,6 +166,10 @@ class KFold(Splitter):
         ranked = _ranked(data, self.stratify, self.shuffle, self.seed, self.order)
         return ranked.withColumn("fold_id", F.pmod(F.col("rank") - 1, F.lit(self.n_splits)).cast("int")).drop("rank")
 
+    def sizes(self, data: Labelled) -> list[int]:
+        dealt = [m for _, _, m in data.class_counts] if self.stratify else [data.n]
+        return [sum(-(-(m - f) // self.n_splits) for m in dealt if m > f) for f in range(self.n_splits)]
+
 
 @dataclass(frozen=True)
 class LeaveOneOut(Splitter):
@@ -170,6 +179,9 @@ class LeaveOneOut(Splitter):
         _enough(data)
         return data.frame.withColumn("fold_id", F.col("row_idx").cast("int"))
 
+    def sizes(self, data: Labelled) -> list[int]:
+        return [1]  # each of them
+
 
 def fold_stats(assigned: DataFrame, classes: list[str]) -> DataFrame:
     """fold_id, label_s, n_test, n_train for each fold and class, zeros included."""

@@ -63,17 +63,14 @@ def dataset(spark: SparkSession, config: dict) -> Labelled:
 def predictions(data: Labelled, how: Splitter, what: Classifier) -> DataFrame:
     """Pooled predictions of all folds, in one plan."""
     assigned = how.assign(data)
-    if isinstance(how, LeaveOneOut):
-        sizes = [(0, data.n - 1)]
-        if isinstance(what, NearestCentroid):
-            return what.predict_loo(assigned, data.width, len(data.class_counts))
-    else:
-        assigned = assigned.persist()
-        sizes = [(r[0], data.n - r[1]) for r in assigned.where("fold_id >= 0").groupBy("fold_id").agg(F.count(F.lit(1))).collect()]
-    check_k(what, sizes)
+    if isinstance(how, LeaveOneOut) and isinstance(what, NearestCentroid):
+        return what.predict_loo(assigned, data.width, len(data.class_counts))
+    sizes = how.sizes(data)
+    check_k(what, [(f, data.n - n) for f, n in enumerate(sizes)])
+    n_test = data.n if isinstance(how, LeaveOneOut) else sum(sizes)
     test = assigned.where("fold_id >= 0")
     more = {"n_classes": len(data.class_counts)} if isinstance(what, NearestCentroid) else {}
-    return what.predict(assigned, test, data.width, data.n, sum(data.n - n for _, n in sizes) if sizes else 0, **more)
+    return what.predict(assigned, test, data.width, data.n, n_test, **more)
 
 
 def between(train: Labelled, test: Labelled, what: Classifier) -> DataFrame:

@@ -11,7 +11,6 @@ import csv
 import io
 import re
 from dataclasses import dataclass, field
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +42,8 @@ class Labelled:
     path: str | None = None
     source: DataFrame | None = field(default=None, repr=False)
     drop_cols: list[str] = field(default_factory=list)
-
-    @cached_property
-    def class_counts(self) -> list[tuple]:
-        """(label, text, rows) of each class in the order of texts: as many rows as classes."""
-        found = self.frame.groupBy("label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).collect()
-        return sorted(((r["label"], r["label_s"], r["n"]) for r in found), key=lambda x: x[1])
+    #: (label, text, rows) of each class in the order of texts.
+    class_counts: list[tuple] = field(default_factory=list)
 
     @property
     def classes(self) -> list[str]:
@@ -91,21 +86,27 @@ def from_columns(df: DataFrame, target: str, index: str | None = None, drop_cols
 
 def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelled:
     """A labelled frame from an array column."""
-    first = df.select(F.size(quoted(vector)).alias("d")).agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
-    if first["low"] != first["high"]:
-        raise DataError(f"vectors have {first['low']} to {first['high']} coordinates")
-    d = first["low"] or 0
     kind = df.schema[target].dataType
     values = F.transform(quoted(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan"))))
     frame = df.select(quoted(index).cast("long").alias("row_idx"), quoted(target).alias("label"), label_text(quoted(target), kind).alias("label_s"), values.alias("features"))
-    return _labelled(frame, [f"f{i}" for i in range(d)], target, d, source=df)
+    found = _labelled(frame, [], target, None, source=df)
+    found.feature_names = [f"f{i}" for i in range(found.width)]
+    return found
 
 
 def _labelled(frame, names, target, width, **more) -> Labelled:
-    found = Labelled(frame, names, target, width, **more)
-    if any(text is None for text in (r["label_s"] for r in frame.where(F.col("label").isNull()).limit(1).collect())):
+    """One pass tells the classes, whether labels are missing, and how wide vectors are: as many rows as classes."""
+    size = F.size("features")
+    seen = frame.groupBy("label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).collect()
+    if any(r["label_s"] is None for r in seen):
         raise DataError(f"target column {target!r} has missing labels")
-    return found
+    if width is None:
+        low, high = min((r["low"] for r in seen), default=0), max((r["high"] for r in seen), default=0)
+        if low != high:
+            raise DataError(f"vectors have {low} to {high} coordinates")
+        width = low
+    counts = sorted(((r["label"], r["label_s"], r["n"]) for r in seen), key=lambda x: x[1])
+    return Labelled(frame, names, target, width, class_counts=counts, **more)
 
 
 def numbered(df: DataFrame) -> DataFrame:
