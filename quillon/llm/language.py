@@ -35,12 +35,14 @@ UNKNOWN = "und"
 
 
 @lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """Per code point: itself if it is a letter or mark, else a space."""
-    table = np.full(0x110000, 32, np.uint32)
-    keep = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] in "LM"]
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: itself if it is a letter or mark, else a space; and whether it is a letter."""
+    table, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
+    kind = {c: unicodedata.category(chr(c))[0] for c in range(0x110000) if not 0xD800 <= c < 0xE000}
+    keep = [c for c, k in kind.items() if k in "LM"]
     table[keep] = keep
-    return table
+    letter[[c for c in keep if kind[c] == "L"]] = True
+    return table, letter
 
 
 def counts(text: str | None) -> tuple[np.ndarray, int]:
@@ -53,9 +55,9 @@ def counts(text: str | None) -> tuple[np.ndarray, int]:
     for at in range(0, len(low), 1 << 16):
         # Two characters of the block before make its last n-grams whole.
         block = low[max(0, at - 2) : at + (1 << 16)]
-        codes = _letters()[np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4")]
-        new = codes[2:] if at else codes
-        letters += int((new != 32).sum())
+        table, letter = _letters()
+        codes = table[np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4")]
+        letters += int(letter[codes[2:] if at else codes].sum())
         if not at:
             codes = np.concatenate((np.array([32, 32], np.uint32), codes))
         a, b, c = codes[:-2], codes[1:-1], codes[2:]
@@ -120,8 +122,8 @@ def fit(rows: list[tuple[str, np.ndarray]], centroids: int = CENTROIDS, dims: in
     names = np.array([languages.index(lang) for lang, _ in rows])
     owner, centres, reach = [], [], []
     for i in range(len(languages)):
-        own, member = x[names == i], None
-        found, member = _clusters(own, centroids)
+        own = x[names == i]
+        found, _ = _clusters(own, centroids)
         cosine = (own @ found.T).max(axis=1)
         for j in range(len(found)):
             owner.append(i)
