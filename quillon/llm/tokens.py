@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 
@@ -20,10 +21,12 @@ import numpy as np
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNSPACED = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Characters on whose kind regular expression libraries may differ.
+FOREIGN = re.compile("[^\x00-\u012f\u0132-\u02ff]|<\\|").search
+ID = attrgetter("id")
 CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0]").search
 
 #: Pieces in one generation of the memory.
-GENERATION = 250_000
+GENERATION = 800_000
 #: Pieces longer than this are encoded anew each time.
 PIECE = 64
 
@@ -50,6 +53,21 @@ class Memory(dict):
             self[piece] = ids
 
 
+class Words(Memory):
+    """Memory of words; a word with one mark behind it, and words across a line end, are put together each time."""
+
+    def __init__(self, make, size: int, mark):
+        super().__init__(make, size)
+        self.marks = {c: mark(c) for c in ".,!?;:"}
+
+    def __missing__(self, piece):
+        mark = self.marks.get(piece[-1:])
+        # The one Latin letter whose lower case ends in a mark of its own would join the mark behind it.
+        if mark is not None and piece[:-1].isalpha() and "\u0130" not in piece:
+            return self[piece[:-1]] + mark
+        return self.make(piece) if "\n" in piece else super().__missing__(piece)
+
+
 class LibraryEncoder:
     """ids(text) -> array of unsigned 32-bit ids, equal to the library's with add_special_tokens=False."""
 
@@ -66,18 +84,26 @@ class LibraryEncoder:
         self.spaced = self.library.normalizer is None
         self.split = regex.compile(SPACED if self.spaced else UNSPACED).findall
         self.letter = {b: c for c, b in byte_letters().items()}
-        self.words = Memory(self._word, memory)
+        self.space = self.letter[32]
+        self.words = Memory(self._word, memory // 5)
         self.head = Memory(self._encode, memory // 10)
-        self.rest = Memory(self._behind_space if self.spaced else self._encode, memory)
+        self.rest = Words(self._behind_space if self.spaced else self._encode, memory, self._encode)
 
     def _word(self, word: str) -> bytes:
         """Ids that the library's model gives for one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letter))]).tobytes()
+        if word.isascii() and word[-1].isalpha():
+            letters = word.replace(" ", self.space, 1)  # ASCII letters stand for themselves
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letter)
+        return array("I", map(ID, self.model.tokenize(letters))).tobytes()
 
     def _encode(self, text: str) -> bytes:
+        low = text if self.spaced else text.lower()
+        if low.isalpha() and max(low) < "\u0300" and max(text) < "\u0300":
+            return self._word(low)
         # Plain Latin text is normalised and split here; all else, and special tokens, by the library.
         if text and max(text) < "\u0300" and "<|" not in text and not CONTROL(text):
-            return b"".join(map(self.words.__getitem__, self.split(text if self.spaced else text.lower())))
+            return b"".join(map(self.words.__getitem__, self.split(low)))
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _behind_space(self, piece: str) -> bytes | None:
@@ -85,6 +111,8 @@ class LibraryEncoder:
             return None
         if "\n" in piece and len(parts := piece.split("\n")) == 2 and _plain(parts[0]) and _plain(parts[1]):
             return self.rest[parts[0]] + self.head["\n"] + self.head[parts[1]]
+        if piece.isalpha() and max(piece) < "\u0300":
+            return self._word(" " + piece)
         return self._encode(" " + piece)
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -98,6 +126,8 @@ class LibraryEncoder:
                 except TypeError:  # a piece that needs its neighbours
                     pass
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        if not FOREIGN(text):  # these have one lower case, whatever stands around them
+            text = text.lower()
         return np.frombuffer(b"".join(map(self.rest.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
