@@ -6,7 +6,7 @@ every pair of the labels listed, and are turned wide only where written.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,8 @@ def confusion(predictions: DataFrame, labels: list[str]) -> DataFrame:
 
 def _share(cm: DataFrame, side: str) -> DataFrame:
     """The matrix divided by its rows' or columns' sums; those of sum 0 stay 0. It has labels squared rows."""
-    total = cm.groupBy(side).agg(F.sum("n").alias("total"))
-    return cm.join(F.broadcast(total), side).select("true_label", "pred_label", ratio(F.col("n"), F.col("total")).alias("share"))
+    total = F.sum("n").over(Window.partitionBy(side))
+    return cm.select("true_label", "pred_label", ratio(F.col("n"), total).alias("share"))
 
 
 def by_rows(cm: DataFrame) -> DataFrame:
@@ -56,38 +56,47 @@ def support(predictions: DataFrame, labels: list[str]) -> DataFrame:
     return names.join(seen, "label_s", "left").select("label_s", F.coalesce("support", F.lit(0)).alias("support"))
 
 
+def _sums(cm: DataFrame) -> DataFrame:
+    """label_s, row, col, tp as doubles: each cell counts for its true and for its predicted label, in one pass."""
+    zero, hit = F.lit(0).cast("long"), F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)
+    as_true = F.struct(F.col("true_label").alias("label_s"), F.col("n").alias("row"), zero.alias("col"), hit.cast("long").alias("tp"))
+    as_pred = F.struct(F.col("pred_label").alias("label_s"), zero.alias("row"), F.col("n").alias("col"), zero.alias("tp"))
+    each = cm.select(F.explode(F.array(as_true, as_pred)).alias("x")).select("x.*")
+    return each.groupBy("label_s").agg(*[F.sum(c).cast("double").alias(c) for c in ("row", "col", "tp")])
+
+
 def per_class(cm: DataFrame) -> DataFrame:
     """label_s with tp, fn, fp, tn, precision, recall, sensitivity, specificity, f1."""
-    hit = F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)
-    rows = cm.groupBy(F.col("true_label").alias("label_s")).agg(F.sum("n").alias("row"), F.sum(hit).alias("tp"))
-    columns = cm.groupBy(F.col("pred_label").alias("label_s")).agg(F.sum("n").alias("col"))
-    total = cm.agg(F.sum("n").alias("total"))
-    met = rows.join(F.broadcast(columns), "label_s").join(F.broadcast(total))
+    # One window over as many rows as labels.
+    whole = _sums(cm).withColumn("total", F.sum("row").over(Window.partitionBy(F.lit(1))))
     tp, fn, fp = F.col("tp"), F.col("row") - F.col("tp"), F.col("col") - F.col("tp")
-    counted = met.select("label_s", *[x.cast("double").alias(k) for k, x in (("tp", tp), ("fn", fn), ("fp", fp), ("tn", F.col("total") - tp - fn - fp))])
+    counted = whole.select("label_s", *[x.alias(k) for k, x in (("tp", tp), ("fn", fn), ("fp", fp), ("tn", F.col("total") - tp - fn - fp))])
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     rated = counted.withColumns({"precision": p, "recall": r, "sensitivity": r, "specificity": ratio(F.col("tn"), F.col("tn") + F.col("fp"))})
     return rated.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def _overall(row: Column, col: Column, tp: Column) -> tuple[list[Column], list[Column]]:
+    """Sums to aggregate, and accuracy and mcc from them."""
+    parts = {"_s": row, "_c": tp, "_tp": row * col, "_tt": row * row, "_pp": col * col}
+    s, c = F.col("_s"), F.col("_c")
+    den = F.sqrt((s * s - F.col("_pp")) * (s * s - F.col("_tt")))
+    sums = [F.coalesce(F.sum(x), F.lit(0.0)).alias(k) for k, x in parts.items()]
+    return sums, [ratio(c, s).alias("accuracy"), ratio(c * s - F.col("_tp"), den).alias("mcc")]
+
+
 def summary(cm: DataFrame) -> DataFrame:
     """One row: accuracy, macro means over all labels, balanced accuracy and the multiclass MCC."""
-    means = per_class(cm).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "sensitivity", "specificity", "f1")])
-    return means.join(F.broadcast(overall(cm))).withColumn("balanced_accuracy", F.col("macro_recall"))
+    sums, overall_columns = _overall(F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"), F.col("tp"))
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "sensitivity", "specificity", "f1")]
+    one = per_class(cm).agg(*means, *sums)
+    return one.select(*[f"macro_{c}" for c in ("precision", "recall", "sensitivity", "specificity", "f1")], *overall_columns, F.col("macro_recall").alias("balanced_accuracy"))
 
 
 def overall(cm: DataFrame) -> DataFrame:
     """One row: accuracy, mcc."""
-    hit = F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)
-    rows = cm.groupBy(F.col("true_label").alias("label_s")).agg(F.sum("n").alias("t"), F.sum(hit).alias("c"))
-    columns = cm.groupBy(F.col("pred_label").alias("label_s")).agg(F.sum("n").alias("p"))
-    t, p = F.col("t").cast("double"), F.col("p").cast("double")
-    sums = rows.join(F.broadcast(columns), "label_s").agg(
-        F.coalesce(F.sum(t), F.lit(0.0)).alias("s"), F.coalesce(F.sum("c"), F.lit(0)).cast("double").alias("c"), F.coalesce(F.sum(t * p), F.lit(0.0)).alias("tp"), F.coalesce(F.sum(t * t), F.lit(0.0)).alias("tt"), F.coalesce(F.sum(p * p), F.lit(0.0)).alias("pp")
-    )
-    s, c = F.col("s"), F.col("c")
-    den = F.sqrt((s * s - F.col("pp")) * (s * s - F.col("tt")))
-    return sums.select(ratio(c, s).alias("accuracy"), ratio(c * s - F.col("tp"), den).alias("mcc"))
+    sums, columns = _overall(F.col("row"), F.col("col"), F.col("tp"))
+    return _sums(cm).agg(*sums).select(*columns)
 
 
 def metrics(cm: DataFrame, predictions: DataFrame, labels: list[str]) -> dict:
