@@ -16,8 +16,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     bounded_batches(spark)
     model = language.train(docs, ~held_out())
-    found = language.predict(docs, model)
-    return found.where("NOT rejected").select(*docs.columns)
+    found = language.predict(docs, model, prefix="_language_")
+    return found.where("NOT _language_rejected").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,12 +164,13 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     return fit([(lang, x) for lang, xs in sorted(taken.items()) for x in xs])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with lang_pred, score and rejected added; columns of these names are replaced."""
-    carried = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """The rows with lang_pred, score and rejected added, under a prefix if given; columns of these names are replaced."""
+    added = [prefix + c for c in ("lang_pred", "score", "rejected")]
+    carried = [c for c in docs.columns if c not in added]
     at = carried.index(text_col)
     schema = docs.select(*carried).schema
-    out = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    out = schema.add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
 
     def run(batches):
         for batch in batches:
@@ -177,6 +178,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             letters = np.array([n for _, n in found], np.int64)
             names, score, rejected = model.predict(np.stack([x for x, _ in found]) if found else np.zeros((0, DIMS)), letters)
             arrays = [*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*carried, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(arrays, [*carried, *added])
 
     return docs.select(*carried).mapInArrow(run, out)

@@ -234,3 +234,8 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+    more = docs.withColumns({c: F.lit("own") for c in ("rejected", "score", "keep_id", "fp", "recipe", "digest", "kept")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, more, SMALL)
+        assert kept.columns == more.columns and kept.where("rejected <> 'own' OR score <> 'own'").isEmpty()
+        assert stage(spark, docs.limit(0), SMALL).isEmpty()
