@@ -51,6 +51,7 @@ class Bpe:
         self.split = regex.compile(SPACED).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else (lambda s: [s])
         self.pieces = Memory(size=GENERATION)
+        self.marks = {c: np.array([self.byte_id[ord(c)]], "<u4").tobytes() for c in ".,!?;:"}
 
     # --- merging -----------------------------------------------------------------------------
 
@@ -181,7 +182,8 @@ class Bpe:
 
     def _resolve(self, texts: dict) -> dict:
         """Ids, as bytes, of each text given with the key that it is wanted under."""
-        cut = {key: self._tokens(text) for key, text in texts.items()}
+        # A word, with or without the space before it, is one pre-token.
+        cut = {key: [text.encode()] if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self._tokens(text) for key, text in texts.items()}
         distinct = list({t for ts in cut.values() for t in ts if isinstance(t, bytes)})
         ids = dict(zip(distinct, self.merge_many(distinct)))
         one = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
@@ -190,13 +192,16 @@ class Bpe:
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts."""
         cut = [(t or "").split(" ") for t in texts]
+        pieces = set().union(*(parts[1:] for parts in cut))
+        # A word with one mark behind it is the word and the mark.
+        marked = {p: p[:-1] for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()}
+        found = {p: self.pieces[p] for p in (pieces - marked.keys()).union(marked.values())}
         # A piece stands alone unless it is empty or has white space at an end; the first has no space before it.
-        found = {p: self.pieces[p] for p in set().union(*(parts[1:] for parts in cut))}
         wanted = {p: " " + p for p, ids in found.items() if ids is None and p and not p[0].isspace() and not p[-1].isspace()}
         tied = {p for p, ids in found.items() if ids is None and p not in wanted}
         alone = []
         for n, parts in enumerate(cut):
-            alone.append(not parts[0][-1:].isspace() and (len(parts) == 1 or parts[0] != "") and tied.isdisjoint(parts[1:]))
+            alone.append(not parts[0][-1:].isspace() and (len(parts) == 1 or parts[0] != "") and (not tied or tied.isdisjoint(parts[1:])))
             wanted[n] = parts[0] if alone[n] else texts[n]
         new = self._resolve(wanted)
         for p, ids in new.items():
@@ -204,6 +209,8 @@ class Bpe:
                 found[p] = ids
                 if "\n" not in p:
                     self.pieces.put(p, ids)
+        for p, word in marked.items():
+            found[p] = found[word] + self.marks[p[-1]]
         return [np.frombuffer(new[n] + (b"".join(map(found.__getitem__, parts[1:])) if alone[n] else b""), "<u4") for n, parts in enumerate(cut)]
 
     def decode(self, ids) -> str:
