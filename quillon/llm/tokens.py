@@ -26,7 +26,7 @@ ID = attrgetter("id")
 CONTROL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0]").search
 
 #: Pieces in one generation of the memory.
-GENERATION = 800_000
+GENERATION = 500_000
 #: Pieces longer than this are encoded anew each time.
 PIECE = 64
 
