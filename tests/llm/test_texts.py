@@ -60,6 +60,39 @@ def test_licenses():
     assert [x["license"] for x in own.scan("SPDX-License-Identifier: MIT")] == ["MIT"]
 
 
+#: Where the usual copies of the long templates have empty lines: before these words.
+PARAGRAPHS = {
+    "Apache-2.0-notice": ("You may obtain", "http://www", "Unless required"),
+    "BSD-2-Clause": ("1. Redis", "2. Redis"),
+    "BSD-3-Clause": ("1. Redis", "2. Redis", "3. Neither"),
+    "GPL-3.0-or-later-notice": ("This program is distributed",),
+    "MIT-text": ("The above copyright",),
+}
+PROSE = "It was one of the days on which the rest of the town went to the end of the road to see the use of the copyright in the software of the year. "
+
+
+def in_paragraphs(name):
+    text = license_scan.TEMPLATES[name]
+    for start in PARAGRAPHS[name]:
+        assert text.count(start) == 1
+        text = text.replace(start, "\n\n" + start)
+    return text
+
+
+def test_licenses_in_paragraphs():
+    own = license_scan.Scanner()
+    for name in PARAGRAPHS:
+        text, spdx = in_paragraphs(name), name.removesuffix("-notice").removesuffix("-text")
+        commented = "\n".join(f"# {line}".strip() if line else "" for line in text.split("\n"))
+        for around in (text, commented, f"Name\n\nCopyright 2020 X\n\n{text}\n\nTHE SOFTWARE IS PROVIDED AS IS.", f"{PROSE * 30}\n\n{text}\n\n{PROSE * 30}"):
+            found = own.scan(around)
+            assert [x["license"] for x in found] == [spdx], (name, found)
+            assert around[found[0]["at"] :].split()[0] in text
+    # Copies and other licenses close by are findings of their own.
+    texts = [in_paragraphs(k) for k in ("MIT-text", "BSD-2-Clause", "MIT-text", "MIT-text", "BSD-3-Clause")]
+    assert [x["license"] for x in own.scan("\n\n".join(texts))] == ["MIT", "BSD-2-Clause", "MIT", "MIT", "BSD-3-Clause"]
+
+
 def test_license_rows(spark):
     rows = [(1, "Released under the MIT License.\n\nWords.\nLicensed under CC BY 4.0", "x"), (2, None, None), (1, "Released under the MIT License.", None)]
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
