@@ -93,6 +93,46 @@ def test_licenses_in_paragraphs():
     assert [x["license"] for x in own.scan("\n\n".join(texts))] == ["MIT", "BSD-2-Clause", "MIT", "MIT", "BSD-3-Clause"]
 
 
+def gnu(kind, which, what="program"):
+    return f"""/* This file is part of X.
+ *
+ * This {what} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {kind}General Public
+ * License as published by the Free Software Foundation; {which}.
+ *
+ * This {what} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * {kind}General Public License for more details.
+ *
+ * You should have received a copy of the GNU {kind}General Public
+ * License along with this {what}; if not, write to the Free Software
+ * Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA. */
+int main(void);
+"""
+
+
+def test_gnu_licenses():
+    own = license_scan.Scanner()
+    later = "either version {} of the License, or (at your option) any later version"
+    cases = [("", "1", "GPL-1.0"), ("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Library ", "2", "LGPL-2.0"), ("Lesser ", "2", "LGPL-2.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")]
+    for kind, version, spdx in cases:
+        for what in ("program", "library"):
+            for which, end in ((later.format(version), "or-later"), (f"version {version} of the License", "only")):
+                text = gnu(kind, which, what)
+                for around in (text, text.replace(" *\n", "\n"), f"{PROSE * 20}\n{text}\n{text}"):
+                    assert {x["license"] for x in own.scan(around)} == {f"{spdx}-{end}"}, (kind, which)
+        moved = gnu(kind, "X").replace("the terms of the GNU", f"the terms of version {version} of the GNU").replace("; X", "")
+        assert [x["license"] for x in own.scan(moved)] == [f"{spdx}-only"]
+    # No template has these, and no other license is given for them.
+    for kind, version in (("", "4"), ("Affero ", "2"), ("Lesser ", "2.2")):
+        assert own.scan(gnu(kind, later.format(version))) == []
+    found = own.scan(gnu("", later.format("3")).replace("any later version", "any other, newer and later version"))
+    assert [(x["license"], x["missing"], x["inserted"]) for x in found] == [("GPL-3.0-or-later", 0, 3)]
+    notice = license_scan.TEMPLATES["Apache-2.0-notice"]
+    assert [x["license"] for x in own.scan(notice.replace("Version 2.0", "Version 3.0"))] == []
+
+
 def test_license_rows(spark):
     rows = [(1, "Released under the MIT License.\n\nWords.\nLicensed under CC BY 4.0", "x"), (2, None, None), (1, "Released under the MIT License.", None)]
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
