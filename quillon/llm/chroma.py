@@ -2,8 +2,8 @@
 
 A recording's short-time spectra are folded into twelve pitch classes.  Sums over rectangles of that
 picture, taken from its integral image, make 16 filter values per frame; each is quantised to two bits
-of Gray code, and a frame's 32 bits are packed into one integer.  Two recordings are aligned by a
-histogram of the offsets at which they share landmarks (three frames in a row), and the likeliest offsets are
+of Gray code, and a frame's 32 bits are packed into one integer.  Two recordings are aligned by the
+offsets at which they share landmarks (three frames in a row, at every place of theirs), and each such offset is
 judged by the share of bits that differ over the whole overlap.
 
 A link needs ``VOTES`` of the query's landmarks at one offset.  So of a query's landmarks the most
@@ -40,7 +40,6 @@ VOTES = 0.3
 ERRORS = 0.3
 #: Least frames that an overlap must have.
 OVERLAP = 16
-OFFSETS = 3
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -139,22 +138,43 @@ def fingerprints(recordings: DataFrame, id_col: str, media_col: str) -> DataFram
 
 
 def _landmarks(classes: DataFrame) -> DataFrame:
-    """class_id, n, key, at: each distinct landmark of a class where it first stands; n is their number."""
+    """class_id, n, key: each distinct landmark of a class; n is their number."""
     last = F.size("codes") - LANDMARK
-    keys = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("codes", i + j) for j in range(LANDMARK)))))
-    spread = classes.select("class_id", F.size(F.array_distinct(keys)).alias("n"), F.posexplode(keys).alias("at", "key"))
-    return spread.groupBy("class_id", "n", "key").agg(F.min("at").alias("at"))
+    keys = F.array_distinct(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("codes", i + j) for j in range(LANDMARK))))))
+    return classes.select("class_id", keys.alias("keys")).select("class_id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+
+
+def shared_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All offsets, ascending, at which a landmark stands in both."""
+    if min(len(a), len(b)) < LANDMARK:
+        return np.zeros(0, np.int64)
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    keys = codes[: len(codes) - LANDMARK + 1]
+    for j in range(1, LANDMARK):  # ranks of longer and longer runs, none over two recordings
+        keys = np.unique(keys * len(codes) + codes[j : len(codes) - LANDMARK + 1 + j], return_inverse=True)[1]
+    own, other = keys[: len(a) - LANDMARK + 1], keys[len(a) :]
+    order = np.argsort(other, kind="stable")
+    lo, hi = (np.searchsorted(other[order], own, side) for side in ("left", "right"))
+    hit = np.zeros(len(a) + len(b), bool)
+    for i in np.nonzero(hi > lo)[0]:
+        hit[order[lo[i] : hi[i]] - i + len(a)] = True
+    return np.nonzero(hit)[0] - len(a)
+
+
+def alignment(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int] | None:
+    """Least (bit error, offset, frames) of all offsets at which a landmark stands in both; none if no offset makes a link."""
+    tries = ((error, int(o), frames) for o in shared_offsets(a, b) for error, frames in [bit_error(a, b, o)])
+    return min((x for x in tries if x[0] <= ERRORS and x[2] >= OVERLAP), default=None)
 
 
 def _judged(batches):
     for batch in batches:
         rows = []
-        q, r, offset, qc, rc = (batch.column(i) for i in range(5))
+        q, r, qc, rc = (batch.column(i) for i in range(4))
         for i in range(batch.num_rows):
-            a, b = (np.array(x[i].as_py(), "<i4").view("<u4") for x in (qc, rc))
-            error, frames = bit_error(a, b, offset[i].as_py())
-            if error <= ERRORS and frames >= OVERLAP:
-                rows.append((q[i].as_py(), r[i].as_py(), offset[i].as_py(), error, frames))
+            found = alignment(*(x[i].values.to_numpy().view("<u4") for x in (qc, rc)))
+            if found:
+                rows.append((q[i].as_py(), r[i].as_py(), found[1], found[0], found[2]))
         names = ["query_class", "class_id", "offset", "bit_error", "frames"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
         columns = list(zip(*rows)) if rows else [[]] * 5
@@ -176,18 +196,13 @@ def search(recordings: DataFrame, queries, id_col: str, media_col: str) -> DataF
     often = marks.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     ranked = asked.join(often, "key").withColumn("nth", F.expr("row_number() OVER (PARTITION BY class_id ORDER BY often, key)"))
     needed = F.greatest(F.lit(1), F.ceil(F.lit(VOTES) * F.col("n")))
-    probes = ranked.where(F.col("nth") <= F.col("n") - needed + 1).select(F.col("class_id").alias("query_class"), "n", "key", F.col("at").alias("query_at"))
-    hits = probes.join(marks.select("class_id", "key", "at"), "key").where("query_class <> class_id")
-    votes = hits.groupBy("query_class", "class_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    # Of each pair the likeliest offsets are judged over all frames.
-    best = votes.groupBy("query_class", "class_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "offset"))), 1, OFFSETS).alias("best"))
-    tries = best.select("query_class", "class_id", F.explode("best").alias("one")).select("query_class", "class_id", F.col("one.offset").alias("offset"))
+    probes = ranked.where(F.col("nth") <= F.col("n") - needed + 1).select(F.col("class_id").alias("query_class"), "key")
+    found = probes.join(marks.select("class_id", "key"), "key").where("query_class <> class_id").select("query_class", "class_id").distinct()
     coded = classes.select(F.col("class_id"), "codes")
-    pairs = tries.join(coded.toDF("query_class", "query_codes"), "query_class").join(coded, "class_id").select("query_class", "class_id", "offset", "query_codes", "codes")
-    judged = pairs.mapInArrow(_judged, "query_class long, class_id long, offset int, bit_error double, frames int")
-    link = F.min(F.struct("bit_error", "offset", "frames")).alias("x")
-    links = judged.groupBy("query_class", "class_id").agg(link)
-    listed = links.groupBy("query_class").agg(F.sort_array(F.collect_list(F.struct("class_id", F.col("x.offset").alias("offset"), F.col("x.bit_error").alias("bit_error"), F.col("x.frames").alias("frames")))).alias("links"))
+    pairs = found.join(coded.toDF("query_class", "query_codes"), "query_class").join(coded, "class_id").select("query_class", "class_id", "query_codes", "codes")
+    # Of each pair every offset with a landmark in common is judged over all frames.
+    links = pairs.mapInArrow(_judged, "query_class long, class_id long, offset int, bit_error double, frames int")
+    listed = links.groupBy("query_class").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "bit_error", "frames"))).alias("links"))
     known = durable(classes.select("codes", "class_id", "class_size").join(listed.withColumnRenamed("query_class", "class_id"), "class_id", "left"), "links")
     empty = F.array().cast("array<struct<class_id:bigint,offset:int,bit_error:double,frames:int>>")
     return rows.join(known, "codes", "left").select(
