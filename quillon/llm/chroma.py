@@ -6,9 +6,10 @@ of Gray code, and a frame's 32 bits are packed into one integer.  Two recordings
 offsets at which they share landmarks (three frames in a row, at every place of theirs), and each such offset is
 judged by the share of bits that differ over the whole overlap.
 
-A link needs ``VOTES`` of the query's landmarks at one offset.  So of a query's landmarks the most
-frequent in the corpus, up to that share, need not be looked up: what it links to shares a rarer
-one.  Nothing else is left out.  Equal fingerprints are one class, searched once.
+A link is an offset at which two recordings share a landmark, overlap by ``OVERLAP`` frames and differ in at
+most ``ERRORS`` of the bits; of a pair's the one with least bit error is given.  The rule is the same from either
+side and does not depend on other recordings: all landmarks of a query are looked up, however frequent, and
+frequent ones are dealt out in parts.  Equal fingerprints are one class, searched once.
 
 Defined cases: null, empty and unreadable media, and those shorter than a filter, have no
 frames, form no class with others and link to none; repeated rows are one class; an empty table gives no rows.
@@ -36,10 +37,11 @@ WIDE = 16
 FILTERS = [(kind, first, bands, frames) for kind, bands, frames in ((1, 4, 8), (2, 4, 16), (3, 6, 12), (0, 3, 6)) for first in (0, 2, 4, 6)]
 STEP = 0.25
 LANDMARK = 3
-VOTES = 0.3
 ERRORS = 0.3
 #: Least frames that an overlap must have.
 OVERLAP = 16
+#: Classes with one landmark that are joined in one part.
+PART = 4096
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -138,10 +140,10 @@ def fingerprints(recordings: DataFrame, id_col: str, media_col: str) -> DataFram
 
 
 def _landmarks(classes: DataFrame) -> DataFrame:
-    """class_id, n, key: each distinct landmark of a class; n is their number."""
+    """class_id, key: each distinct landmark of a class."""
     last = F.size("codes") - LANDMARK
     keys = F.array_distinct(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("codes", i + j) for j in range(LANDMARK))))))
-    return classes.select("class_id", keys.alias("keys")).select("class_id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    return classes.select("class_id", F.explode(keys).alias("key"))
 
 
 def shared_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,12 +194,11 @@ def search(recordings: DataFrame, queries, id_col: str, media_col: str) -> DataF
     classes = durable(sound.groupBy("codes").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("is_query").alias("asked")), "classes")
     marks = durable(_landmarks(classes), "landmarks")
     asked = marks.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
-    # Frequency of those landmarks only that are asked for, over all classes.
-    often = marks.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    ranked = asked.join(often, "key").withColumn("nth", F.expr("row_number() OVER (PARTITION BY class_id ORDER BY often, key)"))
-    needed = F.greatest(F.lit(1), F.ceil(F.lit(VOTES) * F.col("n")))
-    probes = ranked.where(F.col("nth") <= F.col("n") - needed + 1).select(F.col("class_id").alias("query_class"), "key")
-    found = probes.join(marks.select("class_id", "key"), "key").where("query_class <> class_id").select("query_class", "class_id").distinct()
+    # Landmarks that more than one class has, with the number of parts that their classes are dealt into.
+    shared = marks.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("key", F.ceil(F.col("often") / PART).alias("parts"))
+    probes = asked.join(shared, "key").select(F.col("class_id").alias("query_class"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = marks.join(shared, "key").select("class_id", "key", F.pmod(F.xxhash64("class_id"), "parts").alias("part"))
+    found = probes.join(dealt, ["key", "part"]).where("query_class <> class_id").select("query_class", "class_id").distinct()
     coded = classes.select(F.col("class_id"), "codes")
     pairs = found.join(coded.toDF("query_class", "query_codes"), "query_class").join(coded, "class_id").select("query_class", "class_id", "query_codes", "codes")
     # Of each pair every offset with a landmark in common is judged over all frames.

@@ -305,6 +305,29 @@ def test_audio_repeated_bars(spark):
         assert chroma.shared_offsets(x, y).tolist() == sorted({j - i for i, k in enumerate(marks[0]) for j, m in enumerate(marks[1]) if k == m})
 
 
+@pytest.mark.parametrize("part", [4096, 2])
+def test_audio_frequent_clip(spark, monkeypatch, part):
+    """A clip that stands in many recordings, each much longer than it, links to all of them and they to each other."""
+    monkeypatch.setattr(chroma, "PART", part)
+    clip, *songs = bars(3, 19)
+    wholes = [np.concatenate([*songs[3 * i : 3 * i + 2], clip, songs[3 * i + 2], *songs[3 * i : 3 * i + 2]]) for i in range(6)]
+    rows = [(9, wav(clip))] + [(i, wav(x)) for i, x in enumerate(wholes)]
+    found = {x["id"]: x["links"] for x in chroma.search(spark.createDataFrame(rows, "id long, media binary"), lambda i: F.lit(True), "id", "media").collect()}
+    prints = {i: chroma.fingerprint(m) for i, m in rows}
+    assert 0 < len(prints[9]) - 2 < 0.3 * (min(len(prints[i]) for i in range(6)) - 2)
+    for i in prints:
+        want = []
+        for j in sorted(prints):  # brute force by the stated rule
+            tries = [(*chroma.bit_error(prints[i], prints[j], o), o) for o in range(-len(prints[i]), len(prints[j])) if i != j]
+            tries = [(e, o, n) for e, n, o in tries if e <= chroma.ERRORS and n >= chroma.OVERLAP and o in chroma.shared_offsets(prints[i], prints[j])]
+            if tries:
+                want.append((j, *min(tries)))
+        assert [(x["class_id"], x["bit_error"], x["offset"], x["frames"]) for x in found[i]] == want
+    at = [2 * len(clip) // chroma.HOP] * 6
+    assert [(x["class_id"], x["offset"], x["bit_error"]) for x in found[9]] == [(i, at[i], 0.0) for i in range(6)]
+    assert all((9, 0.0) in [(x["class_id"], x["bit_error"]) for x in found[i]] for i in range(6))
+
+
 def test_pipeline(spark):
     """Against its stages by brute force."""
     import corpus_pipeline
