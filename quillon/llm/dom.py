@@ -8,6 +8,8 @@ import re
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style template noscript title head svg math iframe object select textarea button".split())
+#: Tags that leave an open head open; any other, and any word, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style title textarea iframe".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -55,6 +57,8 @@ def parse(source: str | None) -> Page:
         page.block.append(block)
 
     def say(text):
+        if page.tag[stack[-1]] == "head" and text.strip():
+            shut(len(stack) - 1)
         if text and not silent:
             add("", None, html.unescape(text))
 
@@ -90,6 +94,8 @@ def parse(source: str | None) -> Page:
             if tag in BLOCK:
                 block += 1
             continue
+        if page.tag[stack[-1]] == "head" and tag not in HEAD:
+            shut(len(stack) - 1)
         if tag in ENDS:
             which, limit = ENDS[tag]
             for depth in range(len(stack) - 1, 0, -1):

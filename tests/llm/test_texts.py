@@ -152,6 +152,18 @@ def test_main_text():
     assert maintext.extract(None, model) == "" and maintext.extract("", model) == "" and maintext.extract("<script>x", model) == ""
 
 
+def test_main_text_open_head():
+    model = maintext.trained()
+    whole = maintext.extract(PAGE, model)
+    for without in (("</head>", "<body>", "</body>"), ("</head>", "</body>"), ("<html>", "</head>", "<body>", "</body>", "</html>")):
+        page = PAGE
+        for tag in without:
+            page = page.replace(tag, "")
+        assert "<head>" in page and maintext.extract(page, model) == whole
+    page = parse("<head><meta charset=utf-8>\n<title>T</title><noscript><img src=x>no</noscript><template><p>no</p></template><link rel=x>\nA <b>word</b>.")
+    assert "".join(page.text).strip() == "A word."
+
+
 def test_main_text_held_out():
     model, good = maintext.trained(), 0
     for i in range(150):
