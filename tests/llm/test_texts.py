@@ -133,6 +133,28 @@ def test_gnu_licenses():
     assert [x["license"] for x in own.scan(notice.replace("Version 2.0", "Version 3.0"))] == []
 
 
+def test_short_notices_in_other_words():
+    own = license_scan.Scanner()
+    cases = {
+        "This program is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
+        "Distributed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 2.": [],
+        "It is available under the MIT License.": ["MIT"],
+        "The photo is under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License": [],
+        "GNU GPL v3": ["GPL-3.0"],
+        "GNU GPL v4": [],
+        "It has the GNU LGPL version 2.1.": ["LGPL-2.1"],
+        "MIT License": ["MIT"],
+        "# The MIT License (MIT)\n\nCopyright 2020 X": ["MIT"],
+        "I read of the MIT License and of the GNU General Public License, version 3.": [],
+        "Available under the MIT umbrella, without a license.": [],
+        license_scan.TEMPLATES["MPL-2.0"].replace("http:", "https:"): ["MPL-2.0"],
+    }
+    for text, want in cases.items():
+        assert [x["license"] for x in own.scan(text)] == want, text
+
+
 def test_license_rows(spark):
     rows = [(1, "Released under the MIT License.\n\nWords.\nLicensed under CC BY 4.0", "x"), (2, None, None), (1, "Released under the MIT License.", None)]
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
