@@ -1,4 +1,4 @@
-"""Distances as Column expressions over two feature arrays.
+"""Distances as Column expressions over two feature arrays, and of many pairs at once as NumPy arrays.
 
 Short vectors are unrolled into plain arithmetic, which Spark compiles into one loop-free expression;
 wide ones use higher-order functions, as generated methods have a size limit.
@@ -52,6 +52,27 @@ class Distance:
             return parts[0] if width == 1 else F.greatest(*parts)
         return self._whole(reduce(lambda x, y: x + y, parts))
 
+    def matrix(self, x, y):
+        """Distances of each row of x to each row of y, coordinates being added in order as between() does."""
+        import numpy as np
+
+        if x.shape[1] == 0 and self.name == "chessboard":
+            raise ClassifierError("the largest difference of no features is undefined")
+        total, d = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for a, b in zip(x.T, np.ascontiguousarray(y.T)):
+                np.subtract(a[:, None], b[None, :], out=d)
+                if self.name == "euclidean":
+                    np.multiply(d, d, out=d)
+                else:
+                    np.abs(d, out=d)
+                if self.name == "minkowski":
+                    d[:] = _power(d, self.p)
+                (np.maximum if self.name == "chessboard" else np.add)(total, d, out=total)
+            if self.name == "euclidean":
+                return np.sqrt(total)
+            return np.power(total, 1.0 / self.p) if self.name == "minkowski" else total
+
     def _part(self, d: Column) -> Column:
         if self.name == "euclidean":
             return d * d
@@ -67,6 +88,20 @@ class Distance:
         return total
 
 
+def _power(d, p: float):
+    """d to the power p; small whole powers by squaring."""
+    if p != int(p) or p > 64:
+        return d**p
+    found, n = None, int(p)
+    while n:
+        if n & 1:
+            found = d if found is None else found * d
+        n >>= 1
+        if n:
+            d = d * d
+    return found
+
+
 def distance(metric) -> Distance:
     """A distance from a name or from {type, params}; Minkowski takes a finite p above 0."""
     if isinstance(metric, str):

@@ -7,26 +7,41 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.errors import ClassifierError, DataError
 from quillon.functions.distances import Distance, distance
+from quillon.operators.nearest import matcher
 from quillon.sources.labelled import Labelled
 
-#: Bytes of training rows that may be broadcast; beyond it both sides are dealt into blocks.
+#: Bytes of a centroid model that may be broadcast; a larger one is dealt into blocks.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of one block of either side.
 BLOCK_BYTES = 16 << 20
 #: Differences of coordinates that one task may take.
-PART_WORK = 20_000_000
+PART_WORK = 10_000_000
 #: Classes times features up to which centroid distances are unrolled.
 UNROLLED = 512
+#: Most partitions that pairs of blocks are dealt into.
+PARTITIONS = 20_000
 
 PREDICTED = ["fold", "row_idx", "y_true", "y_pred", "true_s", "pred_s"]
 
 
+@dataclass(frozen=True)
+class Shape:
+    """What a prediction's plan is made from: vector width, rows and folds (numbered from 0), and the texts of the classes."""
+
+    width: int
+    n_train: int
+    n_test: int
+    n_folds: int
+    classes: tuple[str, ...]
+
+
 class Classifier(ABC):
     @abstractmethod
-    def predict(self, train: DataFrame, test: DataFrame, width: int, n_train: int, n_test: int) -> DataFrame:
+    def predict(self, train: DataFrame, test: DataFrame, shape: Shape) -> DataFrame:
         """fold, row_idx, y_true, y_pred, true_s, pred_s for each test row; a row trains for all folds but its own."""
 
 
@@ -40,48 +55,64 @@ def _row_bytes(width: int) -> int:
     return 8 * width + 64
 
 
+def _parts(total: int, most: int = BLOCK_BYTES) -> int:
+    return max(1, -(-total // most))
+
+
+def _upto(n: int):
+    """Each number from 0 to n - 1, in a row of its own."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def _one_of(n: int, column: str):
+    return F.pmod(F.xxhash64(column), F.lit(n))
+
+
 @dataclass(frozen=True)
 class Knn(Classifier):
     """Majority of the k nearest; ties by least sum of distances, then by the label's text.
 
-    Of training rows at one distance the first by row number are nearer. ``strategy`` "auto"
-    broadcasts training rows of a checked size and deals larger ones into blocks.
+    Of training rows at one distance the first by row number are nearer. Chunks of test rows meet blocks of
+    training rows, each pair in a group of bounded size that gives k rows for each test row; ``blocks`` sets the
+    number of blocks, which else follows from their size.
     """
 
     k: int = 1
     metric: Distance = field(default_factory=lambda: distance("euclidean"))
-    strategy: str = "auto"
+    blocks: int | None = None
 
     def __post_init__(self):
         if isinstance(self.k, bool) or not isinstance(self.k, int) or self.k < 1:
             raise ClassifierError(f"k has to be a whole number above 0, not {self.k!r}")
 
-    def predict(self, train, test, width, n_train, n_test):
-        return self.vote(self.neighbours(train, test, width, n_train, n_test))
+    def predict(self, train, test, shape):
+        return self.vote(self.neighbours(train, test, shape))
 
-    def neighbours(self, train, test, width, n_train, n_test) -> DataFrame:
-        """fold, row_idx, y_true, true_s, label, label_s, d, nth: the k nearest training rows of each test row."""
+    def neighbours(self, train, test, shape: Shape) -> DataFrame:
+        """fold, row_idx, y_true, true_s, label, label_s, r_idx, d, nth: the k nearest training rows of each test row."""
         t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
         r = train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
-        apart = F.col("fold") != F.col("r_fold")
-        size = n_train * _row_bytes(width)
-        if self.strategy == "broadcast" or self.strategy == "auto" and size <= BROADCAST_BYTES:
-            # A small file is one partition: test rows are dealt out by the work they make, once for all that follows.
-            parts = min(n_test, n_train * n_test * max(1, width) // PART_WORK)
-            t = t.repartition(parts, "fold", "row_idx") if parts > 1 else t
-            pairs = t.join(F.broadcast(r), apart)
-        else:
-            blocks = max(1, -(-size // BLOCK_BYTES))
-            chunks = max(1, -(-n_test * _row_bytes(width) // BLOCK_BYTES))
-            # Every chunk of test rows meets every block of training rows once, in a task of its own.
-            t = t.withColumn("chunk", F.pmod(F.xxhash64("row_idx"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-            r = r.withColumn("block", F.pmod(F.xxhash64("r_idx"), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-            pairs = t.join(r.hint("shuffle_hash"), (t["chunk"] == r["chunk"]) & (t["block"] == r["block"]) & apart)
-        near = pairs.select("fold", "row_idx", "y_true", "true_s", "label", "label_s", "r_idx", self.metric.between(F.col("x"), F.col("features"), width).alias("d"))
+        size, n_test = _row_bytes(shape.width), max(1, shape.n_test)
+        blocks = self.blocks or _parts(shape.n_train * size)
+        work = shape.n_train * n_test * max(1, shape.width) // (PART_WORK * blocks)
+        chunks = min(n_test, max(_parts(n_test * size), _parts(n_test * self.k * 64), work))
+        n = min(PARTITIONS, blocks * chunks)
+        keys = ("chunk", "block")
+        t = t.withColumn("chunk", _one_of(chunks, "row_idx")).withColumn("block", _upto(blocks))
+        r = r.withColumn("block", _one_of(blocks, "r_idx")).withColumn("chunk", _upto(chunks))
+        # Both sides are dealt by the same keys once; groups need no further shuffle.
+        left, right = (x.repartition(n, *keys).groupBy(*keys) for x in (t, r))
+        near = left.cogroup(right).applyInArrow(matcher(self.metric, self.k, shape.width), self._near_schema(t, r))
         first = Window.partitionBy("fold", "row_idx").orderBy("d", "r_idx")
         return near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.k)
 
+    @staticmethod
+    def _near_schema(t: DataFrame, r: DataFrame) -> T.StructType:
+        own = [t.schema[c] for c in ("fold", "row_idx", "y_true", "true_s")] + [r.schema[c] for c in ("label", "label_s", "r_idx")]
+        return T.StructType([T.StructField(f.name, f.dataType) for f in own] + [T.StructField("d", T.DoubleType())])
+
     def vote(self, near: DataFrame) -> DataFrame:
+        # What follows is grouped by more columns than these: one shuffle serves all.
         votes = near.groupBy("fold", "row_idx", "y_true", "true_s", "label", "label_s").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("d")).alias("ds"))
         # Distances are added from the nearest on, so sums don't depend on how rows were shuffled.
         total = F.aggregate("ds", F.lit(0.0), lambda s, x: s + x)
@@ -94,56 +125,80 @@ class Knn(Classifier):
 class NearestCentroid(Classifier):
     """The class whose mean is nearest by L2; ties by the label's text. A distance that is NaN comes first."""
 
-    def totals(self, train: DataFrame, width: int) -> DataFrame:
-        """fold_id, label_s, label, n, sums: one row per training fold and class."""
+    def totals(self, train: DataFrame, width: int, *keys: str) -> DataFrame:
+        """The keys, label_s, label, n, s0, s1...: sums of each class."""
         sums = [F.sum(F.get("features", F.lit(i))).alias(f"s{i}") for i in range(width)]
-        grouped = train.groupBy("fold_id", "label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), *sums)
-        return grouped.select("fold_id", "label_s", "label", "n", F.array(*[F.col(f"s{i}") for i in range(width)]).cast("array<double>").alias("sums"))
-
-    def fit(self, train: DataFrame, folds: DataFrame, width: int) -> DataFrame:
-        """fold, label_s, label, n, centroid: class means over all folds but each one; ``folds`` has the test folds."""
-        parts = self.totals(train, width)
-        others = folds.select(F.col("fold_id").alias("fold")).join(F.broadcast(parts), F.col("fold") != F.col("fold_id"))
-        sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(width)]
-        met = others.groupBy("fold", "label_s").agg(F.min("label").alias("label"), F.sum("n").alias("n"), *sums)
-        return met.select("fold", "label_s", "label", "n", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(width)]).cast("array<double>").alias("centroid"))
-
-    def predict(self, train, test, width, n_train, n_test, n_classes: int | None = None):
-        folds = test.select("fold_id").distinct()
-        model = F.sort_array(F.collect_list(F.struct("label_s", "label", "centroid"))).alias("model")
-        models = self.fit(train, folds, width).groupBy("fold").agg(model)
+        return train.groupBy(*keys, "label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), *sums)
+
+    def fit(self, train: DataFrame, shape: Shape) -> DataFrame:
+        """fold, label_s, label, n, centroid: class means over all folds but each one."""
+        names = [f"s{i}" for i in range(shape.width)]
+        if shape.n_folds == 1:
+            met = self.totals(train.where(F.col("fold_id").isNull() | (F.col("fold_id") != 0)), shape.width).withColumn("fold", F.lit(0).cast("long"))
+        else:
+            # A fold's sums are those of the folds before it and of those behind it. Rows of zeros ask for each fold and class.
+            parts = self.totals(train, shape.width, "fold_id").withColumn("asked", F.lit(False))
+            asked = train.sparkSession.range(shape.n_folds).select(F.col("id").alias("fold_id"), F.explode(F.array(*[F.lit(c) for c in shape.classes]).cast("array<string>")).alias("label_s"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+            both = parts.unionByName(asked, allowMissingColumns=True)
+            own = Window.partitionBy("label_s")
+            sides = [own.orderBy(F.col("fold_id").asc()), own.orderBy(F.col("fold_id").desc())]
+            less = [side.rangeBetween(Window.unboundedPreceding, -1) for side in sides]
+            rest = {c: F.coalesce(F.sum(c).over(less[0]), F.lit(0)) + F.coalesce(F.sum(c).over(less[1]), F.lit(0)) for c in ("n", *names)}
+            met = both.withColumns({"label": F.min("label").over(own)} | {f"_{c}": x for c, x in rest.items()}).where("asked").select(F.col("fold_id").alias("fold"), "label_s", "label", *[F.col(f"_{c}").alias(c) for c in rest])
+        return met.where("n > 0").select("fold", "label_s", "label", "n", F.array(*[F.col(c) / F.col("n") for c in names]).cast("array<double>").alias("centroid"))
+
+    def predict(self, train, test, shape):
+        model = self.fit(train, shape).select("fold", F.struct("label_s", "label", "centroid").alias("m"))
         rows = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), "features")
-        return self._nearest(rows.join(models, "fold"), width, n_classes)
+        return self._nearest(rows, model, ["fold"], shape)
 
-    def predict_loo(self, frame: DataFrame, width: int, n_classes: int | None = None) -> DataFrame:
+    def predict_loo(self, frame: DataFrame, shape: Shape) -> DataFrame:
         """Leave-one-out without n fits: a row's own class has the mean of its other rows."""
-        whole = self.totals(frame.drop("fold_id").withColumn("fold_id", F.lit(0)), width)
-        model = whole.agg(F.sort_array(F.collect_list(F.struct("label_s", "label", "n", "sums"))).alias("all"))
-        rows = frame.select(F.col("row_idx").cast("int").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), "features")
+        sums = F.array(*[F.col(f"s{i}") for i in range(shape.width)]).cast("array<double>").alias("sums")
+        model = self.totals(frame, shape.width).select(F.struct("label_s", "label", "n", sums).alias("m"))
+        rows = frame.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), "features")
 
         def without(m):
             own = m["label_s"] == F.col("true_s")
             n = m["n"] - F.when(own, 1).otherwise(0)
-            sums = F.zip_with(m["sums"], F.col("features"), lambda s, x: (s - F.when(own, x).otherwise(0.0)) / n)
-            return F.struct(m["label_s"].alias("label_s"), m["label"].alias("label"), sums.alias("centroid"))
-
-        # One row, as long as classes times features: bounded by the labels, not by the rows.
-        met = rows.join(F.broadcast(model)).withColumn("model", F.transform(F.filter("all", lambda m: (m["n"] > 1) | (m["label_s"] != F.col("true_s"))), without))
-        return self._nearest(met, width, n_classes)
-
-    def _nearest(self, met: DataFrame, width: int, n_classes: int | None) -> DataFrame:
+            means = F.zip_with(m["sums"], F.col("features"), lambda s, x: (s - F.when(own, x).otherwise(0.0)) / n)
+            return F.struct(m["label_s"].alias("label_s"), m["label"].alias("label"), means.alias("centroid"))
+
+        def left_out(models):
+            return F.transform(F.filter(models, lambda m: (m["n"] > 1) | (m["label_s"] != F.col("true_s"))), without)
+
+        return self._nearest(rows, model, [], shape, left_out)
+
+    def _nearest(self, rows: DataFrame, model: DataFrame, keys: list[str], shape: Shape, change=lambda m: m) -> DataFrame:
+        """The nearest of the models with a row's keys; ``model`` has the keys and one row (m) per class.
+
+        A model of a checked size is broadcast and every row compared in place; a larger one is dealt into blocks of
+        classes that chunks of rows meet one by one, the best of each block being compared again.
+        """
+        size = max(1, len(shape.classes)) * _row_bytes(shape.width) * (shape.n_folds if keys else 1)
+        small, met = size <= BROADCAST_BYTES, ["fold", "row_idx", "y_true", "true_s"]
+        if not small:
+            keys = [*keys, "_block", "_chunk"]
+            blocks, chunks = _parts(size), _parts(shape.n_test * _row_bytes(shape.width))
+            model = model.withColumn("_block", _one_of(blocks, "m.label_s")).withColumn("_chunk", _upto(chunks))
+            rows = rows.withColumn("_chunk", _one_of(chunks, "row_idx")).withColumn("_block", _upto(blocks))
+        models = model.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_models"))
+        joined = rows.join(F.broadcast(models), keys or None) if small else rows.join(models, keys)
         l2 = distance("euclidean")
 
         def place(m):
-            d = l2.between(F.col("features"), m["centroid"], width)
+            d = l2.between(F.col("features"), m["centroid"], shape.width)
             return F.struct((~F.isnan(d)).alias("a"), d.alias("d"), m["label_s"].alias("label_s"), m["label"].alias("label"))
 
-        if n_classes and n_classes * max(1, width) <= UNROLLED:
-            each = [F.when(F.size("model") > c, place(F.get("model", F.lit(c)))) for c in range(n_classes)]
-            best = F.array_min(F.array(*each))
+        joined = joined.withColumn("_models", change(F.col("_models")))
+        if small and len(shape.classes) * max(1, shape.width) <= UNROLLED:
+            best = F.array_min(F.array(*[F.when(F.size("_models") > c, place(F.get("_models", F.lit(c)))) for c in range(max(1, len(shape.classes)))]))
         else:
-            best = F.array_min(F.transform("model", place))
-        return met.withColumn("best", best).select("fold", "row_idx", "y_true", F.col("best.label").alias("y_pred"), "true_s", F.col("best.label_s").alias("pred_s"))
+            best = F.array_min(F.transform("_models", place))
+        found = joined.select(*met, best.alias("best"))
+        if not small:
+            found = found.groupBy(*met).agg(F.min("best").alias("best"))
+        return found.select("fold", "row_idx", "y_true", F.col("best.label").alias("y_pred"), "true_s", F.col("best.label_s").alias("pred_s"))
 
 
 def check_k(classifier: Classifier, fold_sizes: list[tuple[int, int]]) -> None:

@@ -1,6 +1,6 @@
 """Splitters: each row's fold, exact in size.
 
-An assigned frame is a labelled frame with ``fold_id``: a row tests in the fold of its number and
+An assigned frame is a labelled frame with ``fold_id`` (long): a row tests in the fold of its number and
 trains in all others; -1 marks rows that only train.  Shuffling orders rows by the MD5 of seed and row
 number, the same on every engine and machine; ``order="numpy"`` takes NumPy's permutations, for small inputs.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import ValidationError
-from quillon.sources.labelled import Labelled
+from quillon.sources.labelled import Labelled, counted, placed
 
 #: Rows up to which NumPy's order is offered: it is made on the driver.
 NUMPY_ROWS = 1_000_000
@@ -81,30 +81,30 @@ def _ranked(data: Labelled, stratify: bool, shuffle: bool, seed: int, order: str
         return _numpy_ranked(data, stratify, seed)
     if order not in ("hash", "numpy"):
         raise ValidationError(f"unknown order {order!r}")
+    if not stratify and not shuffle and data.gapless:
+        return data.frame.withColumn("rank", F.col("row_idx") + 1)
     by = [shuffled(seed), F.col("row_idx")] if shuffle else [F.col("row_idx")]
     if not stratify:
-        return _dealt(data.frame, by)
-    # Sorted by class first, a row's rank in its class is its place less where the class begins.
-    begin, starts = 0, []
-    for _, text, m in data.class_counts:
-        starts += [F.lit(text), F.lit(begin).cast("long")]
-        begin += m
-    start = F.element_at(F.create_map(*starts), F.col("label_s")) if starts else F.lit(0)
-    return _dealt(data.frame, [F.col("label_s"), *by]).withColumn("rank", F.col("rank") - start)
-
-
-def _dealt(frame: DataFrame, by: list) -> DataFrame:
-    """Ranks over all rows without bringing them into one task: sorted by range, then counted per partition."""
-    ordered = frame.withColumn("_by", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)])).sort("_by")
-    marked = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).drop("_by").persist()
-    sizes = sorted((r[0], r[1]) for r in marked.groupBy("_part").agg(F.count(F.lit(1))).collect())
-    base, before = 0, []
-    for part, n in sizes:
-        before.append((part, base))
-        base += n
-    offsets = frame.sparkSession.createDataFrame(before, "_part int, _before long")
-    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return marked.join(F.broadcast(offsets), "_part").withColumn("rank", at).drop("_part", "_at", "_before")
+        ranks = _dealt(data.frame.select("row_idx"), by)
+    else:
+        # Sorted by class first, a row's rank in its class is its place less where the class begins.
+        begin, starts = 0, []
+        for _, text, m in data.class_counts:
+            starts += [F.lit(text), F.lit(begin).cast("long")]
+            begin += m
+        start = F.element_at(F.create_map(*starts), F.col("label_s")) if starts else F.lit(0)
+        ranks = _dealt(data.frame.select("row_idx", "label_s"), [F.col("label_s"), *by]).select("row_idx", (F.col("rank") - start).alias("rank"))
+    if not data.gapless:
+        ranks = ranks.groupBy("row_idx").agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("rows repeat the key "), F.col("row_idx").cast("string")))).otherwise(F.min("rank")).alias("rank"))
+    return data.frame.join(ranks, "row_idx")
+
+
+def _dealt(keys: DataFrame, by: list) -> DataFrame:
+    """Ranks over all rows without bringing them into one task: sorted by range, then counted per partition.
+
+    Only keys are sorted; feature vectors meet the ranks in a join.
+    """
+    return counted(placed(keys.sort(*by)), "rank", first=1)
 
 
 def _numpy_ranked(data: Labelled, stratify: bool, seed: int) -> DataFrame:
@@ -141,7 +141,7 @@ class Holdout(Splitter):
             limit = F.element_at(F.create_map(*[F.lit(x) for (_, text, _), k in zip(classes, take) for x in (text, k)]), F.col("label_s"))
         else:
             limit = F.lit(clip(half_even(n * self.test_size), 1, n - 1))
-        return ranked.withColumn("fold_id", F.when(F.col("rank") <= limit, 0).otherwise(-1).cast("int")).drop("rank")
+        return ranked.withColumn("fold_id", F.when(F.col("rank") <= limit, 0).otherwise(-1).cast("long")).drop("rank")
 
     def sizes(self, data: Labelled) -> list[int]:
         return [clip(half_even(data.n * self.test_size), 1, data.n - 1)]
@@ -164,7 +164,7 @@ class KFold(Splitter):
         if self.stratify and max(m for _, _, m in data.class_counts) < self.n_splits:
             raise ValidationError(f"no class has {self.n_splits} rows: a fold would be empty")
         ranked = _ranked(data, self.stratify, self.shuffle, self.seed, self.order)
-        return ranked.withColumn("fold_id", F.pmod(F.col("rank") - 1, F.lit(self.n_splits)).cast("int")).drop("rank")
+        return ranked.withColumn("fold_id", F.pmod(F.col("rank") - 1, F.lit(self.n_splits)).cast("long")).drop("rank")
 
     def sizes(self, data: Labelled) -> list[int]:
         dealt = [m for _, _, m in data.class_counts] if self.stratify else [data.n]
@@ -173,11 +173,11 @@ class KFold(Splitter):
 
 @dataclass(frozen=True)
 class LeaveOneOut(Splitter):
-    """Each row tests alone, in the fold of its number."""
+    """Each row tests alone, in the fold of its number; where keys are below 0, they count from the least."""
 
     def assign(self, data: Labelled) -> DataFrame:
         _enough(data)
-        return data.frame.withColumn("fold_id", F.col("row_idx").cast("int"))
+        return data.frame.withColumn("fold_id", F.col("row_idx") - F.lit(min(0, data.low)).cast("long"))
 
     def sizes(self, data: Labelled) -> list[int]:
         return [1]  # each of them
@@ -195,7 +195,9 @@ def fold_stats(assigned: DataFrame, classes: list[str]) -> DataFrame:
     return grid.join(seen, ["fold_id", "label_s"], "left").join(F.broadcast(totals), "label_s").select("fold_id", "label_s", F.coalesce("n_test", F.lit(0)).alias("n_test"), (F.col("n") - F.coalesce("n_test", F.lit(0))).alias("n_train"))
 
 
-def partitions(assigned: DataFrame) -> DataFrame:
-    """Every row with each fold and role (train or test) that it has: folds times rows."""
-    folds = assigned.where("fold_id >= 0").select(F.col("fold_id").alias("fold")).distinct()
-    return assigned.join(F.broadcast(folds)).withColumn("role", F.when(F.col("fold") == F.col("fold_id"), "test").otherwise("train"))
+def partitions(assigned: DataFrame, n_folds: int) -> DataFrame:
+    """Every row with each of folds 0 to ``n_folds`` - 1 and its role (train or test) there: folds times rows."""
+    if n_folds < 1:
+        raise ValidationError("there are no folds")
+    folds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_folds - 1).cast("long")))
+    return assigned.withColumn("fold", folds).withColumn("role", F.when(F.col("fold") == F.col("fold_id"), "test").otherwise("train"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.distances import distance
 from quillon.operators import evaluate
-from quillon.operators.classify import Knn, NearestCentroid
+from quillon.operators.classify import Knn, NearestCentroid, Shape
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions
 from quillon.plans import experiment, oracle
 from quillon.sources.labelled import Labelled, from_columns, from_vectors
@@ -103,17 +103,21 @@ def loo_fold_stats(spark, d):
 
 def partition_export_rows(spark, d):
     assigned = FOLDS5.assign(graded(spark, d))
-    return partitions(assigned).select(F.col("fold").cast("long").alias("fold"), "role", "row_idx", "label_s")
+    return partitions(assigned, FOLDS5.n_splits).select(F.col("fold").cast("long").alias("fold"), "role", "row_idx", "label_s")
 
 
 # --- distances and classifiers -------------------------------------------------------------------
 
 
+def _whole(data: Labelled) -> Shape:
+    return Shape(data.width, data.n, data.n, 1, tuple(data.classes))
+
+
 def _to_centroids(metric):
     def query(spark, d):
         data = vectors(spark, d)
-        frame = data.frame.withColumn("fold_id", F.lit(-1))
-        model = NearestCentroid().fit(frame, spark.range(1).select(F.lit(0).alias("fold_id")), data.width).select(F.col("label_s").alias("to_class"), "centroid")
+        frame = data.frame.withColumn("fold_id", F.lit(-1).cast("long"))
+        model = NearestCentroid().fit(frame, _whole(data)).select(F.col("label_s").alias("to_class"), "centroid")
         gap = distance(metric).between(F.col("features"), F.col("centroid"), data.width)
         # As many centroids as classes, whatever the table's size.
         return frame.join(F.broadcast(model)).select("row_idx", "to_class", F.round(gap, 6).alias("d"))
@@ -127,7 +131,7 @@ MINKOWSKI = {"type": "minkowski", "params": {"p": 3}}
 def knn_neighbors_topk(spark, d):
     data = vectors(spark, d)
     assigned = LeaveOneOut().assign(data)
-    near = Knn(5).neighbours(assigned, assigned, data.width, data.n, data.n)
+    near = Knn(5).neighbours(assigned, assigned, _whole(data))
     return near.select("row_idx", F.col("nth").cast("long").alias("nth"), F.col("r_idx").alias("neighbour"), F.round("d", 6).alias("d"))
 
 
@@ -137,7 +141,7 @@ def _predicted(load, how, what):
 
 def centroid_fit(spark, d):
     data = lines(spark, d)
-    model = NearestCentroid().fit(data.frame.withColumn("fold_id", F.lit(-1)), spark.range(1).select(F.lit(0).alias("fold_id")), data.width)
+    model = NearestCentroid().fit(data.frame.withColumn("fold_id", F.lit(-1).cast("long")), _whole(data))
     return model.select("label_s", "n", *[F.round(F.get("centroid", F.lit(i)), 6).alias(f"c{i}") for i in range(data.width)])
 
 
@@ -235,7 +239,7 @@ def queries() -> dict:
         "dist_chebyshev": _to_centroids("chebyshev"),
         "dist_minkowski": _to_centroids(MINKOWSKI),
         "knn_kfold_predict": _predicted(vectors, FOLDS5, Knn(3)),
-        "knn_blocked_predict": _predicted(vectors, FOLDS5, Knn(3, strategy="blocks")),
+        "knn_blocked_predict": _predicted(vectors, FOLDS5, Knn(3, blocks=4)),
         "knn_holdout_predict": _predicted(vectors, Holdout(0.25, 7), Knn(5)),
         "knn_loo_1nn_predict": _predicted(vectors, LeaveOneOut(), Knn(1)),
         "knn_manhattan_predict": _predicted(vectors, FOLDS5, Knn(3, distance("manhattan"))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.errors import ClassifierError, ConfigError
 from quillon.functions.distances import distance
 from quillon.operators import evaluate
-from quillon.operators.classify import Classifier, Knn, NearestCentroid, check_k, check_widths
+from quillon.operators.classify import Classifier, Knn, NearestCentroid, Shape, check_k, check_widths
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, Splitter, fold_stats
 from quillon.plans.config import as_truth
 from quillon.sources import sinks
@@ -32,7 +32,7 @@ def _centroid(params: dict) -> Classifier:
 
 
 def _knn(params: dict) -> Classifier:
-    return Knn(int(params.get("k", 1)), distance(params.get("distance", "euclidean")), str(params.get("strategy", "auto")))
+    return Knn(int(params.get("k", 1)), distance(params.get("distance", "euclidean")))
 
 
 CLASSIFIERS = {"euclidiano": _centroid, "centroid": _centroid, "knn": _knn}
@@ -62,23 +62,21 @@ def dataset(spark: SparkSession, config: dict) -> Labelled:
 
 def predictions(data: Labelled, how: Splitter, what: Classifier) -> DataFrame:
     """Pooled predictions of all folds, in one plan."""
-    assigned = how.assign(data)
-    if isinstance(how, LeaveOneOut) and isinstance(what, NearestCentroid):
-        return what.predict_loo(assigned, data.width, len(data.class_counts))
-    sizes = how.sizes(data)
+    assigned, sizes, classes = how.assign(data), how.sizes(data), tuple(data.classes)
+    alone = isinstance(how, LeaveOneOut)
+    shape = Shape(data.width, data.n, data.n if alone else sum(sizes), data.n if alone else len(sizes), classes)
+    if alone and isinstance(what, NearestCentroid):
+        return what.predict_loo(assigned, shape)
     check_k(what, [(f, data.n - n) for f, n in enumerate(sizes)])
-    n_test = data.n if isinstance(how, LeaveOneOut) else sum(sizes)
-    test = assigned.where("fold_id >= 0")
-    more = {"n_classes": len(data.class_counts)} if isinstance(what, NearestCentroid) else {}
-    return what.predict(assigned, test, data.width, data.n, n_test, **more)
+    return what.predict(assigned, assigned.where("fold_id >= 0"), shape)
 
 
 def between(train: Labelled, test: Labelled, what: Classifier) -> DataFrame:
     """Predictions of one table's rows from another's."""
-    width = check_widths(train, test)
+    shape = Shape(check_widths(train, test), train.n, test.n, 1, tuple(train.classes))
     check_k(what, [(0, train.n)])
-    more = {"n_classes": len(train.class_counts)} if isinstance(what, NearestCentroid) else {}
-    return what.predict(train.frame.withColumn("fold_id", F.lit(-1)), test.frame.withColumn("fold_id", F.lit(0)), width, train.n, test.n, **more)
+    fold = [F.lit(x).cast("long").alias("fold_id") for x in (-1, 0)]
+    return what.predict(train.frame.select("*", fold[0]), test.frame.select("*", fold[1]), shape)
 
 
 def validate(spark: SparkSession, config: dict, outputs: str = "outputs") -> RunDirectory:

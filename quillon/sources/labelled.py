@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import DataError
+from quillon.sources.shared import durable
 
 #: Tokens that CSV input takes for missing values (fixed values of the common CSV reader's defaults).
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -44,6 +45,9 @@ class Labelled:
     drop_cols: list[str] = field(default_factory=list)
     #: (label, text, rows) of each class in the order of texts.
     class_counts: list[tuple] = field(default_factory=list)
+    #: Rows are numbered from 0 on without gaps; else row numbers are a key of the input, ``low`` its least value.
+    gapless: bool = False
+    low: int = 0
 
     @property
     def classes(self) -> list[str]:
@@ -70,7 +74,8 @@ def _checked(df: DataFrame, target: str, drop_cols: list[str], what: str) -> lis
 def from_columns(df: DataFrame, target: str, index: str | None = None, drop_cols: list[str] | None = None, features: list[str] | None = None) -> Labelled:
     """A labelled frame from a table's columns; ``index`` names its key, else rows are numbered in their order.
 
-    Boolean features count as 0 and 1, missing ones as NaN; missing labels are an error.
+    Boolean features count as 0 and 1, missing ones as NaN; missing labels and keys are an error. Keys have to be
+    distinct: splitters that rank rows refuse repeated ones.
     """
     drops = list(drop_cols or [])
     kept = df if features is None else df.select(*[quoted(c) for c in dict.fromkeys([*features, target, *([index] if index else [])])])
@@ -81,7 +86,7 @@ def from_columns(df: DataFrame, target: str, index: str | None = None, drop_cols
     vector = F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(float("nan"))) for c in names]).cast("array<double>")
     kind = df.schema[target].dataType
     frame = source.select((row_idx if index else F.col("row_idx")).alias("row_idx"), quoted(target).alias("label"), label_text(quoted(target), kind).alias("label_s"), vector.alias("features"))
-    return _labelled(frame, names, target, len(names), source=source, drop_cols=drops)
+    return _labelled(frame, names, target, len(names), source=source, drop_cols=drops, gapless=index is None)
 
 
 def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelled:
@@ -95,37 +100,77 @@ def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelle
 
 
 def _labelled(frame, names, target, width, **more) -> Labelled:
-    """One pass tells the classes, whether labels are missing, and how wide vectors are: as many rows as classes."""
+    """One pass tells the classes, whether labels or keys are missing, and how wide vectors are: as many rows as classes."""
     size = F.size("features")
-    seen = frame.groupBy("label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).collect()
+    facts = [F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), F.min(size).alias("narrow"), F.max(size).alias("wide")]
+    if not more.get("gapless"):
+        facts += [F.min("row_idx").alias("low"), F.count("row_idx").alias("keys")]
+    seen = frame.groupBy("label_s").agg(*facts).collect()
     if any(r["label_s"] is None for r in seen):
         raise DataError(f"target column {target!r} has missing labels")
     if width is None:
-        low, high = min((r["low"] for r in seen), default=0), max((r["high"] for r in seen), default=0)
-        if low != high:
-            raise DataError(f"vectors have {low} to {high} coordinates")
-        width = low
+        narrow, wide = min((r["narrow"] for r in seen), default=0), max((r["wide"] for r in seen), default=0)
+        if narrow != wide:
+            raise DataError(f"vectors have {narrow} to {wide} coordinates")
+        width = narrow
+    if not more.get("gapless"):
+        if any(r["keys"] < r["n"] for r in seen):
+            raise DataError("the key that numbers rows has missing values")
+        more["low"] = min((r["low"] for r in seen), default=0)
     counts = sorted(((r["label"], r["label_s"], r["n"]) for r in seen), key=lambda x: x[1])
     return Labelled(frame, names, target, width, class_counts=counts, **more)
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The rows with ``row_idx`` from 0 on, in the order of the input's partitions and without gaps.
+    """The rows with ``row_idx`` from 0 on, without gaps, in the order of files and their rows or else of partitions.
 
-    Only the partitions' sizes, as many numbers as partitions, meet on the driver.
+    A row's number never depends on how often or with which partitions the input is evaluated: rows of Parquet
+    files are known by their place in the file, all others are written once with the place they have.
     """
-    spark = df.sparkSession
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in marked.groupBy("_part").agg(F.count(F.lit(1))).collect()}
-    base, before = 0, []
-    for part in sorted(sizes):
-        before.append((part, base))
-        base += sizes[part]
-    if not before:
-        return marked.withColumn("row_idx", F.col("_at")).drop("_part", "_at")
+    if _plain_parquet(df):
+        marked = df.withColumn("_part", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.row_index"))
+    else:
+        marked = placed(df)
+    return counted(marked, "row_idx")
+
+
+def _plain_parquet(df: DataFrame) -> bool:
+    """Whether each row of the frame is one row of a Parquet file, and each row of the files is there."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or not plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows written with their partition (``_part``) and place in it (``_at``)."""
     # monotonically_increasing_id has the partition in its upper bits and counts within it in the lower 33.
-    offsets = spark.createDataFrame(before, "_part int, _before long")
-    return marked.join(F.broadcast(offsets), "_part").withColumn("row_idx", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return durable(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", at), "placed")
+
+
+def counted(marked: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """``name``: the number of a row that is the ``_at``-th of its ``_part``; parts follow each other in order.
+
+    Only the parts' sizes, as many rows as files or partitions, meet on the driver.
+    """
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("top")).collect()
+    before = {}
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        if r["top"] != r["n"] - 1:
+            raise DataError(f"{r['_part']} has {r['n']} rows, the last being number {r['top']}")
+        before[r["_part"]] = first
+        first += r["n"]
+    if len(before) < 2:
+        return marked.withColumn(name, F.col("_at") + F.lit(min(before.values(), default=0))).drop("_part", "_at")
+    kind = marked.schema["_part"].dataType.simpleString()
+    offsets = marked.sparkSession.createDataFrame(list(before.items()), f"_part {kind}, _before long")
+    # As many rows as files or partitions: below the usual limit Spark broadcasts them.
+    met = marked.join(offsets, "_part", "left")
+    at = F.when(F.col("_before").isNull(), F.raise_error(F.lit("rows of a part that was not counted"))).otherwise(F.col("_before") + F.col("_at"))
+    return met.withColumn(name, at).drop("_part", "_at", "_before")
 
 
 # --- CSV ---------------------------------------------------------------------------------------
@@ -200,5 +245,5 @@ def read_csv(spark: SparkSession, path: str, target: str = "class", drop_cols: l
     drops = list(drop_cols or [])
     _checked(table.drop("row_idx") if "row_idx" not in names else table, target, drops, path)
     found = from_columns(table, target, index="row_idx", drop_cols=drops)
-    found.path, found.source, found.drop_cols = path, table, drops
+    found.path, found.source, found.drop_cols, found.gapless = path, table, drops, True
     return found

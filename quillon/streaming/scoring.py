@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.distances import distance
-from quillon.operators.classify import NearestCentroid
+from quillon.operators.classify import NearestCentroid, Shape
 from quillon.sources.labelled import Labelled
 
 
 def centroid_model(train: Labelled) -> list[tuple]:
     """(label text, centroid) of each class: as many rows as classes."""
-    frame = train.frame.withColumn("fold_id", F.lit(-1))
-    folds = frame.sparkSession.range(1).select(F.lit(0).alias("fold_id"))
-    rows = NearestCentroid().fit(frame, folds, train.width).select("label_s", "centroid").collect()
+    frame = train.frame.withColumn("fold_id", F.lit(-1).cast("long"))
+    shape = Shape(train.width, train.n, 0, 1, tuple(train.classes))
+    rows = NearestCentroid().fit(frame, shape).select("label_s", "centroid").collect()
     return sorted((r["label_s"], list(r["centroid"])) for r in rows)
 
 

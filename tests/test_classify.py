@@ -8,6 +8,7 @@ from quillon.errors import ClassifierError, DataError
 from quillon.functions.distances import distance
 from quillon.operators.classify import Knn, NearestCentroid
 from quillon.operators.folds import KFold, LeaveOneOut
+from quillon.operators.nearest import least
 from quillon.plans.experiment import between, predictions
 from quillon.sources.labelled import from_columns
 
@@ -73,14 +74,67 @@ def brute(rows, folds, k):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
-def test_knn_against_brute_force(spark, monkeypatch, strategy):
-    monkeypatch.setattr("quillon.operators.classify.BLOCK_BYTES", 800)
+@pytest.mark.parametrize("blocks", [None, 1, 7])
+def test_knn_against_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr("quillon.operators.classify.PART_WORK", 800)
     rng = np.random.default_rng(3)
     rows = [(*rng.normal(size=3), str(rng.integers(3))) for _ in range(60)]
     data = points(spark, rows)
     how = KFold(4, stratify=False, shuffle=False)
-    assert told(predictions(data, how, Knn(5, strategy=strategy))) == brute(rows, [i % 4 for i in range(60)], 5)
+    assert told(predictions(data, how, Knn(5, blocks=blocks))) == brute(rows, [i % 4 for i in range(60)], 5)
+
+
+def test_least_with_ties_and_missing_numbers():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        m, n, k = rng.integers(1, 6), rng.integers(1, 12), int(rng.integers(1, 8))
+        gaps = rng.choice([0.0, 1.0, 2.0, np.inf, np.nan], size=(m, n))
+        apart = rng.random((m, n)) < 0.7
+        want = [(i, j) for i in range(m) for j in sorted(np.flatnonzero(apart[i]), key=lambda j: (np.isnan(gaps[i, j]), gaps[i, j] if gaps[i, j] == gaps[i, j] else 0, j))[:k]]
+        rows, columns = least(gaps, apart, k)
+        order = np.argsort(rows, kind="stable")
+        assert list(zip(rows[order].tolist(), columns[order].tolist())) == want
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", {"type": "minkowski", "params": {"p": 7}}, {"type": "minkowski", "params": {"p": 1.5}}])
+def test_matrix_is_the_column_expression(spark, metric):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(3, 5)), rng.normal(size=(4, 5))
+    own = distance(metric)
+    rows = spark.createDataFrame([(i, j, x[i].tolist(), y[j].tolist()) for i in range(3) for j in range(4)], "i int, j int, a array<double>, b array<double>")
+    found = {(r[0], r[1]): r[2] for r in rows.select("i", "j", own.between(F.col("a"), F.col("b"), 5)).collect()}
+    for (i, j), d in found.items():
+        assert own.matrix(x, y)[i, j] == pytest.approx(d, rel=1e-12)
+
+
+def test_leave_one_out_with_large_and_negative_keys(spark):
+    for keys in ([5_000_000_000 + i for i in range(6)], [-3, -2, -1, 0, 1, 2]):
+        frame = spark.createDataFrame([(k, float(i % 3), "ab"[i % 2]) for i, k in enumerate(keys)], "i long, x double, y string")
+        data = from_columns(frame, "y", "i")
+        for what in (Knn(1), NearestCentroid()):
+            found = predictions(data, LeaveOneOut(), what).collect()
+            assert sorted(r["row_idx"] for r in found) == keys and min(r["fold"] for r in found) >= 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_centroid_plans_have_no_cartesian_product(spark, monkeypatch):
+    data = points(spark, [(i % 7, i % 5, "abc"[i % 3]) for i in range(60)])
+    for found in (between(data, data, NearestCentroid()), predictions(data, KFold(5), NearestCentroid()), predictions(data, LeaveOneOut(), NearestCentroid())):
+        assert "CartesianProduct" not in plan(found) and "BroadcastExchange" in plan(found)
+    # A model that is too large to broadcast is dealt into blocks, with the same result.
+    want = [told(x) for x in (between(data, data, NearestCentroid()), predictions(data, KFold(5), NearestCentroid()), predictions(data, LeaveOneOut(), NearestCentroid()))]
+    monkeypatch.setattr("quillon.operators.classify.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("quillon.operators.classify._parts", lambda total, most=0: 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = (between(data, data, NearestCentroid()), predictions(data, KFold(5), NearestCentroid()), predictions(data, LeaveOneOut(), NearestCentroid()))
+        assert all("CartesianProduct" not in plan(x) and "Broadcast" not in plan(x) for x in dealt)
+        assert [told(x) for x in dealt] == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_centroids_against_brute_force(spark):

@@ -2,7 +2,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillon.errors import ValidationError
+from pyspark.sql import functions as F
+
+from quillon.errors import DataError, ValidationError
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions, quotas
 from quillon.sources.labelled import from_columns
 
@@ -92,5 +94,42 @@ def test_guards(spark):
 
 def test_partitions(spark):
     data = labelled(spark, ["a", "b"] * 4)
-    rows = partitions(KFold(2).assign(data)).groupBy("fold", "role").count().collect()
+    rows = partitions(KFold(2).assign(data), 2).groupBy("fold", "role").count().collect()
     assert sorted((r[0], r[1], r[2]) for r in rows) == [(0, "test", 4), (0, "train", 4), (1, "test", 4), (1, "train", 4)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_shuffled_rows_are_all_numbered(spark, adaptive):
+    """A frame whose partitions Spark may deal anew each time it is evaluated."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        n, wide = 200_000, [(F.col("id") * i % 1000 / 7).alias(f"x{i}") for i in range(20)]
+        rows = spark.range(n).select((F.col("id") % 7919).alias("k"), *wide, F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("y"))
+        met = rows.repartition("k").join(spark.range(7919).withColumnRenamed("id", "k"), "k").drop("k")
+        data = from_columns(met, "y")
+        assert data.n == n
+        for frame in (data.frame, data.frame.select("row_idx", "label_s")):
+            assert tuple(frame.agg(F.count("row_idx"), F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()) == (n, n, 0, n - 1)
+        assert KFold(5).assign(data).groupBy("fold_id").count().where(f"count <> {n // 5}").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_files_number_their_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).select(F.col("id").cast("double").alias("x"), F.lit("a").alias("y")).repartition(3).write.parquet(path)
+    data = from_columns(spark.read.parquet(path), "y")
+    found = data.frame.agg(F.count("row_idx"), F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()
+    assert tuple(found) == (1000, 1000, 0, 999)
+    some = from_columns(spark.read.parquet(path).where("x < 10"), "y")  # not all rows of the files: these are written
+    assert sorted(r[0] for r in some.frame.select("row_idx").collect()) == list(range(10))
+
+
+def test_repeated_and_missing_keys(spark):
+    frame = spark.createDataFrame([(1, 0.0, "a"), (1, 1.0, "b"), (2, 2.0, "a"), (3, 3.0, "b")], "i long, x double, y string")
+    with pytest.raises(Exception, match="repeat the key 1"):
+        KFold(2).assign(from_columns(frame, "y", "i")).collect()
+    with pytest.raises(DataError):
+        from_columns(frame.withColumn("i", F.when(F.col("i") > 1, F.col("i"))), "y", "i")
