@@ -17,6 +17,7 @@ def main() -> None:
     from quillon.operators.classify import Knn, NearestCentroid
     from quillon.operators.folds import KFold, LeaveOneOut, fold_stats
     from quillon.plans import catalog, experiment
+    from quillon.sources.shared import drop_durable
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -60,7 +61,7 @@ def main() -> None:
         began = time.perf_counter()
         make().write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-        spark.catalog.clearCache()
+        drop_durable(spark)
     scale = re.search(r"sf([\d.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": float(scale[1]) if scale else sf_dir}))
     spark.stop()

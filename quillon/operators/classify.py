@@ -20,8 +20,8 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 16 << 20
 #: Differences of coordinates that one task may take.
 PART_WORK = 10_000_000
-#: Classes times features up to which centroid distances are unrolled.
-UNROLLED = 512
+#: Classes times features up to which centroid distances are unrolled; the Java VM interprets methods that are much longer.
+UNROLLED = 64
 #: Most partitions that pairs of blocks are dealt into.
 PARTITIONS = 20_000
 
@@ -127,8 +127,11 @@ class NearestCentroid(Classifier):
 
     def totals(self, train: DataFrame, width: int, *keys: str) -> DataFrame:
         """The keys, label_s, label, n, s0, s1...: sums of each class."""
-        sums = [F.sum(F.get("features", F.lit(i))).alias(f"s{i}") for i in range(width)]
-        return train.groupBy(*keys, "label_s").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), *sums)
+        names = [f"s{i}" for i in range(width)]
+        # Labels are a key here, as a least text would make Spark sort all rows; few rows are left to take the least of.
+        sums = [F.sum(F.get("features", F.lit(i))).alias(c) for i, c in enumerate(names)]
+        each = train.groupBy(*keys, "label_s", "label").agg(F.count(F.lit(1)).alias("n"), *sums)
+        return each.groupBy(*keys, "label_s").agg(F.min("label").alias("label"), *[F.sum(c).alias(c) for c in ("n", *names)])
 
     def fit(self, train: DataFrame, shape: Shape) -> DataFrame:
         """fold, label_s, label, n, centroid: class means over all folds but each one."""
@@ -154,51 +157,74 @@ class NearestCentroid(Classifier):
 
     def predict_loo(self, frame: DataFrame, shape: Shape) -> DataFrame:
         """Leave-one-out without n fits: a row's own class has the mean of its other rows."""
-        sums = F.array(*[F.col(f"s{i}") for i in range(shape.width)]).cast("array<double>").alias("sums")
-        model = self.totals(frame, shape.width).select(F.struct("label_s", "label", "n", sums).alias("m"))
+        sums = F.array(*[F.col(f"s{i}") for i in range(shape.width)]).cast("array<double>").alias("centroid")
+        model = self.totals(frame, shape.width).select(F.struct("label_s", "label", sums, "n").alias("m"))
         rows = frame.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), "features")
+        return self._nearest(rows, model, [], shape, left_out=True)
 
-        def without(m):
-            own = m["label_s"] == F.col("true_s")
-            n = m["n"] - F.when(own, 1).otherwise(0)
-            means = F.zip_with(m["sums"], F.col("features"), lambda s, x: (s - F.when(own, x).otherwise(0.0)) / n)
-            return F.struct(m["label_s"].alias("label_s"), m["label"].alias("label"), means.alias("centroid"))
-
-        def left_out(models):
-            return F.transform(F.filter(models, lambda m: (m["n"] > 1) | (m["label_s"] != F.col("true_s"))), without)
-
-        return self._nearest(rows, model, [], shape, left_out)
-
-    def _nearest(self, rows: DataFrame, model: DataFrame, keys: list[str], shape: Shape, change=lambda m: m) -> DataFrame:
+    def _nearest(self, rows: DataFrame, model: DataFrame, keys: list[str], shape: Shape, left_out: bool = False) -> DataFrame:
         """The nearest of the models with a row's keys; ``model`` has the keys and one row (m) per class.
 
+        With ``left_out`` models are sums and counts, and a row takes itself out of its own class.
         A model of a checked size is broadcast and every row compared in place; a larger one is dealt into blocks of
         classes that chunks of rows meet one by one, the best of each block being compared again.
         """
-        size = max(1, len(shape.classes)) * _row_bytes(shape.width) * (shape.n_folds if keys else 1)
-        small, met = size <= BROADCAST_BYTES, ["fold", "row_idx", "y_true", "true_s"]
-        if not small:
-            keys = [*keys, "_block", "_chunk"]
-            blocks, chunks = _parts(size), _parts(shape.n_test * _row_bytes(shape.width))
-            model = model.withColumn("_block", _one_of(blocks, "m.label_s")).withColumn("_chunk", _upto(chunks))
-            rows = rows.withColumn("_chunk", _one_of(chunks, "row_idx")).withColumn("_block", _upto(blocks))
-        models = model.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_models"))
-        joined = rows.join(F.broadcast(models), keys or None) if small else rows.join(models, keys)
+        n_classes, size = max(1, len(shape.classes)), _row_bytes(shape.width) * (shape.n_folds if keys else 1)
+        met = ["fold", "row_idx", "y_true", "true_s"]
+        if size * n_classes <= BROADCAST_BYTES:
+            models = model.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_models"))
+            near = self._unrolled if n_classes * max(1, shape.width) <= UNROLLED else self._compared
+            joined = near(rows, lambda side: rows.join(F.broadcast(side), keys or None), models, shape, left_out)
+        else:
+            blocks, chunks = _parts(size * n_classes), _parts(shape.n_test * _row_bytes(shape.width))
+            dealt = [*keys, "_block", "_chunk"]
+            models = model.withColumn("_block", _one_of(blocks, "m.label_s")).withColumn("_chunk", _upto(chunks)).groupBy(*dealt).agg(F.sort_array(F.collect_list("m")).alias("_models"))
+            spread = rows.withColumn("_chunk", _one_of(chunks, "row_idx")).withColumn("_block", _upto(blocks))
+            each = self._compared(rows, lambda side: spread.join(side, dealt), models, shape, left_out)
+            joined = each.groupBy(*met).agg(F.min("best").alias("best"))
+        return joined.select("fold", "row_idx", "y_true", F.col("best.label").alias("y_pred"), "true_s", F.col("best.label_s").alias("pred_s"))
+
+    def _compared(self, rows, join, models, shape, left_out) -> DataFrame:
+        """Rows with ``best``: a model of any number of classes and coordinates, compared by higher-order functions."""
         l2 = distance("euclidean")
 
         def place(m):
-            d = l2.between(F.col("features"), m["centroid"], shape.width)
-            return F.struct((~F.isnan(d)).alias("a"), d.alias("d"), m["label_s"].alias("label_s"), m["label"].alias("label"))
-
-        joined = joined.withColumn("_models", change(F.col("_models")))
-        if small and len(shape.classes) * max(1, shape.width) <= UNROLLED:
-            best = F.array_min(F.array(*[F.when(F.size("_models") > c, place(F.get("_models", F.lit(c)))) for c in range(max(1, len(shape.classes)))]))
-        else:
-            best = F.array_min(F.transform("_models", place))
-        found = joined.select(*met, best.alias("best"))
-        if not small:
-            found = found.groupBy(*met).agg(F.min("best").alias("best"))
-        return found.select("fold", "row_idx", "y_true", F.col("best.label").alias("y_pred"), "true_s", F.col("best.label_s").alias("pred_s"))
+            at = m["centroid"]
+            if left_out:
+                own = m["label_s"] == F.col("true_s")
+                n = m["n"] - F.when(own, 1).otherwise(0)
+                at = F.when(n > 0, F.zip_with(at, F.col("features"), lambda s, x: F.try_divide(s - F.when(own, x).otherwise(0.0), n)))
+            d = l2.between(F.col("features"), at, shape.width)
+            return F.when(at.isNotNull(), F.struct((~F.isnan(d)).alias("a"), d.alias("d"), m["label_s"].alias("label_s"), m["label"].alias("label")))
+
+        return join(models).select("fold", "row_idx", "y_true", "true_s", F.array_min(F.transform("_models", place)).alias("best"))
+
+    def _unrolled(self, rows, join, models, shape, left_out) -> DataFrame:
+        """The same where a column for each coordinate of each class is few: plain arithmetic in compiled code."""
+        sides, x = [], [F.get("features", F.lit(i)) for i in range(shape.width)]
+        for c in range(max(1, len(shape.classes))):
+            m = F.get("_models", F.lit(c))
+            sides += [m["label"].alias(f"_l{c}"), m["label_s"].alias(f"_t{c}")] + [F.get(m["centroid"], F.lit(i)).alias(f"_m{c}_{i}") for i in range(shape.width)]
+            sides += [m["n"].alias(f"_n{c}")] if left_out else []
+        kept = [k for k in models.columns if k != "_models"]
+        wide = join(models.select(*kept, *sides))
+        gaps = {}
+        for c in range(max(1, len(shape.classes))):
+            at, there = [F.col(f"_m{c}_{i}") for i in range(shape.width)], F.col(f"_t{c}").isNotNull()
+            if left_out:
+                own = F.when(F.col(f"_t{c}") == F.col("true_s"), 1.0).otherwise(0.0)
+                n = F.col(f"_n{c}") - own
+                at, there = [F.try_divide(s - F.when(own > 0, v).otherwise(0.0), n) for s, v in zip(at, x)], there & (n > 0)
+            total = sum(((v - m) * (v - m) for v, m in zip(x, at)), F.lit(0.0))
+            # A distance that is NaN comes first; a class that is not there has none.
+            gaps[f"_d{c}"] = F.when(there, F.nanvl(F.sqrt(total), F.lit(-1.0)))
+        names = list(gaps)
+        least = F.least(*names) if len(names) > 1 else F.col(names[0])
+        near = wide.withColumns(gaps).withColumn("_least", least)
+        # Classes come in the order of their texts: the first of equals wins.
+        best = F.coalesce(*[F.when(F.col(d) == F.col("_least"), F.struct(F.col(f"_l{c}").alias("label"), F.col(f"_t{c}").alias("label_s"))) for c, d in enumerate(names)])
+        # A generator, so that conditions on a prediction stay above it: put in its place they would repeat all distances.
+        return near.select("fold", "row_idx", "y_true", "true_s", F.explode(F.array(best)).alias("best"))
 
 
 def check_k(classifier: Classifier, fold_sizes: list[tuple[int, int]]) -> None:

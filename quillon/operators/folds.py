@@ -10,7 +10,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import ValidationError
@@ -18,6 +18,8 @@ from quillon.sources.labelled import Labelled, counted, placed
 
 #: Rows up to which NumPy's order is offered: it is made on the driver.
 NUMPY_ROWS = 1_000_000
+#: Rows whose keys (some 100 bytes each) one task may rank.
+WINDOW_ROWS = 1_000_000
 
 
 def shuffled(seed: int):
@@ -84,7 +86,10 @@ def _ranked(data: Labelled, stratify: bool, shuffle: bool, seed: int, order: str
     if not stratify and not shuffle and data.gapless:
         return data.frame.withColumn("rank", F.col("row_idx") + 1)
     by = [shuffled(seed), F.col("row_idx")] if shuffle else [F.col("row_idx")]
-    if not stratify:
+    if data.n <= WINDOW_ROWS:
+        own = Window.partitionBy("label_s" if stratify else F.lit(0)).orderBy(*by)
+        ranks = data.frame.select("row_idx", F.row_number().over(own).cast("long").alias("rank"))
+    elif not stratify:
         ranks = _dealt(data.frame.select("row_idx"), by)
     else:
         # Sorted by class first, a row's rank in its class is its place less where the class begins.

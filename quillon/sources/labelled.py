@@ -102,10 +102,11 @@ def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelle
 def _labelled(frame, names, target, width, **more) -> Labelled:
     """One pass tells the classes, whether labels or keys are missing, and how wide vectors are: as many rows as classes."""
     size = F.size("features")
-    facts = [F.min("label").alias("label"), F.count(F.lit(1)).alias("n"), F.min(size).alias("narrow"), F.max(size).alias("wide")]
+    facts = [F.count(F.lit(1)).alias("n"), F.min(size).alias("narrow"), F.max(size).alias("wide")]
     if not more.get("gapless"):
         facts += [F.min("row_idx").alias("low"), F.count("row_idx").alias("keys")]
-    seen = frame.groupBy("label_s").agg(*facts).collect()
+    # The label is a key beside its text: a least label would make Spark sort all rows.
+    seen = frame.groupBy("label_s", "label").agg(*facts).collect()
     if any(r["label_s"] is None for r in seen):
         raise DataError(f"target column {target!r} has missing labels")
     if width is None:
@@ -117,7 +118,11 @@ def _labelled(frame, names, target, width, **more) -> Labelled:
         if any(r["keys"] < r["n"] for r in seen):
             raise DataError("the key that numbers rows has missing values")
         more["low"] = min((r["low"] for r in seen), default=0)
-    counts = sorted(((r["label"], r["label_s"], r["n"]) for r in seen), key=lambda x: x[1])
+    classes: dict[str, tuple] = {}
+    for r in sorted(seen, key=lambda r: (r["label_s"], r["label"])):
+        label, _, n = classes.get(r["label_s"], (r["label"], None, 0))
+        classes[r["label_s"]] = (label, r["label_s"], n + r["n"])
+    counts = [classes[k] for k in sorted(classes)]
     return Labelled(frame, names, target, width, class_counts=counts, **more)
 
 

@@ -45,7 +45,9 @@ def test_quotas_are_exact(counts, size):
     assert all(0 <= k <= max(0, m - 1) for k, m in zip(take, counts))
 
 
-def test_kfold_sizes(spark):
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_kfold_sizes(spark, monkeypatch, rows):
+    monkeypatch.setattr("quillon.operators.folds.WINDOW_ROWS", rows)  # ranks by one window, or by a sort over all tasks
     data = labelled(spark, ["1"] * 20 + ["2"] * 8)
     for shuffle in (False, True):
         found = KFold(5, shuffle=shuffle).assign(data)
@@ -99,8 +101,9 @@ def test_partitions(spark):
 
 
 @pytest.mark.parametrize("adaptive", ["true", "false"])
-def test_shuffled_rows_are_all_numbered(spark, adaptive):
+def test_shuffled_rows_are_all_numbered(spark, monkeypatch, adaptive):
     """A frame whose partitions Spark may deal anew each time it is evaluated."""
+    monkeypatch.setattr("quillon.operators.folds.WINDOW_ROWS", 0)
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     spark.conf.set("spark.sql.shuffle.partitions", "60")
     try:
@@ -127,7 +130,9 @@ def test_files_number_their_rows(spark, tmp_path):
     assert sorted(r[0] for r in some.frame.select("row_idx").collect()) == list(range(10))
 
 
-def test_repeated_and_missing_keys(spark):
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_repeated_and_missing_keys(spark, monkeypatch, rows):
+    monkeypatch.setattr("quillon.operators.folds.WINDOW_ROWS", rows)
     frame = spark.createDataFrame([(1, 0.0, "a"), (1, 1.0, "b"), (2, 2.0, "a"), (3, 3.0, "b")], "i long, x double, y string")
     with pytest.raises(Exception, match="repeat the key 1"):
         KFold(2).assign(from_columns(frame, "y", "i")).collect()
