@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark=None) -> None:
     from quillon.plans import config, experiment
+    from quillon.sources.shared import drop_durable
 
     args = parser().parse_args(argv)
     try:
@@ -35,6 +36,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     except EngineError as e:
         print(f"ERROR: {e}", file=sys.stderr)
         sys.exit(2)
+    drop_durable(spark)
     print(f"OK {args.verb} -> {place.path}")
     for name in ("meta.json", "predictions.csv", "fold_predictions.csv", "metrics.json"):
         if (place / name).exists():

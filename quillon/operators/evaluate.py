@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.errors import DataError
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+#: Most labels that a matrix, which has all their pairs, is made for.
+LABELS = 10_000
+
+
 def _labels(spark, labels: list[str]) -> DataFrame:
+    if len(labels) > LABELS:
+        raise DataError(f"a confusion matrix of {len(labels)} labels would have {len(labels) ** 2} cells; {LABELS} labels are the most")
     return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "ord int, label_s string")
 
 

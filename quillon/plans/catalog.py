@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from quillon.operators import evaluate
 from quillon.operators.classify import Knn, NearestCentroid, Shape
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions
 from quillon.plans import experiment, oracle
-from quillon.sources.labelled import Labelled, from_columns, from_vectors
+from quillon.sources import sinks
+from quillon.sources.labelled import Labelled, from_columns, from_vectors, read_csv
+from quillon.sources.shared import remember, shared_path
 
 FOLDS5 = KFold(5, stratify=True, shuffle=False)
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -106,6 +110,88 @@ def partition_export_rows(spark, d):
     return partitions(assigned, FOLDS5.n_splits).select(F.col("fold").cast("long").alias("fold"), "role", "row_idx", "label_s")
 
 
+# --- files ---------------------------------------------------------------------------------------
+
+
+def _csv_of(spark, d, name: str, columns: list[str], key: str) -> str:
+    """A table's columns as a CSV file in the shared folder, in the order of its key."""
+    place = sinks.Place(spark, remember(spark, shared_path(spark, name))) / f"{name}.csv"
+    sinks.write_csv(table(spark, d, name).select(*columns), place, [key])
+    return place.path
+
+
+def csv_scan(spark, d):
+    """Numbers and text of a CSV file, with two columns dropped and types told from the values."""
+    path = _csv_of(spark, d, "part", ["p_partkey", "p_size", "p_retailprice", "p_brand", "p_name"], "p_partkey")
+    data = read_csv(spark, path, "p_brand", ["p_name", "p_partkey"])
+    return data.frame.select("row_idx", "label_s", F.get("features", F.lit(0)).alias("f0"), F.get("features", F.lit(1)).alias("f1"))
+
+
+def csv_columns(spark, d):
+    """What is known of a CSV file before any row is used: its features in order, and its rows."""
+    path = _csv_of(spark, d, "customer", ["c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"], "c_custkey")
+    data = read_csv(spark, path, "c_mktsegment", ["c_nationkey"])
+    return spark.createDataFrame([(i, name, data.n) for i, name in enumerate(data.feature_names)], "position long, feature string, n long")
+
+
+def _experiment(spark, d, verb: str, more: dict) -> sinks.RunDirectory:
+    path = _csv_of(spark, d, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"], "c_custkey")
+    config = {"run_name": verb, "io": {"dataset": path, "target_col": "c_mktsegment", "drop_cols": ["c_custkey"]}, "classifier": {"type": "euclidiano"}}
+    return getattr(experiment, verb)(spark, config | more, remember(spark, shared_path(spark, verb)))
+
+
+FOLDED = {"validation": {"type": "kfold", "params": {"n_splits": 5, "shuffle": False}}}
+SPLIT = {"mode": {"type": "dataset_split", "split": {"type": "holdout", "params": {"test_size": 0.2, "seed": 42}}}}
+
+
+def _read_back(spark, place, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(place.path)
+
+
+def run_predictions_file(spark, d):
+    return _read_back(spark, _experiment(spark, d, "run", FOLDED) / "fold_predictions.csv", "fold long, `index` long, y_true string, y_pred string")
+
+
+def classify_predictions_file(spark, d):
+    return _read_back(spark, _experiment(spark, d, "classify", SPLIT) / "predictions.csv", "`index` long, y_true string, y_pred string")
+
+
+def run_metrics_file(spark, d):
+    found = spark.read.option("multiLine", True).json((_experiment(spark, d, "run", FOLDED) / "metrics.json").path)
+    return rounded(found.select("accuracy", "balanced_accuracy", "mcc", F.col("macro.f1").alias("macro_f1"), F.size("labels").cast("long").alias("n_labels")), "accuracy", "balanced_accuracy", "mcc", "macro_f1")
+
+
+def run_matrix_file(spark, d):
+    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return _read_back(spark, _experiment(spark, d, "run", FOLDED) / "confusion_matrix.csv", ", ".join(["label string", *(f"pred_{x} long" for x in names)]))
+
+
+def run_meta_file(spark, d):
+    found = spark.read.option("multiLine", True).json((_experiment(spark, d, "run", FOLDED) / "meta.json").path)
+    return found.select("mode", "run_name", "n_folds", F.col("dataset.n_samples").alias("n_samples"), F.col("dataset.n_features").alias("n_features"))
+
+
+def classify_meta_file(spark, d):
+    found = spark.read.option("multiLine", True).json((_experiment(spark, d, "classify", SPLIT) / "meta.json").path)
+    return found.select("mode", F.col("train.n_samples").alias("n_train"), F.col("test.n_samples").alias("n_test"), F.size("labels").cast("long").alias("n_labels"))
+
+
+def validate_meta_file(spark, d):
+    found = spark.read.option("multiLine", True).json((_experiment(spark, d, "validate", FOLDED) / "meta.json").path)
+    return found.select(F.explode("folds").alias("f")).select("f.fold", "f.train_size", "f.test_size", F.col("f.test_class_counts.BUILDING").alias("building"))
+
+
+def exported_partition_files(spark, d):
+    """Rows and sum of a column in each file of an export."""
+    run = _experiment(spark, d, "validate", {"validation": FOLDED["validation"] | {"export": {"csv": True}}})
+    read = []
+    for fold in range(5):
+        for role in ("train", "test"):
+            rows = _read_back(spark, run / "partitions" / f"fold_{fold}" / f"{role}.csv", "c_acctbal double, c_mktsegment string")
+            read.append(rows.agg(F.lit(fold).cast("long").alias("fold"), F.lit(role).alias("role"), F.count("c_acctbal").alias("n"), F.sum("c_acctbal").alias("total")))
+    return rounded(reduce(DataFrame.unionAll, read), "total")
+
+
 # --- distances and classifiers -------------------------------------------------------------------
 
 
@@ -185,6 +271,24 @@ def confusion_norm_cols(spark, d):
     return rounded(evaluate.by_columns(confusion_long(spark, d)), "share")
 
 
+def confusion_of_some(spark, d):
+    """Predictions whose true or predicted label is not listed are left out; a listed label without rows stays."""
+    return evaluate.confusion(_pooled(spark, d)[0], ["0", "3", "7", "none"])
+
+
+def matrix_drawing(spark, d):
+    """The table behind a drawing of shares."""
+    return rounded(sinks.tidy(evaluate.by_rows(confusion_long(spark, d)), "Confusion Matrix (Normalized by Rows)", "share"), "value")
+
+
+def row_numbers_of_join(spark, d):
+    """Numbers of rows that come out of a shuffle, which Spark may deal anew whenever it evaluates them."""
+    met = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).repartition("l_suppkey")
+    data = from_columns(met, "o_orderstatus", features=MEASURES)
+    counted = data.frame.agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("low"), F.max("row_idx").alias("high"), F.countDistinct("row_idx").alias("distinct_n"))
+    return counted.withColumn("known_n", F.lit(data.n).cast("long"))
+
+
 def metrics_per_class(spark, d):
     return rounded(evaluate.per_class(confusion_long(spark, d)), *RATES)
 
@@ -226,6 +330,7 @@ def queries() -> dict:
     plain = [
         feature_scan, row_numbers, class_counts, class_dictionary, holdout_strat_imbalanced, kfold_fold_stats, loo_fold_stats, partition_export_rows, knn_neighbors_topk, centroid_fit, centroid_train_test_predict,
         knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
+        csv_scan, csv_columns, run_predictions_file, classify_predictions_file, run_metrics_file, run_matrix_file, run_meta_file, classify_meta_file, validate_meta_file, exported_partition_files, confusion_of_some, matrix_drawing, row_numbers_of_join,
     ]
     return {f.__name__: f for f in plain} | {
         "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),
@@ -248,6 +353,7 @@ def queries() -> dict:
         "knn_vote_tiebreak": _predicted(lambda s, d: from_columns(table(s, d, "part"), "p_brand", "p_partkey", features=["p_size"]), FOLDS5, Knn(4)),
         "centroid_kfold_predict": _predicted(vectors, FOLDS5, NearestCentroid()),
         "centroid_loo_predict": _predicted(vectors, LeaveOneOut(), NearestCentroid()),
+        "centroid_loo_small_predict": _predicted(customers, LeaveOneOut(), NearestCentroid()),
     }
 
 

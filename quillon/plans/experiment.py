@@ -81,14 +81,14 @@ def between(train: Labelled, test: Labelled, what: Classifier) -> DataFrame:
 
 def validate(spark: SparkSession, config: dict, outputs: str = "outputs") -> RunDirectory:
     name, when = str(config.get("run_name", "validate")), sinks.stamp()
-    run = RunDirectory.create(outputs, name, when)
+    run = RunDirectory.create(spark, outputs, name, when)
     data = dataset(spark, config)
     spec = config.get("validation") or {}
     how = splitter(spec)
     assigned = how.assign(data).persist()
     classes = data.classes
     stats = fold_stats(assigned, classes)
-    n_folds = assigned.where("fold_id >= 0").select("fold_id").distinct().count()
+    n_folds = data.n if isinstance(how, LeaveOneOut) else len(how.sizes(data))
     # Only the folds that are listed come to the driver.
     first = [r[0] for r in assigned.where("fold_id >= 0").select("fold_id").distinct().orderBy("fold_id").limit(LISTED).collect()]
     listed: dict[int, dict] = {f: {} for f in first}
@@ -106,7 +106,7 @@ def validate(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
     ]
     exported = as_truth((spec.get("export") or {}).get("csv", False))
     if exported:
-        sinks.export_partitions(data.source, assigned, data.drop_cols, run / "partitions", data.n, n_folds)
+        sinks.export_partitions(data.source, assigned, data.drop_cols, run / "partitions", n_folds, isinstance(how, LeaveOneOut), _single(config))
     about = _about(config, data) | {"class_counts": {text: n for _, text, n in data.class_counts}}
     meta = {"mode": "validate", "run_name": name, "timestamp": when, "config": config, "dataset": about, "partitions": {"exported": exported, "format": "csv", "path": "partitions/"}}
     sinks.write_json(run / "meta.json", meta | {"folds": folds, "folds_truncated": n_folds > LISTED, "n_folds": n_folds})
@@ -114,6 +114,11 @@ def validate(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
     return run
 
 
+def _single(config: dict) -> bool:
+    """Whether tables are single files (the default) or folders of parts, for results that one task should not write."""
+    return as_truth((config.get("report") or {}).get("single_files", True))
+
+
 def _about(config: dict, data: Labelled) -> dict:
     return {"path": (config.get("io") or {}).get("dataset"), "n_samples": data.n, "n_features": data.width, "target_col": data.target, "classes": data.classes}
 
@@ -146,7 +151,7 @@ def _summary(found: dict) -> dict:
 def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> RunDirectory:
     """One split: two files, or one file dealt by a splitter that gives a single split."""
     when = sinks.stamp()
-    run = RunDirectory.create(outputs, str(config.get("run_name", "classify")), when)
+    run = RunDirectory.create(spark, outputs, str(config.get("run_name", "classify")), when)
     source = config.get("io") or {}
     what = classifier(config.get("classifier") or {})
     if source.get("train_dataset") and source.get("test_dataset"):
@@ -168,7 +173,7 @@ def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
         labels, sizes, width = data.classes, (data.n - n_test, n_test), (data.width, data.width)
     labels = sorted(labels)
     found = found.persist()
-    sinks.write_csv(found.orderBy("row_idx").select(F.col("row_idx").alias("index"), "y_true", "y_pred"), run / "predictions.csv")
+    sinks.write_csv(found.select(F.col("row_idx").alias("index"), "y_true", "y_pred"), run / "predictions.csv", ["index"], _single(config))
     metrics = _reported(run, found, labels, config)
     sinks.write_json(
         run / "meta.json",
@@ -191,11 +196,11 @@ def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
 def run(spark: SparkSession, config: dict, outputs: str = "outputs") -> RunDirectory:
     """Every fold's predictions, pooled."""
     name, when = str(config.get("run_name", "run")), sinks.stamp()
-    place = RunDirectory.create(outputs, name, when)
+    place = RunDirectory.create(spark, outputs, name, when)
     data = dataset(spark, config)
     how, what = splitter(config.get("validation") or {}), classifier(config.get("classifier") or {})
     found = predictions(data, how, what).persist()
-    sinks.write_csv(found.orderBy("fold", "row_idx").select("fold", F.col("row_idx").alias("index"), "y_true", "y_pred"), place / "fold_predictions.csv")
+    sinks.write_csv(found.select("fold", F.col("row_idx").alias("index"), "y_true", "y_pred"), place / "fold_predictions.csv", ["fold", "index"], _single(config))
     metrics = _reported(place, found, data.classes, config)
     n_folds = found.select("fold").distinct().count()
     meta = {"mode": "run", "run_name": name, "timestamp": when, "config": config, "dataset": _about(config, data), "n_folds": n_folds}

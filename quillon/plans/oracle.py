@@ -62,6 +62,20 @@ OVERALL = """
 OVERALL_ROW = "SELECT round(CASE WHEN s = 0 THEN 0 ELSE c / s END, 6) AS accuracy, round(CASE WHEN (s * s - pp) * (s * s - tt) = 0 THEN 0 ELSE (c * s - tp) / sqrt((s * s - pp) * (s * s - tt)) END, 6) AS mcc FROM sums"
 PER_CLASS_ROW = "SELECT label_s, tp, fn, fp, tn, round(p, 6) AS precision, round(q, 6) AS recall, round(q, 6) AS sensitivity, round(sp, 6) AS specificity, round(f, 6) AS f1 FROM rated"
 PREDICTED = "SELECT CAST(fold AS BIGINT) AS fold, row_idx, true_s, pred_s FROM pred"
+#: Customers by market segment in stratified folds, and each fold's predictions.
+SEGMENTS = """
+        c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_acctbal AS v, c_mktsegment AS s, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 5 AS fold FROM customer),
+        cent AS (SELECT f.fold, c.s, avg(c.v) AS m FROM c JOIN (SELECT DISTINCT fold FROM c) f ON f.fold <> c.fold GROUP BY ALL),
+        pred AS (SELECT t.fold, t.row_idx, t.s AS true_s, m.s AS pred_s FROM c t JOIN cent m ON t.fold = m.fold QUALIFY row_number() OVER (PARTITION BY t.row_idx ORDER BY abs(t.v - m.m), m.s) = 1)"""
+SEGMENT_MATRIX = """
+        labels_s AS (SELECT DISTINCT s FROM c),
+        cm AS (SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM labels_s a CROSS JOIN labels_s b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL)"""
+NUMBERED = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, c_mktsegment AS label, c_mktsegment AS label_s, c_acctbal AS v FROM customer"
+SEGMENT_SPLIT = f"""
+        {holdout(NUMBERED, 0.2, 42)},
+        c AS (SELECT f.row_idx, f.label_s AS s, x.v, f.fold_id FROM folded f JOIN ({NUMBERED}) x USING (row_idx)),
+        cent AS (SELECT s, avg(v) AS m FROM c WHERE fold_id < 0 GROUP BY 1),
+        pred AS (SELECT t.row_idx, t.s AS true_s, m.s AS pred_s FROM c t CROSS JOIN cent m WHERE t.fold_id = 0 QUALIFY row_number() OVER (PARTITION BY t.row_idx ORDER BY abs(t.v - m.m), m.s) = 1)"""
 LINES = """
         cent AS (SELECT l_returnflag AS s, count(*) AS n, avg(l_quantity) AS c0, avg(l_extendedprice) AS c1, avg(l_discount) AS c2, avg(l_tax) AS c3 FROM lineitem GROUP BY 1),
         num AS (SELECT *, row_number() OVER () AS row_idx FROM lineitem),
@@ -135,6 +149,27 @@ def statements() -> dict[str, str]:
         "merged_labels": "SELECT DISTINCT CAST(k AS VARCHAR) AS label_s, CAST(k AS VARCHAR) AS label FROM (SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer)",
         "pooled_run_summary": f"WITH {vectors(STRATIFIED)}, {knn(3)}, {MATRIX}, {RATED}, {OVERALL} {OVERALL_ROW}",
     }
+    shares = ", ".join(f"max(n) FILTER (pred_label = '{x}') AS pred_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+    found |= {
+        "csv_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_brand AS label_s, CAST(p_size AS DOUBLE) AS f0, CAST(p_retailprice AS DOUBLE) AS f1 FROM part",
+        "csv_columns": "SELECT CAST(i AS BIGINT) AS position, f AS feature, (SELECT count(*) FROM customer) AS n FROM (VALUES (0, 'c_custkey'), (1, 'c_acctbal')) x(i, f)",
+        "run_predictions_file": f'WITH {SEGMENTS} SELECT fold, row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred',
+        "classify_predictions_file": f'WITH {SEGMENT_SPLIT} SELECT row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred',
+        "run_metrics_file": f"WITH {SEGMENTS}, {SEGMENT_MATRIX}, {RATED}, {OVERALL} SELECT o.accuracy, m.balanced_accuracy, o.mcc, m.macro_f1, m.n_labels FROM ({OVERALL_ROW}) o, (SELECT round(avg(q), 6) AS balanced_accuracy, round(avg(f), 6) AS macro_f1, count(*) AS n_labels FROM rated) m",
+        "run_matrix_file": f"WITH {SEGMENTS}, {SEGMENT_MATRIX} SELECT 'true_' || true_label AS label, {shares} FROM cm GROUP BY true_label",
+        "run_meta_file": "SELECT 'run' AS mode, 'run' AS run_name, CAST(5 AS BIGINT) AS n_folds, count(*) AS n_samples, CAST(1 AS BIGINT) AS n_features FROM customer",
+        "classify_meta_file": f"WITH {SEGMENT_SPLIT} SELECT 'classify_dataset_split' AS mode, (SELECT count(*) FROM folded WHERE fold_id < 0) AS n_train, (SELECT count(*) FROM folded WHERE fold_id = 0) AS n_test, (SELECT count(DISTINCT s) FROM c) AS n_labels",
+        "validate_meta_file": f"WITH {SEGMENTS} SELECT fold, (SELECT count(*) FROM c) - count(*) AS train_size, count(*) AS test_size, count(*) FILTER (s = 'BUILDING') AS building FROM c GROUP BY fold",
+        "exported_partition_files": f"WITH {SEGMENTS} SELECT f.fold, CASE WHEN f.fold = c.fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, round(sum(v), 6) AS total FROM c CROSS JOIN (SELECT DISTINCT fold FROM c) f GROUP BY 1, 2",
+        "confusion_of_some": f"WITH {CENTROID}, listed AS (SELECT unnest(['0', '3', '7', 'none']) AS s) SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM listed a CROSS JOIN listed b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL",
+        "matrix_drawing": f"WITH {CENTROID}, {MATRIX} SELECT true_label, pred_label, round(n / greatest(sum(n) OVER (PARTITION BY true_label), 1), 6) AS value, 'Confusion Matrix (Normalized by Rows)' AS title FROM cm",
+        "row_numbers_of_join": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS distinct_n, count(*) AS known_n FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+        "centroid_loo_small_predict": """
+            WITH c AS (SELECT c_custkey AS row_idx, c_mktsegment AS s, c_acctbal AS v FROM customer),
+            tot AS (SELECT s, sum(v) AS v, count(*) AS n FROM c GROUP BY 1)
+            SELECT t.row_idx AS fold, t.row_idx, t.s AS true_s, m.s AS pred_s FROM c t CROSS JOIN tot m WHERE t.s <> m.s OR m.n > 1
+            QUALIFY row_number() OVER (PARTITION BY t.row_idx ORDER BY abs(t.v - CASE WHEN t.s = m.s THEN (m.v - t.v) / (m.n - 1) ELSE m.v / m.n END), m.s) = 1""",
+    }
     means = f"WITH {vectors('0')}, long AS (SELECT s, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e), mean AS (SELECT s, i, avg(v) AS v FROM long GROUP BY ALL), cent AS (SELECT s, list(v ORDER BY i) AS c FROM mean GROUP BY ALL)"
     for name, gap in GAPS.items():
         found[f"dist_{name}"] = f"{means} SELECT e.row_idx, cent.s AS to_class, round({gap.format(a='e.x', b='cent.c')}, 6) AS d FROM e CROSS JOIN cent"

@@ -1,83 +1,192 @@
-"""What an experiment leaves in its run directory."""
+"""What an experiment leaves in its run directory, on any file system that Spark can write.
+
+Tables are formatted and written by executors; small documents are written through Hadoop's file systems.
+"""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
 from dataclasses import dataclass
 from datetime import datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import ValidationError
+from quillon.operators.folds import partitions
 
 
 def stamp() -> str:
     return datetime.now().strftime("%Y%m%d-%H%M%S")
 
 
+@dataclass(frozen=True)
+class Place:
+    """A file or folder by its path, local or any that Hadoop knows."""
+
+    spark: SparkSession
+    path: str
+
+    def __truediv__(self, name: str) -> Place:
+        return Place(self.spark, f"{self.path.rstrip('/')}/{name}")
+
+    def __str__(self) -> str:
+        return self.path
+
+    def _hadoop(self):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def exists(self) -> bool:
+        system, place = self._hadoop()
+        return system.exists(place)
+
+    def make(self) -> None:
+        system, place = self._hadoop()
+        system.mkdirs(place)
+
+    def delete(self) -> None:
+        system, place = self._hadoop()
+        system.delete(place, True)
+
+    def move(self, to: Place) -> None:
+        """Move to a path that may hold an earlier result, whose folder is made if need be."""
+        system, place = self._hadoop()
+        target = to._hadoop()[1]
+        if target.getParent() is not None:
+            system.mkdirs(target.getParent())
+        system.delete(target, True)
+        system.rename(place, target)
+
+    def size(self) -> int:
+        system, place = self._hadoop()
+        return system.getFileStatus(place).getLen()
+
+    def names(self) -> list[str]:
+        system, place = self._hadoop()
+        return sorted(x.getPath().getName() for x in system.listStatus(place))
+
+    def write_bytes(self, data: bytes) -> None:
+        system, place = self._hadoop()
+        out = system.create(place, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+    def write_text(self, text: str) -> None:
+        self.write_bytes(text.encode())
+
+    def read_text(self) -> str:
+        """A file's text, or that of a table's parts one after the other."""
+        return "".join(r[0] for r in self.spark.read.text(self.path, wholetext=True).orderBy(F.input_file_name()).collect())
+
+
 @dataclass(frozen=True)
 class RunDirectory:
-    path: Path
+    place: Place
 
     @classmethod
-    def create(cls, outputs: str, run_name: str, when: str) -> RunDirectory:
-        path = Path(outputs) / "runs" / f"{when}__{run_name}"
-        path.mkdir(parents=True, exist_ok=True)
-        return cls(path)
+    def create(cls, spark: SparkSession, outputs: str, run_name: str, when: str) -> RunDirectory:
+        place = Place(spark, outputs) / "runs" / f"{when}__{run_name}"
+        place.make()
+        return cls(place)
 
-    def __truediv__(self, name: str) -> Path:
-        return self.path / name
+    @property
+    def path(self) -> str:
+        return self.place.path
 
+    def __truediv__(self, name: str) -> Place:
+        return self.place / name
 
-def write_json(path: Path, value) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
 
+def write_json(place: Place, value) -> None:
+    place.write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str))
 
-def _cell(value):
-    return "" if value is None else value
 
+def _lines(rows, header) -> str:
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    if header:
+        writer.writerow(header)
+    writer.writerows([["" if v is None else v for v in row] for row in rows])
+    return out.getvalue()
 
-def write_csv(df: DataFrame, path: Path) -> None:
-    """One CSV file of an ordered frame, streamed partition by partition."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(df.columns)
-        out.writerows([_cell(v) for v in row] for row in df.toLocalIterator(prefetchPartitions=True))
 
+def _formatted(ordered: DataFrame, columns: list[str], header: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The keys and CSV text (value) of sorted rows, under a header at the start of each task and each run of equal keys."""
 
-def write_matrix(df: DataFrame, path: Path) -> None:
-    """A wide matrix whose first column names the rows and has no header."""
-    rows = df.collect()  # as many as labels
-    with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(["", *df.columns[1:]])
-        out.writerows(list(r) for r in rows)
+    def run(batches):
+        last = None
+        for batch in batches:
+            cells = list(zip(*(batch.column(c).to_pylist() for c in columns))) or [()] * batch.num_rows
+            groups = list(zip(*(batch.column(k).to_pylist() for k in keys))) or [()] * batch.num_rows
+            at = 0
+            while at < len(groups):
+                end = at
+                while end < len(groups) and groups[end] == groups[at]:
+                    end += 1
+                text = _lines(cells[at:end], header if groups[at] != last else None).removesuffix("\n")
+                yield pa.RecordBatch.from_pydict({"value": [text]} | {k: [v] for k, v in zip(keys, groups[at])})
+                last, at = groups[at], end
 
+    return ordered.mapInArrow(run, ", ".join(["value string", *(f"{k} {ordered.schema[k].dataType.simpleString()}" for k in keys)]))
 
-#: Rows that an export may write: folds times rows.
-EXPORT_ROWS = 50_000_000
 
+def _settle(made: Place, target: Place, header: list[str], single: bool) -> None:
+    """Move what Spark has written to where it belongs: its one part as a file, or the folder of parts."""
+    parts = [made / x for x in made.names() if x.startswith("part-")] if made.exists() else []
+    if single and parts and parts[0].size():
+        parts[0].move(target)
+    elif single or not parts:
+        target.write_text(_lines([], header))
+    else:
+        made.move(target)
+
+
+def write_csv(df: DataFrame, place: Place, order: list[str], single: bool = True) -> None:
+    """Rows in order as CSV: one file, written by one task, or a folder of parts in the order of their names."""
+    spark, made = df.sparkSession, Place(df.sparkSession, f"{place.path}.parts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(1) if single else df.repartitionByRange(n, *order)
+    _formatted(dealt.sortWithinPartitions(*order), df.columns, df.columns).write.mode("overwrite").text(made.path)
+    _settle(made, place, df.columns, single)
+    made.delete()
 
-def export_partitions(source: DataFrame, assigned: DataFrame, drop_cols: list[str], folder: Path, n_rows: int, n_folds: int) -> None:
-    """fold_<f>/train.csv and test.csv with the original columns but those dropped, by row number."""
-    if n_rows * n_folds > EXPORT_ROWS:
-        raise ValidationError(f"an export of {n_folds} folds of {n_rows} rows is larger than {EXPORT_ROWS} rows")
-    kept = [c for c in source.columns if c not in drop_cols and c != "row_idx"]
-    met = source.join(assigned.select("row_idx", "fold_id"), "row_idx").persist()
-    folds = sorted(r[0] for r in met.where("fold_id >= 0").select("fold_id").distinct().collect())
-    columns = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
-    for fold in folds:
-        for role, rows in (("train", met.where(F.col("fold_id") != fold)), ("test", met.where(F.col("fold_id") == fold))):
-            write_csv(rows.orderBy("row_idx").select(*columns), folder / f"fold_{fold}" / f"{role}.csv")
-    met.unpersist()
 
+def write_matrix(df: DataFrame, place: Place) -> None:
+    """A wide matrix whose first column names the rows and has no header: as many rows as labels."""
+    place.write_text(_lines([list(r) for r in df.collect()], ["", *df.columns[1:]]))
 
-def draw(values: list[list[float]], labels: list[str], path: Path, title: str, normalised: bool = False, cmap: str = "Blues") -> bool:
+
+#: Rows that an export of leave-one-out may write: folds times rows, the square of the input's.
+EXPORT_ROWS = 50_000_000
+
+
+def export_partitions(source: DataFrame, assigned: DataFrame, drop_cols: list[str], folder: Place, n_folds: int, leave_one_out: bool = False, single: bool = True) -> None:
+    """fold_<f>/train.csv and test.csv with the original columns but those dropped, by row number, in one job.
+
+    With ``single`` each is one file, else a folder of parts in order that any number of tasks write.
+    """
+    if leave_one_out and n_folds**2 > EXPORT_ROWS:
+        raise ValidationError(f"leaving out each of {n_folds} rows would export {n_folds**2} rows; {EXPORT_ROWS} are the most")
+    kept = [c for c in source.columns if c not in drop_cols and c != "row_idx"]
+    safe = [f"c{i}" for i in range(len(kept))]
+    columns = [F.col("`" + c.replace("`", "``") + "`").alias(s) for c, s in zip(kept, safe)]
+    rows = partitions(source.select("row_idx", *columns).join(assigned.select("row_idx", "fold_id"), "row_idx"), n_folds)
+    keys, made = ("fold", "role"), folder / "parts"
+    dealt = rows.repartition(*keys) if single else rows.repartitionByRange(*keys, "row_idx")
+    _formatted(dealt.sortWithinPartitions(*keys, "row_idx"), safe, kept, keys).write.partitionBy(*keys).mode("overwrite").text(made.path)
+    for fold in range(n_folds):
+        for role in ("train", "test"):
+            _settle(made / f"fold={fold}" / f"role={role}", folder / f"fold_{fold}" / f"{role}.csv", kept, single)
+    made.delete()
+
+
+def draw(values: list[list[float]], labels: list[str], place: Place, title: str, normalised: bool = False, cmap: str = "Blues") -> bool:
     """A matrix as a PNG, where matplotlib is installed; whether it was drawn."""
     try:
         import matplotlib
@@ -96,7 +205,9 @@ def draw(values: list[list[float]], labels: list[str], path: Path, title: str, n
     axes.set_xticklabels(labels, rotation=45)
     axes.set_yticklabels(labels)
     figure.tight_layout()
-    figure.savefig(path)
+    out = io.BytesIO()
+    figure.savefig(out, format="png")
+    place.write_bytes(out.getvalue())
     pyplot.close(figure)
     return True
 

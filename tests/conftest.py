@@ -22,4 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from quillon.sources.shared import drop_durable
+
+    drop_durable(session)
     session.stop()

@@ -4,7 +4,7 @@ import pytest
 import yaml
 
 from quillon import cli
-from quillon.errors import ClassifierError, ConfigError, DataError
+from quillon.errors import ClassifierError, ConfigError, DataError, ValidationError
 from quillon.plans import config, experiment
 from quillon.sources.labelled import read_csv
 
@@ -65,6 +65,36 @@ def test_validate(spark, csv_file, tmp_path):
     assert test[0] == "1,2,class" and len(test) == 7 and len(train) == 23
 
 
+def test_tables_in_parts(spark, csv_file, tmp_path):
+    """Parts in the order of their names hold what a single file holds, each under a header."""
+    config = {"io": {"dataset": csv_file}, "classifier": {"type": "euclidiano"}, "validation": {"type": "kfold", "params": {"n_splits": 3}, "export": {"csv": True}}}
+    for verb, name in (("run", "fold_predictions.csv"), ("validate", "partitions/fold_1/train.csv")):
+        texts = []
+        for single in (True, False):
+            place = getattr(experiment, verb)(spark, config | {"report": {"single_files": single}}, str(tmp_path / f"{verb}{single}"))
+            lines = (place / name).read_text().splitlines()
+            texts.append([x for i, x in enumerate(lines) if i == 0 or x != lines[0]])
+        assert texts[0] == texts[1] and len(texts[0]) > 2
+
+
+def test_export_of_leave_one_out_is_bounded(spark, csv_file, tmp_path, monkeypatch):
+    monkeypatch.setattr("quillon.sources.sinks.EXPORT_ROWS", 100)
+    with pytest.raises(ValidationError):
+        experiment.validate(spark, {"io": {"dataset": csv_file}, "validation": {"type": "loo", "export": {"csv": True}}}, str(tmp_path))
+
+
+def test_written_tables_are_dropped(spark):
+    from quillon.sources.shared import drop_durable, durable, passing, written
+    from quillon.sources.sinks import Place
+
+    kept = durable(spark.range(3), "one")
+    with passing(spark) as keep:
+        gone, also = durable(spark.range(4), "two"), keep(durable(spark.range(5), "three"))
+    assert not Place(spark, gone._quillon_path).exists() and kept.count() == 3 and also.count() == 5
+    drop_durable(spark)
+    assert not Place(spark, kept._quillon_path).exists() and not written(spark)
+
+
 def test_classify_and_run(spark, csv_file, tmp_path):
     base = {"io": {"dataset": csv_file}, "classifier": {"type": "knn", "params": {"k": 3, "distance": "manhattan"}}}
     place = experiment.classify(spark, base | {"mode": {"type": "dataset_split", "split": {"type": "holdout", "params": {"test_size": 0.25}}}}, str(tmp_path))
