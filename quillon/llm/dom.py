@@ -1,4 +1,4 @@
-"""A small, forgiving HTML parser: document order arrays of element and text nodes."""
+"""A small, forgiving HTML parser: document order arrays of element and text nodes, in time linear in the page."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
-SILENT = frozenset("script style template noscript title head svg math iframe object select textarea button".split())
+SILENT = frozenset("script style template title head iframe select textarea button desc metadata".split())
 #: Tags that leave an open head open; any other, and any word, ends it.
 HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style title textarea iframe".split())
@@ -31,8 +31,10 @@ ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "optio
 #: Blocks that keep an outer paragraph open.
 SCOPE = frozenset("td th caption table button object html body".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag, quotes counting behind an equals sign only; nothing is tried twice.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])|\Z))*+>""")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|data-main|hidden)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
 class Page:
@@ -42,89 +44,125 @@ class Page:
         self.parent, self.tag, self.attrs, self.text, self.block = [-1], ["#root"], [{}], [""], [0]
 
 
+class Open:
+    """The open elements, with the depths at which each tag, blocks and scopes stand, so that none is searched for."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#root"]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str) -> None:
+        for key in self._keys(tag):
+            self.depths.setdefault(key, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.nodes.pop()
+        for key in self._keys(tag):
+            self.depths[key].pop()
+        return tag
+
+    @staticmethod
+    def _keys(tag: str) -> list[str]:
+        return [tag] + ["#block"] * (tag in BLOCK) + ["#scope"] * (tag in SCOPE)
+
+    def last(self, *keys: str) -> int:
+        """Depth of the innermost of these, 0 if there is none."""
+        return max((self.depths[k][-1] for k in keys if self.depths.get(k)), default=0)
+
+
+def tokens(source: str):
+    """(start, end, slash, name, attributes) of each tag; comments and declarations have no name. RAW content is skipped."""
+    at, careful = 0, True
+    while (lt := source.find("<", at)) >= 0:
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield lt, at, "", None, ""
+            continue
+        if source[lt + 1 : lt + 2] in ("!", "?"):
+            end = source.find(">", lt)
+            if end < 0:
+                return
+            at = end + 1
+            yield lt, at, "", None, ""
+            continue
+        name = NAME.match(source, lt + 1)
+        if not name:
+            at = lt + 1
+            continue
+        rest = REST.match(source, name.end()) if careful else None
+        end = rest.end() if rest else 0
+        if not rest:
+            # A quote that is never closed: from here on tags end at the next bracket, whatever is quoted.
+            careful, end = False, source.find(">", name.end()) + 1
+            if not end:
+                return
+        at = end
+        tag = name[2].lower()
+        yield lt, end, name[1], tag, source[name.end() : end - 1]
+        if not name[1] and tag in RAW:  # within a script or the like only its end counts
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = close.start() if close else len(source)
+
+
 def parse(source: str | None) -> Page:
-    page = Page()
-    stack = [0]
+    page, stack = Page(), Open()
     block = silent = at = 0
     source = source or ""
-    raw = ""
 
     def add(tag, attrs, text):
-        page.parent.append(stack[-1])
+        page.parent.append(stack.nodes[-1])
         page.tag.append(tag)
         page.attrs.append(attrs)
         page.text.append(text)
         page.block.append(block)
 
     def say(text):
-        if page.tag[stack[-1]] == "head" and text.strip():
-            shut(len(stack) - 1)
+        if stack.tags[-1] == "head" and text.strip():
+            shut(len(stack.nodes) - 1)
         if text and not silent:
             add("", None, html.unescape(text))
 
     def shut(depth):
         nonlocal block, silent
-        for i in stack[depth:]:
-            tag = page.tag[i]
+        while len(stack.nodes) > depth:
+            tag = stack.pop()
             block += tag in BLOCK
             silent -= tag in SILENT
-        del stack[depth:]
-
-    while True:
-        if raw:  # within a script or the like only its end counts
-            end = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(source, at)
-            at, raw = end.start() if end else len(source), ""
-        m = TOKEN.search(source, at)
-        if not m:
-            break
-        name = m[2]
-        say(source[at : m.start()])
-        at = m.end()
-        if not name:
+
+    for start, end, slash, tag, rest in tokens(source):
+        raw = stack.tags[-1] in RAW  # what stands in a script or the like is no text
+        if not raw:
+            say(source[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = name.lower()
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[depth]]
-                if own == tag:
-                    shut(depth)
-                    break
-                if own in BLOCK and tag not in BLOCK and tag not in SILENT:
-                    break  # an inline end tag ends no block
-            if tag in BLOCK:
-                block += 1
+        if slash:
+            depth = stack.last(tag)
+            # An inline end tag ends no block.
+            if depth and (tag in BLOCK or tag in SILENT or depth > stack.last("#block")):
+                shut(depth)
+            block += tag in BLOCK
             continue
-        if page.tag[stack[-1]] == "head" and tag not in HEAD:
-            shut(len(stack) - 1)
+        if stack.tags[-1] == "head" and tag not in HEAD:
+            shut(len(stack.nodes) - 1)
         if tag in ENDS:
             which, limit = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[depth]]
-                if own in which:
-                    shut(depth)
-                    break
-                if own in limit:
-                    break
-        if tag in ENDS_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                own = page.tag[stack[depth]]
-                if own == "p":
-                    shut(depth)
-                    break
-                if own in SCOPE:
-                    break
-        if tag == "body" and silent:  # a head that was left open
-            for depth, i in enumerate(stack):
-                if page.tag[i] == "head":
-                    shut(depth)
-                    break
+            if (depth := stack.last(*which)) > stack.last(*limit):
+                shut(depth)
+        if tag in ENDS_P and (depth := stack.last("p")) > stack.last("#scope"):
+            shut(depth)
+        if tag == "body" and silent and (depth := stack.last("head")):  # a head that was left open
+            shut(depth)
         block += tag in BLOCK
-        attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
+        attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
         add(tag, attrs, " " if tag == "br" and not silent else "")
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append(len(page.tag) - 1)
+        if tag not in VOID and not rest.endswith("/"):
+            stack.push(len(page.tag) - 1, tag)
             silent += tag in SILENT
-            if tag in RAW:
-                raw = tag
-    say(source[at:])
+    if stack.tags[-1] not in RAW:
+        say(source[at:])
     return page

@@ -46,10 +46,29 @@ class Maker:
             return f'<p>{self.prose()} <a href="/x">{self.words(1, 4)}</a> {self.prose()}</p>'
         if kind < 0.42:
             return f"<p>{self.prose()} <i>{self.words(1, 3)}</i> {self.sentence()}"
+        if kind < 0.5:
+            return f"<p>{self.prose()} {self.inline()} {self.maybe(self.prose)}</p>"
         return f"<p>{self.prose()}</p>"
 
+    def inline(self):
+        """Elements within a line that mean little, or that few pages have."""
+        return self.one(
+            lambda: f"<math><mi>{self.word()}</mi><mo>=</mo><mn>{self.r.randint(1, 99)}</mn></math>",
+            lambda: f"<span>{self.words(1, 6)}</span>",
+            lambda: f"<code>{self.words(1, 3)}</code>",
+            lambda: f"<x-term>{self.words(1, 3)}</x-term>",
+            lambda: f"<sup>{self.r.randint(1, 99)}</sup>",
+            lambda: f'<object data="a">{self.words(1, 6)}</object>',
+        )()
+
     def body(self):
         extra = [
+            lambda: "<ul>" + self.links(2, 4) + "</ul>",
+            lambda: f'<object data="a">{self.sentence()}</object>',
+            lambda: f"<noscript>{self.sentence()}</noscript>",
+            lambda: f"<figure><svg><text>{self.words(1, 3)}</text></svg></figure>",
+            lambda: f"<div>{self.prose()}</div>",
+            lambda: f"<math><mi>{self.word()}</mi><mo>+</mo><mi>{self.word()}</mi></math>",
             lambda: f"<h2>{self.words(1, 6)}</h2>",
             lambda: "<ul>" + self.many(lambda: f"<li>{self.sentence(2, 12)}</li>", 2, 6) + "</ul>",
             lambda: f"<blockquote>{self.prose()}</blockquote>",
@@ -68,12 +87,29 @@ class Maker:
         inside = self.maybe(lambda: self.mark0(self.one(self.advert, self.share, self.related)()), 0.25)
         if inside:
             inner += inside + self.body() if self.r.random() < 0.6 else inside
-        form = self.one("article", "article", "article", "main", "div", "section", "table")
-        named = self.one("", "content", "post-body", "entry-content", "story", "article-text", "prose", "main", "x12")
+        named = self.one("", "content", "post-body", "entry-content", "story", "article-text", "prose", "main", "x12", "col-8", "text")
         attrs = f' {self.one("class", "id")}="{named}"' if named else ""
+        form = self.one("article", "article", "article", "main", "div", "div", "section", "table")
         if form == "table":
-            return f'<table><tr><td{attrs} data-main="1">{inner}</td></tr></table>'
-        return f'<{form}{attrs} data-main="1">{inner}</{form}>'
+            made = f'<table><tr><td{attrs} data-main="1">{inner}</td></tr></table>'
+        else:
+            made = f'<{form}{attrs} data-main="1">{inner}</{form}>'
+        return self.wrapped(made) if self.r.random() < 0.3 else made
+
+    def wrapped(self, part):
+        """Boxes around a part, as grids of columns have them."""
+        for _ in range(self.r.randint(1, 3)):
+            name = self.one("", "wrap", "wrapper", "row", "col", "col-8", "grid", "container", "inner", "x7")
+            part = f'<div class="{name}">{part}</div>' if name else f"<div>{part}</div>"
+        return part
+
+    def loose(self):
+        """Main text in no element of its own: paragraphs among the page's other parts, or bare text."""
+        kind = self.r.random()
+        if kind < 0.6:
+            return self.maybe(lambda: f"<h1>{self.words(2, 9)}</h1>", 0.7) + self.body()
+        breaks = self.one("<br>", "<br><br>", "\n\n", "<hr>")
+        return self.maybe(lambda: f"<h1>{self.words(2, 9)}</h1>", 0.3) + breaks.join(self.prose() for _ in range(self.one(1, 2, 4)))
 
     # --- the rest ---
 
@@ -166,6 +202,14 @@ class Maker:
         before = [x for x in (self.header, self.menu, self.notice, self.advert, self.form) if self.r.random() < 0.45]
         after = [x for x in (self.comments, self.aside, self.advert, self.related, self.form, self.footer, self.notice, self.menu) if self.r.random() < 0.45]
         self.r.shuffle(before)
+        if self.r.random() < 0.15:  # nothing but the text, or little else
+            before, after = before[:1] if self.r.random() < 0.3 else [], []
+        if self.r.random() < 0.2:
+            main, rest = self.loose(), "".join(self.mark0(x()) for x in after)
+            around = "".join(self.mark0(x()) for x in before)
+            if not (around or rest) and self.r.random() < 0.3 and not main.startswith("<"):
+                return f'<span data-main="1">{main}</span>'
+            return f'<!DOCTYPE html><html>{head}<body data-main="1">{around}{main}{rest}</body></html>'
         parts = "".join(x() for x in before)
         main, rest = self.article(), "".join(x() for x in after)
         if self.r.random() < 0.35:  # a wrapper around some of it
@@ -174,6 +218,6 @@ class Maker:
         return f"<!DOCTYPE html><html>{head}<body>{parts}{main}{rest}{end}"
 
 
-def pages(n: int = 240, seed: int = 7) -> list[str]:
+def pages(n: int = 480, seed: int = 7) -> list[str]:
     """Pages whose elements with data-main="1" hold main text, but for those in them with data-main="0"."""
     return [Maker(seed * 1000 + i).page() for i in range(n)]

@@ -17,6 +17,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ def marginals(parent: list[int], own: list[float], kind: list[int], edges: list[
 
 
 class Model:
-    """Weights of features, and of edges by kind: to an element, to a text, and from the page itself, whose parts differ most."""
+    """Weights of features, and of edges by kind."""
 
     def __init__(self, weights: dict[str, float], edges: list[tuple]):
         self.weights, self.edges = weights, edges
@@ -136,50 +137,82 @@ class Model:
         return marginals(page.parent, own, kinds(page), self.edges)[0]
 
 
-EDGES = 5
-WHOLE = frozenset(("#root", "html", "body"))
+EDGES = 6
+#: Kind of an edge below each tag; all other edges between elements are of kind 0, those to texts of kind 1.
+BELOW = {"#root": 2, "html": 2, "body": 2, "div": 3, "section": 3, "article": 4, "main": 4} | dict.fromkeys("nav menu header footer aside form dialog fieldset".split(), 5)
 
 
 def kinds(page: Page) -> list[int]:
-    """Kind of each node's edge to its parent: 0 to an element, 1 to a text; 2 below the page itself, 3 below a box, 4 below an article."""
-    found = []
-    for parent, tag in zip(page.parent, page.tag):
-        above = page.tag[parent]
-        found.append(1 if not tag else 2 if above in WHOLE else 3 if above in ("div", "section") else 4 if above in ("article", "main") else 0)
-    return found
-
-
-def fit(pages: list[tuple[Page, list[int]]], rounds: int = 90, rate: float = 0.7, decay: float = 0.001) -> Model:
+    """Kind of each node's edge to its parent: below the page itself, a box, an article and a part beside it couplings differ."""
+    tag = page.tag
+    return [5 if BELOW.get(tag[p]) == 5 else 1 if not own else BELOW.get(tag[p], 0) for p, own in zip(page.parent, tag)]
+
+
+class Forest:
+    """Labelled pages as arrays, their nodes by depth, so that messages of all pages go up and down together."""
+
+    def __init__(self, pages: list[tuple[Page, list[int]]]):
+        found = [features(page) for page, _ in pages]
+        self.names = sorted({f for fs in found for own in fs for f in own})
+        number = {f: i for i, f in enumerate(self.names)}
+        starts = np.cumsum([0, *(len(page.tag) for page, _ in pages)])
+        self.n = int(starts[-1])
+        self.parent = np.concatenate([np.maximum(page.parent, 0) + a for (page, _), a in zip(pages, starts)])
+        self.kind = np.concatenate([kinds(page) for page, _ in pages])
+        self.label = np.concatenate([labels for _, labels in pages])
+        self.node = np.repeat(np.arange(self.n), [len(own) for fs in found for own in fs])
+        self.feature = np.array([number[f] for fs in found for own in fs for f in own])
+        depth = np.zeros(self.n, int)
+        roots = set(starts.tolist())
+        for i, above in enumerate(self.parent.tolist()):
+            depth[i] = 0 if i in roots else depth[above] + 1
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        self.children = np.flatnonzero(depth > 0)
+
+    def expected(self, weights: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As marginals(), for all pages at once."""
+        e = edges[self.kind]
+        soft = lambda x: np.logaddexp(0.0, x)
+        belief = np.bincount(self.node, weights[self.feature], self.n)
+        up, both, child = np.zeros(self.n), np.zeros(self.n), np.zeros(self.n)
+        for own in reversed(self.levels):
+            x, b = e[own], belief[own]
+            up[own] = (x[:, 2] + soft(x[:, 3] - x[:, 2] + b)) - (x[:, 0] + soft(x[:, 1] - x[:, 0] + b))
+            np.add.at(belief, self.parent[own], up[own])
+        full = belief.copy()
+        for own in self.levels:
+            x, b = e[own], belief[own]
+            above = full[self.parent[own]] - up[own]
+            logs = np.stack([np.zeros(len(own)), x[:, 1] - x[:, 0] + b, x[:, 2] - x[:, 0] + above, x[:, 3] - x[:, 0] + above + b], axis=1)
+            odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+            odds /= odds.sum(axis=1, keepdims=True)
+            both[own], child[own] = odds[:, 3], odds[:, 1]
+            p = np.clip(odds[:, 1] + odds[:, 3], 1e-300, 1 - 1e-16)
+            full[own] = np.log(p) - np.log1p(-p)
+        return 0.5 * (1 + np.tanh(full / 2)), both, child
+
+
+def fit(pages: list[tuple[Page, list[int]]], rounds: int = 150, rate: float = 0.7, decay: float = 0.001) -> Model:
     """Maximum likelihood with exact expectations from messages; steps scaled by past gradients."""
-    made = [(page, labels, features(page), kinds(page)) for page, labels in pages]
-    names = sorted({f for _, _, fs, _ in made for own in fs for f in own})
-    weights, edges = dict.fromkeys(names, 0.0), [[0.0] * 4 for _ in range(EDGES)]
-    seen_w, seen_e = dict.fromkeys(names, 1e-6), [[1e-6] * 4 for _ in range(EDGES)]
+    made = Forest(pages)
+    weights, edges = np.zeros(len(made.names)), np.zeros((EDGES, 4))
+    seen_w, seen_e = np.full(weights.shape, 1e-6), np.full(edges.shape, 1e-6)
+    own, above = made.children, made.parent[made.children]
+    pairs = 2 * made.label[above] + made.label[own]
+    had = np.zeros(edges.shape)
+    np.add.at(had, (made.kind[own], pairs), 1)
     for _ in range(rounds):
-        slope, slope_e = dict.fromkeys(names, 0.0), [[0.0] * 4 for _ in range(EDGES)]
-        for page, labels, fs, kind in made:
-            own = [sum([weights[f] for f in x]) for x in fs]
-            p, both, child = marginals(page.parent, own, kind, [tuple(e) for e in edges])
-            for i, x in enumerate(fs):
-                d = labels[i] - p[i]
-                for f in x:
-                    slope[f] += d
-                if i:
-                    g, a = slope_e[kind[i]], labels[page.parent[i]]
-                    g[2 * a + labels[i]] += 1
-                    expect = (1 - p[page.parent[i]] - child[i], child[i], p[page.parent[i]] - both[i], both[i])
-                    for k in range(4):
-                        g[k] -= expect[k]
-        for f in names:
-            g = slope[f] / len(made) - decay * weights[f]
-            seen_w[f] += g * g
-            weights[f] += rate * g / math.sqrt(seen_w[f])
-        for e, g, seen in zip(edges, slope_e, seen_e):
-            for k in range(4):
-                x = g[k] / len(made) - decay * e[k]
-                seen[k] += x * x
-                e[k] += rate * x / math.sqrt(seen[k])
-    return Model(weights, [tuple(e) for e in edges])
+        p, both, child = made.expected(weights, edges)
+        slope = np.bincount(made.feature, (made.label - p)[made.node], len(weights)) / len(pages) - decay * weights
+        expect = np.stack([1 - p[above] - child[own], child[own], p[above] - both[own], both[own]], axis=1)
+        slope_e = had.copy()
+        np.subtract.at(slope_e, made.kind[own], expect)
+        slope_e = slope_e / len(pages) - decay * edges
+        seen_w += slope**2
+        seen_e += slope_e**2
+        weights += rate * slope / np.sqrt(seen_w)
+        edges += rate * slope_e / np.sqrt(seen_e)
+    return Model(dict(zip(made.names, weights.tolist())), [tuple(e) for e in edges.tolist()])
 
 
 def labels_of(page: Page) -> list[int]:
