@@ -2,17 +2,22 @@
 
 A recording's short-time spectra are folded into twelve pitch classes.  Sums over rectangles of that
 picture, taken from its integral image, make 16 filter values per frame; each is quantised to two bits
-of Gray code, and a frame's 32 bits are packed into one integer.  Two recordings are aligned by the
-offsets at which they share landmarks (three frames in a row, at every place of theirs), and each such offset is
-judged by the share of bits that differ over the whole overlap.
+of Gray code, and a frame's 32 bits are packed into one integer.
 
-A link is an offset at which two recordings share a landmark, overlap by ``OVERLAP`` frames and differ in at
-most ``ERRORS`` of the bits; of a pair's the one with least bit error is given.  The rule is the same from either
-side and does not depend on other recordings: all landmarks of a query are looked up, however frequent, and
-frequent ones are dealt out in parts.  Equal fingerprints are one class, searched once.
+A copy seldom starts where a frame of the original does, so queries are fingerprinted from ``PHASES``
+starts within one hop.  Two frames in a row are a landmark.  Queries look up each of their landmarks,
+and those that come of it by turning over any of its ``WEAK`` weakest bits, the ones whose filter values lie nearest
+to a quantisation bound; each offset that a common landmark votes for is judged by the share of bits
+that differ over the whole overlap.
+
+A link is an offset, from one of the query's starts, at which both share a landmark, overlap by ``OVERLAP`` frames
+and differ in at most ``ERRORS`` of the bits; of a pair's the one with least bit error is given.  Unrelated
+recordings differ in over a quarter of the bits at any such offset.  Landmarks with silence count for nothing; those
+that many recordings have are dealt out in parts.  Equal fingerprints are one class, searched once.
 
 Defined cases: null, empty and unreadable media, and those shorter than a filter, have no
 frames, form no class with others and link to none; repeated rows are one class; an empty table gives no rows.
+Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable
+from quillon.llm.common import durable, passing
 
 RATE = 4000
 FRAME, HOP = 1024, 256
@@ -36,10 +41,11 @@ LOW, HIGH = 60.0, 1900.0
 WIDE = 16
 FILTERS = [(kind, first, bands, frames) for kind, bands, frames in ((1, 4, 8), (2, 4, 16), (3, 6, 12), (0, 3, 6)) for first in (0, 2, 4, 6)]
 STEP = 0.25
-LANDMARK = 3
-ERRORS = 0.3
+PHASES = 4
+WEAK = 3
+ERRORS = 0.1
 #: Least frames that an overlap must have.
-OVERLAP = 16
+OVERLAP = 40
 #: Classes with one landmark that are joined in one part.
 PART = 4096
 
@@ -85,11 +91,11 @@ def chroma(data: np.ndarray) -> np.ndarray:
     return energy / np.maximum(np.linalg.norm(energy, axis=1, keepdims=True), 1e-9)
 
 
-def codes(picture: np.ndarray) -> np.ndarray:
-    """One packed 32-bit integer per frame for which all filters lie inside."""
+def codes(picture: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One packed 32-bit integer per frame for which all filters lie inside, and how far each bit is from turning over."""
     n = len(picture) - WIDE + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros((0, 32))
     integral = np.zeros((len(picture) + 1, 13))
     integral[1:, 1:] = picture.cumsum(axis=0).cumsum(axis=1)
     t = np.arange(n)
@@ -97,7 +103,7 @@ def codes(picture: np.ndarray) -> np.ndarray:
     def area(t0, t1, b0, b1):
         return integral[t + t1, b1] - integral[t + t0, b1] - integral[t + t1, b0] + integral[t + t0, b0]
 
-    packed = np.zeros(n, np.uint32)
+    packed, firm = np.zeros(n, np.uint32), np.zeros((n, 32))
     for k, (kind, first, bands, frames) in enumerate(FILTERS):
         mid, half, end = first + bands // 2, frames // 2, first + bands
         if kind == 0:
@@ -112,11 +118,51 @@ def codes(picture: np.ndarray) -> np.ndarray:
         value = np.log1p(np.maximum(a, 0)) - np.log1p(np.maximum(b, 0))
         level = (value > -STEP).astype(np.uint32) + (value > 0) + (value > STEP)
         packed |= (level ^ (level >> 1)).astype(np.uint32) << np.uint32(2 * k)
-    return packed
+        firm[:, 2 * k], firm[:, 2 * k + 1] = np.abs(np.abs(value) - STEP), np.abs(value)
+    return packed, firm
+
+
+@lru_cache(maxsize=1)
+def _silence() -> int:
+    """The code of frames without sound."""
+    return int(codes(np.zeros((WIDE, 12)))[0][0])
 
 
 def fingerprint(media: bytes | None) -> np.ndarray:
-    return codes(chroma(samples(media)))
+    return codes(chroma(samples(media)))[0]
+
+
+def starts(media: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes from each of the starts within a hop, and the weak bits of each landmark as a mask."""
+    data, found = samples(media), []
+    for phase in range(PHASES):
+        own, firm = codes(chroma(data[phase * HOP // PHASES :]))
+        # A landmark's first code stands in its upper half.
+        both = np.concatenate([firm[1:], firm[:-1]], axis=1)
+        weakest = np.argsort(both, axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
+        found.append((own, (np.uint64(1) << weakest).sum(axis=1, dtype=np.uint64)))
+    return found
+
+
+def landmarks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each two frames in a row, neither of them silent, and where they stand."""
+    keys = own[:-1].astype(np.uint64) << np.uint64(32) | own[1:]
+    sound = own != _silence()
+    at = np.flatnonzero(sound[:-1] & sound[1:])
+    return keys[at], at
+
+
+def probes(own: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys to look up, each landmark's with every choice of its weak bits turned over, and where they stand."""
+    keys, at = landmarks(own)
+    rest, bits = weak[at].copy(), []
+    for _ in range(WEAK):
+        bits.append(rest & (~rest + np.uint64(1)))
+        rest ^= bits[-1]
+    turned = [keys]
+    for bit in bits:
+        turned += [k ^ bit for k in turned]
+    return np.concatenate(turned), np.tile(at, len(turned))
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
@@ -127,94 +173,131 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).mean()) / 32, hi - lo
 
 
-def fingerprints(recordings: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id, codes (signed integers) of every row."""
+CODES, MASKS = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+
+def fingerprints(recordings: DataFrame, id_col: str, media_col: str, queries) -> DataFrame:
+    """id, is_query, codes (signed integers) of every row; for queries also the codes (starts) and weak bits of all starts."""
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(m.as_py()).view("<i4").tolist() for m in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["id", "codes"])
+            own, more, weak = [], [], []
+            for media, asked in zip(batch.column(1), batch.column(2).to_pylist()):
+                found = starts(media.as_py()) if asked else [(fingerprint(media.as_py()), None)]
+                own.append(found[0][0].view("<i4"))
+                more.append([x.view("<i4") for x, _ in found] if asked else None)
+                weak.append([x.view("<i8") for _, x in found] if asked else None)
+            columns = [batch.column(0), batch.column(2), pa.array(own, CODES), pa.array(more, pa.list_(CODES)), pa.array(weak, pa.list_(MASKS))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "is_query", "codes", "starts", "weak"])
 
     rows = recordings.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    return rows.mapInArrow(run, "id long, codes array<int>")
+    rows = rows.withColumn("is_query", F.coalesce(queries(F.col("id")), F.lit(False)))
+    return rows.mapInArrow(run, "id long, is_query boolean, codes array<int>, starts array<array<int>>, weak array<array<long>>")
 
 
-def _landmarks(classes: DataFrame) -> DataFrame:
-    """class_id, key: each distinct landmark of a class."""
-    last = F.size("codes") - LANDMARK
-    keys = F.array_distinct(F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("codes", i + j) for j in range(LANDMARK))))))
-    return classes.select("class_id", F.explode(keys).alias("key"))
+def _arrays(scalar, kind: str) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(kind) for x in scalar]
 
 
-def shared_offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _keys(rows: DataFrame, name: str) -> DataFrame:
+    """``name`` and key: distinct landmarks of each class, or of each query those to look up."""
+
+    def run(batches):
+        for batch in batches:
+            owner, found = batch.column(0).to_numpy(), []
+            for i in range(batch.num_rows):
+                if batch.num_columns == 2:
+                    found.append(np.unique(landmarks(batch.column(1)[i].values.to_numpy().view("<u4"))[0]))
+                else:
+                    each = zip(_arrays(batch.column(1)[i], "<u4"), _arrays(batch.column(2)[i], "<u8"))
+                    found.append(np.unique(np.concatenate([probes(own, weak)[0] for own, weak in each])))
+            owners = np.repeat(owner, [len(x) for x in found])
+            keys = np.concatenate(found).astype("<u8").view("<i8") if found else np.zeros(0, np.int64)
+            for at in range(0, len(keys), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(owners[at : at + 65536]), pa.array(keys[at : at + 65536])], [name, "key"])
+
+    return rows.mapInArrow(run, f"{name} long, key long")
+
+
+def shared_offsets(own: np.ndarray, weak: np.ndarray, other: np.ndarray) -> np.ndarray:
     """All offsets, ascending, at which a landmark stands in both."""
-    if min(len(a), len(b)) < LANDMARK:
+    if min(len(own), len(other)) < 2:
         return np.zeros(0, np.int64)
-    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
-    keys = codes[: len(codes) - LANDMARK + 1]
-    for j in range(1, LANDMARK):  # ranks of longer and longer runs, none over two recordings
-        keys = np.unique(keys * len(codes) + codes[j : len(codes) - LANDMARK + 1 + j], return_inverse=True)[1]
-    own, other = keys[: len(a) - LANDMARK + 1], keys[len(a) :]
-    order = np.argsort(other, kind="stable")
-    lo, hi = (np.searchsorted(other[order], own, side) for side in ("left", "right"))
-    hit = np.zeros(len(a) + len(b), bool)
-    for i in np.nonzero(hi > lo)[0]:
-        hit[order[lo[i] : hi[i]] - i + len(a)] = True
-    return np.nonzero(hit)[0] - len(a)
+    (keys, at), (known, where) = probes(own, weak), landmarks(other)
+    order = np.argsort(known, kind="stable")
+    lo, hi = (np.searchsorted(known[order], keys, side) for side in ("left", "right"))
+    hit = np.zeros(len(own) + len(other), bool)
+    for i in np.flatnonzero(hi > lo).tolist():
+        hit[where[order[lo[i] : hi[i]]] - at[i] + len(own)] = True
+    return np.flatnonzero(hit) - len(own)
+
+
+def alignment(query: list[tuple[np.ndarray, np.ndarray]], other: np.ndarray) -> tuple[float, int, int, int] | None:
+    """Least (bit error, start, offset, frames) of all offsets at which a landmark stands in both; none if no offset makes a link."""
+    tries = ((error, n, int(o), frames) for n, (own, weak) in enumerate(query) for o in shared_offsets(own, weak, other) for error, frames in [bit_error(own, other, o)])
+    return min((x for x in tries if x[0] <= ERRORS and x[3] >= OVERLAP), default=None)
 
 
-def alignment(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int] | None:
-    """Least (bit error, offset, frames) of all offsets at which a landmark stands in both; none if no offset makes a link."""
-    tries = ((error, int(o), frames) for o in shared_offsets(a, b) for error, frames in [bit_error(a, b, o)])
-    return min((x for x in tries if x[0] <= ERRORS and x[2] >= OVERLAP), default=None)
+LINK = "query_class long, link_class long, start int, offset int, bit_error double, frames int"
 
 
 def _judged(batches):
     for batch in batches:
         rows = []
-        q, r, qc, rc = (batch.column(i) for i in range(4))
         for i in range(batch.num_rows):
-            found = alignment(*(x[i].values.to_numpy().view("<u4") for x in (qc, rc)))
+            query, other, own, weak, codes_ = (batch.column(k)[i] for k in range(5))
+            found = alignment(list(zip(_arrays(own, "<u4"), _arrays(weak, "<u8"))), codes_.values.to_numpy().view("<u4"))
             if found:
-                rows.append((q[i].as_py(), r[i].as_py(), found[1], found[0], found[2]))
-        names = ["query_class", "class_id", "offset", "bit_error", "frames"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                rows.append((query.as_py(), other.as_py(), found[1], found[2], found[0], found[3]))
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_class", "link_class", "start", "offset", "bit_error", "frames"])
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """One row per link of a class with starts to another class: ``LINK``; input has class_id, codes, starts, weak."""
+    asked = classes.where(F.col("starts").isNotNull())
+    marks = _keys(classes.select("class_id", "codes"), "class_id")
+    sought = _keys(asked.select("class_id", "starts", "weak"), "query_class")
+    # Landmarks that many classes have are dealt out in parts, each of which meets all queries with them.
+    hot = durable(marks.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > PART).select("key", F.ceil(F.col("often") / PART).alias("parts")), "hot")
+    on = ["key"]
+    if not hot.isEmpty():
+        on = ["key", "part"]
+        sought = sought.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long"))))).drop("parts")
+        marks = marks.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("class_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
+    found = sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id").distinct()
+    query = asked.select(F.col("class_id").alias("query_class"), "starts", "weak")
+    pairs = found.join(query, "query_class").join(classes.select("class_id", "codes"), "class_id")
+    return pairs.select("query_class", "class_id", "starts", "weak", "codes").mapInArrow(_judged, LINK)
 
 
 def search(recordings: DataFrame, queries, id_col: str, media_col: str) -> DataFrame:
-    """One row per recording: id, n_frames, class_id, class_size, is_query, n_links, links.
+    """Every recording with its class, and every link of the classes that were searched for.
 
-    ``queries`` says which rows are searched for, against all rows.  Links are to other classes, by
-    class id with offset, bit error and frames in common; for rows that are no queries they are null.
+    id, n_frames, class_id (least id with its fingerprint), class_size, is_query, and n_links for queries.
+    ``queries`` says which rows are searched for, against all rows.  A class's links stand at the row of its least id,
+    one row each (link_class, start, offset, bit_error, frames); other rows have nulls there.
     """
-    rows = durable(fingerprints(recordings, id_col, media_col).withColumn("is_query", F.coalesce(queries(F.col("id")), F.lit(False))), "codes")
-    sound = rows.where(F.size("codes") > 0)
-    classes = durable(sound.groupBy("codes").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max("is_query").alias("asked")), "classes")
-    marks = durable(_landmarks(classes), "landmarks")
-    asked = marks.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
-    # Landmarks that more than one class has, with the number of parts that their classes are dealt into.
-    shared = marks.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("key", F.ceil(F.col("often") / PART).alias("parts"))
-    probes = asked.join(shared, "key").select(F.col("class_id").alias("query_class"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = marks.join(shared, "key").select("class_id", "key", F.pmod(F.xxhash64("class_id"), "parts").alias("part"))
-    found = probes.join(dealt, ["key", "part"]).where("query_class <> class_id").select("query_class", "class_id").distinct()
-    coded = classes.select(F.col("class_id"), "codes")
-    pairs = found.join(coded.toDF("query_class", "query_codes"), "query_class").join(coded, "class_id").select("query_class", "class_id", "query_codes", "codes")
-    # Of each pair every offset with a landmark in common is judged over all frames.
-    links = pairs.mapInArrow(_judged, "query_class long, class_id long, offset int, bit_error double, frames int")
-    listed = links.groupBy("query_class").agg(F.sort_array(F.collect_list(F.struct("class_id", "offset", "bit_error", "frames"))).alias("links"))
-    known = durable(classes.select("codes", "class_id", "class_size").join(listed.withColumnRenamed("query_class", "class_id"), "class_id", "left"), "links")
-    empty = F.array().cast("array<struct<class_id:bigint,offset:int,bit_error:double,frames:int>>")
-    return rows.join(known, "codes", "left").select(
+    spark = recordings.sparkSession
+    with passing(spark) as keep:
+        rows = keep(durable(fingerprints(recordings, id_col, media_col, queries), "codes"))
+        sound = rows.where(F.size("codes") > 0)
+        first = F.min_by(F.struct("starts", "weak"), F.when(F.col("is_query"), F.col("id")))
+        classes = durable(sound.groupBy("codes").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), first.alias("q")).select("codes", "class_id", "class_size", "q.starts", "q.weak"), "classes")
+        linked = keep(durable(links(classes), "links"))
+        n_links = linked.groupBy(F.col("query_class").alias("class_id")).agg(F.count(F.lit(1)).alias("n_links"))
+        known = keep(durable(classes.select("codes", "class_id", "class_size").join(n_links, "class_id", "left"), "known"))
+    own = rows.select("id", "is_query", "codes").join(known, "codes", "left").select(
         "id",
         F.size("codes").alias("n_frames"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         "is_query",
-        F.when(F.col("is_query"), F.size(F.coalesce("links", empty))).alias("n_links"),
-        F.when(F.col("is_query"), F.coalesce("links", empty)).alias("links"),
+        F.when(F.col("is_query"), F.coalesce("n_links", F.lit(0))).alias("n_links"),
     )
+    at = F.when(F.col("id") == F.col("class_id"), F.col("class_id"))
+    return own.withColumn("query_class", at).join(linked, "query_class", "left").drop("query_class")
 
 
 def sounded(vectors: DataFrame, id_col: str, vector_col: str, note: float = 0.125) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Shared helpers of the training-data operators: inputs, shared folder, durable tables."""
+"""Shared helpers of the training-data operators: inputs, batches and the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import drop_durable, durable, passing, remember, shared_path, shared_root
+
+__all__ = ["bounded_batches", "drop_durable", "durable", "passing", "remember", "shared_path", "shared_root", "table", "whole", "width"]
+
 #: Rows and bytes of one Arrow batch; long texts then never make a batch that outgrows a worker.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -25,49 +26,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_quillon_shared", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-            spark._quillon_shared = root
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    written = getattr(spark, "_quillon_written", [])
-    written.append(path)
-    spark._quillon_written = written
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_durable(spark: SparkSession) -> None:
-    """Delete every table and file folder that this session has written into the shared folder."""
-    for path in getattr(spark, "_quillon_written", []):
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    spark._quillon_written = []
-
-
-def remember(spark: SparkSession, path: str) -> str:
-    """Have drop_durable() delete this path too."""
-    written = getattr(spark, "_quillon_written", [])
-    written.append(path)
-    spark._quillon_written = written
-    return path
-
-
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
