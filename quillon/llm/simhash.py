@@ -9,12 +9,14 @@ over all 64 bits and within blocks of bits.  Two rules follow from the triangle
 
 The second rule brings candidates together (six keys, one for each two blocks), the first discards
 candidates by their largest coordinate difference, and survivors are verified bit by bit.  A key
-with more than ``hot`` fingerprints is dealt anew by the same rule within its remaining bits, at
-most twice, after which eight bits are free and no key can be large; so nothing is capped.  Copies
-of a fingerprint are one row throughout, and each run of candidates gives a spanning forest of its
+with more than ``hot`` fingerprints is dealt anew within its remaining bits, at most twice.  Coordinates
+are equal for several patterns of bits, so rows that are dealt anew carry the bits themselves of the two blocks
+(linked fingerprints have two blocks of equal bits, and hence of equal coordinates), and the last
+level is keyed by bits: eight are left, so that a key has 256 fingerprints at most and nothing is capped.
+Copies of a fingerprint are one row throughout, and each run of candidates gives a spanning forest of its
 links rather than all pairs: components are the same.
 
-Defined cases: null and wordless texts have fingerprint zero and link like any other; ids may be
+Defined cases: null and wordless texts have fingerprint zero and link like any other; ids are whole numbers, may be
 null (a component's id is its least id that is not null) or repeat; an empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, width
+from quillon.llm.common import durable, passing, width
 from quillon.llm.graph import components
 
 LINK = 2
@@ -65,16 +67,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(packed.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp for every row; if asked for also sha, the text's digest."""
+    names = ["doc_id", "sha", "fp"] if digest else ["doc_id", "fp"]
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    own = [F.col(id_col).cast("long").alias("doc_id"), *([_sha(text).alias("sha")] if digest else [])]
+    return docs.select(text.alias("text"), *own).mapInArrow(run, "doc_id long, sha string, fp long" if digest else "doc_id long, fp long")
+
+
+def _sha(text):
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def _signed(x: int) -> int:
@@ -91,8 +99,15 @@ def _coordinates(bits: list[int], refs: list[int]):
     return packed
 
 
-def keyed(rows: DataFrame, free: list[list[int]], refs: list[int]) -> DataFrame:
-    """Each row once for each two blocks of its free bits: ``path`` hashes its earlier path and their coordinates."""
+def _bits(bits: list[int]):
+    return F.col("fp").bitwiseAND(F.lit(_index(bits)))
+
+
+def keyed(rows: DataFrame, free: list[list[int]], refs: list[int], exact: bool) -> DataFrame:
+    """Each row once for each two blocks of its free bits, by the path so far and their coordinates, or bits if ``exact``.
+
+    ``path`` is what brings rows together, ``next`` the path of rows that are dealt anew, by bits, and ``free`` the bits left.
+    """
 
     def cut(bits):
         size = len(bits) // BLOCKS
@@ -104,12 +119,13 @@ def keyed(rows: DataFrame, free: list[list[int]], refs: list[int]) -> DataFrame:
             found = F.when(F.col("free") == _index(bits), value(bits)).otherwise(found)
         return found
 
-    blocks = rows.withColumns({f"block{i}": by_free(lambda bits, i=i: _coordinates(cut(bits)[i], refs)) for i in range(BLOCKS)})
+    blocks = rows.withColumns({f"block{i}": by_free(lambda bits, i=i: _coordinates(cut(bits)[i], refs)) for i in range(BLOCKS)} | {f"bits{i}": by_free(lambda bits, i=i: _bits(cut(bits)[i])) for i in range(BLOCKS)})
     keys = []
     for a, b in combinations(range(BLOCKS), 2):
         rest = by_free(lambda bits, a=a, b=b: F.lit(_index([x for i, block in enumerate(cut(bits)) if i not in (a, b) for x in block])))
-        keys.append(F.struct(F.xxhash64("path", F.lit(a * BLOCKS + b), f"block{a}", f"block{b}").alias("path"), rest.alias("free")))
-    return blocks.select("fp", "near", "far", F.explode(F.array(*keys)).alias("key")).select("fp", "near", "far", "key.path", "key.free")
+        near, same = (F.xxhash64("path", F.lit(a * BLOCKS + b), f"{kind}{a}", f"{kind}{b}") for kind in ("block", "bits"))
+        keys.append(F.struct((same if exact else near).alias("path"), same.alias("next"), rest.alias("free")))
+    return blocks.select("fp", "near", "far", F.explode(F.array(*keys)).alias("key")).select("fp", "near", "far", "key.path", "key.next", "key.free")
 
 
 def _index(bits: list[int]) -> int:
@@ -190,57 +206,65 @@ def _verified(fp, table, i, j):
     return i[good], j[good]
 
 
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links u, v that join what fingerprints within the link distance join; input has a column fp."""
+def runs(distinct: DataFrame, hot: int = HOT):
+    """Frames of fp, near, far, path, one a level: rows with one path are candidates for each other."""
     refs = references()
     packed = [F.lit(0).cast("long"), F.lit(0).cast("long")]
     for j, ref in enumerate(refs):
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(ref)))).cast("long")
         packed[j // 8] = packed[j // 8].bitwiseOR(F.shiftleft(d, 8 * (j % 8)))
-    all_bits = list(range(64))
-    rows = distinct.select("fp", packed[0].alias("near"), packed[1].alias("far"), F.lit(0).cast("long").alias("path"), F.lit(_index(all_bits)).alias("free"))
-    free, found = [all_bits], None
-    for level in range(3):
-        rows = keyed(rows, free, refs)
-        cold = rows
-        if level < 2:
+    free = [list(range(64))]
+    rows = distinct.select("fp", packed[0].alias("near"), packed[1].alias("far"), F.lit(0).cast("long").alias("path"), F.lit(_index(free[0])).alias("free"))
+    while True:
+        last = len(free[0]) <= 16
+        rows = keyed(rows, free, refs, exact=last)
+        crowded = None
+        if not last:
             crowded = durable(rows.groupBy("path", "free").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("path", "free"), "crowded")
-            full = not crowded.isEmpty()
-            if full:
-                cold = rows.join(crowded, ["path", "free"], "left_anti")
-                rows = rows.join(crowded, ["path", "free"], "left_semi")
-        n = width(distinct.sparkSession)
-        ordered = cold.repartition(n, "path", "free").select("fp", "near", "far", "path").sortWithinPartitions("path")
+        if last or crowded.isEmpty():
+            yield rows.select("fp", "near", "far", "path", "free")
+            return
+        yield rows.join(crowded, ["path", "free"], "left_anti").select("fp", "near", "far", "path", "free")
+        rows = rows.join(crowded, ["path", "free"], "left_semi").select("fp", "near", "far", F.col("next").alias("path"), "free")
+        size = len(free[0]) // BLOCKS
+        left = {tuple(x for i in range(BLOCKS) if i not in c for x in bits[i * size : (i + 1) * size]) for bits in free for c in combinations(range(BLOCKS), 2)}
+        free = [list(x) for x in sorted(left)]
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links u, v that join what fingerprints within the link distance join; input has a column fp."""
+    found = None
+    for rows in runs(distinct, hot):
+        ordered = rows.repartition(width(distinct.sparkSession), "path", "free").select("fp", "near", "far", "path").sortWithinPartitions("path")
         new = ordered.mapInArrow(_links, "u long, v long")
         found = new if found is None else found.union(new)
-        if level == 2 or not full:
-            return found.distinct()
-        size = len(free[0]) // BLOCKS
-        free = sorted({tuple(x for i in range(BLOCKS) if i not in c for x in bits[i * size : (i + 1) * size]) for bits in free for c in combinations(range(BLOCKS), 2)})
-        free = [list(x) for x in free]
-    return found
+    return found.distinct()
+
+
+def _classed(fps: DataFrame, least, hot: int) -> DataFrame:
+    """fp, root, least, copies of each distinct fingerprint; ``least`` is taken over rows with one fingerprint."""
+    distinct = durable(fps.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
+    roots = components(links(distinct, hot)).withColumnRenamed("node", "fp")
+    return durable(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classed")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, size of the component in documents."""
-    fps = durable(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
-    roots = components(links(distinct, hot)).withColumnRenamed("node", "fp")
-    classed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classed = durable(classed, "classed")
-    whole = durable(classed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size")), "components")
-    labels = durable(classed.join(whole, "root").select("fp", "component_id", "component_size"), "labels")
+    with passing(docs.sparkSession) as keep:
+        fps = keep(durable(fingerprints(docs, id_col, text_col), "fingerprints"))
+        classed = _classed(fps, F.min("doc_id"), hot)
+        whole = durable(classed.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size")), "components")
+        labels = keep(durable(classed.join(whole, "root").select("fp", "component_id", "component_size"), "labels"))
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return fps.join(labels, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "component_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the least id, with all its columns.
-
-    Of rows that repeat an id and a text one stays; rows with a null id stay beside their group.
-    """
-    groups = near_groups(docs, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    found = found.withColumn("_text_sha", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """Of each component one document with all its columns: that with the least id, or if it has none but null ids the one whose text has the least digest."""
+    with passing(docs.sparkSession) as keep:
+        fps = durable(fingerprints(docs, id_col, text_col, digest=True), "fingerprints")
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
+        stay = keep(durable(_classed(fps, least, hot).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.sha").alias("_sha")), "stay"))
+    marked = docs.withColumn("_text_sha", _sha(F.col(text_col).cast("string")))
+    found = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
     return found.dropDuplicates([id_col, "_text_sha"]).select(*docs.columns)

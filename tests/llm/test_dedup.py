@@ -125,7 +125,23 @@ def test_links_of_dense_fingerprints(spark, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_no_run_outgrows_the_bits_left(spark):
+    """A crowd of fingerprints that differ in nine bits and stays together over two levels: the last has at most 256 in a run."""
+    low = [x | 0xABCD << 16 for x in range(0, 1 << 9)]
+    spread = [sum((x >> i & 1) << (7 * i) for i in range(9)) for x in range(1 << 9)]
+    fps = sorted(set(low + spread))
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    levels = list(simhash.runs(frame, hot=8))
+    sizes = [r.groupBy("path", "free").count().agg(F.max("count")).first()[0] for r in levels]
+    assert len(levels) == 3 and sizes[0] <= 8 and sizes[1] <= 8 and 8 < sizes[2] <= 256
+    found = {r["node"]: r["root"] for r in components(simhash.links(frame, hot=8)).collect()}
+    assert len(set(found.values())) == len({r for r in roots_brute(fps)}) and len(found) == len(fps)
+
+
 def test_keep_one_and_empty(spark):
+    same = [(None, "some words that stand here twice", "x", 1), (None, "Some words that stand here twice", None, 1)]
+    assert simhash.keep_one(docs_of(spark, same)).count() == 1
+    assert [r["doc_id"] for r in simhash.keep_one(docs_of(spark, [*same, (4, same[0][1].upper(), None, 1)])).collect()] == [4]
     rows = [(5, "the same few words here", "x", 1), (3, "The same few words here", None, 2), (9, "all other words stand there alone", None, 1), (9, "all other words stand there alone", None, 1), (None, "quite another text of words", None, 1)]
     kept = simhash.keep_one(docs_of(spark, rows))
     assert kept.columns == ["doc_id", "text", "keep_id", "chunks"]
