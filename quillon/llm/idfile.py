@@ -1,20 +1,21 @@
 """Token ids in binary shards with a minimal perfect hash index from document keys to offsets.
 
-Shards hold the documents of one range of keys, in ascending order; a shard is two files:
+Shards hold the documents of one range of keys, in ascending order (those with one key by the hash of their text,
+so that a key with very many documents may span shards); a shard is two files:
 
 * ``<name>.ids``: the documents' ids one after the other, raw little-endian integers, two bytes each
-  if the vocabulary allows, else four;
+  if all ids of the vocabulary fit, else four; ids that do not fit are an error;
 * ``<name>.idx``: per document its start in the shard; a minimal perfect hash over the distinct keys
   with, in the key's slot, a stored fingerprint of the key and the rows that have it; the keys in order.
 
 Files are written under names that no other attempt uses, and count only once a written manifest
 names them, so a lost executor leaves at most unnamed files.  A lookup hashes the key at most
-``LEVELS`` times, checks the fingerprint, and reads the ids with one range read; the shard
-is found from the manifest's key ranges.
+``LEVELS`` times, checks the fingerprint, and reads the ids with one range read; the shards
+are found from the manifest's key ranges.  Reading all back takes neighbouring documents in blocks of ``READ`` bytes.
 
-Defined cases: null text is the empty text (the end id alone); a null key is stored first, in order,
-but not indexed; rows that repeat a key stay apart, in the order of their texts, and one slot names them all;
-an empty table gives no shards; further columns are ignored.
+Defined cases: null text is the empty text (the end id alone); keys are whole numbers; a null key is stored first, in order,
+but not indexed; rows that repeat a key stay apart, in the order of their texts' hashes, and one slot of each shard names
+them all; an empty table gives no shards; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAGIC = b"QIDX1\0\0\0"
 #: Bits per key in each level of the hash, and how many levels before what is left is listed.
 GAMMA = 2.0
 LEVELS = 40
+#: Bytes of ids that are read at a time; a longer document is read whole.
+READ = 4 << 20
 MANIFEST = "shard int, path string, low long, high long, n_rows long, n_ids long, id_bytes int"
 
 
@@ -138,14 +141,45 @@ class Shard:
 
     def ids(self, source, row: int, id_bytes: int) -> np.ndarray:
         """The ids of one row, by one range read of the open ``.ids`` file."""
-        a, b = int(self.starts[row]), int(self.starts[row + 1])
-        return np.frombuffer(source.read_at((b - a) * id_bytes, a * id_bytes), f"<u{id_bytes}")
-
-
-def write(docs: DataFrame, tokenizer: str, folder: str, id_bytes: int = 2, end: int = END, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+        return next(self.block(source, row, row + 1, id_bytes))
+
+    def block(self, source, first: int, end: int, id_bytes: int):
+        """The ids of each of the rows, neighbours being read together."""
+        while first < end:
+            most = self.starts[first] + READ // id_bytes
+            last = max(first + 1, int(np.searchsorted(self.starts, most, "right")) - 1)
+            last = min(last, end)
+            a, b = int(self.starts[first]), int(self.starts[last])
+            data = np.frombuffer(source.read_at((b - a) * id_bytes, a * id_bytes), f"<u{id_bytes}")
+            for row in range(first, last):
+                yield data[int(self.starts[row]) - a : int(self.starts[row + 1]) - a]
+            first = last
+
+
+def lookup(manifest: list, key: int) -> list[np.ndarray]:
+    """The ids of all documents with a key; ``manifest`` has the manifest's rows."""
+    found = []
+    for m in sorted(manifest, key=lambda m: m["shard"]):
+        if m["low"] is not None and m["low"] <= key <= m["high"]:
+            shard = Shard(m["path"])
+            first, n = shard.find(np.array([key]))
+            if n[0]:
+                with reading(m["path"] + ".ids") as source:
+                    found += [x.copy() for x in shard.block(source, int(first[0]), int(first[0] + n[0]), m["id_bytes"])]
+    return found
+
+
+def id_width(tokenizer: str, end: int = END) -> int:
+    """Bytes that every id of the vocabulary, and the end id, fits into: two or four."""
+    return 2 if max(end, *encoder(tokenizer).library.get_vocab().values()) < 1 << 16 else 4
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, id_bytes: int | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write all documents as shards into ``folder``; the manifest, one row per shard in order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shards or width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    id_bytes = id_bytes or id_width(tokenizer, end)
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange(shards or width(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -163,6 +197,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_bytes: int = 2, end:
                 keys.append(own.drop_null().to_numpy(zero_copy_only=False))
                 for text in batch.column(1):
                     ids = np.append(codec.ids(text.as_py()), np.uint32(end))
+                    if int(ids.max()) >> (8 * id_bytes):
+                        raise ValueError(f"id {ids.max()} does not fit into {id_bytes} bytes")
                     sizes.append(len(ids))
                     out.write(ids.astype(f"<u{id_bytes}").tobytes())
         keys = np.concatenate(keys).astype("<i8")
@@ -199,28 +235,31 @@ def read(manifest: DataFrame) -> DataFrame:
                     for lo in range(0, len(shard.keys), 2048):
                         keys = shard.keys[lo : lo + 2048]
                         first, rows = shard.find(keys)
-                        if not rows.all():
+                        if not rows.all() or (first[1:] != (first + rows)[:-1]).any():
                             raise ValueError(f"{path} does not know its keys")
-                        which = [(int(k), r) for k, f, n in zip(keys, first.tolist(), rows.tolist()) for r in range(f, f + n)]
-                        yield _rows(shard, source, which, before, size)
+                        yield from _rows(shard, source, np.repeat(keys, rows).tolist(), int(first[0]), before, size)
                     for lo in range(0, shard.nulls, 2048):
-                        yield _rows(shard, source, [(None, r) for r in range(lo, min(lo + 2048, shard.nulls))], before, size)
+                        yield from _rows(shard, source, [None] * (min(lo + 2048, shard.nulls) - lo), lo, before, size)
 
     return listed.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _rows(shard, source, which, before, size):
-    found = [shard.ids(source, r, size) for _, r in which]
-    columns = [
-        pa.array([k for k, _ in which], pa.int64()),
-        pa.array([before + int(shard.starts[r]) for _, r in which], pa.int64()),
-        pa.array([len(x) for x in found], pa.int64()),
-        pa.array([crc(x) for x in found], pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _rows(shard, source, keys, first, before, size):
+    """Batches of read-back rows for keys whose rows begin at ``first``."""
+    ids = shard.block(source, first, first + len(keys), size)
+    for lo in range(0, len(keys), 2048):
+        own = keys[lo : lo + 2048]
+        found = [(len(x), crc(x)) for _, x in zip(own, ids)]
+        columns = [
+            pa.array(own, pa.int64()),
+            pa.array(before + shard.starts[first + lo : first + lo + len(own)], pa.int64()),
+            pa.array([n for n, _ in found], pa.int64()),
+            pa.array([c for _, c in found], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, id_bytes: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, id_bytes: int | None = None) -> DataFrame:
     """Write the documents into a fresh shared folder and read them all back by key."""
     folder = remember(docs.sparkSession, shared_path(docs.sparkSession, "ids"))
     return read(write(docs, tokenizer, folder, id_bytes))
