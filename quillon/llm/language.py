@@ -1,13 +1,13 @@
 """Language identification by nearest centroid over normalised TF-IDF n-gram vectors.
 
-A text is lower-cased, everything but letters becomes one space, and its character bigrams and
-trigrams are hashed into ``DIMS`` counters.  Weights are log counts times inverse document frequency,
+A text is lower-cased, each character but letters and marks becomes a space, and its character bigrams and
+trigrams (but those whose last two characters are spaces) are hashed into ``DIMS`` counters.  Weights are log counts times inverse document frequency,
 scaled to length one.  Each language has several centroids from spherical k-means; the nearest by
 cosine gives the language, its cosine the score.  A text is rejected if its distance from that centroid is
 beyond what the centroid's own training texts show, with slack for short texts.
 
-Fitting uses at most ``SAMPLE`` labelled texts per language, chosen by hashed id; predicting reads
-whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
+Fitting uses at most ``SAMPLE`` labelled texts of each of the ``LANGUAGES`` labels with most texts, chosen by
+hashed id; predicting reads whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
 rejected; ties go to the language first in order; without any labelled text all is ``und``; an empty
 table gives no rows; repeated rows are predicted alike.
 """
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 SAMPLE = 400
 #: All languages together: the sample per language shrinks beyond ten languages.
 SAMPLE_ALL = 4000
+#: Labels that a fit learns at most, those with most texts.
+LANGUAGES = 500
 DIMS = 4096
 CENTROIDS = 4
 #: Part of the low end of the training texts' cosines that a text has to reach.
@@ -147,15 +149,16 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     """Fit on at most ``sample`` labelled texts per language (``sample_all`` in all) of the rows for which ``learn`` holds."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # Labels are counted over all rows; only so many are then read that about the sample comes back.
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
+    counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return fit([])
     sample = max(1, min(sample, sample_all // len(sizes)))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    bound = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        bound = F.when(F.col(lang_col) == lang, int(min(1.0, 1.1 * sample / n) * (1 << 30))).otherwise(bound)
-    some = rows.where(draw < bound).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # One row a label that is learned: a table of bounded size.
+    bounds = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 1.1 * sample / n) * (1 << 30))) for lang, n in sorted(sizes.items())], "lang string, bound long")
+    drawn = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
+    some = drawn.join(F.broadcast(bounds), "lang").where("draw < bound").select("lang", "text")
     taken: dict[str, list[np.ndarray]] = {}
     for r in _vectors(some).where("letters > 0").toLocalIterator():
         own = taken.setdefault(r["lang"], [])
