@@ -2,7 +2,8 @@
 
 A package is a ZIP file whose members are all stored, not compressed: ``archive/data.warc.gz`` with
 one gzip member per record, and ``indexes/index.cdxj`` with a line per record: its offset in the
-archive member and its length.  The reader parses the end-of-directory record, the ZIP64 locator and
+archive member and its length.  Packages of other makers may have any number of archives (archive/*.warc.gz, or plain
+*.warc) and indexes (*.cdxj, *.cdx.gz and so on, lines of JSON or of the usual eleven fields), which may be compressed.  The reader parses the end-of-directory record, the ZIP64 locator and
 directory and the central directory, finds where the stored members' bytes lie, and reads single
 records by range, neither unpacking the ZIP file nor scanning the archive.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -116,29 +118,73 @@ def directory(source) -> dict[str, dict]:
 
 
 class Package:
-    """Range reads of a package's records."""
+    """Range reads of a package's records, from any number of archive members and indexes."""
 
     def __init__(self, source):
         self.source, self.members = source, directory(source)
-        for name in (ARCHIVE, INDEX):
-            if self.members[name]["method"] != 0:
-                raise ValueError(f"{name} is compressed")
-
-    def index(self, block: int = 1 << 20):
-        """Index lines in order, read in bounded blocks."""
-        m, at, rest = self.members[INDEX], 0, b""
+        self.archives = {name.rsplit("/", 1)[-1]: m for name, m in self.members.items() if name.startswith("archive/") and name.endswith((".warc", ".warc.gz"))}
+        self.indexes = sorted(name for name in self.members if name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name))
+        for name, m in self.archives.items():
+            if m["method"] != 0:
+                raise ValueError(f"{name} is compressed as a member: its records can't be read by range")
+        if not self.indexes:
+            raise ValueError("the package has no index")
+
+    def _blocks(self, name: str, block: int):
+        """A member's bytes, unpacked if they are packed as a member or as gzip, in bounded blocks."""
+        m, at = self.members[name], 0
+        layers = [-15] * (m["method"] == 8) + [31] * name.endswith(".gz")
+        if m["method"] not in (0, 8):
+            raise ValueError(f"{name} is packed by method {m['method']}")
+        open_layers = [zlib.decompressobj(x) for x in layers]
         while at < m["size"]:
-            data = rest + self.source.read_at(min(block, m["size"] - at), m["data"] + at)
+            data = self.source.read_at(min(block, m["size"] - at), m["data"] + at)
             at += block
-            *lines, rest = data.split(b"\n")
-            yield from (json.loads(x.split(b" ", 2)[2]) for x in lines)
+            for i, bits in enumerate(layers):
+                out = []
+                while data:
+                    out.append(open_layers[i].decompress(data))
+                    data = open_layers[i].unused_data
+                    if not open_layers[i].eof:
+                        break
+                    if data:  # one gzip member after the other
+                        open_layers[i] = zlib.decompressobj(bits)
+                data = b"".join(out)
+            yield data
 
-    def record(self, offset: int, length: int) -> bytes:
+    def index(self, block: int = 1 << 20):
+        """filename, offset and length of each index line, in order; header lines and those without a place are passed over."""
+        for name in self.indexes:
+            rest = b""
+            for data in self._blocks(name, block):
+                *lines, rest = (rest + data).split(b"\n")
+                yield from filter(None, map(_place, lines))
+            if rest:
+                yield from filter(None, [_place(rest)])
+
+    def record(self, offset: int, length: int, filename: str = "data.warc.gz") -> bytes:
         """One record, unpacked."""
-        m = self.members[ARCHIVE]
+        m = self.archives[filename]
         if offset + length > m["size"]:
             raise ValueError("record beyond its archive")
-        return zlib.decompress(self.source.read_at(length, m["data"] + offset), 31)
+        data = self.source.read_at(length, m["data"] + offset)
+        return zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
+
+
+def _place(line: bytes) -> dict | None:
+    """Where an index line says that its record lies."""
+    text = line.decode().strip()
+    if text.startswith(("!", "CDX ")) or not text:
+        return None
+    brace = text.find("{")
+    if brace >= 0:
+        fields = json.loads(text[brace:])
+    else:  # the eleven fields of plain CDX end in length, offset and file name
+        own = text.split()
+        fields = dict(zip(("length", "offset", "filename"), own[-3:])) if len(own) == 11 else {}
+    if not {"filename", "offset", "length"} <= fields.keys():
+        return None
+    return fields | {"filename": fields["filename"].rsplit("/", 1)[-1], "offset": int(fields["offset"]), "length": int(fields["length"])}
 
 
 # --- WARC records ------------------------------------------------------------------------------
@@ -197,8 +243,10 @@ def planned(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_c
     groups = durable(groups, "payloads")
     if groups.where("most > 1").isEmpty():
         nth = rows.withColumn("nth", F.lit(1))
-    else:  # rows that repeat an id and a payload: number them
-        nth = rows.withColumn("nth", F.expr("row_number() OVER (PARTITION BY sha, page_id ORDER BY url)"))
+    else:  # of rows that repeat an id and a payload the first by its stored place is the response
+        rows = durable(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
+        first = rows.join(groups.where("most > 1").select("sha", F.col("keep").alias("page_id")), ["sha", "page_id"], "left_semi").groupBy("sha").agg(F.min("at").alias("first"))
+        nth = rows.join(durable(first, "first"), "sha", "left").withColumn("nth", F.when(F.col("first").isNull() | (F.col("at") == F.col("first")), 1).otherwise(2))
     met = nth.join(groups.select("sha", "keep", F.lit(True).alias("shared")), "sha", "left")
     revisit = F.coalesce("shared", F.lit(False)) & (size >= least) & ~(F.col("page_id").eqNullSafe(F.col("keep")) & (F.col("nth") == 1))
     return met.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("keep")).alias("refers_to"))
@@ -265,7 +313,7 @@ def read(packages: DataFrame) -> DataFrame:
                 with reading(path) as source:
                     package, found = Package(source), []
                     for line in package.index():
-                        found.append(row(parse(package.record(line["offset"], line["length"]))))
+                        found.append(row(parse(package.record(line["offset"], line["length"], line["filename"]))))
                         if len(found) == 1024:
                             yield pa.RecordBatch.from_pylist(found, ROWS)
                             found = []
