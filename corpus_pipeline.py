@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, language, packing, simhash
-from quillon.llm.common import bounded_batches, durable, table
+from quillon.llm.common import bounded_batches, durable, passing, table
 from quillon.llm.corpus_queries import held_out, vocabulary
 
 
@@ -43,7 +43,8 @@ STAGES = [("language_id", known_language), ("exact_dedup", exact), ("simhash_nea
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        with passing(spark) as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(durable(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -11,7 +11,7 @@ items to place as there are groups in the level, and from each group only that m
 sequences can take one in: a task's input is bounded by the number of groups, not by the rows, and
 nothing that could be merged is left behind.
 
-Defined cases: null text is the empty text and makes a piece of one end token; repeated rows are
+Defined cases: ids are whole numbers or null; null text is the empty text and makes a piece of one end token; repeated rows are
 packed each for itself, in their own right; an empty table gives no rows; further columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable
+from quillon.llm.common import durable, passing
 from quillon.llm.tokens import crc, encoder
 
 LENGTH = 2048
@@ -147,10 +147,8 @@ def _composed(moves: list[DataFrame]) -> DataFrame:
     return done
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, end: int = END, slack: int = SLACK, fan: int = FAN) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = durable(rows.mapInArrow(_packed(tokenizer, capacity, end), PIECES), "pieces")
+def _moves(pieces: DataFrame, capacity: int, slack: int, fan: int) -> list[DataFrame]:
+    """Where each level of the tree moves sequences: grp, seq, to_grp, to_seq, shift."""
     bins = durable(pieces.groupBy("grp", "seq").agg(F.sum("length").alias("fill")).withColumn("node", F.col("grp")), "bins")
     groups = bins.agg(F.max("grp")).first()[0]
     level = (groups or 0) + 1
@@ -158,18 +156,25 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     bins = _carried(bins, level, capacity, slack)
     while level > 1:
         met = bins.withColumn("node", (F.col("node") / fan).cast("int"))
-        out = durable(
-            met.groupBy("node").applyInPandas(_merge(capacity), "grp int, seq int, to_grp int, to_seq int, shift long, fill long, node int"), "level"
-        )
+        out = durable(met.groupBy("node").applyInPandas(_merge(capacity), "grp int, seq int, to_grp int, to_seq int, shift long, fill long, node int"), "level")
         moves.append(out.where("grp <> to_grp OR seq <> to_seq").select("grp", "seq", "to_grp", "to_seq", "shift"))
         level = -(-level // fan)
         bins = _carried(out.where("fill > 0").select("grp", "seq", "fill", "node"), level, capacity, slack)
-    if moves:
-        pieces = (
-            pieces.join(durable(_composed(moves), "moves"), ["grp", "seq"], "left")
-            .withColumn("at", F.col("at") + F.coalesce("shift", F.lit(0)))
-            .withColumn("grp", F.coalesce("to_grp", "grp"))
-            .withColumn("seq", F.coalesce("to_seq", "seq"))
-        )
+    return moves
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = LENGTH, end: int = END, slack: int = SLACK, fan: int = FAN) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with passing(docs.sparkSession) as keep:
+        pieces = keep(durable(rows.mapInArrow(_packed(tokenizer, capacity, end), PIECES), "pieces"))
+        moves = _moves(pieces, capacity, slack, fan)
+        if moves:
+            pieces = (
+                pieces.join(keep(durable(_composed(moves), "moves")), ["grp", "seq"], "left")
+                .withColumn("at", F.col("at") + F.coalesce("shift", F.lit(0)))
+                .withColumn("grp", F.coalesce("to_grp", "grp"))
+                .withColumn("seq", F.coalesce("to_seq", "seq"))
+            )
     number = F.shiftleft(F.col("grp").cast("long"), 32) + F.col("seq")
     return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), F.col("at").alias("offset"))

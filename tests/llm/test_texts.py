@@ -1,6 +1,7 @@
 """Language ID, license scans, page extraction, archives, audio and the pipeline."""
 
 import io
+import math
 import random
 import wave
 import zipfile
@@ -24,6 +25,50 @@ def test_counts_in_blocks(monkeypatch):
     assert language.counts(None)[1] == 0 and language.counts("123 !?")[1] == 0
 
 
+def plain_counts(text):
+    """n-grams of a text one by one."""
+    import unicodedata
+
+    low = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    found = np.zeros(language.DIMS, np.int64)
+    mask = 2**32 - 1
+    for i, c in enumerate(low):
+        a, b = (low[j] if j >= 0 else " " for j in (i - 2, i - 1))
+        if b == c == " ":
+            continue
+        two = ((ord(b) * 0x9E3779B1 & mask) ^ (ord(c) * 0x85EBCA77 & mask)) * 0xC2B2AE3D & mask
+        three = (two ^ (ord(a) * 0x27D4EB2F & mask)) * 0x165667B1 & mask
+        for x in (two, three):
+            found[x >> (32 - (language.DIMS.bit_length() - 1))] += 1
+    return found
+
+
+def test_counts_and_cosines_one_by_one(spark):
+    r = random.Random(8)
+    texts = ["", "a", "Ab", " x ", "Über-Straße 3 résumé", "\u0301\U0001d400 \U00020000x", "ab" * 70000 + " end"] + ["".join(r.choice("abcé ß,.1\n中") for _ in range(r.randint(0, 200))) for _ in range(60)]
+    for text in texts:
+        assert (language.counts(text)[0] == plain_counts(text)).all(), text[:50]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.train(docs, ~held_out())
+    for row in language.predict(docs, model).select("text", "lang_pred", "score").limit(40).collect():
+        weights = [math.log1p(n) * float(w) for n, w in zip(plain_counts(row["text"] or ""), model.idf)]
+        size = math.sqrt(sum(w * w for w in weights)) or 1.0
+        cosines = [sum(w * float(c) for w, c in zip(weights, centre)) / size for centre in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        if row["lang_pred"] != "und":
+            assert row["lang_pred"] == model.languages[model.owner[best]] and row["score"] == pytest.approx(cosines[best], abs=1e-4)
+
+
+def test_many_labels(spark, monkeypatch):
+    """A dirty label column: the labels with most texts are learned, all texts are predicted."""
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    dirty = docs.unionByName(docs.limit(60).withColumn("lang", F.concat(F.lit("dirt "), F.col("doc_id").cast("string"))))
+    model = language.train(dirty, F.lit(True))
+    common = [r[0] for r in docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect()]
+    assert model.languages == sorted(common) and language.predict(dirty, model).count() == dirty.count()
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.train(docs, ~held_out())
@@ -155,7 +200,47 @@ def test_short_notices_in_other_words():
         assert [x["license"] for x in own.scan(text)] == want, text
 
 
+class EveryTemplate(license_scan.Scanner):
+    """Brute force: every window with every template, whatever words they share."""
+
+    def candidates(self, ws):
+        return sorted((0, len(ws), k) for k in self.words) if len(ws) > 1 else []
+
+
+def test_licenses_against_every_template(spark):
+    r, own, brute = random.Random(3), license_scan.Scanner(), EveryTemplate()
+    texts = [row[0] for row in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").where("text IS NOT NULL").collect() if any(c in row[0].lower() for c in license_scan.CUES)][:40]
+    names = sorted(license_scan.TEMPLATES)
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            ws = license_scan.TEMPLATES[r.choice(names)].split()
+            for _ in range(r.choice([0, 0, 1, 3, len(ws) // 6])):  # words lost, changed or added
+                i = r.randrange(len(ws))
+                ws[i : i + 1] = r.choice([[], ["other"], [ws[i], "more"]])
+                ws = ws or ["license"]
+            parts += [" ".join(ws), " ".join(r.choice(PROSE.split()) for _ in range(r.randint(0, 40)))]
+        texts.append(r.choice([" ", "\n\n"]).join(parts))
+    found = [[[(x["license"], x["at"], x["end"]) for x in scan(t)] for t in texts] for scan in (own.scan, brute.scan)]
+    assert sum(map(len, found[0])) > 60
+    lost = [(t, a, b) for t, a, b in zip(texts, *found) if {x[0] for x in b} - {x[0] for x in a}]
+    assert not lost, lost[:2]
+
+
+def test_long_templates_and_long_texts():
+    """A template far longer than the least window, in a text far longer than that."""
+    r = random.Random(5)
+    long = " ".join(f"term{r.randint(0, 400)}" for _ in range(1600))
+    own = license_scan.Scanner(license_scan.TEMPLATES | {"Long-1.0": f"Terms of a long license. {long} End of the terms."})
+    for before in (0, 3000, 30000):
+        text = f"{PROSE * (before // 30)} Terms of a long license. {long} End of the terms. {PROSE * 40}"
+        assert [x["license"] for x in own.scan(text)] == ["Long-1.0"]
+    text = PROSE * 20000 + license_scan.TEMPLATES["MIT-text"] + PROSE * 20000
+    assert [x["license"] for x in license_scan.scanner().scan(text)] == ["MIT"]
+
+
 def test_license_rows(spark):
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "Released under the MIT License.\n\nWords.\nLicensed under CC BY 4.0", "x"), (2, None, None), (1, "Released under the MIT License.", None)]
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license string")).collect()
     assert sorted((r["doc_id"], r["nth"], r["license"]) for r in found) == [(1, 0, "MIT"), (1, 0, "MIT"), (1, 1, "CC-BY-4.0")]
@@ -333,6 +418,35 @@ class Source:
         return self.data[at : at + n]
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_packages_of_other_makers(packed):
+    """Several archives, one of them plain; compressed and plain indexes, as JSON lines and in eleven fields."""
+    import gzip
+    import json
+
+    records = [warc.record(i, f"http://a/{i}", f"<p>page {i}</p>".encode()) for i in range(60)]
+    archives, lines = {"one.warc.gz": b"", "two.warc.gz": b"", "three.warc": b""}, {}
+    for i, data in enumerate(records):
+        name = list(archives)[i % 3]
+        own = gzip.compress(data) if name.endswith(".gz") else data
+        lines.setdefault(name, []).append((i, len(archives[name]), len(own)))
+        archives[name] += own
+    cdxj = "".join(f"a,a)/{i} 20200101000000 {json.dumps({'filename': n, 'offset': str(o), 'length': str(size)})}\n" for n in ("one.warc.gz", "two.warc.gz") for i, o, size in lines[n])
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"a,a)/{i} 20200101000000 http://a/{i} text/html 200 X - - {size} {o} three.warc\n" for i, o, size in lines["three.warc"])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in archives.items():
+            z.writestr(f"archive/{name}", data)
+        half = cdxj.index("\n", len(cdxj) // 2) + 1
+        z.writestr("indexes/index.cdx.gz", gzip.compress(cdxj[:half].encode()) + gzip.compress(cdxj[half:].encode()))
+        z.writestr("indexes/plain.cdx", cdx.strip(), zipfile.ZIP_DEFLATED if packed else zipfile.ZIP_STORED)
+        z.writestr("pages/pages.jsonl", "{}")
+    package = warc.Package(Source(out.getvalue()))
+    for block in (7, 1 << 20):
+        found = [package.record(x["offset"], x["length"], x["filename"]) for x in package.index(block)]
+        assert sorted(found) == sorted(records)
+
+
 def test_zip_directories():
     out = io.BytesIO()
     made = warc.ZipWriter(out)

@@ -97,6 +97,43 @@ def test_keyed_access(spark):
         assert shard.ids(source, int(first[0]), 2).tolist() == [*own.encode("some words here", add_special_tokens=False).ids, 0]
 
 
+def test_ids_that_need_four_bytes(spark, tmp_path):
+    """A vocabulary with ids above 65,535: four bytes are chosen, and two are refused."""
+    import json
+
+    spec = json.loads(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read())
+    spec["added_tokens"].append({"id": 70000, "content": "<|far|>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    spec["model"]["vocab"]["<|far|>"] = 70000
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(spec))
+    own = __import__("tokenizers").Tokenizer.from_file(str(path))
+    ids = own.encode("a <|far|> b", add_special_tokens=False).ids
+    assert max(ids) >= 1 << 16 and idfile.id_width(str(path)) == 4 and idfile.id_width(vocabulary("byte_bpe_50k.json")) == 2
+    rows = docs(spark, [(1, "a <|far|> b", 1, None)])
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in idfile.round_trip(rows, str(path)).collect()] == [(len(ids) + 1, tokens.crc(np.array([*ids, 0])))]
+    with pytest.raises(Exception, match="does not fit"):
+        idfile.round_trip(rows, str(path), 2).collect()
+
+
+def test_a_key_over_many_shards(spark, monkeypatch):
+    from quillon.llm.common import shared_path
+
+    monkeypatch.setattr(idfile, "READ", 64)
+    own = library("byte_bpe_50k.json")
+    rows = [(7, f"text number {i}", 1, None) for i in range(300)] + [(None, f"no key {i}", 1, None) for i in range(50)] + [(i, "other", 1, None) for i in range(20, 60)]
+    manifest = idfile.write(docs(spark, rows), vocabulary("byte_bpe_50k.json"), shared_path(spark, "ids"), shards=8)
+    listed = manifest.collect()
+    assert sum(m["low"] is not None and m["low"] <= 7 <= m["high"] for m in listed) > 1
+    want = sorted([*own.encode(t, add_special_tokens=False).ids, 0] for i, t, *_ in rows if i == 7)
+    assert sorted(x.tolist() for x in idfile.lookup(listed, 7)) == want and idfile.lookup(listed, 8) == []
+    found = idfile.read(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None] * 50 + [7] * 300 + list(range(20, 60))
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def check_packed(rows, found, capacity, own):
     pieces, sequences = {}, {}
     for r in found:
