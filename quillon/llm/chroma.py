@@ -7,10 +7,10 @@ of Gray code, and a frame's 32 bits are packed into one integer.
 A copy seldom starts where a frame of the original does, so queries are fingerprinted from ``PHASES``
 starts within one hop.  Two frames in a row are a landmark.  Queries look up each of their landmarks,
 and those that come of it by turning over any of its ``WEAK`` weakest bits, the ones whose filter values lie nearest
-to a quantisation bound; each offset that a common landmark votes for is judged by the share of bits
-that differ over the whole overlap.
+to a quantisation bound.  Landmarks in common vote for offsets; recordings with ``VOTES`` votes in one bin of the
+histogram are candidates, of which each offset that has a vote is judged by the share of bits that differ over the whole overlap.
 
-A link is an offset, from one of the query's starts, at which both share a landmark, overlap by ``OVERLAP`` frames
+A link is an offset of a candidate, from one of the query's starts, at which both share a landmark, overlap by ``OVERLAP`` frames
 and differ in at most ``ERRORS`` of the bits; of a pair's the one with least bit error is given.  Unrelated
 recordings differ in over a quarter of the bits at any such offset.  Landmarks with silence count for nothing; those
 that many recordings have are dealt out in parts.  Equal fingerprints are one class, searched once.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import durable, passing
+from quillon.llm.common import durable, passing, width
 
 RATE = 4000
 FRAME, HOP = 1024, 256
@@ -43,11 +43,16 @@ FILTERS = [(kind, first, bands, frames) for kind, bands, frames in ((1, 4, 8), (
 STEP = 0.25
 PHASES = 4
 WEAK = 3
+VOTES = 2
+#: Frames in a bin of offsets; bins overlap by half.
+BIN = 8
 ERRORS = 0.1
 #: Least frames that an overlap must have.
 OVERLAP = 40
 #: Classes with one landmark that are joined in one part.
 PART = 4096
+#: Candidates of a query that are judged in one task.
+JUDGED = 65536
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
@@ -200,23 +205,24 @@ def _arrays(scalar, kind: str) -> list[np.ndarray]:
 
 
 def _keys(rows: DataFrame, name: str) -> DataFrame:
-    """``name`` and key: distinct landmarks of each class, or of each query those to look up."""
+    """``name``, key and place (in frames) of each landmark of a class, or of each query those to look up."""
 
     def run(batches):
         for batch in batches:
             owner, found = batch.column(0).to_numpy(), []
             for i in range(batch.num_rows):
                 if batch.num_columns == 2:
-                    found.append(np.unique(landmarks(batch.column(1)[i].values.to_numpy().view("<u4"))[0]))
+                    found.append(landmarks(batch.column(1)[i].values.to_numpy().view("<u4")))
                 else:
                     each = zip(_arrays(batch.column(1)[i], "<u4"), _arrays(batch.column(2)[i], "<u8"))
-                    found.append(np.unique(np.concatenate([probes(own, weak)[0] for own, weak in each])))
-            owners = np.repeat(owner, [len(x) for x in found])
-            keys = np.concatenate(found).astype("<u8").view("<i8") if found else np.zeros(0, np.int64)
+                    found.append(tuple(np.concatenate(x) for x in zip(*(probes(own, weak) for own, weak in each))))
+            owners = np.repeat(owner, [len(x) for x, _ in found])
+            keys = np.concatenate([x for x, _ in found]).astype("<u8").view("<i8") if found else np.zeros(0, np.int64)
+            places = np.concatenate([x for _, x in found]).astype(np.int32) if found else np.zeros(0, np.int32)
             for at in range(0, len(keys), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(owners[at : at + 65536]), pa.array(keys[at : at + 65536])], [name, "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536]) for x in (owners, keys, places)], [name, "key", f"{name}_at"])
 
-    return rows.mapInArrow(run, f"{name} long, key long")
+    return rows.mapInArrow(run, f"{name} long, key long, {name}_at int")
 
 
 def shared_offsets(own: np.ndarray, weak: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -242,13 +248,20 @@ LINK = "query_class long, link_class long, start int, offset int, bit_error doub
 
 
 def _judged(batches):
+    """Rows sorted by query: first the query itself (its starts and weak bits), then each candidate's codes."""
+    asked, query = None, []
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
-            query, other, own, weak, codes_ = (batch.column(k)[i] for k in range(5))
-            found = alignment(list(zip(_arrays(own, "<u4"), _arrays(weak, "<u8"))), codes_.values.to_numpy().view("<u4"))
+            owner, other, own, weak, codes_ = (batch.column(k)[i] for k in range(5))
+            if not other.is_valid:
+                asked, query = owner.as_py(), list(zip(_arrays(own, "<u4"), _arrays(weak, "<u8")))
+                continue
+            if owner.as_py() != asked:
+                raise ValueError("candidates without their query")
+            found = alignment(query, codes_.values.to_numpy().view("<u4"))
             if found:
-                rows.append((query.as_py(), other.as_py(), found[1], found[2], found[0], found[3]))
+                rows.append((asked, other.as_py(), found[1], found[2], found[0], found[3]))
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
         columns = list(zip(*rows)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_class", "link_class", "start", "offset", "bit_error", "frames"])
@@ -266,10 +279,18 @@ def links(classes: DataFrame) -> DataFrame:
         on = ["key", "part"]
         sought = sought.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long"))))).drop("parts")
         marks = marks.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("class_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
-    found = sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id").distinct()
-    query = asked.select(F.col("class_id").alias("query_class"), "starts", "weak")
-    pairs = found.join(query, "query_class").join(classes.select("class_id", "codes"), "class_id")
-    return pairs.select("query_class", "class_id", "starts", "weak", "codes").mapInArrow(_judged, LINK)
+    offset = F.col("class_id_at") - F.col("query_class_at")
+    bins = F.array(*[F.floor((offset + shift) / BIN) * 2 + side for side, shift in ((0, 0), (1, BIN // 2))])
+    votes = sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id", F.explode(bins).alias("bin"))
+    voted = votes.groupBy("query_class", "class_id", "bin").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
+    found = durable(voted.select("query_class", "class_id").distinct(), "candidates")
+    # A query's candidates follow it through a task, those of one with very many in parts; only their codes move.
+    dealt = found.groupBy("query_class").agg(F.ceil(F.count(F.lit(1)) / JUDGED).alias("parts"))
+    query = asked.select(F.col("class_id").alias("query_class"), "starts", "weak").join(dealt, "query_class").select("query_class", F.lit(None).cast("long").alias("class_id"), "starts", "weak", F.lit(None).cast("array<int>").alias("codes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    nothing = [F.lit(None).cast(query.schema[c].dataType).alias(c) for c in ("starts", "weak")]
+    others = found.join(dealt, "query_class").join(classes.select("class_id", "codes"), "class_id").select("query_class", "class_id", *nothing, "codes", F.pmod(F.xxhash64("class_id"), "parts").alias("part"))
+    ordered = query.unionByName(others).repartition(width(classes.sparkSession), "query_class", "part").sortWithinPartitions("query_class", "part", F.col("class_id").asc_nulls_first())
+    return ordered.drop("part").mapInArrow(_judged, LINK)
 
 
 def search(recordings: DataFrame, queries, id_col: str, media_col: str) -> DataFrame:
