@@ -5,12 +5,12 @@ picture, taken from its integral image, make 16 filter values per frame; each is
 of Gray code, and a frame's 32 bits are packed into one integer.
 
 A copy seldom starts where a frame of the original does, so queries are fingerprinted from ``PHASES``
-starts within one hop.  Two frames in a row are a landmark.  Queries look up each of their landmarks,
+starts within one hop.  Two frames ``GAP`` apart, far enough for their bits to differ by chance, are a landmark.  Queries look up each of their landmarks,
 and those that come of it by turning over any of its ``WEAK`` weakest bits, the ones whose filter values lie nearest
-to a quantisation bound.  Landmarks in common vote for offsets; recordings with ``VOTES`` votes in one bin of the
-histogram are candidates, of which each offset that has a vote is judged by the share of bits that differ over the whole overlap.
+to a quantisation bound.  Landmarks in common vote for offsets, and each offset that
+has a vote is judged by the share of bits that differ over the whole overlap.
 
-A link is an offset of a candidate, from one of the query's starts, at which both share a landmark, overlap by ``OVERLAP`` frames
+A link is an offset, from one of the query's starts, at which both share a landmark, overlap by ``OVERLAP`` frames
 and differ in at most ``ERRORS`` of the bits; of a pair's the one with least bit error is given.  Unrelated
 recordings differ in over a quarter of the bits at any such offset.  Landmarks with silence count for nothing; those
 that many recordings have are dealt out in parts.  Equal fingerprints are one class, searched once.
@@ -43,9 +43,8 @@ FILTERS = [(kind, first, bands, frames) for kind, bands, frames in ((1, 4, 8), (
 STEP = 0.25
 PHASES = 4
 WEAK = 3
-VOTES = 2
-#: Frames in a bin of offsets; bins overlap by half.
-BIN = 8
+#: Frames between the two of a landmark.
+GAP = 4
 ERRORS = 0.1
 #: Least frames that an overlap must have.
 OVERLAP = 40
@@ -143,17 +142,17 @@ def starts(media: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
     for phase in range(PHASES):
         own, firm = codes(chroma(data[phase * HOP // PHASES :]))
         # A landmark's first code stands in its upper half.
-        both = np.concatenate([firm[1:], firm[:-1]], axis=1)
+        both = np.concatenate([firm[GAP:], firm[:-GAP]], axis=1)
         weakest = np.argsort(both, axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
         found.append((own, (np.uint64(1) << weakest).sum(axis=1, dtype=np.uint64)))
     return found
 
 
 def landmarks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each two frames in a row, neither of them silent, and where they stand."""
-    keys = own[:-1].astype(np.uint64) << np.uint64(32) | own[1:]
+    """Key of each two frames ``GAP`` apart, neither of them silent, and where they stand."""
+    keys = own[:-GAP].astype(np.uint64) << np.uint64(32) | own[GAP:]
     sound = own != _silence()
-    at = np.flatnonzero(sound[:-1] & sound[1:])
+    at = np.flatnonzero(sound[:-GAP] & sound[GAP:])
     return keys[at], at
 
 
@@ -205,29 +204,28 @@ def _arrays(scalar, kind: str) -> list[np.ndarray]:
 
 
 def _keys(rows: DataFrame, name: str) -> DataFrame:
-    """``name``, key and place (in frames) of each landmark of a class, or of each query those to look up."""
+    """``name`` and key: distinct landmarks of each class, or of each query those to look up."""
 
     def run(batches):
         for batch in batches:
             owner, found = batch.column(0).to_numpy(), []
             for i in range(batch.num_rows):
                 if batch.num_columns == 2:
-                    found.append(landmarks(batch.column(1)[i].values.to_numpy().view("<u4")))
+                    found.append(np.unique(landmarks(batch.column(1)[i].values.to_numpy().view("<u4"))[0]))
                 else:
                     each = zip(_arrays(batch.column(1)[i], "<u4"), _arrays(batch.column(2)[i], "<u8"))
-                    found.append(tuple(np.concatenate(x) for x in zip(*(probes(own, weak) for own, weak in each))))
-            owners = np.repeat(owner, [len(x) for x, _ in found])
-            keys = np.concatenate([x for x, _ in found]).astype("<u8").view("<i8") if found else np.zeros(0, np.int64)
-            places = np.concatenate([x for _, x in found]).astype(np.int32) if found else np.zeros(0, np.int32)
+                    found.append(np.unique(np.concatenate([probes(own, weak)[0] for own, weak in each])))
+            owners = np.repeat(owner, [len(x) for x in found])
+            keys = np.concatenate(found).astype("<u8").view("<i8") if found else np.zeros(0, np.int64)
             for at in range(0, len(keys), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536]) for x in (owners, keys, places)], [name, "key", f"{name}_at"])
+                yield pa.RecordBatch.from_arrays([pa.array(owners[at : at + 65536]), pa.array(keys[at : at + 65536])], [name, "key"])
 
-    return rows.mapInArrow(run, f"{name} long, key long, {name}_at int")
+    return rows.mapInArrow(run, f"{name} long, key long")
 
 
 def shared_offsets(own: np.ndarray, weak: np.ndarray, other: np.ndarray) -> np.ndarray:
     """All offsets, ascending, at which a landmark stands in both."""
-    if min(len(own), len(other)) < 2:
+    if min(len(own), len(other)) <= GAP:
         return np.zeros(0, np.int64)
     (keys, at), (known, where) = probes(own, weak), landmarks(other)
     order = np.argsort(known, kind="stable")
@@ -279,11 +277,7 @@ def links(classes: DataFrame) -> DataFrame:
         on = ["key", "part"]
         sought = sought.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long"))))).drop("parts")
         marks = marks.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("class_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
-    offset = F.col("class_id_at") - F.col("query_class_at")
-    bins = F.array(*[F.floor((offset + shift) / BIN) * 2 + side for side, shift in ((0, 0), (1, BIN // 2))])
-    votes = sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id", F.explode(bins).alias("bin"))
-    voted = votes.groupBy("query_class", "class_id", "bin").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
-    found = durable(voted.select("query_class", "class_id").distinct(), "candidates")
+    found = durable(sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id").distinct(), "candidates")
     # A query's candidates follow it through a task, those of one with very many in parts; only their codes move.
     dealt = found.groupBy("query_class").agg(F.ceil(F.count(F.lit(1)) / JUDGED).alias("parts"))
     query = asked.select(F.col("class_id").alias("query_class"), "starts", "weak").join(dealt, "query_class").select("query_class", F.lit(None).cast("long").alias("class_id"), "starts", "weak", F.lit(None).cast("array<int>").alias("codes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))

