@@ -7,7 +7,7 @@ cosine gives the language, its cosine the score.  A text is rejected if its dist
 beyond what the centroid's own training texts show, with slack for short texts.
 
 Fitting uses at most ``SAMPLE`` labelled texts of each of the ``LANGUAGES`` labels with most texts, chosen by
-hashed id; predicting reads whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
+hashed id and text; predicting reads whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
 rejected; ties go to the language first in order; without any labelled text all is ``und``; an empty
 table gives no rows; repeated rows are predicted alike.
 """
@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled texts per language that a fit may use.
@@ -140,9 +140,9 @@ def _vectors(rows: DataFrame) -> DataFrame:
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column(1)]
             tf = [x.astype("<u4").tobytes() for x, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tf, pa.binary()), pa.array([n for _, n in found], pa.int64())], ["lang", "tf", "letters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tf, pa.binary()), pa.array([n for _, n in found], pa.int64())], ["lang", "mark", "tf", "letters"])
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, tf binary, letters long")
+    return rows.select("lang", "text", "mark").mapInArrow(run, "lang string, mark long, tf binary, letters long")
 
 
 def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_all: int = SAMPLE_ALL) -> Model:
@@ -154,17 +154,16 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     if not sizes:
         return fit([])
     sample = max(1, min(sample, sample_all // len(sizes)))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
     # One row a label that is learned: a table of bounded size.
     bounds = docs.sparkSession.createDataFrame([(lang, int(min(1.0, 1.1 * sample / n) * (1 << 30))) for lang, n in sorted(sizes.items())], "lang string, bound long")
-    drawn = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
-    some = drawn.join(F.broadcast(bounds), "lang").where("draw < bound").select("lang", "text")
-    taken: dict[str, list[np.ndarray]] = {}
-    for r in _vectors(some).where("letters > 0").toLocalIterator():
-        own = taken.setdefault(r["lang"], [])
-        if len(own) < sample:
-            own.append(np.frombuffer(r["tf"], "<u4"))
-    return fit([(lang, x) for lang, xs in sorted(taken.items()) for x in xs])
+    # Marks are of id and text, so that rows of one id are drawn each for itself.
+    text = F.col(text_col).cast("string")
+    drawn = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.col(id_col).cast("string"), text).alias("mark"))
+    some = drawn.join(F.broadcast(bounds), "lang").where(F.pmod("mark", F.lit(1 << 30)) < F.col("bound"))
+    # Those with the least marks stay, in each task first: what comes back is bounded and the same however rows are dealt.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    taken = _vectors(some).where("letters > 0").withColumn("nth", nth).where(F.col("nth") <= sample).select("lang", "nth", "tf").collect()
+    return fit([(r["lang"], np.frombuffer(r["tf"], "<u4")) for r in sorted(taken, key=lambda r: (r["lang"], r["nth"]))])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

@@ -69,6 +69,20 @@ def test_many_labels(spark, monkeypatch):
     assert model.languages == sorted(common) and language.predict(dirty, model).count() == dirty.count()
 
 
+def test_sample_is_bounded_and_the_same_however_rows_are_dealt(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('wort ', CAST(id AS STRING), repeat(chr(97 + CAST(id % 26 AS INT)), 3)) AS text", "IF(id % 3 = 0, 'a', 'b') AS lang")
+    docs = docs.union(docs.limit(1).selectExpr("doc_id", "'42' AS text", "lang")).union(docs.where("text LIKE 'wort 7%'"))
+    seen, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda rows: seen.append(rows) or fit(rows))
+    models = [language.train(docs.repartition(n), F.lit(True), sample=20) for n in (1, 3, 7)]
+    for rows in seen:
+        assert [lang for lang, _ in rows] == [lang for lang, _ in seen[0]] and all(sum(lang == x for lang, _ in rows) <= 20 for x in "ab")
+        assert {lang for lang, _ in rows} == {"a", "b"} and all((x == y).all() for (_, x), (_, y) in zip(rows, seen[0]))
+    assert all((m.centroids == models[0].centroids).all() for m in models)
+    with_ends = language.train(docs, F.lit(True), sample=1000)
+    assert with_ends.languages == ["a", "b"] and len(seen[-1]) == docs.where("text <> '42'").count()
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.train(docs, ~held_out())
