@@ -2,14 +2,15 @@
 
 Blocks of a text that share wording with a license template are candidates.  Each is compressed with
 each template that it shares wording with as a raw zstandard dictionary; the template that makes it smallest
-by the largest part ranks first.  Winners are confirmed by their exact words: the block is aligned with the
+by the largest part ranks first.  In that order they are confirmed by their exact words, until one is: the block is aligned with the
 template; words of the template that the block lacks and words that stand in between are counted and reported.
+The place found is ranked in the same way, then what lies around it.
 Versions, "later", and the names Lesser (or Library) and Affero have to be those of the template, if it has any.
 
 Blocks are the whole text with its empty lines ignored, runs of lines between empty lines, and each single
 line of theirs, so a notice at the end of a text is found as well as a license set in paragraphs; of findings
 that overlap the longest stays.  Defined cases: null and empty texts have no
-findings; equal reductions go to the template first by name; repeated rows repeat their findings; ids are whole numbers; an
+findings; equal reductions go to the template with most words there, then first by name; repeated rows repeat their findings; ids are whole numbers; an
 empty table gives no rows. Long blocks are cut into windows that overlap by half, of at least ``WINDOW`` words and three
 times those of the longest template, so that any place with a template's words lies in one.
 """
@@ -20,7 +21,7 @@ import difflib
 import re
 from bisect import bisect
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,12 +92,12 @@ def windows(text: str, size: int = WINDOW):
         window = window[size // 2 :] + more if more else []
 
 
-def densest(runs: list) -> list:
-    """Neighbouring runs with most words less a quarter of those between: words that agree by chance far off stay out."""
+def densest(runs: list, gap: float = 0.25, near: int = 0) -> list:
+    """Neighbouring runs with most words less a quarter (or ``gap``) of those between, beyond ``near``: words that agree by chance far off stay out."""
     best, top, start, total = (0, 0), 0.0, 0, 0.0
     for i, m in enumerate(runs):
         if i:
-            total -= (m.b - runs[i - 1].b - runs[i - 1].size) / 4
+            total -= max(0, m.b - runs[i - 1].b - runs[i - 1].size - near) * gap
         if total <= 0:
             start, total = i, 0.0
         total += m.size
@@ -121,6 +122,19 @@ def decisive(ws: list[str]) -> frozenset[str]:
     return frozenset(found)
 
 
+def blocks(candidates: list[tuple[int, int, str]]) -> list[tuple[int, int, dict[str, list[tuple[int, int]]]]]:
+    """Candidates that overlap, as one block: first word, end, and each template's candidates in it."""
+    found: list[tuple] = []
+    for a, b, k in sorted(candidates):
+        if found and a < found[-1][1]:
+            start, end, spans = found.pop()
+        else:
+            start, end, spans = a, b, {}
+        spans.setdefault(k, []).append((a, b))
+        found.append((start, max(end, b), spans))
+    return found
+
+
 class Scanner:
     """Templates with their dictionaries and pairs of neighbouring words."""
 
@@ -166,10 +180,14 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(self.with_template[k].compress(data)) / alone, k) for k in names), key=lambda x: (-x[0], x[1]))
 
+    def aligned(self, ws: list[str], name: str) -> list:
+        """Runs of words that a block has in common with a template, in order."""
+        matcher = difflib.SequenceMatcher(None, self.words[name], ws, autojunk=False)
+        return [m for m in matcher.get_matching_blocks() if m.size]
+
     def compared(self, ws: list[str], name: str) -> tuple[int, int, int, int, bool]:
         """Template words in the block, missing from it, first and last place in the block that agrees; whether only free words miss."""
-        matcher = difflib.SequenceMatcher(None, self.words[name], ws, autojunk=False)
-        runs = [m for m in matcher.get_matching_blocks() if m.size]
+        runs = self.aligned(ws, name)
         if len(self.words[name]) >= SHORT:
             runs = densest(runs)
         same = sum(m.size for m in runs)
@@ -194,6 +212,61 @@ class Scanner:
                 todo += [x for x in ((a, a + first), (a + last, b)) if x[1] - x[0] >= (WORDING * n if n >= SHORT else 2)]
         return found
 
+    def places(self, ws: list[str], a: int, b: int, name: str) -> list[tuple[bool, int, int, int, int]]:
+        """As confirmed(), most words first, without words far off from the rest; not exact (False) if a place is confirmed only with them."""
+        found = []
+        for place in self.confirmed(ws, a, b, name):
+            exact = [place]
+            if len(self.words[name]) >= SHORT:
+                runs = densest(self.aligned(ws[place[2] : place[3]], name), 1, 4)
+                exact = self.confirmed(ws, place[2] + runs[0].b, place[2] + runs[-1].b + runs[-1].size, name)
+            found += [(True, *x) for x in exact] or [(False, *place)]
+        return sorted(found, key=lambda x: (-x[1], x[2:]))
+
+    def wins(self, ws: list[str], a: int, b: int, names: list[str], places) -> list[tuple]:
+        """(exact, template words there, missing, first word, end, template, reduction) of places that templates win in a block.
+
+        The block is compressed with each template, and words are aligned in the order of the reductions. As a block may hold
+        several licenses, each place of the first template confirmed is compressed with each anew: it goes to the one that
+        reduces it most of those confirmed there, of equal reductions to the one with most words, then first by name.
+        """
+        found: list[tuple] = []
+
+        def free(k):
+            return [p for p in places(k) if not any(p[3] < x[4] and x[3] < p[4] for x in found)]
+
+        def best(first, last, exact):
+            for _, equal in groupby(self.ranked(ws[first:last], names), lambda x: x[0]):
+                over = [(*p, m) for _, m in equal for p in free(m) if p[0] == exact and p[3] < last and first < p[4]]
+                over = [(*x, self.ranked(ws[x[3] : x[4]], [x[5]])[0][0]) for x in over]
+                if over := [x for x in over if x[6] >= REDUCTION]:
+                    return min(over, key=lambda x: (-x[1], x[2], x[5], x[3]))
+            return None
+
+        for exact in (True, False):  # what is not exact may be so once other places are taken
+            for _, k in self.ranked(ws[a:b], names):
+                for p in places(k):
+                    if p in free(k) and (x := best(p[3], p[4], exact)):
+                        found.append(x)
+                        if not exact:
+                            return found
+                if found:
+                    return found
+        return found
+
+    def winners(self, ws: list[str]) -> list[tuple]:
+        """As wins(), for all places; what lies around them is compressed and ranked anew."""
+        places = lru_cache(maxsize=None)(lambda a, b, k: self.places(ws, a, b, k))
+        found, todo = [], blocks(self.candidates(ws))
+        while todo:
+            a, b, spans = todo.pop()
+            own = sorted(self.wins(ws, a, b, list(spans), lambda k: sorted({p for x in spans[k] for p in places(*x, k)}, key=lambda p: (-p[1], p[2:]))), key=lambda x: x[3])
+            found += own
+            for start, end in zip([a, *(x[4] for x in own)], [*(x[3] for x in own), b]) if own else ():
+                cut = [(max(x, start), min(y, end), k) for k, at in spans.items() for x, y in at]
+                todo += blocks([x for x in cut if x[1] - x[0] > 1])
+        return found
+
     def match(self, text: str) -> list[dict]:
         """Findings in one block."""
         found = [{"license": m[1], "template": "SPDX", "reduction": 1.0, "wording": 1.0, "missing": 0, "inserted": 0, "at": m.start(), "end": m.end()} for m in SPDX.finditer(text)]
@@ -203,21 +276,8 @@ class Scanner:
                 found.append({"license": f"{name}-{version}", "template": "short name", "reduction": 1.0, "wording": 1.0, "missing": 0, "inserted": 0, "at": m.start(), "end": m.end()})
         for spots in windows(text, self.window):
             window = [m[0].lower() for m in spots]
-            places: dict[tuple, list[tuple]] = {}
-            for a, b, k in self.candidates(window):
-                for same, missing, first, last in self.confirmed(window, a, b, k):
-                    places.setdefault((first, last), []).append((k, same, missing))
-            confirmed = []
-            for (first, last), own in places.items():
-                reductions = {k: r for r, k in self.ranked(window[first:last], [k for k, *_ in own])}
-                confirmed += [(-same, missing, -reductions[k], k, first, last) for k, same, missing in own if reductions[k] >= REDUCTION]
-            taken: list[tuple[int, int]] = []
-            for same, missing, reduction, k, first, last in sorted(confirmed):
-                # The template with most words wins its place; what lies within it is part of it.
-                if any(first < b and a < last for a, b in taken):
-                    continue
-                taken.append((first, last))
-                found.append({"license": re.sub(r"-(notice|text)$", "", k), "template": k, "reduction": -reduction, "wording": -same / len(self.words[k]), "missing": missing, "inserted": last - first + same, "at": spots[first].start(), "end": spots[last - 1].end()})
+            for _, same, missing, first, last, k, reduction in self.winners(window):
+                found.append({"license": re.sub(r"-(notice|text)$", "", k), "template": k, "reduction": reduction, "wording": same / len(self.words[k]), "missing": missing, "inserted": last - first - same, "at": spots[first].start(), "end": spots[last - 1].end()})
         distinct = {(x["license"], x["at"], x["end"]): x for x in found}
         return sorted(distinct.values(), key=lambda x: (x["at"], x["license"]))
 

@@ -244,6 +244,38 @@ def test_licenses_against_every_template(spark):
                 assert sum(p in pairs for p in zip(ws, ws[1:])) < min(20, max(2, (len(own.words[k]) - 1) // 2)), (text, spdx)
 
 
+def test_compression_ranks_before_words_confirm():
+    r = random.Random(11)
+    ws = ["".join(r.choice("abcdefghij") for _ in range(2 if 20 <= i < 30 else 14)) for i in range(60)]
+    ws[0] = "license"
+    most_words = [f"{w[::-1]}x" if i in (5, 10, 15, 35, 45, 55) else w for i, w in enumerate(ws)]
+    smallest = [f"{w}x" if 21 <= i < 29 else w for i, w in enumerate(ws)]
+    own = license_scan.Scanner({"Most-words": " ".join(most_words), "Smallest": " ".join(smallest)})
+    assert own.compared(ws, "Most-words")[0] == 54 and own.compared(ws, "Smallest")[0] == 52
+    assert [k for _, k in own.ranked(ws, list(own.words))] == ["Smallest", "Most-words"]
+    assert [(x["license"], x["missing"]) for x in own.scan(" ".join(ws))] == [("Smallest", 8)]
+    # Words are aligned in the order of the reductions, until a template is confirmed.
+    aligned = []
+
+    class Watched(license_scan.Scanner):
+        def compared(self, ws, name):
+            aligned.append(name)
+            return super().compared(ws, name)
+
+    own = Watched()
+    text = license_scan.TEMPLATES["BSD-3-Clause"]
+    assert {k for _, _, k in own.candidates(license_scan.words(text))} >= {"BSD-2-Clause", "BSD-3-Clause"}
+    assert [x["license"] for x in own.scan(text)] == ["BSD-3-Clause"] and set(aligned) == {"BSD-3-Clause"}
+
+
+def test_licenses_of_like_words_in_one_block():
+    """What lies around a place is ranked anew, and words far off decide nothing."""
+    own = license_scan.Scanner()
+    for names in (("AGPL-3.0-only", "GPL-3.0-or-later"), ("LGPL-2.1-only", "LGPL-3.0-or-later"), ("GPL-2.0-or-later", "GPL-2.0-only", "AGPL-3.0-or-later")):
+        text = " and what follows is under ".join(license_scan.TEMPLATES[f"{k}-notice"] for k in names)
+        assert [(x["license"], x["missing"]) for x in own.scan(text)] == [(k, 0) for k in names]
+
+
 def test_long_templates_and_long_texts():
     """A template far longer than the least window, in a text far longer than that."""
     r = random.Random(5)
