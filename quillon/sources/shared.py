@@ -69,6 +69,11 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         written(spark).remove(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete one table that durable() gave."""
+    _delete(df.sparkSession, [df._quillon_path])
+
+
 def drop_durable(spark: SparkSession) -> None:
     """Delete all that this session has written into the shared folder; frames that read it can't be used any more."""
     _delete(spark, list(written(spark)))
