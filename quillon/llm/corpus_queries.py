@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, chroma, exact_dedup, idfile, language, license_scan, maintext, packing, simhash, warc
+from quillon.llm import bpe, chroma, exact_dedup, idfile, importance, language, license_scan, maintext, packing, simhash, urls, vector_codes, warc
 from quillon.llm.common import table
+from quillon.llm.labelled_urls import made_urls
+
+#: Rules that decide about URLs before any method does.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
 def vocabulary(name: str) -> str:
@@ -65,5 +69,19 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark, sf_dir):
+    """No table has labelled URLs: the method learns from URLs made by rule."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, urls.train(made_urls(spark)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_main_text, op4_exact_dedup, op5_chroma, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash)}
+    found = (op1_language_id, op2_license_scan, op3_main_text, op4_exact_dedup, op5_chroma, op6_token_index, op7_warc, op8_bpe, op9_packing, op10_simhash, op11_vector_codes, op12_importance, op13_url_filter)
+    return {f.__name__: f for f in found}
