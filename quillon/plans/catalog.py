@@ -134,6 +134,36 @@ def csv_columns(spark, d):
     return spark.createDataFrame([(i, name, data.n) for i, name in enumerate(data.feature_names)], "position long, feature string, n long")
 
 
+CLASHING = ["row_idx", "_at", "_part", "A", "a"]
+
+
+def _clashing(spark, d) -> DataFrame:
+    """part's numbers under names that the engine uses itself or that only case tells apart, and a label that CSV has to quote."""
+    numbers = [F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") * 2, F.col("p_size") * 3, F.col("p_retailprice")]
+    label = F.concat("p_brand", F.lit(',\n"'), F.substring("p_brand", -1, 1), F.lit('" '))
+    return table(spark, d, "part").select(*numbers, label).toDF(*CLASHING, "class")
+
+
+def csv_quoted_scan(spark, d):
+    """A CSV file with quotes, commas and line ends in its fields, read in splits."""
+    place = sinks.Place(spark, remember(spark, shared_path(spark, "quoted"))) / "quoted.csv"
+    sinks.write_csv(_clashing(spark, d), place, ["row_idx"])
+    frame = read_csv(spark, place.path).frame
+    return frame.select("row_idx", "label_s", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(len(CLASHING))])
+
+
+def clashing_columns(spark, d):
+    frame = from_columns(_clashing(spark, d), "class", "row_idx", features=CLASHING).frame
+    return frame.select("row_idx", "label_s", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(len(CLASHING))])
+
+
+def float_labels(spark, d):
+    """Labels from 1e-7 to 50e17 as text."""
+    number = F.concat(F.col("p_size").cast("string"), F.lit("e"), (F.col("p_partkey") % 25 - 7).cast("string")).cast("double")
+    data = from_columns(table(spark, d, "part").select("p_partkey", "p_size", number.alias("class")), "class", "p_partkey")
+    return data.frame.select("row_idx", "label_s")
+
+
 def _experiment(spark, d, verb: str, more: dict) -> sinks.RunDirectory:
     path = _csv_of(spark, d, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"], "c_custkey")
     config = {"run_name": verb, "io": {"dataset": path, "target_col": "c_mktsegment", "drop_cols": ["c_custkey"]}, "classifier": {"type": "euclidiano"}}
@@ -331,6 +361,7 @@ def queries() -> dict:
         feature_scan, row_numbers, class_counts, class_dictionary, holdout_strat_imbalanced, kfold_fold_stats, loo_fold_stats, partition_export_rows, knn_neighbors_topk, centroid_fit, centroid_train_test_predict,
         knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
         csv_scan, csv_columns, run_predictions_file, classify_predictions_file, run_metrics_file, run_matrix_file, run_meta_file, classify_meta_file, validate_meta_file, exported_partition_files, confusion_of_some, matrix_drawing, row_numbers_of_join,
+        csv_quoted_scan, clashing_columns, float_labels,
     ]
     return {f.__name__: f for f in plain} | {
         "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),

@@ -106,7 +106,7 @@ def validate(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
     ]
     exported = as_truth((spec.get("export") or {}).get("csv", False))
     if exported:
-        sinks.export_partitions(data.source, assigned, data.drop_cols, run / "partitions", n_folds, isinstance(how, LeaveOneOut), _single(config))
+        sinks.export_partitions(data, assigned, run / "partitions", n_folds, isinstance(how, LeaveOneOut), _single(config))
     about = _about(config, data) | {"class_counts": {text: n for _, text, n in data.class_counts}}
     meta = {"mode": "validate", "run_name": name, "timestamp": when, "config": config, "dataset": about, "partitions": {"exported": exported, "format": "csv", "path": "partitions/"}}
     sinks.write_json(run / "meta.json", meta | {"folds": folds, "folds_truncated": n_folds > LISTED, "n_folds": n_folds})

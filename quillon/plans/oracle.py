@@ -83,6 +83,8 @@ LINES = """
         labels_s AS (SELECT s FROM cent),
         cm AS (SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM labels_s a CROSS JOIN labels_s b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL)"""
 
+CLASHING = "p_brand || ',' || chr(10) || '\"' || right(p_brand, 1) || '\" ' AS label_s, CAST(p_partkey AS DOUBLE) AS f0, CAST(p_size AS DOUBLE) AS f1, CAST(p_partkey * 2 AS DOUBLE) AS f2, CAST(p_size * 3 AS DOUBLE) AS f3, CAST(p_retailprice AS DOUBLE) AS f4 FROM part"
+
 
 def statements() -> dict[str, str]:
     cust = "SELECT c_custkey AS row_idx, c_mktsegment AS label, c_mktsegment AS label_s FROM customer"
@@ -152,6 +154,9 @@ def statements() -> dict[str, str]:
     shares = ", ".join(f"max(n) FILTER (pred_label = '{x}') AS pred_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     found |= {
         "csv_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_brand AS label_s, CAST(p_size AS DOUBLE) AS f0, CAST(p_retailprice AS DOUBLE) AS f1 FROM part",
+        "csv_quoted_scan": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, {CLASHING}",
+        "clashing_columns": f"SELECT p_partkey AS row_idx, {CLASHING}",
+        "float_labels": "SELECT p_partkey AS row_idx, CAST(CAST(CAST(p_size AS VARCHAR) || 'e' || CAST(p_partkey % 25 - 7 AS VARCHAR) AS DOUBLE) AS VARCHAR) AS label_s FROM part",
         "csv_columns": "SELECT CAST(i AS BIGINT) AS position, f AS feature, (SELECT count(*) FROM customer) AS n FROM (VALUES (0, 'c_custkey'), (1, 'c_acctbal')) x(i, f)",
         "run_predictions_file": f'WITH {SEGMENTS} SELECT fold, row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred',
         "classify_predictions_file": f'WITH {SEGMENT_SPLIT} SELECT row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred',

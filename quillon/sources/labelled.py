@@ -7,9 +7,6 @@ the dictionary of classes, both small.
 
 from __future__ import annotations
 
-import csv
-import io
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,23 +14,63 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import DataError
-from quillon.sources.shared import durable
+from quillon.sources import csvfile
+from quillon.sources.shared import bounded, durable
 
 #: Tokens that CSV input takes for missing values (fixed values of the common CSV reader's defaults).
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def float_text(x: Column, kind: T.DataType) -> Column:
+    """A floating number as Python writes it: the fewest digits that tell it apart, an exponent below 1e-4 and from 1e16 on."""
+
+    def parts(text):
+        """Digits without zeros at either end, and where the point is from their start."""
+        found = [F.regexp_extract(text, r"^(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$", i) for i in (1, 2, 3)]
+        digits = F.concat(found[0], found[1])
+        led = F.ltrim(digits, F.lit("0"))
+        point = F.length(found[0]) + F.coalesce(F.nullif(found[2], F.lit("")).cast("int"), F.lit(0)) - F.length(digits) + F.length(led)
+        return F.struct(F.rtrim(led, F.lit("0")).alias("d"), point.alias("p"))
+
+    def fewer(n):
+        """One digit less, if that still reads back as the same number: Java writes one too many at times."""
+        near = F.round(n["d"].cast("decimal(20,0)") / 10).cast("decimal(20,0)").cast("string")
+        point = n["p"] + F.length(near) - F.length(n["d"]) + 1
+        same = F.concat(F.lit("0."), near, F.lit("e"), point.cast("string")).cast(kind) == F.abs(x)
+        return F.when((F.length(n["d"]) > 1) & same, F.struct(F.rtrim(near, F.lit("0")).alias("d"), point.alias("p"))).otherwise(n)
+
+    def laid_out(n):
+        d, p, size = n["d"], n["p"], F.length(n["d"])
+        e = p - 1
+        point = F.when(size > 1, F.concat(F.substring(d, 1, 1), F.lit("."), d.substr(F.lit(2), size))).otherwise(d)
+        power = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        return (
+            F.when(d == "", F.lit("0.0"))
+            .when((e < -4) | (e >= 16), F.concat(point, F.lit("e"), power))
+            .when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), d))
+            .when(p >= size, F.concat(d, F.repeat(F.lit("0"), p - size), F.lit(".0")))
+            .otherwise(F.concat(d.substr(F.lit(1), p), F.lit("."), d.substr(p + 1, size)))
+        )
+
+    text = x.cast("string")
+    finite = _let(F.ltrim(text, F.lit("-")), lambda t: _let(parts(t), lambda n: _let(fewer(n), lambda m: _let(fewer(m), laid_out))))
+    return F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).otherwise(F.concat(F.when(text.startswith("-"), "-").otherwise(""), finite))
+
+
 def label_text(label: Column, kind: T.DataType) -> Column:
-    """A label's text form; booleans are True and False."""
+    """A label's text form, as Python writes it: booleans are True and False, floating numbers have Python's exponents."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return float_text(label, kind)
     text = label.cast("string")
     return F.initcap(text) if isinstance(kind, T.BooleanType) else text
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 @dataclass
 class Labelled:
     frame: DataFrame
@@ -41,7 +78,9 @@ class Labelled:
     target: str
     width: int
     path: str | None = None
+    #: The input's rows: row_idx and columns c0, c1... whose names are ``source_names``.
     source: DataFrame | None = field(default=None, repr=False)
+    source_names: list[str] = field(default_factory=list)
     drop_cols: list[str] = field(default_factory=list)
     #: (label, text, rows) of each class in the order of texts.
     class_counts: list[tuple] = field(default_factory=list)
@@ -58,43 +97,59 @@ class Labelled:
         return sum(n for _, _, n in self.class_counts)
 
 
-def _checked(df: DataFrame, target: str, drop_cols: list[str], what: str) -> list[str]:
-    if target not in df.columns:
-        raise DataError(f"target column {target!r} is not in {what}; it has {df.columns}")
-    for c in drop_cols:
-        if c not in df.columns:
-            raise DataError(f"column {c!r} is to be dropped but is not in {what}; it has {df.columns}")
-    names = [c for c in df.columns if c != target and c not in drop_cols]
-    bad = [f.name for f in df.schema.fields if f.name in names and not isinstance(f.dataType, NUMERIC)]
+def _place(names: list[str], name: str, what: str) -> int:
+    """A column's place; names are told apart by case."""
+    places = [i for i, c in enumerate(names) if c == name]
+    if len(places) != 1:
+        raise DataError(f"{what} is {name!r}, which {len(places)} columns are named; there are {names}")
+    return places[0]
+
+
+def _positional(df: DataFrame) -> DataFrame:
+    """Columns c0, c1...: no name of the input can clash with another or with those used here."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def _labelled_columns(flat: DataFrame, names: list[str], target: str, drop_cols: list[str], features: list[str] | None, index: int | None = None, **more) -> Labelled:
+    """From row_idx and columns c0, c1... with the given names."""
+    at = _place(names, target, "the target column")
+    drops = {_place(names, c, "a column to drop") for c in drop_cols}
+    if features is None:
+        places = [i for i in range(len(names)) if i != at and i not in drops and i != index]
+    else:
+        places = [_place(names, c, "a feature") for c in features]
+    kinds = {f.name: f.dataType for f in flat.schema.fields}
+    bad = [names[i] for i in places if not isinstance(kinds[f"c{i}"], NUMERIC)]
     if bad:
         raise DataError(f"features that are not numbers: {bad}; convert or drop them")
-    return names
+    vector = F.array(*[F.coalesce(F.col(f"c{i}").cast("double"), F.lit(float("nan"))) for i in places]).cast("array<double>")
+    label = F.col(f"c{at}")
+    frame = flat.select("row_idx", label.alias("label"), label_text(label, kinds[f"c{at}"]).alias("label_s"), vector.alias("features"))
+    return _labelled(frame, [names[i] for i in places], target, len(places), source=flat, source_names=names, drop_cols=list(drop_cols), **more)
 
 
 def from_columns(df: DataFrame, target: str, index: str | None = None, drop_cols: list[str] | None = None, features: list[str] | None = None) -> Labelled:
     """A labelled frame from a table's columns; ``index`` names its key, else rows are numbered in their order.
 
     Boolean features count as 0 and 1, missing ones as NaN; missing labels and keys are an error. Keys have to be
-    distinct: splitters that rank rows refuse repeated ones.
+    distinct: splitters that rank rows refuse repeated ones. Columns may have any names, told apart by case.
     """
-    drops = list(drop_cols or [])
-    kept = df if features is None else df.select(*[quoted(c) for c in dict.fromkeys([*features, target, *([index] if index else [])])])
-    plain = kept.drop(index) if index and index not in (features or []) and index != target else kept
-    names = _checked(plain, target, [c for c in drops if c != index], "the table")
-    row_idx = quoted(index).cast("long") if index else None
-    source = kept if index else numbered(kept)
-    vector = F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(float("nan"))) for c in names]).cast("array<double>")
-    kind = df.schema[target].dataType
-    frame = source.select((row_idx if index else F.col("row_idx")).alias("row_idx"), quoted(target).alias("label"), label_text(quoted(target), kind).alias("label_s"), vector.alias("features"))
-    return _labelled(frame, names, target, len(names), source=source, drop_cols=drops, gapless=index is None)
+    names, flat = df.columns, _positional(df)
+    if index is None:
+        return _labelled_columns(numbered(flat), names, target, list(drop_cols or []), features, gapless=True)
+    key = _place(names, index, "the key")
+    drops = [c for c in drop_cols or [] if c != index]
+    return _labelled_columns(flat.withColumn("row_idx", F.col(f"c{key}").cast("long")), names, target, drops, features, key)
 
 
 def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelled:
     """A labelled frame from an array column."""
-    kind = df.schema[target].dataType
-    values = F.transform(quoted(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan"))))
-    frame = df.select(quoted(index).cast("long").alias("row_idx"), quoted(target).alias("label"), label_text(quoted(target), kind).alias("label_s"), values.alias("features"))
-    found = _labelled(frame, [], target, None, source=df)
+    names, flat = df.columns, _positional(df)
+    key, at, of = (F.col(f"c{_place(names, c, what)}") for c, what in ((index, "the key"), (target, "the target column"), (vector, "the vector")))
+    kind = flat.select(at).schema[0].dataType
+    values = F.transform(of.cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan"))))
+    frame = flat.select(key.cast("long").alias("row_idx"), at.alias("label"), label_text(at, kind).alias("label_s"), values.alias("features"))
+    found = _labelled(frame, [], target, None, source=flat.withColumn("row_idx", key.cast("long")), source_names=names)
     found.feature_names = [f"f{i}" for i in range(found.width)]
     return found
 
@@ -129,9 +184,14 @@ def _labelled(frame, names, target, width, **more) -> Labelled:
 def numbered(df: DataFrame) -> DataFrame:
     """The rows with ``row_idx`` from 0 on, without gaps, in the order of files and their rows or else of partitions.
 
+    Columns may not be named as those that are added on the way: ``from_columns`` takes any names.
+
     A row's number never depends on how often or with which partitions the input is evaluated: rows of Parquet
     files are known by their place in the file, all others are written once with the place they have.
     """
+    taken = {"row_idx", "_part", "_at", "_before"} & {c.lower() for c in df.columns}
+    if taken:
+        raise DataError(f"rows can't be numbered beside columns named {sorted(taken)}")
     if _plain_parquet(df):
         marked = df.withColumn("_part", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.row_index"))
     else:
@@ -146,7 +206,9 @@ def _plain_parquet(df: DataFrame) -> bool:
         plan = plan.children().apply(0)
     if plan.nodeName() != "LogicalRelation" or not plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
         return False
-    return plan.relation().fileFormat().toString() == "Parquet"
+    # A column of the files' own named as Spark's would hide it.
+    own = any(name.lower() == "_metadata" for name in plan.relation().schema().fieldNames())
+    return not own and plan.relation().fileFormat().toString() == "Parquet"
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -172,8 +234,7 @@ def counted(marked: DataFrame, name: str, first: int = 0) -> DataFrame:
         return marked.withColumn(name, F.col("_at") + F.lit(min(before.values(), default=0))).drop("_part", "_at")
     kind = marked.schema["_part"].dataType.simpleString()
     offsets = marked.sparkSession.createDataFrame(list(before.items()), f"_part {kind}, _before long")
-    # As many rows as files or partitions: below the usual limit Spark broadcasts them.
-    met = marked.join(offsets, "_part", "left")
+    met = marked.join(bounded(offsets, len(before)), "_part", "left")
     at = F.when(F.col("_before").isNull(), F.raise_error(F.lit("rows of a part that was not counted"))).otherwise(F.col("_before") + F.col("_at"))
     return met.withColumn(name, at).drop("_part", "_at", "_before")
 
@@ -190,19 +251,15 @@ def _exists(spark: SparkSession, path: str) -> None:
         raise DataError(f"a .csv file is expected, not {path}")
 
 
-def _header(spark: SparkSession, path: str) -> tuple[list[str], int]:
-    """Column names, repeats told apart by a number behind them, and how many fields the header has."""
-    head = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
-    if not head:
-        raise DataError(f"no columns in {path}")
-    fields = next(csv.reader(io.StringIO(head[0][0].rstrip("\r"))))
+def _names(header: list[str]) -> list[str]:
+    """Column names, repeats told apart by a number behind them."""
     names: list[str] = []
-    for i, name in enumerate(fields):
-        name, n = name or f"Unnamed: {i}", 0
+    for i, name in enumerate(header):
+        name, n = (name.removeprefix("\ufeff") if not i else name) or f"Unnamed: {i}", 0
         while (found := name if not n else f"{name}.{n}") in names:
             n += 1
         names.append(found)
-    return names, len(fields)
+    return names
 
 
 def _kind(whole: int, number: int, truth: int, n: int) -> str:
@@ -221,34 +278,27 @@ TRUTH = r"^(?i:true|false)$"
 def read_csv(spark: SparkSession, path: str, target: str = "class", drop_cols: list[str] | None = None) -> Labelled:
     """A labelled frame from one CSV file with a header, types being told from all its values."""
     _exists(spark, path)
-    names, width = _header(spark, path)
-    safe = [f"c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*safe, "_beyond"]])
-    # A header line equal to the schema's width would be dropped by the reader: it is filtered by hand.
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("multiLine", False).option("ignoreLeadingWhiteSpace", False).csv(path)
-    if not raw.where(F.col("_beyond").isNotNull()).limit(1).isEmpty():
-        raise DataError(f"{path} has rows with more fields than its header")
-    text = raw.select(*[F.when(~F.col(c).isin(MISSING), F.col(c)).alias(c) for c in safe])
+    read = csvfile.records(spark, path)
+    names, safe = _names(read.header), [f"c{i}" for i in range(len(read.header))]
+    fields = [F.get("fields", F.lit(i)) for i in range(len(safe))]
+    text = read.frame.select("row_idx", F.size("fields").alias("width"), *[F.when(~x.isin(MISSING), x).alias(c) for c, x in zip(safe, fields)])
     trimmed = {c: F.trim(F.col(c)) for c in safe}
-    tests = []
+    tests = [F.coalesce(F.max("width"), F.lit(0)).alias("width")]
     for c in safe:
         for kind, pattern in (("w", WHOLE), ("n", NUMBER), ("t", TRUTH)):
             tests.append(F.count(F.when(F.lower(trimmed[c]).rlike(pattern), 1)).alias(f"{c}_{kind}"))
         tests.append(F.count(c).alias(f"{c}_all"))
         tests.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}_null"))
     seen = text.agg(*tests).first()
+    if seen["width"] > len(names):
+        raise DataError(f"{path} has rows with {seen['width']} fields under a header of {len(names)}")
     typed = []
-    for c, name in zip(safe, names):
+    for c in safe:
         kind = _kind(seen[f"{c}_w"], seen[f"{c}_n"], seen[f"{c}_t"], seen[f"{c}_all"])
         if kind == "bigint" and seen[f"{c}_null"]:
             kind = "double"  # a column of whole numbers with gaps holds doubles
         if kind == "boolean" and seen[f"{c}_null"]:
             kind = "string"
         value = F.col(c) if kind == "string" else trimmed[c].cast(kind)
-        typed.append(value.alias(name))
-    table = numbered(text.select(*typed))
-    drops = list(drop_cols or [])
-    _checked(table.drop("row_idx") if "row_idx" not in names else table, target, drops, path)
-    found = from_columns(table, target, index="row_idx", drop_cols=drops)
-    found.path, found.source, found.drop_cols, found.gapless = path, table, drops, True
-    return found
+        typed.append(value.alias(c))
+    return _labelled_columns(text.select("row_idx", *typed), names, target, list(drop_cols or []), None, gapless=True, path=path)

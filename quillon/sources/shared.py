@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.errors import ConfigError
 
@@ -79,6 +80,15 @@ def drop_durable(spark: SparkSession) -> None:
     _delete(spark, list(written(spark)))
 
 
+#: Rows of a few numbers that are broadcast; a side with more is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(side: DataFrame, rows: int) -> DataFrame:
+    """A side with a known number of short rows, to be broadcast if they are few enough."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession):
     """Tables written inside are deleted at the end, but for those that the function given here was called with."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import ValidationError
 from quillon.operators.folds import partitions
+from quillon.sources.labelled import Labelled
 
 
 def stamp() -> str:
@@ -151,9 +152,11 @@ def write_csv(df: DataFrame, place: Place, order: list[str], single: bool = True
     """Rows in order as CSV: one file, written by one task, or a folder of parts in the order of their names."""
     spark, made = df.sparkSession, Place(df.sparkSession, f"{place.path}.parts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(1) if single else df.repartitionByRange(n, *order)
-    _formatted(dealt.sortWithinPartitions(*order), df.columns, df.columns).write.mode("overwrite").text(made.path)
-    _settle(made, place, df.columns, single)
+    names = df.columns
+    flat, keys = df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in order]
+    dealt = flat.repartition(1) if single else flat.repartitionByRange(n, *keys)
+    _formatted(dealt.sortWithinPartitions(*keys), flat.columns, names).write.mode("overwrite").text(made.path)
+    _settle(made, place, names, single)
     made.delete()
 
 
@@ -166,17 +169,16 @@ def write_matrix(df: DataFrame, place: Place) -> None:
 EXPORT_ROWS = 50_000_000
 
 
-def export_partitions(source: DataFrame, assigned: DataFrame, drop_cols: list[str], folder: Place, n_folds: int, leave_one_out: bool = False, single: bool = True) -> None:
+def export_partitions(data: Labelled, assigned: DataFrame, folder: Place, n_folds: int, leave_one_out: bool = False, single: bool = True) -> None:
     """fold_<f>/train.csv and test.csv with the original columns but those dropped, by row number, in one job.
 
     With ``single`` each is one file, else a folder of parts in order that any number of tasks write.
     """
     if leave_one_out and n_folds**2 > EXPORT_ROWS:
         raise ValidationError(f"leaving out each of {n_folds} rows would export {n_folds**2} rows; {EXPORT_ROWS} are the most")
-    kept = [c for c in source.columns if c not in drop_cols and c != "row_idx"]
-    safe = [f"c{i}" for i in range(len(kept))]
-    columns = [F.col("`" + c.replace("`", "``") + "`").alias(s) for c, s in zip(kept, safe)]
-    rows = partitions(source.select("row_idx", *columns).join(assigned.select("row_idx", "fold_id"), "row_idx"), n_folds)
+    places = [i for i, name in enumerate(data.source_names) if name not in data.drop_cols]
+    safe, kept = [f"c{i}" for i in places], [data.source_names[i] for i in places]
+    rows = partitions(data.source.select("row_idx", *safe).join(assigned.select("row_idx", "fold_id"), "row_idx"), n_folds)
     keys, made = ("fold", "role"), folder / "parts"
     dealt = rows.repartition(*keys) if single else rows.repartitionByRange(*keys, "row_idx")
     _formatted(dealt.sortWithinPartitions(*keys, "row_idx"), safe, kept, keys).write.partitionBy(*keys).mode("overwrite").text(made.path)
