@@ -191,7 +191,7 @@ def _state(ids: pa.Array, labels: pa.Array, values: np.ndarray, settled) -> pa.R
     return pa.RecordBatch.from_arrays([_listed(ids), _listed(labels), *blobs, sums], names=["vec_id", "label", "q", "entry", "keys", "heap_rows", "changes"])
 
 
-def _first(round_: Round):
+def _first(round_: Round, size: int):
     """Rows into blocks, every part compared with every entry."""
     parts, _, width = round_.books.shape
 
@@ -206,10 +206,10 @@ def _first(round_: Round):
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            while n >= BLOCK:
+            while n >= size:
                 table = pa.Table.from_batches(held)
-                yield block(table.slice(0, BLOCK))
-                held, n = table.slice(BLOCK).to_batches(), n - BLOCK
+                yield block(table.slice(0, size))
+                held, n = table.slice(size).to_batches(), n - size
         if n:
             yield block(pa.Table.from_batches(held))
 
@@ -263,7 +263,7 @@ def _totals(blocks: DataFrame, shape: tuple) -> np.ndarray:
 # --- the operator --------------------------------------------------------------------------------
 
 
-def codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> DataFrame:
+def codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024, block: int = BLOCK) -> DataFrame:
     """vec_id, code, error, label_error, codebooks_sha256 for each vector that is kept."""
     if not 1 <= entries <= 256 or rounds < 1 or parts < 1:
         raise DataError("codes take 1 to 256 entries, and at least one part and round")
@@ -282,7 +282,7 @@ def codes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     with passing(spark) as keep:
         totals, blocks, schema = np.zeros((parts, len(first), width // parts + 1), np.int64), None, _state_schema(label)
         for _ in range(rounds):
-            made = kept.mapInArrow(_first(now), schema) if blocks is None else blocks.mapInArrow(_next(now), schema)
+            made = kept.mapInArrow(_first(now, block), schema) if blocks is None else blocks.mapInArrow(_next(now), schema)
             before, blocks = blocks, durable(made, "code_blocks")
             if before is not None:
                 forget(before)
