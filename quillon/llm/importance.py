@@ -26,21 +26,19 @@ from pyspark.sql import functions as F
 from quillon.llm.common import durable, passing, whole, width
 from quillon.sources.labelled import counted, placed
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Characters of a text that is one chunk.
 LONG = 8192
-#: Words of a chunk of a longer text.  The pattern that cuts chunks nests as deep.
-CHUNK = 256
+#: Words of a chunk of a longer text.
+CHUNK = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are in no word; all others beyond letters and digits are.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
-
-
-def _low(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """Words in lower case (A to Z alone), by one pass over characters and a split at blanks, without a pattern."""
+    spaced = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _kept(value: Column, name: str) -> Column:
@@ -51,30 +49,26 @@ def _kept(value: Column, name: str) -> Column:
 def short_pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, own, longer: texts of one chunk; nothing is carried."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where(F.length("text") <= LONG)
-    return rows.select("doc_id", _kept(_words(_low(F.col("text"))), "own")).withColumn("longer", F.col("own"))
+    return rows.select("doc_id", _kept(_words(F.col("text")), "own")).withColumn("longer", F.col("own"))
 
 
 def long_chunks(docs: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
-    """part, doc_id, digest, nth, chunk, carry: chunks of longer texts, dealt over all tasks.
+    """part, doc_id, digest, nth, own, carry: chunks of longer texts, dealt over all tasks.
 
     A document is known by the partition it was read in, its id and its digest; rows that agree in all three are
     counted as copies.
     """
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).where(F.length("text") > LONG)
-    cut = F.regexp_extract_all(_low(F.col("text")), F.lit(f"(?:{OTHER}*+{WORD}++){{1,{CHUNK}}}+"), F.lit(0))
+    held = rows.select("part", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), _kept(_words(F.col("text")), "words"))
     # A text without words still is a document: it has one empty chunk.
-    cut = F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lit("")))
-    held = rows.select("part", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), _kept(cut, "cut"))
-    # Chunks but the last have CHUNK words, so the one behind has all that can be carried.
-    behind = F.regexp_extract_all(F.coalesce(F.col("behind"), F.lit("")), F.lit(f"{WORD}+"), F.lit(0))
-    pairs = F.arrays_zip(F.col("cut").alias("chunk"), F.slice("cut", 2, F.size("cut")).alias("behind"))
-    each = held.select("part", "doc_id", "digest", F.posexplode(pairs).alias("nth", "pair")).select("part", "doc_id", "digest", "nth", F.col("pair.chunk").alias("chunk"), F.col("pair.behind").alias("behind"))
-    dealt = each.withColumn("carry", F.slice(behind, 1, max(0, order - 1))).drop("behind")
-    return dealt.repartition(width(docs.sparkSession), "digest", "nth")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(CHUNK))
+    cut = F.transform(starts, lambda i: F.struct(F.slice("words", i + 1, CHUNK).alias("own"), F.slice("words", i + 1 + CHUNK, max(0, order - 1)).alias("carry")))
+    each = held.select("part", "doc_id", "digest", F.posexplode(cut).alias("nth", "chunk")).select("part", "doc_id", "digest", "nth", "chunk.*")
+    return each.repartition(width(docs.sparkSession), "digest", "nth")
 
 
 def long_pieces(chunks: DataFrame) -> DataFrame:
-    return chunks.select("part", "doc_id", "digest", "nth", "carry", _kept(_words(F.col("chunk")), "own")).select("part", "doc_id", "digest", "nth", "own", _kept(F.concat("own", "carry"), "longer"))
+    return chunks.select("part", "doc_id", "digest", "nth", "own", _kept(F.concat("own", "carry"), "longer"))
 
 
 def buckets_of(order: int, n_buckets: int) -> Column:
