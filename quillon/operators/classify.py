@@ -5,14 +5,17 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import ClassifierError, DataError
 from quillon.functions.distances import Distance, distance
+from quillon.functions.sums import Digits, digits
+from quillon.operators import cells
 from quillon.operators.nearest import matcher
 from quillon.sources.labelled import Labelled
+from quillon.sources.shared import durable
 
 #: Bytes of a centroid model that may be broadcast; a larger one is dealt into blocks.
 BROADCAST_BYTES = 32 << 20
@@ -22,6 +25,8 @@ BLOCK_BYTES = 16 << 20
 PART_WORK = 10_000_000
 #: Classes times features up to which centroid distances are unrolled; the Java VM interprets methods that are much longer.
 UNROLLED = 64
+#: Differences of coordinates from which on neighbours are looked for by cells, if a sample of this many test rows meets less than this share of pairs.
+PRUNED_WORK, SAMPLE, PRUNED_SHARE = 4_000_000_000, 1024, 0.5
 #: Most partitions that pairs of blocks are dealt into.
 PARTITIONS = 20_000
 
@@ -30,13 +35,26 @@ PREDICTED = ["fold", "row_idx", "y_true", "y_pred", "true_s", "pred_s"]
 
 @dataclass(frozen=True)
 class Shape:
-    """What a prediction's plan is made from: vector width, rows and folds (numbered from 0), and the texts of the classes."""
+    """What a prediction's plan is made from: vector width, rows and folds (numbered from 0), and the texts of the classes.
+
+    Of classes too many to list there is only their number.
+    """
 
     width: int
     n_train: int
     n_test: int
     n_folds: int
     classes: tuple[str, ...]
+    many: int = 0
+
+    @property
+    def n_classes(self) -> int:
+        return max(1, self.many or len(self.classes))
+
+
+def shape_of(data: Labelled, n_test: int, n_folds: int) -> Shape:
+    listed = data.class_table is None
+    return Shape(data.width, data.n, n_test, n_folds, tuple(data.classes) if listed else (), 0 if listed else data.n_classes)
 
 
 class Classifier(ABC):
@@ -74,12 +92,15 @@ class Knn(Classifier):
 
     Of training rows at one distance the first by row number are nearer. Chunks of test rows meet blocks of
     training rows, each pair in a group of bounded size that gives k rows for each test row; ``blocks`` sets the
-    number of blocks, which else follows from their size.
+    number of blocks, which else follows from their size.  With ``prune`` pairs that the triangle inequality rules
+    out never meet (see ``cells``); unless it is set, this is done for metrics where there are many pairs and a sample
+    of test rows tells that most are ruled out.  Neighbours are the same either way.
     """
 
     k: int = 1
     metric: Distance = field(default_factory=lambda: distance("euclidean"))
     blocks: int | None = None
+    prune: bool | None = None
 
     def __post_init__(self):
         if isinstance(self.k, bool) or not isinstance(self.k, int) or self.k < 1:
@@ -92,6 +113,15 @@ class Knn(Classifier):
         """fold, row_idx, y_true, true_s, label, label_s, r_idx, d, nth: the k nearest training rows of each test row."""
         t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
         r = train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
+        pruned = self._pruned(train, t, r, shape)
+        return self._first(self._all(t, r, shape) if pruned is None else pruned)
+
+    def _first(self, near: DataFrame) -> DataFrame:
+        first = Window.partitionBy("fold", "row_idx").orderBy("d", "r_idx")
+        return near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.k)
+
+    def _all(self, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame:
+        """The k nearest of each block, every chunk of test rows meeting every block."""
         size, n_test = _row_bytes(shape.width), max(1, shape.n_test)
         blocks = self.blocks or _parts(shape.n_train * size)
         work = shape.n_train * n_test * max(1, shape.width) // (PART_WORK * blocks)
@@ -100,11 +130,70 @@ class Knn(Classifier):
         keys = ("chunk", "block")
         t = t.withColumn("chunk", _one_of(chunks, "row_idx")).withColumn("block", _upto(blocks))
         r = r.withColumn("block", _one_of(blocks, "r_idx")).withColumn("chunk", _upto(chunks))
+        return self._met(t, r, shape, n, keys)
+
+    def _met(self, t: DataFrame, r: DataFrame, shape: Shape, n: int, keys: tuple) -> DataFrame:
         # Both sides are dealt by the same keys once; groups need no further shuffle.
         left, right = (x.repartition(n, *keys).groupBy(*keys) for x in (t, r))
-        near = left.cogroup(right).applyInArrow(matcher(self.metric, self.k, shape.width), self._near_schema(t, r))
-        first = Window.partitionBy("fold", "row_idx").orderBy("d", "r_idx")
-        return near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.k)
+        return left.cogroup(right).applyInArrow(matcher(self.metric, self.k, shape.width), self._near_schema(t, r))
+
+    def _pruned(self, train: DataFrame, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame | None:
+        """The same from cells that may hold one of the k nearest; None where all pairs are to meet."""
+        if not cells.is_metric(self.metric) or shape.width < 1 or self.prune is False or self.blocks is not None:
+            return None
+        if self.prune is None and shape.n_train * shape.n_test * shape.width < PRUNED_WORK:
+            return None
+        centres = cells.pivots(train, shape.n_train, shape.width)
+        r = cells.celled(r, self.metric, centres, shape.width)
+        found = cells.cells_of(r)
+        if self.prune is None:
+            some = t.orderBy(F.xxhash64("row_idx"), "row_idx").limit(SAMPLE)
+            if self._share(self._two_steps(some, r, centres, found, shape)[1:], found, shape.n_train) > PRUNED_SHARE:
+                return None
+        return self._two_steps(t, r, centres, found, shape)[0]
+
+    def _two_steps(self, t: DataFrame, r: DataFrame, centres, found: list[cells.Cell], shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Neighbours, and the (row_idx, cell) that met first and then."""
+        asked = cells.wanted(t, self.metric, centres, found, self.k, shape.width)
+        first = asked.withColumn("cell", F.explode("first")).drop("first", "rest")
+        # Written: it bounds the second step and is part of the result.
+        near = durable(self._by_cell(first, r, found, shape), "near")
+        second = cells.left(asked, cells.bounds(near, self.k))
+        return near.unionByName(self._by_cell(second, r, found, shape)), first.select("row_idx", "cell"), second.select("row_idx", "cell")
+
+    def _by_cell(self, t: DataFrame, r: DataFrame, found: list[cells.Cell], shape: Shape) -> DataFrame:
+        """Test rows meet the training rows of their cell, in parts of bounded size and work."""
+        demand = {x["cell"]: x["n"] for x in t.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        size, dealt = _row_bytes(shape.width), []
+        for c in found:
+            n = demand.get(c.number, 0)
+            if n:
+                blocks = _parts(c.rows * size)
+                dealt.append((c.number, blocks, min(n, max(_parts(n * size), _parts(n * self.k * 64), n * c.rows * max(1, shape.width) // (PART_WORK * blocks), 1))))
+        # As many rows as pivots.
+        parts = F.broadcast(t.sparkSession.createDataFrame(dealt, "cell long, blocks long, chunks long"))
+        t, r = t.join(parts, "cell"), r.drop("gap").join(parts, "cell")
+        t = t.withColumn("chunk", F.pmod(F.xxhash64("row_idx"), "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "chunks")
+        r = r.withColumn("block", F.pmod(F.xxhash64("r_idx"), "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("blocks", "chunks")
+        n = min(PARTITIONS, max(1, sum(b * k for _, b, k in dealt)))
+        return self._met(t, r, shape, n, ("cell", "chunk", "block"))
+
+    @staticmethod
+    def _share(met: tuple[DataFrame, DataFrame], found: list[cells.Cell], n_train: int) -> float:
+        """Pairs of rows that meet, of all pairs."""
+        sizes = {c.number: c.rows for c in found}
+        demand = met[0].unionByName(met[1]).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        n_test = met[0].unionByName(met[1]).select("row_idx").distinct().count()
+        return sum(x["n"] * sizes[x["cell"]] for x in demand) / max(1, n_test * n_train)
+
+    def pairs_met(self, train: DataFrame, test: DataFrame, shape: Shape) -> float:
+        """The share of all pairs that pruning leaves."""
+        t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
+        r = train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
+        centres = cells.pivots(train, shape.n_train, shape.width)
+        r = cells.celled(r, self.metric, centres, shape.width)
+        found = cells.cells_of(r)
+        return self._share(self._two_steps(t, r, centres, found, shape)[1:], found, shape.n_train)
 
     @staticmethod
     def _near_schema(t: DataFrame, r: DataFrame) -> T.StructType:
@@ -125,13 +214,28 @@ class Knn(Classifier):
 class NearestCentroid(Classifier):
     """The class whose mean is nearest by L2; ties by the label's text. A distance that is NaN comes first."""
 
-    def totals(self, train: DataFrame, width: int, *keys: str) -> DataFrame:
-        """The keys, label_s, label, n, s0, s1...: sums of each class."""
-        names = [f"s{i}" for i in range(width)]
+    def _sums(self, train: DataFrame, made: list[Digits], *keys: str) -> DataFrame:
+        """The keys, label_s, label, n, s0_0, s0_1...: sums of each class, by digits."""
+        sums = {f"s{i}_{j}": F.sum(x) for i, d in enumerate(made) for j, x in enumerate(d.of(F.col(f"x{i}")))}
+        # Values behind a generator: what takes them apart into digits uses each many times.
+        values = F.explode(F.array(F.struct(*[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(len(made))]))) if made else None
+        rows = train.select(*keys, "label_s", "label", values.alias("v")).select(*keys, "label_s", "label", "v.*") if made else train
         # Labels are a key here, as a least text would make Spark sort all rows; few rows are left to take the least of.
-        sums = [F.sum(F.get("features", F.lit(i))).alias(c) for i, c in enumerate(names)]
-        each = train.groupBy(*keys, "label_s", "label").agg(F.count(F.lit(1)).alias("n"), *sums)
-        return each.groupBy(*keys, "label_s").agg(F.min("label").alias("label"), *[F.sum(c).alias(c) for c in ("n", *names)])
+        each = rows.groupBy(*keys, "label_s", "label").agg(F.count(F.lit(1)).alias("n"), *[x.alias(c) for c, x in sums.items()])
+        return each.groupBy(*keys, "label_s").agg(F.min("label").alias("label"), *[F.sum(c).alias(c) for c in ("n", *sums)])
+
+    @staticmethod
+    def _digits(train: DataFrame, width: int) -> list[Digits]:
+        return digits(train, [F.get("features", F.lit(i)) for i in range(width)])
+
+    @staticmethod
+    def _whole(made: list[Digits]) -> list[Column]:
+        return [d.whole([F.col(f"s{i}_{j}") for j in range(d.size)]) for i, d in enumerate(made)]
+
+    def totals(self, train: DataFrame, width: int) -> DataFrame:
+        """label_s, label, n, s0, s1...: sums of each class, the same however rows are dealt."""
+        made = self._digits(train, width)
+        return self._sums(train, made).select("label_s", "label", "n", *[x.alias(f"s{i}") for i, x in enumerate(self._whole(made))])
 
     def fit(self, train: DataFrame, shape: Shape) -> DataFrame:
         """fold, label_s, label, n, centroid: class means over all folds but each one."""
@@ -140,14 +244,21 @@ class NearestCentroid(Classifier):
             met = self.totals(train.where(F.col("fold_id").isNull() | (F.col("fold_id") != 0)), shape.width).withColumn("fold", F.lit(0).cast("long"))
         else:
             # A fold's sums are those of the folds before it and of those behind it. Rows of zeros ask for each fold and class.
-            parts = self.totals(train, shape.width, "fold_id").withColumn("asked", F.lit(False))
-            asked = train.sparkSession.range(shape.n_folds).select(F.col("id").alias("fold_id"), F.explode(F.array(*[F.lit(c) for c in shape.classes]).cast("array<string>")).alias("label_s"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+            made = self._digits(train, shape.width)
+            parts = self._sums(train, made, "fold_id").withColumn("asked", F.lit(False))
+            none = (F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+            if shape.many:
+                asked = train.select("label_s").distinct().select(_upto(shape.n_folds).alias("fold_id"), "label_s", *none)
+            else:
+                asked = train.sparkSession.range(shape.n_folds).select(F.col("id").alias("fold_id"), F.explode(F.array(*[F.lit(c) for c in shape.classes]).cast("array<string>")).alias("label_s"), *none)
             both = parts.unionByName(asked, allowMissingColumns=True)
             own = Window.partitionBy("label_s")
             sides = [own.orderBy(F.col("fold_id").asc()), own.orderBy(F.col("fold_id").desc())]
             less = [side.rangeBetween(Window.unboundedPreceding, -1) for side in sides]
-            rest = {c: F.coalesce(F.sum(c).over(less[0]), F.lit(0)) + F.coalesce(F.sum(c).over(less[1]), F.lit(0)) for c in ("n", *names)}
+            summed = [c for c in parts.columns if c not in ("fold_id", "label_s", "label", "asked")]
+            rest = {c: F.coalesce(F.sum(c).over(less[0]), F.lit(0)) + F.coalesce(F.sum(c).over(less[1]), F.lit(0)) for c in summed}
             met = both.withColumns({"label": F.min("label").over(own)} | {f"_{c}": x for c, x in rest.items()}).where("asked").select(F.col("fold_id").alias("fold"), "label_s", "label", *[F.col(f"_{c}").alias(c) for c in rest])
+            met = met.select("fold", "label_s", "label", "n", *[x.alias(c) for c, x in zip(names, self._whole(made))])
         return met.where("n > 0").select("fold", "label_s", "label", "n", F.array(*[F.col(c) / F.col("n") for c in names]).cast("array<double>").alias("centroid"))
 
     def predict(self, train, test, shape):
@@ -169,7 +280,7 @@ class NearestCentroid(Classifier):
         A model of a checked size is broadcast and every row compared in place; a larger one is dealt into blocks of
         classes that chunks of rows meet one by one, the best of each block being compared again.
         """
-        n_classes, size = max(1, len(shape.classes)), _row_bytes(shape.width) * (shape.n_folds if keys else 1)
+        n_classes, size = shape.n_classes, _row_bytes(shape.width) * (shape.n_folds if keys else 1)
         met = ["fold", "row_idx", "y_true", "true_s"]
         if size * n_classes <= BROADCAST_BYTES:
             models = model.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_models"))
@@ -202,14 +313,14 @@ class NearestCentroid(Classifier):
     def _unrolled(self, rows, join, models, shape, left_out) -> DataFrame:
         """The same where a column for each coordinate of each class is few: plain arithmetic in compiled code."""
         sides, x = [], [F.get("features", F.lit(i)) for i in range(shape.width)]
-        for c in range(max(1, len(shape.classes))):
+        for c in range(shape.n_classes):
             m = F.get("_models", F.lit(c))
             sides += [m["label"].alias(f"_l{c}"), m["label_s"].alias(f"_t{c}")] + [F.get(m["centroid"], F.lit(i)).alias(f"_m{c}_{i}") for i in range(shape.width)]
             sides += [m["n"].alias(f"_n{c}")] if left_out else []
         kept = [k for k in models.columns if k != "_models"]
         wide = join(models.select(*kept, *sides))
         gaps = {}
-        for c in range(max(1, len(shape.classes))):
+        for c in range(shape.n_classes):
             at, there = [F.col(f"_m{c}_{i}") for i in range(shape.width)], F.col(f"_t{c}").isNotNull()
             if left_out:
                 own = F.when(F.col(f"_t{c}") == F.col("true_s"), 1.0).otherwise(0.0)

@@ -1,7 +1,9 @@
 """Confusion matrices and what follows from them, over text forms of labels.
 
-Predictions are frames with ``true_s`` and ``pred_s``. Matrices are long, (true_label, pred_label, n), with
-every pair of the labels listed, and are turned wide only where written.
+Predictions are frames with ``true_s`` and ``pred_s``. Matrices are long, (true_label, pred_label, n): with every pair
+of the labels listed, to be turned wide where written, or sparse, with the cells that occur. Metrics follow from either: they
+are made from cells that occur and totals of labels, and labels that don't occur enter means by their number. What a
+sparse matrix takes grows with the predictions, not with the square of the labels.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import DataError
+from quillon.sources.shared import bounded
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -17,8 +20,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-#: Most labels that a matrix, which has all their pairs, is made for.
-LABELS = 10_000
+#: Most labels that a matrix with all their pairs is made for; those of more are sparse.
+LABELS = 1_000
+
+Labels = list[str] | DataFrame
 
 
 def _labels(spark, labels: list[str]) -> DataFrame:
@@ -27,6 +32,22 @@ def _labels(spark, labels: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "ord int, label_s string")
 
 
+def _names(spark, labels: Labels) -> DataFrame:
+    """label_s of each label, any number of them; a list is broadcast if it is short."""
+    if isinstance(labels, DataFrame):
+        return labels.select("label_s").distinct()
+    return bounded(spark.createDataFrame([(x,) for x in labels], "label_s string"), len(labels))
+
+
+def occurring(predictions: DataFrame, labels: Labels) -> DataFrame:
+    """true_label, pred_label, n of the cells that occur; predictions whose true or predicted label is not listed are left out."""
+    seen = predictions.groupBy(F.col("true_s").alias("true_label"), F.col("pred_s").alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+    names = _names(predictions.sparkSession, labels)
+    for side in ("true_label", "pred_label"):
+        seen = seen.join(names.withColumnRenamed("label_s", side), side, "left_semi")
+    return seen.select("true_label", "pred_label", "n")
+
+
 def confusion(predictions: DataFrame, labels: list[str]) -> DataFrame:
     """true_label, pred_label, n: all pairs of the labels listed; other predictions are left out."""
     names = F.broadcast(_labels(predictions.sparkSession, labels))
@@ -57,11 +78,10 @@ def wide(cm: DataFrame, labels: list[str], value: str = "n") -> DataFrame:
     return rows.orderBy(place).withColumn("true_label", F.concat(F.lit("true_"), "true_label")).withColumnRenamed("true_label", "label")
 
 
-def support(predictions: DataFrame, labels: list[str]) -> DataFrame:
+def support(predictions: DataFrame, labels: Labels) -> DataFrame:
     """label_s, support: rows that truly have each label, whatever was predicted."""
-    names = F.broadcast(_labels(predictions.sparkSession, labels)).select("label_s")
     seen = predictions.groupBy(F.col("true_s").alias("label_s")).agg(F.count(F.lit(1)).alias("support"))
-    return names.join(seen, "label_s", "left").select("label_s", F.coalesce("support", F.lit(0)).alias("support"))
+    return _names(predictions.sparkSession, labels).join(seen, "label_s", "left").select("label_s", F.coalesce("support", F.lit(0)).alias("support"))
 
 
 def _sums(cm: DataFrame) -> DataFrame:
@@ -73,10 +93,12 @@ def _sums(cm: DataFrame) -> DataFrame:
     return each.groupBy("label_s").agg(*[F.sum(c).cast("double").alias(c) for c in ("row", "col", "tp")])
 
 
-def per_class(cm: DataFrame) -> DataFrame:
-    """label_s with tp, fn, fp, tn, precision, recall, sensitivity, specificity, f1."""
-    # One window over as many rows as labels.
-    whole = _sums(cm).withColumn("total", F.sum("row").over(Window.partitionBy(F.lit(1))))
+RATES = ("precision", "recall", "sensitivity", "specificity", "f1")
+
+
+def _rated(sums: DataFrame, total: DataFrame) -> DataFrame:
+    """Rates of each label from its sums and the matrix's total, one row."""
+    whole = sums.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
     tp, fn, fp = F.col("tp"), F.col("row") - F.col("tp"), F.col("col") - F.col("tp")
     counted = whole.select("label_s", *[x.alias(k) for k, x in (("tp", tp), ("fn", fn), ("fp", fp), ("tn", F.col("total") - tp - fn - fp))])
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -84,6 +106,18 @@ def per_class(cm: DataFrame) -> DataFrame:
     return rated.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def per_class(cm: DataFrame, labels: Labels | None = None) -> DataFrame:
+    """label_s with tp, fn, fp, tn, precision, recall, sensitivity, specificity, f1.
+
+    Labels are those of the matrix; of a sparse one ``labels`` tells those that don't occur too.
+    """
+    sums = _sums(cm)
+    if labels is not None:
+        zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("row", "col", "tp")}
+        sums = _names(cm.sparkSession, labels).join(sums, "label_s", "left").withColumns(zero)
+    return _rated(sums, cm.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total")))
+
+
 def _overall(row: Column, col: Column, tp: Column) -> tuple[list[Column], list[Column]]:
     """Sums to aggregate, and accuracy and mcc from them."""
     parts = {"_s": row, "_c": tp, "_tp": row * col, "_tt": row * row, "_pp": col * col}
@@ -93,12 +127,18 @@ def _overall(row: Column, col: Column, tp: Column) -> tuple[list[Column], list[C
     return sums, [ratio(c, s).alias("accuracy"), ratio(c * s - F.col("_tp"), den).alias("mcc")]
 
 
-def summary(cm: DataFrame) -> DataFrame:
-    """One row: accuracy, macro means over all labels, balanced accuracy and the multiclass MCC."""
+def summary(cm: DataFrame, n_labels: int | None = None) -> DataFrame:
+    """One row: accuracy, macro means over all labels, balanced accuracy and the multiclass MCC.
+
+    Of a sparse matrix ``n_labels`` tells how many labels there are: one without cells has no hit to its name and a specificity of 1.
+    """
     sums, overall_columns = _overall(F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp"), F.col("tp"))
-    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "sensitivity", "specificity", "f1")]
-    one = per_class(cm).agg(*means, *sums)
-    return one.select(*[f"macro_{c}" for c in ("precision", "recall", "sensitivity", "specificity", "f1")], *overall_columns, F.col("macro_recall").alias("balanced_accuracy"))
+    totals = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"_{c}") for c in RATES]
+    one = per_class(cm).agg(F.count(F.lit(1)).alias("_n"), *totals, *sums)
+    n = F.col("_n") if n_labels is None else F.lit(n_labels)
+    absent = {"specificity": F.when(F.col("_s") > 0, n - F.col("_n")).otherwise(0)}
+    means = {c: ratio(F.col(f"_{c}") + absent.get(c, F.lit(0)), n).alias(f"macro_{c}") for c in RATES}
+    return one.select(*means.values(), *overall_columns).withColumn("balanced_accuracy", F.col("macro_recall"))
 
 
 def overall(cm: DataFrame) -> DataFrame:
@@ -112,13 +152,12 @@ def metrics(cm: DataFrame, predictions: DataFrame, labels: list[str]) -> dict:
     one = summary(cm).first()
     classes = {r["label_s"]: r for r in per_class(cm).collect()}
     counted = {r["label_s"]: r["support"] for r in support(predictions, labels).collect()}
-    names = ("precision", "recall", "sensitivity", "specificity", "f1")
     return {
         "accuracy": one["accuracy"],
         "balanced_accuracy": one["balanced_accuracy"],
         "mcc": one["mcc"],
-        "macro": {k: one[f"macro_{k}"] for k in names},
-        "per_class": {x: {"tp": classes[x]["tp"], "fn": classes[x]["fn"], "fp": classes[x]["fp"], "tn": classes[x]["tn"], **{k: classes[x][k] for k in names}} for x in labels},
+        "macro": {k: one[f"macro_{k}"] for k in RATES},
+        "per_class": {x: {"tp": classes[x]["tp"], "fn": classes[x]["fn"], "fp": classes[x]["fp"], "tn": classes[x]["tn"], **{k: classes[x][k] for k in RATES}} for x in labels},
         "support": {x: counted[x] for x in labels},
         "labels": labels,
     }

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from quillon.errors import ValidationError
 from quillon.sources.labelled import Labelled, counted, placed
+from quillon.sources.shared import bounded, durable
 
 #: Rows up to which NumPy's order is offered: it is made on the driver.
 NUMPY_ROWS = 1_000_000
+#: Classes whose quotas are a literal in the plan; those of more are joined.
+MAPPED = 200
 #: Rows whose keys (some 100 bytes each) one task may rank.
 WINDOW_ROWS = 1_000_000
 
@@ -52,6 +55,41 @@ def quotas(counts: list[int], test_size: float) -> list[int]:
     return take
 
 
+def quota_table(data: Labelled, test_size: float) -> DataFrame:
+    """label_s, k: the same for any number of classes, in closed form and without a driver's list.
+
+    Going round the classes in their natural order, one row more or less each time, comes to some whole rounds, in
+    which every class takes part as long as it has room, and a last one of the first classes that still have some.
+    """
+    total = clip(half_even(data.n * test_size), 1, data.n - 1)
+    low, high = (F.when(F.col("n") == 1, 0).otherwise(x).cast("long") for x in (F.lit(1), F.col("n") - 1))
+    sized = data.per_class().withColumns({"low": low, "high": high})
+    taken = durable(sized.withColumn("k", F.least(F.greatest(F.bround(F.col("n") * F.lit(float(test_size)), 0).cast("long"), F.col("low")), F.col("high"))), "quotas")
+    facts = taken.agg(F.sum("k").alias("k"), F.sum("low").alias("low"), F.sum("high").alias("high")).first()
+    if not facts["low"] <= total <= facts["high"]:
+        raise ValidationError(f"{total} test rows cannot be had with every class on both sides")
+    short = total - facts["k"]
+    if not short:
+        return taken.select("label_s", "k")
+    step = 1 if short > 0 else -1
+    room = (F.col("high") - F.col("k")) if step > 0 else (F.col("k") - F.col("low"))
+
+    def given(rounds: int) -> int:
+        return taken.agg(F.sum(F.least(room, F.lit(rounds)))).first()[0]
+
+    # The most whole rounds that don't give too many rows; as shares are rounded, nearly always none.
+    rounds, above = 0, 1
+    while given(above) <= abs(short):
+        rounds, above = above, 2 * above
+    while above - rounds > 1:
+        middle = (rounds + above) // 2
+        rounds, above = (middle, above) if given(middle) <= abs(short) else (rounds, middle)
+    left = abs(short) - (given(rounds) if rounds else 0)
+    # Those that still have room, in their natural order.
+    last = _dealt(taken.where(room > rounds).select("label", "label_s"), [F.col("label")]).where(F.col("rank") <= left).select("label_s", F.lit(1).alias("more"))
+    return taken.join(bounded(last, left), "label_s", "left").select("label_s", (F.col("k") + step * (F.least(room, F.lit(rounds)) + F.coalesce("more", F.lit(0)))).alias("k"))
+
+
 class Splitter(ABC):
     @abstractmethod
     def assign(self, data: Labelled) -> DataFrame:
@@ -63,11 +101,12 @@ class Splitter(ABC):
 
 
 def _natural(data: Labelled) -> list[tuple]:
-    """Classes in their natural order: numbers by size, texts by code points."""
+    """Classes in their natural order: numbers by size, texts by code points; an error if they are too many to list."""
+    listed = [(label, text, n) for (label, _, n), text in zip(data.class_counts, data.classes)]
     try:
-        return sorted(data.class_counts, key=lambda x: x[0])
+        return sorted(listed, key=lambda x: x[0])
     except TypeError:
-        return sorted(data.class_counts, key=lambda x: x[1])
+        return sorted(listed, key=lambda x: x[1])
 
 
 def _enough(data: Labelled) -> int:
@@ -92,13 +131,10 @@ def _ranked(data: Labelled, stratify: bool, shuffle: bool, seed: int, order: str
     elif not stratify:
         ranks = _dealt(data.frame.select("row_idx"), by)
     else:
-        # Sorted by class first, a row's rank in its class is its place less where the class begins.
-        begin, starts = 0, []
-        for _, text, m in data.class_counts:
-            starts += [F.lit(text), F.lit(begin).cast("long")]
-            begin += m
-        start = F.element_at(F.create_map(*starts), F.col("label_s")) if starts else F.lit(0)
-        ranks = _dealt(data.frame.select("row_idx", "label_s"), [F.col("label_s"), *by]).select("row_idx", (F.col("rank") - start).alias("rank"))
+        # Sorted by class first, a row's rank in its class is its place behind the class's first.
+        whole = _dealt(data.frame.select("row_idx", "label_s"), [F.col("label_s"), *by])
+        starts = whole.groupBy("label_s").agg((F.min("rank") - 1).alias("start"))
+        ranks = whole.join(bounded(starts, data.n_classes), "label_s").select("row_idx", (F.col("rank") - F.col("start")).alias("rank"))
     if not data.gapless:
         ranks = ranks.groupBy("row_idx").agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("rows repeat the key "), F.col("row_idx").cast("string")))).otherwise(F.min("rank")).alias("rank"))
     return data.frame.join(ranks, "row_idx")
@@ -140,13 +176,18 @@ class Holdout(Splitter):
         if not 0 < self.test_size < 1:
             raise ValidationError(f"test_size has to lie between 0 and 1, not {self.test_size}")
         ranked = _ranked(data, self.stratify, True, self.seed, self.order)
-        if self.stratify:
+        if self.stratify and (data.class_table is not None or data.n_classes > MAPPED):
+            ranked = ranked.join(bounded(quota_table(data, self.test_size), data.n_classes), "label_s")
+            limit = F.col("k")
+        elif self.stratify:
             classes = _natural(data)
             take = quotas([m for _, _, m in classes], self.test_size)
             limit = F.element_at(F.create_map(*[F.lit(x) for (_, text, _), k in zip(classes, take) for x in (text, k)]), F.col("label_s"))
         else:
             limit = F.lit(clip(half_even(n * self.test_size), 1, n - 1))
-        return ranked.withColumn("fold_id", F.when(F.col("rank") <= limit, 0).otherwise(-1).cast("long")).drop("rank")
+        ranked = ranked.select("row_idx", "label", "label_s", "features", "rank", limit.alias("k"))
+        limit = F.col("k")
+        return ranked.withColumn("fold_id", F.when(F.col("rank") <= limit, 0).otherwise(-1).cast("long")).drop("rank", "k")
 
     def sizes(self, data: Labelled) -> list[int]:
         return [clip(half_even(data.n * self.test_size), 1, data.n - 1)]
@@ -166,12 +207,16 @@ class KFold(Splitter):
         n = _enough(data)
         if not 2 <= self.n_splits <= n:
             raise ValidationError(f"n_splits has to lie between 2 and {n}, not {self.n_splits}")
-        if self.stratify and max(m for _, _, m in data.class_counts) < self.n_splits:
+        if self.stratify and data.largest < self.n_splits:
             raise ValidationError(f"no class has {self.n_splits} rows: a fold would be empty")
         ranked = _ranked(data, self.stratify, self.shuffle, self.seed, self.order)
         return ranked.withColumn("fold_id", F.pmod(F.col("rank") - 1, F.lit(self.n_splits)).cast("long")).drop("rank")
 
     def sizes(self, data: Labelled) -> list[int]:
+        if self.stratify and data.class_table is not None:
+            # Whole rounds of every class, and one row more in the folds that its last round reaches.
+            left = data.class_table.groupBy((F.col("n") % self.n_splits).alias("left")).agg(F.count(F.lit(1)).alias("classes"), F.sum(F.expr(f"n div {self.n_splits}")).alias("rounds")).collect()
+            return [sum(r["rounds"] + r["classes"] * (r["left"] > f) for r in left) for f in range(self.n_splits)]
         dealt = [m for _, _, m in data.class_counts] if self.stratify else [data.n]
         return [sum(-(-(m - f) // self.n_splits) for m in dealt if m > f) for f in range(self.n_splits)]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions.distances import distance
 from quillon.operators import evaluate
 from quillon.operators.classify import Knn, NearestCentroid, Shape
-from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions
+from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions, quota_table
 from quillon.plans import experiment, oracle
 from quillon.sources import sinks
 from quillon.sources.labelled import Labelled, from_columns, from_vectors, read_csv
@@ -37,6 +37,10 @@ def parts(spark, d) -> Labelled:
     return from_columns(table(spark, d, "part"), "p_brand", "p_partkey", features=["p_size", "p_retailprice"])
 
 
+def nation_balances(spark, d) -> Labelled:
+    return from_columns(table(spark, d, "customer"), "c_nationkey", "c_custkey", features=["c_acctbal"])
+
+
 def graded(spark, d) -> Labelled:
     met = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     return from_columns(met, "quality", "doc_id", features=["n_chars"])
@@ -251,6 +255,14 @@ def knn_neighbors_topk(spark, d):
     return near.select("row_idx", F.col("nth").cast("long").alias("nth"), F.col("r_idx").alias("neighbour"), F.round("d", 6).alias("d"))
 
 
+def knn_pruned_topk(spark, d):
+    """Neighbours by size and price, most pairs being ruled out by the triangle inequality."""
+    data = parts(spark, d)
+    assigned = LeaveOneOut().assign(data)
+    near = Knn(5, prune=True).neighbours(assigned, assigned, _whole(data))
+    return near.select("row_idx", F.col("nth").cast("long").alias("nth"), F.col("r_idx").alias("neighbour"), F.round("d", 6).alias("d"))
+
+
 def _predicted(load, how, what):
     return lambda spark, d: shown(experiment.predictions(load(spark, d), how, what))
 
@@ -319,6 +331,34 @@ def row_numbers_of_join(spark, d):
     return counted.withColumn("known_n", F.lit(data.n).cast("long"))
 
 
+def _sparse(spark, d):
+    train, test = nations(spark, d)
+    labels = evaluate.merged_labels(train.frame, test.frame)
+    return evaluate.occurring(experiment.between(train, test, NearestCentroid()), labels), labels
+
+
+def confusion_sparse(spark, d):
+    return _sparse(spark, d)[0]
+
+
+def metrics_sparse_per_class(spark, d):
+    """From the cells that occur; labels without any are listed too."""
+    return rounded(evaluate.per_class(*_sparse(spark, d)), *RATES)
+
+
+def metrics_sparse_summary(spark, d):
+    cm, labels = _sparse(spark, d)
+    # One label more than there are: it enters the means by its number alone.
+    found = evaluate.summary(cm, labels.count() + 1)
+    return rounded(found, *found.columns)
+
+
+def holdout_joined_quotas(spark, d):
+    """Quotas of classes as a table, in closed form: as many repaired as the total asks for."""
+    data = from_columns(table(spark, d, "part"), "p_brand", "p_partkey", features=["p_size"])
+    return quota_table(data, 0.333)
+
+
 def metrics_per_class(spark, d):
     return rounded(evaluate.per_class(confusion_long(spark, d)), *RATES)
 
@@ -361,7 +401,7 @@ def queries() -> dict:
         feature_scan, row_numbers, class_counts, class_dictionary, holdout_strat_imbalanced, kfold_fold_stats, loo_fold_stats, partition_export_rows, knn_neighbors_topk, centroid_fit, centroid_train_test_predict,
         knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
         csv_scan, csv_columns, run_predictions_file, classify_predictions_file, run_metrics_file, run_matrix_file, run_meta_file, classify_meta_file, validate_meta_file, exported_partition_files, confusion_of_some, matrix_drawing, row_numbers_of_join,
-        csv_quoted_scan, clashing_columns, float_labels,
+        csv_quoted_scan, clashing_columns, float_labels, knn_pruned_topk, confusion_sparse, metrics_sparse_per_class, metrics_sparse_summary, holdout_joined_quotas,
     ]
     return {f.__name__: f for f in plain} | {
         "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),
@@ -376,6 +416,8 @@ def queries() -> dict:
         "dist_minkowski": _to_centroids(MINKOWSKI),
         "knn_kfold_predict": _predicted(vectors, FOLDS5, Knn(3)),
         "knn_blocked_predict": _predicted(vectors, FOLDS5, Knn(3, blocks=4)),
+        "knn_pruned_predict": _predicted(vectors, FOLDS5, Knn(3, prune=True)),
+        "knn_pruned_manhattan_predict": _predicted(nation_balances, Holdout(0.25, 7), Knn(5, distance("manhattan"), prune=True)),
         "knn_holdout_predict": _predicted(vectors, Holdout(0.25, 7), Knn(5)),
         "knn_loo_1nn_predict": _predicted(vectors, LeaveOneOut(), Knn(1)),
         "knn_manhattan_predict": _predicted(vectors, FOLDS5, Knn(3, distance("manhattan"))),

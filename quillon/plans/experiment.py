@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from quillon.errors import ClassifierError, ConfigError
 from quillon.functions.distances import distance
 from quillon.operators import evaluate
-from quillon.operators.classify import Classifier, Knn, NearestCentroid, Shape, check_k, check_widths
+from quillon.operators.classify import Classifier, Knn, NearestCentroid, check_k, check_widths, shape_of
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, Splitter, fold_stats
 from quillon.plans.config import as_truth
 from quillon.sources import sinks
-from quillon.sources.labelled import Labelled, read_csv
+from quillon.sources.labelled import CLASSES, Labelled, read_csv
 from quillon.sources.sinks import RunDirectory
 
 #: Folds that a validation's report lists.
@@ -62,9 +62,9 @@ def dataset(spark: SparkSession, config: dict) -> Labelled:
 
 def predictions(data: Labelled, how: Splitter, what: Classifier) -> DataFrame:
     """Pooled predictions of all folds, in one plan."""
-    assigned, sizes, classes = how.assign(data), how.sizes(data), tuple(data.classes)
+    assigned, sizes = how.assign(data), how.sizes(data)
     alone = isinstance(how, LeaveOneOut)
-    shape = Shape(data.width, data.n, data.n if alone else sum(sizes), data.n if alone else len(sizes), classes)
+    shape = shape_of(data, data.n if alone else sum(sizes), data.n if alone else len(sizes))
     if alone and isinstance(what, NearestCentroid):
         return what.predict_loo(assigned, shape)
     check_k(what, [(f, data.n - n) for f, n in enumerate(sizes)])
@@ -73,7 +73,8 @@ def predictions(data: Labelled, how: Splitter, what: Classifier) -> DataFrame:
 
 def between(train: Labelled, test: Labelled, what: Classifier) -> DataFrame:
     """Predictions of one table's rows from another's."""
-    shape = Shape(check_widths(train, test), train.n, test.n, 1, tuple(train.classes))
+    check_widths(train, test)
+    shape = shape_of(train, test.n, 1)
     check_k(what, [(0, train.n)])
     fold = [F.lit(x).cast("long").alias("fold_id") for x in (-1, 0)]
     return what.predict(train.frame.select("*", fold[0]), test.frame.select("*", fold[1]), shape)
@@ -120,10 +121,27 @@ def _single(config: dict) -> bool:
 
 
 def _about(config: dict, data: Labelled) -> dict:
-    return {"path": (config.get("io") or {}).get("dataset"), "n_samples": data.n, "n_features": data.width, "target_col": data.target, "classes": data.classes}
+    classes = {"classes": data.classes} if data.class_table is None else {"n_classes": data.n_classes}
+    return {"path": (config.get("io") or {}).get("dataset"), "n_samples": data.n, "n_features": data.width, "target_col": data.target} | classes
+
+
+def _sparse_report(run: RunDirectory, found: DataFrame, labels: DataFrame | list[str], n_labels: int, config: dict) -> dict:
+    """For more labels than a matrix of all pairs has room for: cells that occur, and per-label metrics, as tables."""
+    cm = evaluate.occurring(found, labels).persist()
+    for name, matrix in (("confusion_matrix", cm), ("confusion_matrix_norm_rows", evaluate.by_rows(cm)), ("confusion_matrix_norm_cols", evaluate.by_columns(cm))):
+        sinks.write_csv(matrix, run / f"{name}.csv", ["true_label", "pred_label"], _single(config))
+    each = evaluate.per_class(cm, labels).join(evaluate.support(found, labels), "label_s").withColumnRenamed("label_s", "label")
+    sinks.write_csv(each, run / "metrics_per_class.csv", ["label"], _single(config))
+    one = evaluate.summary(cm, n_labels).first()
+    found_metrics = {k: one[k] for k in ("accuracy", "balanced_accuracy", "mcc")} | {"macro": {k: one[f"macro_{k}"] for k in evaluate.RATES}, "per_class": "metrics_per_class.csv", "n_labels": n_labels}
+    sinks.write_json(run / "metrics.json", found_metrics)
+    cm.unpersist()
+    return found_metrics
 
 
-def _reported(run: RunDirectory, found: DataFrame, labels: list[str], config: dict) -> dict:
+def _reported(run: RunDirectory, found: DataFrame, labels: DataFrame | list[str], n_labels: int, config: dict) -> dict:
+    if n_labels > evaluate.LABELS:
+        return _sparse_report(run, found, labels, n_labels, config)
     cm = evaluate.confusion(found, labels).persist()
     shares = {"confusion_matrix": (cm, "n"), "confusion_matrix_norm_rows": (evaluate.by_rows(cm), "share"), "confusion_matrix_norm_cols": (evaluate.by_columns(cm), "share")}
     shown = as_truth((config.get("report") or {}).get("confusion_matrix_display", False))
@@ -158,7 +176,10 @@ def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
         mode, target, drops = "classify_train_test", str(source.get("target_col", "class")), list(source.get("drop_cols") or [])
         train, test = (read_csv(spark, str(source[k]), target, drops) for k in ("train_dataset", "test_dataset"))
         found = between(train, test, what)
-        labels = [r[0] for r in evaluate.merged_labels(train.frame, test.frame).select("label_s").collect()]
+        labels = evaluate.merged_labels(train.frame, test.frame).select("label_s")
+        n_labels = labels.count()
+        if n_labels <= CLASSES:
+            labels = sorted(r[0] for r in labels.collect())
         sizes, width = (train.n, test.n), (train.width, test.width)
     else:
         mode, data = "classify_dataset_split", dataset(spark, config)
@@ -170,11 +191,11 @@ def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
             raise ConfigError("classify takes a splitter with one split, such as holdout; folds are for run")
         found = predictions(data, how, what)
         n_test = found.count()
-        labels, sizes, width = data.classes, (data.n - n_test, n_test), (data.width, data.width)
-    labels = sorted(labels)
+        n_labels, sizes, width = data.n_classes, (data.n - n_test, n_test), (data.width, data.width)
+        labels = data.classes if data.class_table is None else data.class_table.select("label_s")
     found = found.persist()
     sinks.write_csv(found.select(F.col("row_idx").alias("index"), "y_true", "y_pred"), run / "predictions.csv", ["index"], _single(config))
-    metrics = _reported(run, found, labels, config)
+    metrics = _reported(run, found, labels, n_labels, config)
     sinks.write_json(
         run / "meta.json",
         {
@@ -184,7 +205,7 @@ def classify(spark: SparkSession, config: dict, outputs: str = "outputs") -> Run
             "config": config,
             "train": {"n_samples": sizes[0], "n_features": width[0]},
             "test": {"n_samples": sizes[1], "n_features": width[1]},
-            "labels": labels,
+            **({"labels": labels} if isinstance(labels, list) else {"n_labels": n_labels}),
             "summary": _summary(metrics),
             "outputs": _outputs(run, "predictions_csv"),
         },
@@ -201,7 +222,8 @@ def run(spark: SparkSession, config: dict, outputs: str = "outputs") -> RunDirec
     how, what = splitter(config.get("validation") or {}), classifier(config.get("classifier") or {})
     found = predictions(data, how, what).persist()
     sinks.write_csv(found.select("fold", F.col("row_idx").alias("index"), "y_true", "y_pred"), place / "fold_predictions.csv", ["fold", "index"], _single(config))
-    metrics = _reported(place, found, data.classes, config)
+    labels = data.classes if data.class_table is None else data.class_table.select("label_s")
+    metrics = _reported(place, found, labels, data.n_classes, config)
     n_folds = found.select("fold").distinct().count()
     meta = {"mode": "run", "run_name": name, "timestamp": when, "config": config, "dataset": _about(config, data), "n_folds": n_folds}
     sinks.write_json(place / "meta.json", meta | {"outputs": _outputs(place, "fold_predictions_csv"), "summary": _summary(metrics)})

@@ -83,6 +83,11 @@ LINES = """
         labels_s AS (SELECT s FROM cent),
         cm AS (SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM labels_s a CROSS JOIN labels_s b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL)"""
 
+NATIONS = """
+        cent AS (SELECT CAST(s_nationkey AS VARCHAR) AS s, avg(s_acctbal) AS c FROM supplier GROUP BY 1),
+        pred AS (SELECT c_custkey AS row_idx, CAST(c_nationkey AS VARCHAR) AS true_s, s AS pred_s FROM customer CROSS JOIN cent QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - c), s) = 1),
+        labels_s AS (SELECT DISTINCT CAST(k AS VARCHAR) AS s FROM (SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer)),
+        cm AS (SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM labels_s a CROSS JOIN labels_s b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL)"""
 CLASHING = "p_brand || ',' || chr(10) || '\"' || right(p_brand, 1) || '\" ' AS label_s, CAST(p_partkey AS DOUBLE) AS f0, CAST(p_size AS DOUBLE) AS f1, CAST(p_partkey * 2 AS DOUBLE) AS f2, CAST(p_size * 3 AS DOUBLE) AS f3, CAST(p_retailprice AS DOUBLE) AS f4 FROM part"
 
 
@@ -114,6 +119,9 @@ def statements() -> dict[str, str]:
         "knn_neighbors_topk": f"WITH {vectors('vec_id')} SELECT t.row_idx, row_number() OVER (PARTITION BY t.row_idx ORDER BY list_distance(t.x, r.x), r.row_idx) AS nth, r.row_idx AS neighbour, round(list_distance(t.x, r.x), 6) AS d FROM e t JOIN e r ON t.fold <> r.fold QUALIFY nth <= 5",
         "knn_kfold_predict": f"WITH {vectors(STRATIFIED)}, {knn(3)} {PREDICTED}",
         "knn_blocked_predict": f"WITH {vectors(STRATIFIED)}, {knn(3)} {PREDICTED}",
+        "knn_pruned_predict": f"WITH {vectors(STRATIFIED)}, {knn(3)} {PREDICTED}",
+        "knn_pruned_manhattan_predict": f"WITH {holdout('SELECT c_custkey AS row_idx, c_nationkey AS label, CAST(c_nationkey AS VARCHAR) AS label_s FROM customer', 0.25, 7)}, e AS (SELECT row_idx, label_s AS s, [CAST(c_acctbal AS DOUBLE)] AS x, fold_id AS fold FROM folded JOIN customer ON c_custkey = row_idx), {knn(5, 'manhattan', test='t.fold >= 0')} {PREDICTED}",
+        "knn_pruned_topk": "WITH e AS (SELECT p_partkey AS row_idx, [CAST(p_size AS DOUBLE), CAST(p_retailprice AS DOUBLE)] AS x FROM part) SELECT t.row_idx, row_number() OVER (PARTITION BY t.row_idx ORDER BY list_distance(t.x, r.x), r.row_idx) AS nth, r.row_idx AS neighbour, round(list_distance(t.x, r.x), 6) AS d FROM e t JOIN e r ON t.row_idx <> r.row_idx QUALIFY nth <= 5",
         "knn_loo_1nn_predict": f"WITH {vectors('vec_id')}, {knn(1)} {PREDICTED}",
         "knn_manhattan_predict": f"WITH {vectors(STRATIFIED)}, {knn(3, 'manhattan')} {PREDICTED}",
         "knn_chebyshev_predict": f"WITH {vectors(STRATIFIED)}, {knn(3, 'chebyshev')} {PREDICTED}",
@@ -154,6 +162,10 @@ def statements() -> dict[str, str]:
     shares = ", ".join(f"max(n) FILTER (pred_label = '{x}') AS pred_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     found |= {
         "csv_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_brand AS label_s, CAST(p_size AS DOUBLE) AS f0, CAST(p_retailprice AS DOUBLE) AS f1 FROM part",
+        "confusion_sparse": f"WITH {NATIONS} SELECT true_label, pred_label, n FROM cm WHERE n > 0",
+        "metrics_sparse_per_class": f"WITH {NATIONS}, {RATED} {PER_CLASS_ROW}",
+        "metrics_sparse_summary": f"WITH {NATIONS}, {RATED}, {OVERALL} SELECT m.*, o.* FROM ({OVERALL_ROW}) o, (SELECT round(sum(p) / (count(*) + 1), 6) AS macro_precision, round(sum(q) / (count(*) + 1), 6) AS macro_recall, round(sum(q) / (count(*) + 1), 6) AS macro_sensitivity, round((sum(sp) + 1) / (count(*) + 1), 6) AS macro_specificity, round(sum(f) / (count(*) + 1), 6) AS macro_f1, round(sum(q) / (count(*) + 1), 6) AS balanced_accuracy FROM rated) m",
+        "holdout_joined_quotas": f"WITH {holdout('SELECT p_partkey AS row_idx, p_brand AS label, p_brand AS label_s FROM part', 0.333, 42)} SELECT label_s, CAST(k AS BIGINT) AS k FROM quota",
         "csv_quoted_scan": f"SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, {CLASHING}",
         "clashing_columns": f"SELECT p_partkey AS row_idx, {CLASHING}",
         "float_labels": "SELECT p_partkey AS row_idx, CAST(CAST(CAST(p_size AS VARCHAR) || 'e' || CAST(p_partkey % 25 - 7 AS VARCHAR) AS DOUBLE) AS VARCHAR) AS label_s FROM part",

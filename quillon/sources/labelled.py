@@ -22,6 +22,10 @@ MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
 
+#: Most classes that the driver lists.
+CLASSES = 10_000
+
+
 def _let(value: Column, use) -> Column:
     """use(value), computed once however often it occurs there."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -82,19 +86,31 @@ class Labelled:
     source: DataFrame | None = field(default=None, repr=False)
     source_names: list[str] = field(default_factory=list)
     drop_cols: list[str] = field(default_factory=list)
-    #: (label, text, rows) of each class in the order of texts.
+    #: (label, text, rows) of each class in the order of texts; of more than CLASSES classes there is ``class_table`` alone.
     class_counts: list[tuple] = field(default_factory=list)
+    #: label, label_s and n of each class, where there are too many for the driver.
+    class_table: DataFrame | None = field(default=None, repr=False)
+    n_classes: int = 0
+    n: int = 0
+    #: Rows of the largest class.
+    largest: int = 0
     #: Rows are numbered from 0 on without gaps; else row numbers are a key of the input, ``low`` its least value.
     gapless: bool = False
     low: int = 0
 
     @property
     def classes(self) -> list[str]:
+        if self.class_table is not None:
+            raise DataError(f"{self.n_classes} classes can't be listed on the driver; {CLASSES} are the most")
         return [text for _, text, _ in self.class_counts]
 
-    @property
-    def n(self) -> int:
-        return sum(n for _, _, n in self.class_counts)
+    def per_class(self) -> DataFrame:
+        """label, label_s, n of each class."""
+        if self.class_table is not None:
+            return self.class_table
+        kind = self.frame.schema["label"].dataType
+        schema = T.StructType([T.StructField("label", kind), T.StructField("label_s", T.StringType()), T.StructField("n", T.LongType())])
+        return self.frame.sparkSession.createDataFrame(self.class_counts, schema)
 
 
 def _place(names: list[str], name: str, what: str) -> int:
@@ -155,30 +171,45 @@ def from_vectors(df: DataFrame, index: str, vector: str, target: str) -> Labelle
 
 
 def _labelled(frame, names, target, width, **more) -> Labelled:
-    """One pass tells the classes, whether labels or keys are missing, and how wide vectors are: as many rows as classes."""
+    """One pass tells the classes, whether labels or keys are missing, and how wide vectors are."""
     size = F.size("features")
     facts = [F.count(F.lit(1)).alias("n"), F.min(size).alias("narrow"), F.max(size).alias("wide")]
     if not more.get("gapless"):
         facts += [F.min("row_idx").alias("low"), F.count("row_idx").alias("keys")]
     # The label is a key beside its text: a least label would make Spark sort all rows.
-    seen = frame.groupBy("label_s", "label").agg(*facts).collect()
-    if any(r["label_s"] is None for r in seen):
+    table = frame.groupBy("label_s", "label").agg(*facts)
+    seen = table.limit(CLASSES + 1).collect()
+    many = None
+    if len(seen) > CLASSES:
+        # Too many for the driver: they stay a table, and what is known of them comes from it.
+        table = durable(table, "classes")
+        whole = [F.max(F.col("label_s").isNull()).alias("unknown"), F.min("narrow").alias("narrow"), F.max("wide").alias("wide")]
+        if not more.get("gapless"):
+            whole += [F.min("low").alias("low"), F.sum("keys").alias("keys")]
+        many = table.agg(F.sum("n").alias("n"), *whole).first()
+    if many["unknown"] if many else any(r["label_s"] is None for r in seen):
         raise DataError(f"target column {target!r} has missing labels")
+    rows = [many] if many else seen
     if width is None:
-        narrow, wide = min((r["narrow"] for r in seen), default=0), max((r["wide"] for r in seen), default=0)
+        narrow, wide = min((r["narrow"] for r in rows), default=0), max((r["wide"] for r in rows), default=0)
         if narrow != wide:
             raise DataError(f"vectors have {narrow} to {wide} coordinates")
         width = narrow
     if not more.get("gapless"):
-        if any(r["keys"] < r["n"] for r in seen):
+        if any(r["keys"] < r["n"] for r in rows):
             raise DataError("the key that numbers rows has missing values")
-        more["low"] = min((r["low"] for r in seen), default=0)
+        more["low"] = min((r["low"] for r in rows), default=0)
+    if many:
+        per_class = durable(table.groupBy("label_s").agg(F.min("label").alias("label"), F.sum("n").alias("n")).select("label", "label_s", "n"), "classes")
+        sizes = per_class.agg(F.count(F.lit(1)).alias("classes"), F.max("n").alias("largest")).first()
+        return Labelled(frame, names, target, width, class_table=per_class, n_classes=sizes["classes"], n=many["n"], largest=sizes["largest"], **more)
     classes: dict[str, tuple] = {}
     for r in sorted(seen, key=lambda r: (r["label_s"], r["label"])):
         label, _, n = classes.get(r["label_s"], (r["label"], None, 0))
         classes[r["label_s"]] = (label, r["label_s"], n + r["n"])
     counts = [classes[k] for k in sorted(classes)]
-    return Labelled(frame, names, target, width, class_counts=counts, **more)
+    sizes = [n for _, _, n in counts]
+    return Labelled(frame, names, target, width, class_counts=counts, n_classes=len(counts), n=sum(sizes), largest=max(sizes, default=0), **more)
 
 
 def numbered(df: DataFrame) -> DataFrame:
