@@ -31,6 +31,10 @@ ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "optio
 #: Blocks that keep an outer paragraph open.
 SCOPE = frozenset("td th caption table button object html body".split())
 
+#: Elements whose own are written as in XML.
+FOREIGN = ("svg", "math")
+#: Ends of a comment: at once, or behind two hyphens.
+ABRUPT, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag, quotes counting behind an equals sign only; nothing is tried twice.
 REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^"'])|\Z))*+>""")
@@ -75,11 +79,11 @@ class Open:
 
 def tokens(source: str):
     """(start, end, slash, name, attributes) of each tag; comments and declarations have no name. RAW content is skipped."""
-    at, careful = 0, True
+    at, careful, foreign = 0, True, 0
     while (lt := source.find("<", at)) >= 0:
         if source.startswith("<!--", lt):
-            end = source.find("-->", lt + 4)
-            at = end + 3 if end >= 0 else len(source)
+            found = ABRUPT.match(source, lt + 4) or COMMENT_END.search(source, lt + 4)
+            at = found.end() if found else len(source)
             yield lt, at, "", None, ""
             continue
         if source[lt + 1 : lt + 2] in ("!", "?"):
@@ -102,8 +106,11 @@ def tokens(source: str):
                 return
         at = end
         tag = name[2].lower()
-        yield lt, end, name[1], tag, source[name.end() : end - 1]
-        if not name[1] and tag in RAW:  # within a script or the like only its end counts
+        rest = source[name.end() : end - 1]
+        yield lt, end, name[1], tag, rest
+        if tag in FOREIGN and not (not name[1] and rest.endswith("/")):
+            foreign = max(0, foreign - 1) if name[1] else foreign + 1
+        if not name[1] and tag in RAW and not (foreign and rest.endswith("/")):  # within a script or the like only its end counts
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = close.start() if close else len(source)
 
@@ -160,7 +167,8 @@ def parse(source: str | None) -> Page:
         block += tag in BLOCK
         attrs = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(rest)} if rest else {}
         add(tag, attrs, " " if tag == "br" and not silent else "")
-        if tag not in VOID and not rest.endswith("/"):
+        # A slash at a tag's end means nothing in HTML, but ends elements of drawings and formulas.
+        if tag not in VOID and not (rest.endswith("/") and (tag in FOREIGN or stack.last(*FOREIGN))):
             stack.push(len(page.tag) - 1, tag)
             silent += tag in SILENT
     if stack.tags[-1] not in RAW:

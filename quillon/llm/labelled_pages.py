@@ -87,6 +87,7 @@ class Maker:
         inside = self.maybe(lambda: self.mark0(self.one(self.advert, self.share, self.related)()), 0.25)
         if inside:
             inner += inside + self.body() if self.r.random() < 0.6 else inside
+        inner += self.maybe(lambda: self.mark0(self.comments()), 0.2)
         named = self.one("", "content", "post-body", "entry-content", "story", "article-text", "prose", "main", "x12", "col-8", "text")
         attrs = f' {self.one("class", "id")}="{named}"' if named else ""
         form = self.one("article", "article", "article", "main", "div", "div", "section", "table")
@@ -188,12 +189,18 @@ class Maker:
             lambda: f'<div class="comment"><b>{self.word()}</b><p>{self.prose()}</p></div>',
             lambda: f"<li><p>{self.word()}</p><p>{self.prose()}</p></li>",
             lambda: f'<article class="comment-body"><p>{self.prose()}</p></article>',
+            lambda: f"<li>{self.prose()}</li>",
+            lambda: f"<p>{self.prose()}</p>",
+            lambda: f"<div>{self.prose()}</div>",
         )
         inner = "".join(one() for _ in range(self.r.randint(1, 5)))
         return self.one(
             lambda: f'<section id="comments"><h2>{self.words(1, 3)}</h2>{inner}</section>',
             lambda: f'<div class="comments">{inner}</div>',
             lambda: f'<ol class="commentlist">{inner}</ol>',
+            lambda: f'<ul id="{self.one("comments", "replies", "comment-list")}">{inner}</ul>',
+            lambda: f'<div id="disqus_thread">{inner}</div>',
+            lambda: f'<div class="{self.one("discussion", "replies", "user-feedback", "fb-comments")}">{inner}</div>',
             lambda: f'<section class="reader-comments"><h3>{self.words(1, 3)}</h3>{inner}</section>',
         )()
 

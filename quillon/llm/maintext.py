@@ -8,7 +8,9 @@ gradient ascent on the likelihood of labelled pages, with the same messages for
 
 Blocks are joined in page order by one line feed, white space within a block is one space.  Defined
 cases: null, empty and tagless input are pages too (bare text is content if the model says so);
-scripts, styles, titles and form controls never give text; repeated rows give repeated rows.
+scripts, styles, titles and form controls never give text; repeated rows give repeated rows; ids are whole
+numbers (text ids are cast, one that is no number is an error) and may be null; an empty table gives no rows; further
+columns are ignored.  A title in a header within the article goes with that header; labels of drawings in the article stay.
 """
 
 from __future__ import annotations
@@ -47,6 +49,24 @@ NAMES = [
 ]
 
 
+def named(attrs: dict | None) -> str | None:
+    """What an element's names speak for."""
+    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower() if attrs else ""
+    return next((kind for p, kind in NAMES if p.search(names)), None) if names.strip() else None
+
+
+def comments_of(page: Page) -> list[bool]:
+    """Whether each node stands in an element named for comments that does not hold the page's own title or main part."""
+    n = len(page.tag)
+    holds, within = [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        holds[page.parent[i]] |= holds[i] or page.tag[i] in ("h1", "main")
+    for i in range(1, n):
+        own = page.tag[i] not in ("", "html", "body", "main") and not holds[i] and named(page.attrs[i]) == "comment"
+        within[i] = own or within[page.parent[i]]
+    return within
+
+
 def features(page: Page) -> list[list[str]]:
     """Names of each node's active features."""
     n = len(page.tag)
@@ -65,6 +85,7 @@ def features(page: Page) -> list[list[str]]:
         linked[p] += linked[i]
         ends[p] += ends[i]
     found: list[list[str]] = [["root"]]
+    discussed = comments_of(page)
     for i in range(1, n):
         tag, parent = page.tag[i], page.tag[page.parent[i]]
         own = [f"size{min(12, size[i].bit_length())}"]
@@ -72,15 +93,16 @@ def features(page: Page) -> list[list[str]]:
             own.append(f"links{int(4 * linked[i] / size[i])}")
             own.append(f"ends{min(3, ends[i])}")
         if not tag:
-            found.append(["text", f"under-{GROUPS.get(parent, 'other')}", *(f"text-{x}" for x in own)])
+            found.append(["text", f"under-{GROUPS.get(parent, 'other')}", *(f"text-{x}" for x in own), *["in-comments"] * discussed[i]])
             continue
         group = "title" if tag == "h1" else "heading" if re.fullmatch("h[2-6]", tag) else GROUPS.get(tag, "other")
         # Elements that by their meaning hold a page's text may hold little of it.
         found.append(["element", f"tag-{group}", *([] if group in ("article", "main") else own)])
+        if discussed[i]:
+            found[-1].append("in-comments")
         attrs = page.attrs[i]
         if attrs:
-            names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()
-            kind = next((kind for p, kind in NAMES if p.search(names)), None) if names.strip() else None
+            kind = named(attrs)
             if kind:
                 found[-1] += [f"name-{kind}", f"tag-{group} name-{kind}"]
             if "hidden" in attrs:
