@@ -15,6 +15,7 @@ from quillon.plans import experiment, oracle
 from quillon.sources import sinks
 from quillon.sources.labelled import Labelled, from_columns, from_vectors, read_csv
 from quillon.sources.shared import remember, shared_path
+from quillon.streaming import scoring
 
 FOLDS5 = KFold(5, stratify=True, shuffle=False)
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -288,6 +289,22 @@ def centroid_lineitem_confusion(spark, d):
     return evaluate.confusion(experiment.between(data, data, NearestCentroid()), data.classes)
 
 
+def stream_confusion(spark, d):
+    """Events replayed as a stream: types told from values by their nearest neighbours in a table, and each day's confusion matrix kept as state."""
+    events = table(spark, d, "events")
+    train = from_columns(events.where(F.col("event_id") % 5 == 0), "event_type", "event_id", features=["value"])
+    places = [remember(spark, shared_path(spark, name)) for name in ("predicted", "predicted_state", "cells", "cells_state")]
+    # A pattern, as a stream's source is one or a folder. Times without a zone count as UTC, whatever the session's zone.
+    replay = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]").where(F.col("event_id") % 5 != 0)
+    ts = F.col("ts") if events.schema["ts"].dataType.typeName() == "timestamp" else F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp")
+    rows = replay.select(F.col("event_id").alias("row_idx"), F.col("event_type").alias("label"), F.array("value").alias("features"), ts.alias("ts"))
+    scoring.neighbours_stream(rows, train, Knn(3, prune=True), *places[:2]).awaitTermination()
+    predicted = spark.readStream.schema("row_idx long, true_s string, pred_s string, ts timestamp").parquet(f"{places[0]}/batch=*")
+    scoring.confusion_stream(predicted, *places[2:]).awaitTermination()
+    day = F.date_from_unix_date(F.floor(F.unix_micros("start") / 86_400_000_000).cast("int"))
+    return scoring.matrix(spark, places[2]).withColumn("start", day.cast("string"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 
@@ -401,7 +418,7 @@ def queries() -> dict:
         feature_scan, row_numbers, class_counts, class_dictionary, holdout_strat_imbalanced, kfold_fold_stats, loo_fold_stats, partition_export_rows, knn_neighbors_topk, centroid_fit, centroid_train_test_predict,
         knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
         csv_scan, csv_columns, run_predictions_file, classify_predictions_file, run_metrics_file, run_matrix_file, run_meta_file, classify_meta_file, validate_meta_file, exported_partition_files, confusion_of_some, matrix_drawing, row_numbers_of_join,
-        csv_quoted_scan, clashing_columns, float_labels, knn_pruned_topk, confusion_sparse, metrics_sparse_per_class, metrics_sparse_summary, holdout_joined_quotas,
+        csv_quoted_scan, clashing_columns, float_labels, knn_pruned_topk, confusion_sparse, metrics_sparse_per_class, metrics_sparse_summary, holdout_joined_quotas, stream_confusion,
     ]
     return {f.__name__: f for f in plain} | {
         "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),

@@ -162,6 +162,7 @@ def statements() -> dict[str, str]:
     shares = ", ".join(f"max(n) FILTER (pred_label = '{x}') AS pred_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     found |= {
         "csv_scan": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_brand AS label_s, CAST(p_size AS DOUBLE) AS f0, CAST(p_retailprice AS DOUBLE) AS f1 FROM part",
+        "stream_confusion": f"WITH e AS (SELECT event_id AS row_idx, event_type AS s, [CAST(value AS DOUBLE)] AS x, CASE WHEN event_id % 5 = 0 THEN -1 ELSE 0 END AS fold FROM events), {knn(3, test='t.fold >= 0')} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, true_s AS true_label, pred_s AS pred_label, count(*) AS n FROM pred JOIN events ON event_id = row_idx GROUP BY ALL",
         "confusion_sparse": f"WITH {NATIONS} SELECT true_label, pred_label, n FROM cm WHERE n > 0",
         "metrics_sparse_per_class": f"WITH {NATIONS}, {RATED} {PER_CLASS_ROW}",
         "metrics_sparse_summary": f"WITH {NATIONS}, {RATED}, {OVERALL} SELECT m.*, o.* FROM ({OVERALL_ROW}) o, (SELECT round(sum(p) / (count(*) + 1), 6) AS macro_precision, round(sum(q) / (count(*) + 1), 6) AS macro_recall, round(sum(q) / (count(*) + 1), 6) AS macro_sensitivity, round((sum(sp) + 1) / (count(*) + 1), 6) AS macro_specificity, round(sum(f) / (count(*) + 1), 6) AS macro_f1, round(sum(q) / (count(*) + 1), 6) AS balanced_accuracy FROM rated) m",

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from datetime import datetime
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +119,8 @@ def _lines(rows, header) -> str:
     return out.getvalue()
 
 
-def _formatted(ordered: DataFrame, columns: list[str], header: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """The keys and CSV text (value) of sorted rows, under a header at the start of each task and each run of equal keys."""
+def _formatted(ordered: DataFrame, columns: list[str], header: list[str] | None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The keys and CSV text (value) of sorted rows, under a header (if any) at the start of each task and each run of equal keys."""
 
     def run(batches):
         last = None
@@ -137,25 +139,93 @@ def _formatted(ordered: DataFrame, columns: list[str], header: list[str], keys:
     return ordered.mapInArrow(run, ", ".join(["value string", *(f"{k} {ordered.schema[k].dataType.simpleString()}" for k in keys)]))
 
 
+#: File systems whose files tasks open themselves.
+OPENED = {"file", "hdfs", "viewfs", "s3", "gs", "gcs", "abfs"}
+
+
+def _copier(uris: list[str], folder: str):
+    """Copies the files into one, under a name of this attempt's own, so that one that is lost leaves no half of a file."""
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                at = f"{folder}/joined-{uuid.uuid4().hex}"
+                system, path = fs.FileSystem.from_uri(at)
+                with system.open_output_stream(path, compression=None) as sink:
+                    for uri in uris:
+                        of, inner = fs.FileSystem.from_uri(uri)
+                        with of.open_input_stream(inner, compression=None) as source:
+                            while chunk := source.read(COPIED):
+                                sink.write(chunk)
+                yield pa.RecordBatch.from_pydict({"at": [at]})
+
+    return run
+
+
+def _appended(parts: list[Place], target: Place) -> None:
+    """One file of the parts' bytes, in their order: joined by the file system where it can, else copied as they are.
+
+    Copying holds a few bytes at a time, whatever the parts' size, and sorts or formats nothing; one task does it, or the driver
+    on file systems that tasks can't open by themselves.
+    """
+    spark = target.spark
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    system, first = parts[0]._hadoop()
+    rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+    for i, part in enumerate(parts[1:]):
+        rest[i] = part._hadoop()[1]
+    try:
+        system.concat(first, rest)
+        return parts[0].move(target)
+    except (Py4JJavaError, PySparkException):  # most file systems have no such operation
+        pass
+    uris = [system.makeQualified(p._hadoop()[1]).toString() for p in parts]
+    if uris[0].partition(":")[0] in OPENED:
+        made = spark.range(0, 1, 1, 1).mapInArrow(_copier(uris, uris[0].rpartition("/")[0]), "at string").collect()
+        return Place(spark, made[0]["at"]).move(target)
+    out = target._hadoop()[0].create(target._hadoop()[1], True)
+    try:
+        for part in parts:
+            source = system.open(part._hadoop()[1])
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def _settle(made: Place, target: Place, header: list[str], single: bool) -> None:
-    """Move what Spark has written to where it belongs: its one part as a file, or the folder of parts."""
-    parts = [made / x for x in made.names() if x.startswith("part-")] if made.exists() else []
-    if single and parts and parts[0].size():
-        parts[0].move(target)
-    elif single or not parts:
+    """Move what Spark has written to where it belongs: its parts as one file, or the folder of parts."""
+    found = [made / x for x in made.names() if x.startswith("part-")] if made.exists() else []
+    parts = [p for p in found if p.size()]
+    if not parts:
         target.write_text(_lines([], header))
-    else:
+    elif not single:
         made.move(target)
+    elif len(parts) == 1:
+        parts[0].move(target)
+    else:
+        _appended(parts, target)
 
 
 def write_csv(df: DataFrame, place: Place, order: list[str], single: bool = True) -> None:
-    """Rows in order as CSV: one file, written by one task, or a folder of parts in the order of their names."""
+    """Rows in order as CSV: one file, or a folder of parts in the order of their names.
+
+    Rows are sorted by ranges and formatted by as many tasks as they need; a single file is made of the parts' bytes.
+    """
     spark, made = df.sparkSession, Place(df.sparkSession, f"{place.path}.parts")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = df.columns
     flat, keys = df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in order]
-    dealt = flat.repartition(1) if single else flat.repartitionByRange(n, *keys)
-    _formatted(dealt.sortWithinPartitions(*keys), flat.columns, names).write.mode("overwrite").text(made.path)
+    # Spark joins small ranges, so that a small result is one part.
+    ordered = flat.sort(*keys)
+    _formatted(ordered, flat.columns, None if single else names).write.mode("overwrite").text(made.path)
+    if single:
+        (made / "part--header").write_text(_lines([], names))
     _settle(made, place, names, single)
     made.delete()
 
@@ -165,6 +235,8 @@ def write_matrix(df: DataFrame, place: Place) -> None:
     place.write_text(_lines([list(r) for r in df.collect()], ["", *df.columns[1:]]))
 
 
+#: Bytes that a task copies at a time.
+COPIED = 8 << 20
 #: Rows that an export of leave-one-out may write: folds times rows, the square of the input's.
 EXPORT_ROWS = 50_000_000
 
