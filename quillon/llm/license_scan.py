@@ -10,8 +10,11 @@ Versions, "later", and the names Lesser (or Library) and Affero have to be those
 Blocks are the whole text with its empty lines ignored, runs of lines between empty lines, and each single
 line of theirs, so a notice at the end of a text is found as well as a license set in paragraphs; of findings
 that overlap the longest stays.  Defined cases: null and empty texts have no
-findings; equal reductions go to the template with most words there, then first by name; repeated rows repeat their findings; ids are whole numbers; an
-empty table gives no rows. Long blocks are cut into windows that overlap by half, of at least ``WINDOW`` words and three
+findings; equal reductions go to the template with most words there, then first by name; repeated rows repeat their findings; ids are whole
+numbers (text ids are cast, one that is no number is an error) and may be null; an empty table gives no rows; further columns are ignored.
+Blocks that lack the words a confirmation needs are not aligned, so that long texts of repeated license words take time in proportion.
+SPDX tags, names with a version ("GNU GPL v3") and headings of a few words are found by pattern, then compressed with notices of their own kind
+and confirmed by all their words; identifiers that no notice has give no finding. Long blocks are cut into windows that overlap by half, of at least ``WINDOW`` words and three
 times those of the longest template, so that any place with a template's words lies in one.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 import difflib
 import re
 from bisect import bisect
+from collections import Counter
 from functools import lru_cache
 from itertools import groupby, islice
 
@@ -30,15 +34,10 @@ from pyspark.sql import functions as F
 #: License notices and texts, by SPDX identifier. <...> stands for words that differ from copy to copy.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "Apache-2.0-text": "Licensed under the Apache License 2.0",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC-BY-4.0-notice": "This work is licensed under the Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0-notice": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License",
-    "CC-BY-SA-4.0-notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
@@ -49,6 +48,10 @@ TEMPLATES = {
     "MIT-notice": "Licensed under the MIT License",
     "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: The headers of the GNU licenses, by name, what stands before "General Public License", and version.
@@ -59,6 +62,24 @@ for _name, _kind, _version in GNU:
             f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_kind}General Public License as published by the Free Software Foundation, {_which.format(_version.removesuffix('.0'))}. "
             f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {_kind}General Public License for more details."
         )
+#: The licenses of Creative Commons: conditions by their short and long names, and versions with what they are called.
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _which in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_short}-{_version}"] = f"Licensed under CC {_short} {_version}"
+        TEMPLATES[f"CC-{_short}-{_version}-notice"] = f"This work is licensed under the Creative Commons {_long} {_version} {_which} License"
+        TEMPLATES[f"CC-{_short}-{_version}-text"] = f"Licensed under the Creative Commons {_long} {_version}"
+#: Identifiers that a tag may name (fixed values): those of the templates and other common ones.
+SPDX_IDS = sorted(
+    {re.sub(r"-(notice|text)$", "", k) for k in TEMPLATES}
+    | {f"{name}-{version}{end}" for name, _, version in GNU for end in ("", "+", "-only", "-or-later")}
+    | set("0BSD AFL-3.0 APSL-2.0 Apache-1.1 Artistic-2.0 BSD-3-Clause-Clear BSL-1.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 ECL-2.0 EUPL-1.1 EUPL-1.2 ISC MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 PSF-2.0 UPL-1.0 Unlicense W3C WTFPL X11 Zlib".split())
+)
+#: Notices of a few words, too short for word pairs: a pattern finds candidates, which are compressed and confirmed as all others.
+BRIEF = {
+    "tag": {k: f"SPDX-License-Identifier {k}" for k in SPDX_IDS},
+    "short name": {f"{name}-{version}": f"GNU {name} v {version}" for name, _, version in GNU},
+    "heading": {"MIT": "The MIT License"},
+}
 #: Words that any candidate block has (fixed values).
 CUES = ("licens", "permi", "redistribut", "public domain", "copyright", "waived", "gpl", "cc by")
 #: Least part of its size that a block has to lose, and least part of the template's words that it has to have.
@@ -66,22 +87,31 @@ REDUCTION = 0.3
 WORDING = 0.8
 #: Templates with fewer words have to be there word for word, but for the words that name no license.
 SHORT = 40
-FREE = frozenset("this work program software is the author licensed released http".split())
+FREE = frozenset("this work program software is the author licensed released http international unported generic which accompanies distribution available at https".split())
 WINDOW = 400
 LEVEL = 9
 
 WORD = re.compile(r"\w+(?:[.'-]\w+)*")
-#: A line of its own.
-HEADING = re.compile(r"\W*((?:the\s+)?mit\s+license(?:\s+\(mit\))?)\W*", re.I)
-#: Too short to compress.
-SHORTEST = re.compile(r"\bGNU\s+([AL]?GPL),?\s+v(?:ersion\s+)?(\d(?:\.\d)?)(?!\.?\w)", re.I)
-SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
+#: Candidates of BRIEF: a tag, a name with a version, a line of its own.
+BRIEFLY = {
+    "tag": re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)"),
+    "short name": re.compile(r"\bGNU\s+([AL]?GPL),?\s+v(?:ersion\s+)?(\d(?:\.\d)?)(?!\.?\w)", re.I),
+    "heading": re.compile(r"\W*((?:the\s+)?mit\s+license(?:\s+\(mit\))?)\W*", re.I),
+}
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def brief_words(text: str) -> list[str]:
+    """Words of a tag or short name: identifiers whole, versions by themselves and without a final .0."""
+    if found := BRIEFLY["tag"].search(text) or re.match(r"(?:SPDX-License-Identifier) (\S+)$", text):
+        return ["spdx-license-identifier", found[1].lower().rstrip(".")]
+    parts = re.findall(r"[a-z]+|\d+(?:\.\d+)*", text.lower())
+    return ["v" if w == "version" else re.sub(r"(\.0)+$", "", w) for w in parts]
+
+
 def windows(text: str, size: int = WINDOW):
     """Words of a text as matches, at most ``size`` at a time, each window with half of the one before."""
     rest = WORD.finditer(text)
@@ -144,12 +174,20 @@ class Scanner:
         self.words = {k: words(v) for k, v in templates.items()}
         self.window = max(WINDOW, 3 * max(map(len, self.words.values())))
         self.decisive = {k: decisive(ws) for k, ws in self.words.items()}
+        # Words that a short template can't do without, and how often each word of any stands in it.
+        self.needed = {k: frozenset(ws) - FREE for k, ws in self.words.items()}
+        self.counts = {k: Counter(ws) for k, ws in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.with_template = {}
+
+
+        def primed(text: str):
+            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+        self.brief = {kind: {k: (brief_words(text), primed(" ".join(brief_words(text)))) for k, text in own.items()} for kind, own in BRIEF.items()}
+        self.with_template = {k: primed(" ".join(ws)) for k, ws in self.words.items()}
         self.pairs: dict[tuple, set] = {}
         for k, ws in sorted(self.words.items()):
-            raw = zstandard.ZstdCompressionDict(" ".join(ws).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.with_template[k] = zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
             for pair in zip(ws, ws[1:]):
                 self.pairs.setdefault(pair, set()).add(k)
 
@@ -195,13 +233,33 @@ class Scanner:
         free = all(i in there or w in FREE for i, w in enumerate(self.words[name]))
         return same, len(self.words[name]) - same, (runs[0].b if runs else 0), (runs[-1].b + runs[-1].size if runs else 0), free
 
+    def possible(self, ws: list[str], a: int, b: int, name: str) -> bool:
+        """Whether the block has the words, in whatever order, that a confirmation needs: told without aligning them."""
+        if len(self.words[name]) < SHORT:
+            return self.needed[name].issubset(ws[a:b])
+        return sum((self.counts[name] & Counter(ws[a:b])).values()) >= WORDING * len(self.words[name])
+
+    def briefly(self, found: re.Match, kind: str) -> dict | None:
+        """The finding of a few words: compressed with each of its kind's notices, the first confirmed by all of its words."""
+        ws = brief_words(found[0])
+        data = " ".join(ws).encode()
+        alone = len(self.plain.compress(data))
+        ranks = sorted((len(with_.compress(data)) / alone - 1, k) for k, (_, with_) in self.brief[kind].items())
+        for less, k in ranks:
+            own = self.brief[kind][k][0]
+            if set(own) - FREE == set(ws) - FREE:
+                same = sum((Counter(own) & Counter(ws)).values())
+                group = 1 if kind == "heading" else 0
+                return {"license": k, "template": kind, "reduction": -less, "wording": same / len(own), "missing": len(own) - same, "inserted": len(ws) - same, "at": found.start(group), "end": found.end(group)}
+        return None
+
     def confirmed(self, ws: list[str], a: int, b: int, name: str) -> list[tuple[int, int, int, int]]:
         """As compared(), for each place of a block whose exact words are the template's; what lies around a place is compared anew."""
         n, need = len(self.words[name]), self.decisive[name]
         found, todo = [], [(a, b)]
         while todo:
             a, b = todo.pop()
-            if not need <= decisive(ws[a:b]):
+            if not self.possible(ws, a, b, name) or not need <= decisive(ws[a:b]):
                 continue
             same, missing, first, last, free = self.compared(ws[a:b], name)
             # Of a short notice all words that name the license have to be there: one different word is another license.
@@ -269,11 +327,7 @@ class Scanner:
 
     def match(self, text: str) -> list[dict]:
         """Findings in one block."""
-        found = [{"license": m[1], "template": "SPDX", "reduction": 1.0, "wording": 1.0, "missing": 0, "inserted": 0, "at": m.start(), "end": m.end()} for m in SPDX.finditer(text)]
-        for m in SHORTEST.finditer(text):
-            name, version = m[1].upper(), m[2] if "." in m[2] else m[2] + ".0"
-            if any((name, version) == (x, z) for x, _, z in GNU):
-                found.append({"license": f"{name}-{version}", "template": "short name", "reduction": 1.0, "wording": 1.0, "missing": 0, "inserted": 0, "at": m.start(), "end": m.end()})
+        found = [x for kind in ("tag", "short name") for m in BRIEFLY[kind].finditer(text) if (x := self.briefly(m, kind))]
         for spots in windows(text, self.window):
             window = [m[0].lower() for m in spots]
             for _, same, missing, first, last, k, reduction in self.winners(window):
@@ -297,7 +351,7 @@ class Scanner:
             lines = [(start, line) for start, line in spans if (start, start + len(line)) not in seen]
             seen.update((start, start + len(line)) for start, line in lines)
             own += [(start, x) for start, line in lines for x in self.match(line)]
-            own += [(start, {"license": "MIT", "template": "heading", "reduction": 1.0, "wording": 1.0, "missing": 0, "inserted": 0, "at": h.start(1), "end": h.end(1)}) for start, line in spans if (h := HEADING.fullmatch(line))]
+            own += [(start, x) for start, line in spans if (h := BRIEFLY["heading"].fullmatch(line)) and (x := self.briefly(h, "heading"))]
             if (m.start(), m.end()) not in seen:
                 own += [(m.start(), x) for x in self.match(block)]
         kept: list[dict] = []  # in order, none over another
