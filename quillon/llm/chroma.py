@@ -23,6 +23,7 @@ Ids are whole numbers.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from functools import lru_cache
 
@@ -50,22 +51,49 @@ ERRORS = 0.1
 OVERLAP = 40
 #: Classes with one landmark that are joined in one part.
 PART = 4096
-#: Candidates of a query that are judged in one task.
-JUDGED = 65536
+#: Frames of a query's candidates that are judged in one part.
+JUDGED = 8192
+
+
+def _pcm(media: bytes) -> tuple[np.ndarray, int, int] | None:
+    """Samples from -1 to 1, channels and rate of WAV data: whole numbers of 8 to 32 bits, or floating ones of 32 or 64."""
+    if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(media):
+        name, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+        body = media[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            form = struct.unpack("<HHIIHH", body[:16])
+            if form[0] == 0xFFFE and len(body) >= 26:  # the extensible form names the kind further on
+                form = (int.from_bytes(body[24:26], "little"), *form[1:])
+        elif name == b"data" and form:
+            kind, channels, rate, _, _, bits = form
+            body = body[: len(body) // max(1, bits // 8) * max(1, bits // 8)]
+            if kind == 3 and bits in (32, 64):
+                data = np.nan_to_num(np.frombuffer(body, f"<f{bits // 8}").astype(np.float32))
+            elif kind == 1 and bits == 8:
+                data = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128
+            elif kind == 1 and bits in (16, 32):
+                data = (np.frombuffer(body, f"<i{bits // 8}") / 2.0 ** (bits - 1)).astype(np.float32)
+            elif kind == 1 and bits == 24:
+                parts = np.frombuffer(body, np.uint8).reshape(-1, 3)
+                whole = np.zeros((len(parts), 4), np.uint8)
+                whole[:, 1:] = parts  # the upper three bytes of four
+                data = (whole.view("<i4")[:, 0] / 2.0**31).astype(np.float32)
+            else:
+                return None
+            return (data, channels, rate) if channels and rate else None
+        at += 8 + size + size % 2
+    return None
 
 
 def samples(media: bytes | None, rate: int = RATE) -> np.ndarray:
-    """Mono samples of 16-bit WAV data at the rate wanted; none if it can't be read."""
-    if not media:
-        return np.zeros(0, np.float32)
-    try:
-        with wave.open(io.BytesIO(media)) as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0, np.float32)
-            own, channels = w.getframerate(), w.getnchannels()
-            data = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768
-    except (wave.Error, EOFError):
+    """Mono samples of WAV data at the rate wanted; none if it can't be read."""
+    found = _pcm(media) if media else None
+    if not found:
         return np.zeros(0, np.float32)
+    data, channels, own = found
     data = data[: len(data) // channels * channels].reshape(-1, channels).mean(axis=1)
     if own != rate and len(data):
         data = np.interp(np.arange(0, len(data), own / rate), np.arange(len(data)), data).astype(np.float32)
@@ -279,7 +307,9 @@ def links(classes: DataFrame) -> DataFrame:
         marks = marks.join(hot, "key", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("class_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
     found = durable(sought.join(marks, on).where("query_class <> class_id").select("query_class", "class_id").distinct(), "candidates")
     # A query's candidates follow it through a task, those of one with very many in parts; only their codes move.
-    dealt = found.groupBy("query_class").agg(F.ceil(F.count(F.lit(1)) / JUDGED).alias("parts"))
+    # Parts are of equal work, not of equal numbers: long recordings take longer.
+    frames = found.join(classes.select("class_id", F.size("codes").alias("n")), "class_id")
+    dealt = frames.groupBy("query_class").agg(F.ceil(F.sum("n") / JUDGED).alias("parts"))
     query = asked.select(F.col("class_id").alias("query_class"), "starts", "weak").join(dealt, "query_class").select("query_class", F.lit(None).cast("long").alias("class_id"), "starts", "weak", F.lit(None).cast("array<int>").alias("codes"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     nothing = [F.lit(None).cast(query.schema[c].dataType).alias(c) for c in ("starts", "weak")]
     others = found.join(dealt, "query_class").join(classes.select("class_id", "codes"), "class_id").select("query_class", "class_id", *nothing, "codes", F.pmod(F.xxhash64("class_id"), "parts").alias("part"))
@@ -326,6 +356,33 @@ def sounded(vectors: DataFrame, id_col: str, vector_col: str, note: float = 0.12
     return rows.mapInArrow(run, "id long, media binary")
 
 
+def excerpts(vectors: DataFrame, id_col: str, vector_col: str, start: float = 1.37, noise: float = 0.02) -> DataFrame:
+    """The same recordings from ``start`` seconds on, off the frame grid and with noise: what a search is to find again."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = samples(melody(v.as_py()))[int(start * RATE) :]
+                random = np.random.default_rng(abs(i or 0))
+                made.append(written(data + noise * random.standard_normal(len(data))) if len(data) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "media"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return rows.mapInArrow(run, "id long, media binary")
+
+
+def written(data: np.ndarray) -> bytes:
+    """Samples from -1 to 1 as 16-bit WAV data."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(RATE)
+        w.writeframes((np.clip(data, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def melody(vector: list[float] | None, note: float = 0.125) -> bytes | None:
     """WAV data whose notes' pitches follow the vector's coordinates relative to its own spread."""
     if not vector:

@@ -44,9 +44,14 @@ def op4_exact_dedup(spark, sf_dir):
 
 
 def op5_chroma(spark, sf_dir):
-    """No table has recordings: those of ``embeddings`` are its vectors, sounded as notes."""
-    recordings = chroma.sounded(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return chroma.search(recordings, lambda i: i % 20 == 0, "id", "media").withColumnRenamed("id", "vec_id")
+    """No table has recordings: those of ``embeddings`` are its vectors, sounded as notes.
+
+    Of each query (ids divisible by 20) there also is an excerpt with noise, a row of its own with the id -1 - vec_id, so that there are links to find.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    again = vectors.where("vec_id % 20 = 0 AND vec_id >= 0").select((-1 - F.col("vec_id")).alias("id"), "embedding")
+    recordings = chroma.sounded(vectors, "vec_id", "embedding").unionByName(chroma.excerpts(again, "id", "embedding"))
+    return chroma.search(recordings, lambda i: (i % 20 == 0) & (i >= 0), "id", "media").withColumnRenamed("id", "vec_id")
 
 
 def op6_token_index(spark, sf_dir):
