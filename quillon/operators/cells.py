@@ -77,32 +77,49 @@ def cells_of(in_cells: DataFrame) -> list[Cell]:
     return [Cell(r["cell"], r["n"], 0 if r["cell"] == LOOSE else r["n"] - r["most"], r["radius"]) for r in found]
 
 
+def _bound(upper: np.ndarray, sure: np.ndarray, k: int) -> np.ndarray:
+    """For each row a distance within which cells surely hold k rows, infinite if all together don't."""
+    order = np.argsort(upper, axis=1, kind="stable")
+    held = np.take_along_axis(np.broadcast_to(sure, upper.shape), order, axis=1).cumsum(axis=1)
+    at = (held < k).sum(axis=1)
+    sorted_ = np.concatenate([np.take_along_axis(upper, order, axis=1), np.full((len(upper), 1), np.inf)], axis=1)
+    return sorted_[np.arange(len(upper)), at]
+
+
+def _lists(chosen: np.ndarray, *values: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Offsets of each row's chosen places, and their values one after the other."""
+    offsets = np.concatenate([[0], chosen.sum(axis=1).cumsum()]).astype(np.int32)
+    return pa.array(offsets), [np.broadcast_to(v, chosen.shape)[chosen] for v in values]
+
+
 def wanted(test: DataFrame, metric: Distance, centres: np.ndarray, cells: list[Cell], k: int, width: int) -> DataFrame:
-    """Test rows with ``first``, the cells to meet first, and ``rest``: each other cell with the least distance it can hold."""
+    """Test rows with ``first``, the cells to meet first, and ``rest``: others that can't be ruled out yet, with the least distance they can hold."""
     near = [c for c in cells if c.number != LOOSE]
     numbers, radii, sure = np.array([c.number for c in near], np.int64), np.array([c.radius for c in near]), np.array([c.sure for c in near], np.int64)
-    loose = [c.number for c in cells if c.number == LOOSE]
-
-    def one(d, finite):
-        if not finite:
-            return [], [{"cell": c.number, "low": float("-inf")} for c in cells]
-        order = np.argsort(d, kind="stable")
-        enough = int(np.searchsorted(sure[order].cumsum(), k)) + 1
-        far = order[enough:]
-        low = d[far] - radii[far] - MARGIN * (d[far] + radii[far])
-        # A bound that overflowed rules nothing out.
-        low = np.where(np.isnan(low), -np.inf, low)
-        return numbers[order[:enough]].tolist(), [{"cell": c, "low": x} for c, x in zip(numbers[far].tolist(), low.tolist())] + [{"cell": c, "low": float("inf")} for c in loose]
+    every = np.array([c.number for c in near] + [c.number for c in cells if c.number == LOOSE], np.int64)
+    loose = len(every) - len(near)
 
     def run(batches):
         for batch in batches:
             x = vectors(pa.chunked_array([batch.column("x")]), width)
             good = np.isfinite(x).all(axis=1)
             d = metric.matrix(np.where(good[:, None], x, 0.0), centres[numbers]) if len(numbers) else np.zeros((len(x), 0))
-            found = [one(*row) for row in zip(d, good.tolist())]
-            first = pa.array([f for f, _ in found], pa.list_(pa.int64()))
-            rest = pa.array([r for _, r in found], pa.list_(pa.struct([("cell", pa.int64()), ("low", pa.float64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, first, rest], names=[*batch.schema.names, "first", "rest"])
+            rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1, kind="stable")
+            held = np.take_along_axis(np.broadcast_to(sure, d.shape), np.argsort(d, axis=1, kind="stable"), axis=1).cumsum(axis=1)
+            first = (rank <= (held < k).sum(axis=1)[:, None]) & good[:, None]
+            with np.errstate(invalid="ignore"):
+                low = d - radii - MARGIN * (d + radii)
+                bound = _bound(d + radii, sure, k) * (1 + MARGIN)
+            # A bound that overflowed rules nothing out, and rows that aren't finite meet all.
+            low = np.where(np.isnan(low) | ~good[:, None], -np.inf, low)
+            low = np.concatenate([low, np.where(good, np.inf, -np.inf)[:, None].repeat(loose, axis=1)], axis=1)
+            first = np.concatenate([first, np.zeros((len(x), loose), bool)], axis=1)
+            rest = ~first & ~(low > bound[:, None])
+            at, (cell,) = _lists(first, every)
+            firsts = pa.ListArray.from_arrays(at, pa.array(cell, pa.int64()))
+            at, (cell, least) = _lists(rest, every, low)
+            rests = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([pa.array(cell, pa.int64()), pa.array(least, pa.float64())], ["cell", "low"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, firsts, rests], names=[*batch.schema.names, "first", "rest"])
 
     return test.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema), "first array<long>", "rest array<struct<cell:long,low:double>>"]))
 
