@@ -49,16 +49,26 @@ class Digits:
         return len(self.units) + self.odd
 
 
+def _made(n: int, most: float, odd: int) -> Digits:
+    bits = 61 - max(1, n).bit_length()
+    top = max(LEAST + REACH, math.frexp(most)[1]) if most else 0  # most < 2 ** top
+    return Digits(tuple(2.0 ** (top - bits * (k + 1)) for k in range(-(-REACH // bits))), odd > 0)
+
+
+def digits_of_vectors(rows: DataFrame, vector: str, width: int) -> list[Digits]:
+    """The same for each coordinate of wide vectors, a row for each instead of a column."""
+    x = F.col("x")
+    each = rows.select(F.posexplode(vector).alias("pos", "x")).groupBy("pos")
+    seen = each.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.abs(x) < float("inf"), F.abs(x))).alias("most"), F.count(F.when(~(F.abs(x) < float("inf")), 1)).alias("odd")).collect()
+    known = {r["pos"]: (r["n"], r["most"] or 0.0, r["odd"]) for r in seen}
+    odd = any(o for _, _, o in known.values())
+    return [_made(*known.get(i, (0, 0.0))[:2], odd) for i in range(width)]
+
+
 def digits(rows: DataFrame, columns: list[Column]) -> list[Digits]:
     """Digits for each of the columns, from one pass over the rows."""
     facts = [F.count(F.lit(1)).alias("n")]
     for i, x in enumerate(columns):
         facts += [F.max(F.when(F.abs(x) < float("inf"), F.abs(x))).alias(f"m{i}"), F.count(F.when(~(F.abs(x) < float("inf")), 1)).alias(f"o{i}")]
     seen = rows.agg(*facts).first()
-    bits = 61 - max(1, seen["n"]).bit_length()
-    found = []
-    for i in range(len(columns)):
-        most = seen[f"m{i}"] or 0.0
-        top = max(LEAST + REACH, math.frexp(most)[1]) if most else 0  # most < 2 ** top
-        found.append(Digits(tuple(2.0 ** (top - bits * (k + 1)) for k in range(-(-REACH // bits))), seen[f"o{i}"] > 0))
-    return found
+    return [_made(seen["n"], seen[f"m{i}"] or 0.0, seen[f"o{i}"]) for i in range(len(columns))]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quillon.errors import ClassifierError, DataError
 from quillon.functions.distances import Distance, distance
-from quillon.functions.sums import Digits, digits
+from quillon.functions.sums import Digits, digits, digits_of_vectors
 from quillon.operators import cells
 from quillon.operators.nearest import matcher
 from quillon.sources.labelled import Labelled
@@ -27,6 +27,8 @@ PART_WORK = 10_000_000
 UNROLLED = 64
 #: Differences of coordinates from which on neighbours are looked for by cells, if a sample of this many test rows meets less than this share of pairs.
 PRUNED_WORK, SAMPLE, PRUNED_SHARE = 4_000_000_000, 1024, 0.5
+#: Widest vectors whose coordinates are summed as columns; wider ones are summed as rows.
+WIDE = 16
 #: Most partitions that pairs of blocks are dealt into.
 PARTITIONS = 20_000
 
@@ -232,34 +234,64 @@ class NearestCentroid(Classifier):
     def _whole(made: list[Digits]) -> list[Column]:
         return [d.whole([F.col(f"s{i}_{j}") for j in range(d.size)]) for i, d in enumerate(made)]
 
+    @staticmethod
+    def _long_sums(train: DataFrame, made: list[Digits], *keys: str) -> DataFrame:
+        """As _sums(), with a row (pos) instead of columns for each coordinate: what wide vectors take."""
+        left, found = F.when(F.abs("x") < float("inf"), F.col("x")).otherwise(0.0), []
+        for k in range(len(made[0].units)):
+            unit = F.get(F.array(*[F.lit(d.units[k]) for d in made]), F.col("pos"))
+            digit = F.floor(left * (1 / unit))
+            found.append(F.sum(digit).alias(f"s{k}"))
+            left = left - digit.cast("double") * unit
+        if made[0].odd:
+            found.append(F.sum(F.when(F.abs("x") < float("inf"), 0.0).otherwise(F.col("x"))).alias("odd"))
+        each = train.select(*keys, "label_s", "label", F.posexplode("features").alias("pos", "x")).groupBy(*keys, "label_s", "label", "pos").agg(F.count(F.lit(1)).alias("n"), *found)
+        return each.groupBy(*keys, "label_s", "pos").agg(F.min("label").alias("label"), *[F.sum(c).alias(c) for c in each.columns if c == "n" or c not in (*keys, "label_s", "label", "pos")])
+
+    @staticmethod
+    def _gathered(rows: DataFrame, made: list[Digits], *keys: str) -> DataFrame:
+        """The keys, label, n and sums (array) from rows of _long_sums."""
+        total = F.lit(0.0)
+        for k in reversed(range(len(made[0].units))):
+            total = F.col(f"s{k}").cast("double") * F.get(F.array(*[F.lit(d.units[k]) for d in made]), F.col("pos")) + total
+        total = total + F.col("odd") if made[0].odd else total
+        placed = F.sort_array(F.collect_list(F.struct("pos", total.alias("s"))))
+        return rows.groupBy(*keys).agg(F.min("label").alias("label"), F.max("n").alias("n"), F.transform(placed, lambda x: x["s"]).alias("sums"))
+
     def totals(self, train: DataFrame, width: int) -> DataFrame:
-        """label_s, label, n, s0, s1...: sums of each class, the same however rows are dealt."""
+        """label_s, label, n, sums: sums of each class's vectors, the same however rows are dealt."""
+        if width > WIDE:
+            made = digits_of_vectors(train, "features", width)
+            return self._gathered(self._long_sums(train, made), made, "label_s")
         made = self._digits(train, width)
-        return self._sums(train, made).select("label_s", "label", "n", *[x.alias(f"s{i}") for i, x in enumerate(self._whole(made))])
+        return self._sums(train, made).select("label_s", "label", "n", F.array(*self._whole(made)).cast("array<double>").alias("sums"))
 
     def fit(self, train: DataFrame, shape: Shape) -> DataFrame:
         """fold, label_s, label, n, centroid: class means over all folds but each one."""
-        names = [f"s{i}" for i in range(shape.width)]
         if shape.n_folds == 1:
             met = self.totals(train.where(F.col("fold_id").isNull() | (F.col("fold_id") != 0)), shape.width).withColumn("fold", F.lit(0).cast("long"))
         else:
             # A fold's sums are those of the folds before it and of those behind it. Rows of zeros ask for each fold and class.
-            made = self._digits(train, shape.width)
-            parts = self._sums(train, made, "fold_id").withColumn("asked", F.lit(False))
+            wide = shape.width > WIDE
+            made = digits_of_vectors(train, "features", shape.width) if wide else self._digits(train, shape.width)
+            parts = (self._long_sums if wide else self._sums)(train, made, "fold_id").withColumn("asked", F.lit(False))
             none = (F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
             if shape.many:
                 asked = train.select("label_s").distinct().select(_upto(shape.n_folds).alias("fold_id"), "label_s", *none)
             else:
                 asked = train.sparkSession.range(shape.n_folds).select(F.col("id").alias("fold_id"), F.explode(F.array(*[F.lit(c) for c in shape.classes]).cast("array<string>")).alias("label_s"), *none)
+            if wide:
+                asked = asked.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(shape.width - 1))))
             both = parts.unionByName(asked, allowMissingColumns=True)
-            own = Window.partitionBy("label_s")
+            places = ["pos"] if wide else []
+            own = Window.partitionBy("label_s", *places)
             sides = [own.orderBy(F.col("fold_id").asc()), own.orderBy(F.col("fold_id").desc())]
             less = [side.rangeBetween(Window.unboundedPreceding, -1) for side in sides]
-            summed = [c for c in parts.columns if c not in ("fold_id", "label_s", "label", "asked")]
+            summed = [c for c in parts.columns if c not in ("fold_id", "label_s", "label", "asked", "pos")]
             rest = {c: F.coalesce(F.sum(c).over(less[0]), F.lit(0)) + F.coalesce(F.sum(c).over(less[1]), F.lit(0)) for c in summed}
-            met = both.withColumns({"label": F.min("label").over(own)} | {f"_{c}": x for c, x in rest.items()}).where("asked").select(F.col("fold_id").alias("fold"), "label_s", "label", *[F.col(f"_{c}").alias(c) for c in rest])
-            met = met.select("fold", "label_s", "label", "n", *[x.alias(c) for c, x in zip(names, self._whole(made))])
-        return met.where("n > 0").select("fold", "label_s", "label", "n", F.array(*[F.col(c) / F.col("n") for c in names]).cast("array<double>").alias("centroid"))
+            met = both.withColumns({"label": F.min("label").over(own)} | {f"_{c}": x for c, x in rest.items()}).where("asked AND _n > 0").select(F.col("fold_id").alias("fold"), "label_s", "label", *places, *[F.col(f"_{c}").alias(c) for c in rest])
+            met = self._gathered(met, made, "fold", "label_s") if wide else met.select("fold", "label_s", "label", "n", F.array(*self._whole(made)).cast("array<double>").alias("sums"))
+        return met.where("n > 0").select("fold", "label_s", "label", "n", F.transform("sums", lambda s: s / F.col("n")).alias("centroid"))
 
     def predict(self, train, test, shape):
         model = self.fit(train, shape).select("fold", F.struct("label_s", "label", "centroid").alias("m"))
@@ -268,8 +300,7 @@ class NearestCentroid(Classifier):
 
     def predict_loo(self, frame: DataFrame, shape: Shape) -> DataFrame:
         """Leave-one-out without n fits: a row's own class has the mean of its other rows."""
-        sums = F.array(*[F.col(f"s{i}") for i in range(shape.width)]).cast("array<double>").alias("centroid")
-        model = self.totals(frame, shape.width).select(F.struct("label_s", "label", sums, "n").alias("m"))
+        model = self.totals(frame, shape.width).select(F.struct("label_s", "label", F.col("sums").alias("centroid"), "n").alias("m"))
         rows = frame.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), "features")
         return self._nearest(rows, model, [], shape, left_out=True)
 
@@ -299,16 +330,19 @@ class NearestCentroid(Classifier):
         """Rows with ``best``: a model of any number of classes and coordinates, compared by higher-order functions."""
         l2 = distance("euclidean")
 
+        def means(m):
+            own = m["label_s"] == F.col("true_s")
+            n = m["n"] - F.when(own, 1).otherwise(0)
+            at = F.when(n > 0, F.zip_with(m["centroid"], F.col("features"), lambda s, x: F.try_divide(s - F.when(own, x).otherwise(0.0), n)))
+            return F.struct(m["label_s"].alias("label_s"), m["label"].alias("label"), at.alias("centroid"))
+
         def place(m):
-            at = m["centroid"]
-            if left_out:
-                own = m["label_s"] == F.col("true_s")
-                n = m["n"] - F.when(own, 1).otherwise(0)
-                at = F.when(n > 0, F.zip_with(at, F.col("features"), lambda s, x: F.try_divide(s - F.when(own, x).otherwise(0.0), n)))
-            d = l2.between(F.col("features"), at, shape.width)
-            return F.when(at.isNotNull(), F.struct((~F.isnan(d)).alias("a"), d.alias("d"), m["label_s"].alias("label_s"), m["label"].alias("label")))
+            d = l2.between(F.col("features"), m["centroid"], shape.width)
+            return F.when(m["centroid"].isNotNull(), F.struct((~F.isnan(d)).alias("a"), d.alias("d"), m["label_s"].alias("label_s"), m["label"].alias("label")))
 
-        return join(models).select("fold", "row_idx", "y_true", "true_s", F.array_min(F.transform("_models", place)).alias("best"))
+        # Means are made first, so that a distance, which uses each many times, computes none of them.
+        compared = F.transform(F.transform("_models", means), place) if left_out else F.transform("_models", place)
+        return join(models).select("fold", "row_idx", "y_true", "true_s", F.array_min(compared).alias("best"))
 
     def _unrolled(self, rows, join, models, shape, left_out) -> DataFrame:
         """The same where a column for each coordinate of each class is few: plain arithmetic in compiled code."""

@@ -49,3 +49,18 @@ def test_centroids_to_the_last_bit(spark):
     exact = [math.fsum(r[1] for r in rows if r[4] == c) / sum(r[4] == c for r in rows) for c in "abc"]
     model = NearestCentroid().fit(data.frame.withColumn("fold_id", F.lit(-1).cast("long")), Shape(3, data.n, data.n, 1, tuple(data.classes)))
     assert [r["centroid"][0] for r in model.orderBy("label_s").collect()] == pytest.approx(exact, rel=1e-15)
+
+
+def test_wide_and_narrow_sums_are_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, *[rng.gauss(0, 10.0**j) for j in range(4)], math.inf if i == 7 else 1.0, "ab"[i % 2]) for i in range(300)]
+    data = from_columns(spark.createDataFrame(rows, "i long, v double, w double, x double, y double, z double, c string"), "c", "i")
+    found = []
+    for most in (16, 2):
+        monkeypatch.setattr("quillon.operators.classify.WIDE", most)
+        models = []
+        for folds, assigned in ((1, data.frame.withColumn("fold_id", F.lit(-1).cast("long"))), (3, KFold(3).assign(data))):
+            model = NearestCentroid().fit(assigned, Shape(5, data.n, data.n, folds, tuple(data.classes)))
+            models.append(sorted((r["fold"], r["label_s"], r["label"], r["n"], tuple(r["centroid"])) for r in model.collect()))
+        found.append(repr(models))
+    assert found[0] == found[1]
