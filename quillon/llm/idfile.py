@@ -5,13 +5,15 @@ so that a key with very many documents may span shards); a shard is two files:
 
 * ``<name>.ids``: the documents' ids one after the other, raw little-endian integers, two bytes each
   if all ids of the vocabulary fit, else four; ids that do not fit are an error;
-* ``<name>.idx``: per document its start in the shard; a minimal perfect hash over the distinct keys
-  with, in the key's slot, a stored fingerprint of the key and the rows that have it; the keys in order.
+* ``<name>.idx``: a minimal perfect hash over the distinct keys, each word of its bits with the number of
+  bits before it; in the key's slot a stored fingerprint of the key and the rows that have it; per document
+  its start in the shard; the keys in order.
 
 Files are written under names that no other attempt uses, and count only once a written manifest
-names them, so a lost executor leaves at most unnamed files.  A lookup hashes the key at most
-``LEVELS`` times, checks the fingerprint, and reads the ids with one range read; the shards
-are found from the manifest's key ranges.  Reading all back takes neighbouring documents in blocks of ``READ`` bytes.
+names them, so a lost executor leaves at most unnamed files.  A lookup finds the shards from
+the manifest's key ranges and reads of an index its head, one word a level (at most ``LEVELS``), one slot and the starts of the
+rows it has found, then their ids, whatever the index's size.  Reading all back takes neighbouring documents in blocks of ``READ`` bytes.
+There are as many shards as keep ``SHARD_BYTES`` of text and ``SHARD_ROWS`` rows in each on average, so that a task never holds much of an index.
 
 Defined cases: null text is the empty text (the end id alone); keys are whole numbers; a null key is stored first, in order,
 but not indexed; rows that repeat a key stay apart, in the order of their texts' hashes, and one slot of each shard names
@@ -33,12 +35,18 @@ from quillon.llm.files import reading, writing
 from quillon.llm.tokens import crc, encoder
 
 END = 0
-MAGIC = b"QIDX1\0\0\0"
+MAGIC = b"QIDX2\0\0\0"
 #: Bits per key in each level of the hash, and how many levels before what is left is listed.
 GAMMA = 2.0
 LEVELS = 40
 #: Bytes of ids that are read at a time; a longer document is read whole.
 READ = 4 << 20
+#: Bytes of text and rows of a shard, on average; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 1 << 30
+SHARD_ROWS = 1 << 20
+SLOT = [("mark", "<u4"), ("rows", "<u4"), ("first", "<u8")]
+#: Bytes of an index before its levels' sizes.
+HEAD = 40
 MANIFEST = "shard int, path string, low long, high long, n_rows long, n_ids long, id_bytes int"
 
 
@@ -100,34 +108,40 @@ def index_bytes(keys: np.ndarray, nulls: int, starts: np.ndarray) -> bytes:
     mph = PerfectHash.build(distinct.astype("<i8").view("<u8"))
     slot = mph.slots(distinct.view("<u8"))
     n = len(distinct)
-    table = np.zeros(n, [("mark", "<u4"), ("rows", "<u4"), ("first", "<u8")])
+    table = np.zeros(n, SLOT)
     table["mark"][slot], table["rows"][slot], table["first"][slot] = marks(distinct.view("<u8")), rows, first + nulls
-    parts = [MAGIC, struct.pack("<QQQQ", len(starts) - 1, nulls, n, len(mph.levels)), starts.astype("<u8").tobytes()]
-    parts += [struct.pack("<Q", len(x)) + x.astype("<u8").tobytes() for x in mph.levels]
-    return b"".join([*parts, table.tobytes(), distinct.astype("<i8").tobytes()])
+    parts = [MAGIC, struct.pack("<QQQQ", len(starts) - 1, nulls, n, len(mph.levels)), np.array([len(x) for x in mph.levels], "<u8").tobytes()]
+    parts += [np.stack([x, before[:-1].astype("<u8")], axis=1).astype("<u8").tobytes() for x, before in zip(mph.levels, mph.before)]
+    return b"".join([*parts, table.tobytes(), starts.astype("<u8").tobytes(), distinct.astype("<i8").tobytes()])
+
+
+class Head:
+    """What an index's first bytes tell: its counts and where its parts begin."""
+
+    def __init__(self, data: bytes, path: str):
+        if data[:8] != MAGIC:
+            raise ValueError(f"{path} is not an index")
+        self.n_rows, self.nulls, self.n, levels = struct.unpack_from("<QQQQ", data, 8)
+        self.words = struct.unpack_from(f"<{levels}Q", data, HEAD)
+        self.levels = HEAD + 8 * levels
+        self.table = self.levels + 16 * sum(self.words)
+        self.starts = self.table + 16 * self.n
+        self.keys = self.starts + 8 * (self.n_rows + 1)
 
 
 class Shard:
-    """Keyed access to one shard; only its index is held."""
+    """A whole shard's index in memory, to read the shard back."""
 
     def __init__(self, path: str):
         with reading(path + ".idx") as f:
             data = f.read_at(f.size(), 0)
-        if data[:8] != MAGIC:
-            raise ValueError(f"{path} is not an index")
-        self.path = path
-        self.n_rows, self.nulls, n, levels = struct.unpack_from("<QQQQ", data, 8)
-        at = 40
-        self.starts = np.frombuffer(data, "<u8", self.n_rows + 1, at).astype(np.int64)
-        at += 8 * (self.n_rows + 1)
-        bits = []
-        for _ in range(levels):
-            (words,) = struct.unpack_from("<Q", data, at)
-            bits.append(np.frombuffer(data, "<u8", words, at + 8))
-            at += 8 + 8 * words
-        self.mph = PerfectHash(bits)
-        self.table = np.frombuffer(data, [("mark", "<u4"), ("rows", "<u4"), ("first", "<u8")], n, at)
-        self.keys = np.frombuffer(data, "<i8", n, at + 16 * n)
+        head = Head(data, path)
+        self.path, self.n_rows, self.nulls = path, head.n_rows, head.nulls
+        pairs = np.frombuffer(data, "<u8", 2 * sum(head.words), head.levels).reshape(-1, 2)
+        self.mph = PerfectHash(np.split(pairs[:, 0], np.cumsum(head.words[:-1]).astype(int)) if head.words else [])
+        self.table = np.frombuffer(data, SLOT, head.n, head.table)
+        self.starts = np.frombuffer(data, "<u8", self.n_rows + 1, head.starts).astype(np.int64)
+        self.keys = np.frombuffer(data, "<i8", head.n, head.keys)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and number of rows of each key; 0 rows for keys whose fingerprint is not stored."""
@@ -145,28 +159,58 @@ class Shard:
 
     def block(self, source, first: int, end: int, id_bytes: int):
         """The ids of each of the rows, neighbours being read together."""
-        while first < end:
-            most = self.starts[first] + READ // id_bytes
-            last = max(first + 1, int(np.searchsorted(self.starts, most, "right")) - 1)
-            last = min(last, end)
-            a, b = int(self.starts[first]), int(self.starts[last])
-            data = np.frombuffer(source.read_at((b - a) * id_bytes, a * id_bytes), f"<u{id_bytes}")
-            for row in range(first, last):
-                yield data[int(self.starts[row]) - a : int(self.starts[row + 1]) - a]
-            first = last
+        return block(source, self.starts[first : end + 1], id_bytes)
+
+
+def block(source, starts: np.ndarray, id_bytes: int):
+    """The ids between each start and the next in an open ``.ids`` file, neighbours being read together."""
+    first, n = 0, len(starts) - 1
+    while first < n:
+        most = starts[first] + READ // id_bytes
+        last = min(n, max(first + 1, int(np.searchsorted(starts, most, "right")) - 1))
+        a, b = int(starts[first]), int(starts[last])
+        data = np.frombuffer(source.read_at((b - a) * id_bytes, a * id_bytes), f"<u{id_bytes}")
+        for row in range(first, last):
+            yield data[int(starts[row]) - a : int(starts[row + 1]) - a]
+        first = last
+
+
+def probe(index, head: Head, key: int) -> tuple[int, int]:
+    """First row and number of rows of a key, by range reads of an open index: a word a level, and one slot."""
+    hashed = np.array([key], "<i8").view("<u8")
+    at = head.levels
+    for level, words in enumerate(head.words):
+        place = int(mix(hashed, level)[0]) % (words * 64)
+        word, before = struct.unpack("<QQ", index.read_at(16, at + 16 * (place >> 6)))
+        bit = place & 63
+        if word >> bit & 1:
+            slot = before + (word & ((1 << bit) - 1)).bit_count()
+            mark, rows, first = struct.unpack("<IIQ", index.read_at(16, head.table + 16 * slot))
+            return first, rows if mark == int(marks(hashed)[0]) else 0
+        at += 16 * words
+    return 0, 0
+
+
+def documents_of(manifest: list, key: int):
+    """The ids of each document with a key, one after the other; ``manifest`` has the manifest's rows."""
+    for m in sorted(manifest, key=lambda m: m["shard"]):
+        if m["low"] is None or not m["low"] <= key <= m["high"]:
+            continue
+        with reading(m["path"] + ".idx") as index:
+            head = Head(index.read_at(HEAD + 8 * LEVELS, 0), m["path"])
+            first, rows = probe(index, head, key)
+            if not rows:
+                continue
+            with reading(m["path"] + ".ids") as source:
+                for lo in range(first, first + rows, 4096):
+                    n = min(4096, first + rows - lo)
+                    starts = np.frombuffer(index.read_at(8 * (n + 1), head.starts + 8 * lo), "<u8").astype(np.int64)
+                    yield from (x.copy() for x in block(source, starts, m["id_bytes"]))
 
 
 def lookup(manifest: list, key: int) -> list[np.ndarray]:
-    """The ids of all documents with a key; ``manifest`` has the manifest's rows."""
-    found = []
-    for m in sorted(manifest, key=lambda m: m["shard"]):
-        if m["low"] is not None and m["low"] <= key <= m["high"]:
-            shard = Shard(m["path"])
-            first, n = shard.find(np.array([key]))
-            if n[0]:
-                with reading(m["path"] + ".ids") as source:
-                    found += [x.copy() for x in shard.block(source, int(first[0]), int(first[0] + n[0]), m["id_bytes"])]
-    return found
+    """The ids of all documents with a key, in a list."""
+    return list(documents_of(manifest, key))
 
 
 def id_width(tokenizer: str, end: int = END) -> int:
@@ -174,12 +218,18 @@ def id_width(tokenizer: str, end: int = END) -> int:
     return 2 if max(end, *encoder(tokenizer).library.get_vocab().values()) < 1 << 16 else 4
 
 
+def shards_for(rows: DataFrame) -> int:
+    """How many shards the rows take, from the bytes of their texts and their number."""
+    size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    return max(width(rows.sparkSession), -(-(size or 0) // SHARD_BYTES), -(-n // SHARD_ROWS))
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, id_bytes: int | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Write all documents as shards into ``folder``; the manifest, one row per shard in order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_bytes = id_bytes or id_width(tokenizer, end)
     hashed = rows.withColumn("hash", F.xxhash64("text"))
-    ordered = hashed.repartitionByRange(shards or width(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    ordered = hashed.repartitionByRange(shards or shards_for(rows), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext

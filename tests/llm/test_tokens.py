@@ -134,6 +134,68 @@ def test_a_key_over_many_shards(spark, monkeypatch):
         at += r["n_tokens"]
 
 
+def test_lookup_reads_little(spark, monkeypatch):
+    """Of an index of 40,000 keys a lookup reads its head, a word a level, a slot and two starts, none of it for keys out of range."""
+    import contextlib
+
+    from quillon.llm.common import shared_path
+
+    rows = [(3 * i, f"t {i % 50}", 1, None) for i in range(40_000)]
+    listed = idfile.write(docs(spark, rows), vocabulary("byte_bpe_50k.json"), shared_path(spark, "ids"), shards=1).collect()
+    spent, opened = [], idfile.reading
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def read_at(self, n, at):
+            spent.append(n)
+            return self.source.read_at(n, at)
+
+    @contextlib.contextmanager
+    def counting(path):
+        with opened(path) as source:
+            yield Counted(source)
+
+    monkeypatch.setattr(idfile, "reading", counting)
+    own = library("byte_bpe_50k.json")
+    for key in (0, 3, 59_997, 119_997):
+        spent.clear()
+        assert [x.tolist() for x in idfile.lookup(listed, key)] == [[*own.encode(f"t {key // 3 % 50}", add_special_tokens=False).ids, 0]]
+        assert sum(spent) < 1500 and len(spent) < 16
+    spent.clear()
+    assert idfile.lookup(listed, -1) == [] and idfile.lookup(listed, 120_000) == [] and not spent
+    assert all(idfile.lookup(listed, key) == [] for key in range(1, 900, 3))
+
+
+def test_probe_agrees_with_the_whole_index(spark):
+    from quillon.llm.common import shared_path
+    from quillon.llm.files import reading
+
+    r = random.Random(8)
+    rows = [(r.randint(-(2**62), 2**62), "a", 1, None) for _ in range(500)] + [(5, f"b {i}", 1, None) for i in range(5000)]
+    m = idfile.write(docs(spark, rows), vocabulary("byte_bpe_50k.json"), shared_path(spark, "ids"), shards=1).first()
+    shard, keys = idfile.Shard(m["path"]), [i for i, *_ in rows[:501]] + [r.randint(-(2**62), 2**62) for _ in range(500)]
+    first, n = shard.find(np.array(keys))
+    with reading(m["path"] + ".idx") as index:
+        head = idfile.Head(index.read_at(idfile.HEAD + 8 * idfile.LEVELS, 0), m["path"])
+        for key, f, c in zip(keys, first.tolist(), n.tolist()):
+            found = idfile.probe(index, head, key)
+            assert found[1] == c and (not c or found[0] == f)
+    assert len(idfile.lookup([m], 5)) == 5000
+
+
+def test_shards_by_size(spark, monkeypatch):
+    """As many shards as the bytes and rows ask for, however many shuffle partitions there are."""
+    rows = docs(spark, [(i, "x" * 100, 1, None) for i in range(1000)])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert idfile.shards_for(rows) == idfile.shards_for(docs(spark, [])) == least
+    monkeypatch.setattr(idfile, "SHARD_ROWS", 20)
+    assert idfile.shards_for(rows) == 50
+    monkeypatch.setattr(idfile, "SHARD_BYTES", 1000)
+    assert idfile.shards_for(rows) == 100
+
+
 def check_packed(rows, found, capacity, own):
     pieces, sequences = {}, {}
     for r in found:
