@@ -6,8 +6,7 @@ scaled to length one.  Each language has several centroids from spherical k-mean
 cosine gives the language, its cosine the score.  A text is rejected if its distance from that centroid is
 beyond what the centroid's own training texts show, with slack for short texts.
 
-Fitting uses at most ``SAMPLE`` labelled texts of each of the ``LANGUAGES`` labels with most texts, chosen by
-hashed id and text; predicting reads whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
+Fitting uses at most ``SAMPLE`` labelled texts of each label, chosen by hashed id and text; over ``LANGUAGES`` labels are an error; predicting reads whole texts only.  Defined cases: a null text or one without letters is ``und`` with score 0 and
 rejected; ties go to the language first in order; without any labelled text all is ``und``; an empty
 table gives no rows; repeated rows are predicted alike.
 """
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 SAMPLE = 400
 #: All languages together: the sample per language shrinks beyond ten languages.
 SAMPLE_ALL = 4000
-#: Labels that a fit learns at most, those with most texts.
-LANGUAGES = 500
+#: Labels that a fit can learn: all of them, so that the sample has a text of each.  More are an error, as the model goes to every task.
+LANGUAGES = SAMPLE_ALL
 DIMS = 4096
 CENTROIDS = 4
 #: Part of the low end of the training texts' cosines that a text has to reach.
@@ -150,7 +149,9 @@ def train(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     # Labels are counted over all rows; only so many are then read that about the sample comes back.
     counted = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in counted.limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages to learn: join or leave out labels first")
     if not sizes:
         return fit([])
     sample = max(1, min(sample, sample_all // len(sizes)))

@@ -60,13 +60,17 @@ def test_counts_and_cosines_one_by_one(spark):
 
 
 def test_many_labels(spark, monkeypatch):
-    """A dirty label column: the labels with most texts are learned, all texts are predicted."""
-    monkeypatch.setattr(language, "LANGUAGES", 3)
+    """A dirty label column: every label is learned and all texts are predicted; more labels than a model may have are an error."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
     dirty = docs.unionByName(docs.limit(60).withColumn("lang", F.concat(F.lit("dirt "), F.col("doc_id").cast("string"))))
     model = language.train(dirty, F.lit(True))
-    common = [r[0] for r in docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect()]
-    assert model.languages == sorted(common) and language.predict(dirty, model).count() == dirty.count()
+    labels = sorted(r[0] for r in dirty.where("lang IS NOT NULL").select("lang").distinct().collect())
+    assert len(labels) > 60 and model.languages == labels and language.predict(dirty, model).count() == dirty.count()
+    monkeypatch.setattr(language, "LANGUAGES", len(labels))
+    assert language.train(dirty, F.lit(True)).languages == labels
+    monkeypatch.setattr(language, "LANGUAGES", len(labels) - 1)
+    with pytest.raises(ValueError, match="languages to learn"):
+        language.train(dirty, F.lit(True))
 
 
 def test_sample_is_bounded_and_the_same_however_rows_are_dealt(spark, monkeypatch):
