@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, chroma, exact_dedup, idfile, importance, language, license_scan, maintext, packing, simhash, urls, vector_codes, warc
-from quillon.llm.common import table
+from quillon.llm.common import durable, passing, table
 from quillon.llm.labelled_urls import made_urls
 
 #: Rules that decide about URLs before any method does.
@@ -24,6 +24,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
+def settled(made, name: str):
+    """A result that is written, so that the far larger tables and files it was made from can go."""
+    with passing(made.sparkSession) as keep:
+        return keep(durable(made, name))
+
+
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, ~held_out())
@@ -40,7 +46,7 @@ def op3_main_text(spark, sf_dir):
 
 
 def op4_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return settled(exact_dedup.exact_groups(table(spark, sf_dir, "documents")), "groups")
 
 
 def op5_chroma(spark, sf_dir):
@@ -55,11 +61,11 @@ def op5_chroma(spark, sf_dir):
 
 
 def op6_token_index(spark, sf_dir):
-    return idfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return settled(idfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "ids")
 
 
 def op7_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return settled(warc.round_trip(table(spark, sf_dir, "pages")), "records")
 
 
 def op8_bpe(spark, sf_dir):

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import durable
+from quillon.sources.shared import forget
 
+#: Repeated rows that are made from one row at a time.
+TOGETHER = 4096
 #: A chunk ends after a sentence end, a line end or "e " once it has 512 characters, and at 4096 in any case.
 CHUNKS = r"(?s).{512,4096}?(?:[.!?] |\n|e )|.{1,4096}"
 
@@ -53,14 +56,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = durable(cut.withColumn("recipe", F.transform("chunks", id_of)).drop("chunks"), "recipes")
     bad = durable(ambiguous(cut, id_of), "ambiguous")
     if not bad.isEmpty():
+        forget(rows)
         rows = durable(_with_bytes(cut, bad, id_of), "recipes")
+    forget(bad)
     # Copies of one id and text become one row with a count, so that a group's winner is one row.
     each = rows.groupBy("recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
     # Written, so that both sides of the join are plain exchanges and Spark can split a hot recipe.
     groups = durable(each.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     return (
         each.join(groups, "recipe")
-        .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+        # In blocks of TOGETHER, so that no row carries an array of all its copies.
+        .select("doc_id", "keep_id", "group_size", "text_sha256", "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / TOGETHER))).alias("block"))
+        .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.col("block") * TOGETHER + 1, F.least((F.col("block") + 1) * TOGETHER, "copies"))).alias("nth"))
         .select(
             "doc_id",
             "keep_id",

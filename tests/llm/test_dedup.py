@@ -41,6 +41,16 @@ def test_exact_groups(spark, id_of):
     assert sorted(kept) == sorted({k for _, k, _ in exact_brute(ROWS)})  # one row for each group
 
 
+@pytest.mark.parametrize("together", [1, 7, 100, 4096])
+def test_rows_that_repeat_often(spark, monkeypatch, together):
+    """Each repeated row is in the result, however many are made from one row at a time."""
+    monkeypatch.setattr(exact_dedup, "TOGETHER", together)
+    rows = [(1, "same", None, 1)] * 700 + [(2, "same", None, 1)] * 7 + [(3, "other", None, 1)] * 100
+    found = exact_dedup.exact_groups(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == exact_brute(rows)
+    assert sorted(r["doc_id"] for r in found if r["kept"]) == [2, 3]
+
+
 def test_chunks_make_up_the_text(spark):
     for row in exact_dedup.recipes(docs_of(spark, ROWS)).collect():
         want = next(t for i, t, *_ in ROWS if i == row["doc_id"])
