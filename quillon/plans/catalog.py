@@ -12,6 +12,7 @@ from quillon.operators import evaluate
 from quillon.operators.classify import Knn, NearestCentroid, Shape
 from quillon.operators.folds import Holdout, KFold, LeaveOneOut, fold_stats, partitions, quota_table
 from quillon.plans import experiment, oracle
+from quillon.plans.config import put, scalar
 from quillon.sources import sinks
 from quillon.sources.labelled import Labelled, from_columns, from_vectors, read_csv
 from quillon.sources.shared import remember, shared_path
@@ -216,6 +217,46 @@ def validate_meta_file(spark, d):
     return found.select(F.explode("folds").alias("f")).select("f.fold", "f.train_size", "f.test_size", F.col("f.test_class_counts.BUILDING").alias("building"))
 
 
+def _pair(spark, d) -> sinks.RunDirectory:
+    """Nations of customers told from balances of suppliers, each from a CSV file of its own."""
+    files = {}
+    for role, name, key, initial in (("train_dataset", "supplier", "s_suppkey", "s"), ("test_dataset", "customer", "c_custkey", "c")):
+        place = sinks.Place(spark, remember(spark, shared_path(spark, role))) / f"{name}.csv"
+        rows = table(spark, d, name).select(F.col(key).alias("id"), F.col(f"{initial}_acctbal").alias("balance"), F.col(f"{initial}_nationkey").alias("nation"))
+        sinks.write_csv(rows, place, ["id"])
+        files[role] = place.path
+    config = {"io": files | {"target_col": "nation", "drop_cols": ["id"]}, "classifier": {"type": "knn", "params": {"k": 3}}}
+    return experiment.classify(spark, config, remember(spark, shared_path(spark, "pair")))
+
+
+def classify_pair_predictions_file(spark, d):
+    return _read_back(spark, _pair(spark, d) / "predictions.csv", "`index` long, y_true string, y_pred string")
+
+
+def classify_pair_meta_file(spark, d):
+    found = spark.read.option("multiLine", True).json((_pair(spark, d) / "meta.json").path)
+    return found.select("mode", F.col("train.n_samples").alias("n_train"), F.col("test.n_samples").alias("n_test"), F.size("labels").cast("long").alias("n_labels"))
+
+
+def validate_loo_meta_file(spark, d):
+    """All folds of leave-one-out are counted, the first of them listed."""
+    found = spark.read.option("multiLine", True).json((_experiment(spark, d, "validate", {"validation": {"type": "loo"}}) / "meta.json").path)
+    return found.select(F.explode("folds").alias("f")).select("f.fold", "f.train_size", "f.test_size", F.col("f.test_class_counts.BUILDING").alias("building"))
+
+
+#: Values as the command line has them: a mapping, a word, a number, and a path through what is no mapping yet.
+OVERRIDES = ["validation=none", "validation.type=k-fold", "validation.params={n_splits: 9, shuffle: false}", "validation.params.n_splits=4", "validation.params.stratify=True", "classifier.type=centroid"]
+
+
+def run_overridden_file(spark, d):
+    """Predictions of an experiment whose declaration is overridden value by value."""
+    declared: dict = {"classifier": {"type": "knn"}}
+    for one in OVERRIDES:
+        path, _, value = one.partition("=")
+        put(declared, path, scalar(value))
+    return _read_back(spark, _experiment(spark, d, "run", declared) / "fold_predictions.csv", "fold long, `index` long, y_true string, y_pred string")
+
+
 def exported_partition_files(spark, d):
     """Rows and sum of a column in each file of an export."""
     run = _experiment(spark, d, "validate", {"validation": FOLDED["validation"] | {"export": {"csv": True}}})
@@ -419,6 +460,7 @@ def queries() -> dict:
         knn_train_test_predict, centroid_lineitem_confusion, confusion_long, confusion_wide, confusion_norm_rows, confusion_norm_cols, metrics_per_class, metrics_macro, metrics_mcc, support, merged_labels, pooled_run_summary, lineitem_metrics,
         csv_scan, csv_columns, run_predictions_file, classify_predictions_file, run_metrics_file, run_matrix_file, run_meta_file, classify_meta_file, validate_meta_file, exported_partition_files, confusion_of_some, matrix_drawing, row_numbers_of_join,
         csv_quoted_scan, clashing_columns, float_labels, knn_pruned_topk, confusion_sparse, metrics_sparse_per_class, metrics_sparse_summary, holdout_joined_quotas, stream_confusion,
+        classify_pair_predictions_file, classify_pair_meta_file, validate_loo_meta_file, run_overridden_file,
     ]
     return {f.__name__: f for f in plain} | {
         "kfold_plain_assign": _folds(KFold(5, stratify=False, shuffle=False)),

@@ -178,6 +178,15 @@ def statements() -> dict[str, str]:
         "run_meta_file": "SELECT 'run' AS mode, 'run' AS run_name, CAST(5 AS BIGINT) AS n_folds, count(*) AS n_samples, CAST(1 AS BIGINT) AS n_features FROM customer",
         "classify_meta_file": f"WITH {SEGMENT_SPLIT} SELECT 'classify_dataset_split' AS mode, (SELECT count(*) FROM folded WHERE fold_id < 0) AS n_train, (SELECT count(*) FROM folded WHERE fold_id = 0) AS n_test, (SELECT count(DISTINCT s) FROM c) AS n_labels",
         "validate_meta_file": f"WITH {SEGMENTS} SELECT fold, (SELECT count(*) FROM c) - count(*) AS train_size, count(*) AS test_size, count(*) FILTER (s = 'BUILDING') AS building FROM c GROUP BY fold",
+        "classify_pair_predictions_file": f"""
+            WITH e AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_idx, CAST(c_nationkey AS VARCHAR) AS s, [CAST(c_acctbal AS DOUBLE)] AS x, 0 AS fold FROM customer
+                       UNION ALL SELECT row_number() OVER (ORDER BY s_suppkey) - 1, CAST(s_nationkey AS VARCHAR), [CAST(s_acctbal AS DOUBLE)], -1 FROM supplier), {knn(3, test='t.fold >= 0')}
+            SELECT row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred""",
+        "classify_pair_meta_file": "SELECT 'classify_train_test' AS mode, (SELECT count(*) FROM supplier) AS n_train, (SELECT count(*) FROM customer) AS n_test, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier UNION SELECT c_nationkey FROM customer)) AS n_labels",
+        "validate_loo_meta_file": """
+            WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS fold, c_mktsegment AS s, count(*) OVER () AS n FROM customer)
+            SELECT fold, n - 1 AS train_size, CAST(1 AS BIGINT) AS test_size, CAST(s = 'BUILDING' AS BIGINT) AS building FROM c WHERE fold < 50""",
+        "run_overridden_file": f'WITH {SEGMENTS.replace("% 5", "% 4")} SELECT fold, row_idx AS "index", true_s AS y_true, pred_s AS y_pred FROM pred',
         "exported_partition_files": f"WITH {SEGMENTS} SELECT f.fold, CASE WHEN f.fold = c.fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, round(sum(v), 6) AS total FROM c CROSS JOIN (SELECT DISTINCT fold FROM c) f GROUP BY 1, 2",
         "confusion_of_some": f"WITH {CENTROID}, listed AS (SELECT unnest(['0', '3', '7', 'none']) AS s) SELECT a.s AS true_label, b.s AS pred_label, count(p.row_idx) AS n FROM listed a CROSS JOIN listed b LEFT JOIN pred p ON p.true_s = a.s AND p.pred_s = b.s GROUP BY ALL",
         "matrix_drawing": f"WITH {CENTROID}, {MATRIX} SELECT true_label, pred_label, round(n / greatest(sum(n) OVER (PARTITION BY true_label), 1), 6) AS value, 'Confusion Matrix (Normalized by Rows)' AS title FROM cm",

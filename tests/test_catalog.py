@@ -9,7 +9,7 @@ from quillon.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 #: Those that run in seconds; all are compared at each round's end.
-QUICK = ["feature_scan", "row_numbers", "class_counts", "class_dictionary", "holdout_strat", "holdout_strat_imbalanced", "kfold_strat_shuffled", "kfold_plain_shuffled", "kfold_fold_stats", "loo_fold_stats", "dist_minkowski", "knn_kfold_predict", "centroid_kfold_predict", "centroid_train_test_predict", "confusion_wide", "lineitem_metrics"]
+QUICK = ["feature_scan", "row_numbers", "class_counts", "class_dictionary", "holdout_strat", "holdout_strat_imbalanced", "kfold_strat_shuffled", "kfold_plain_shuffled", "kfold_fold_stats", "loo_fold_stats", "dist_minkowski", "knn_kfold_predict", "centroid_kfold_predict", "centroid_train_test_predict", "confusion_wide", "lineitem_metrics", "classify_pair_predictions_file", "classify_pair_meta_file", "validate_loo_meta_file", "run_overridden_file"]
 
 
 @pytest.fixture(scope="module")
