@@ -9,7 +9,9 @@ pre-tokens at once: the trees are rows of one array and each round makes every r
 Ids of a space-separated piece are remembered, within a bound, as pieces repeat in texts.
 
 Defined cases: null text is the empty text, without ids; the vocabulary's special tokens are found in
-texts as the tokenizers library finds them; ids outside the vocabulary decode to nothing.
+texts as the tokenizers library finds them; ids outside the vocabulary decode to nothing; documents' ids are whole
+numbers (text ids are cast, one that is no number is an error) and may be null; repeated rows give repeated rows; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ record, the others are revisits that refer to it; payloads are told apart by SHA
 with the payload itself move once, to meet their group's figures.  Defined cases: null html is an
 empty payload; of rows that repeat an id and a payload one is the response and the others
 revisit it; rows with a null id are responses only where the group has no other; an empty table gives no
-packages.
+packages; ids are whole numbers (text ids are cast, one that is no number is an error); further columns are ignored.
 """
 
 from __future__ import annotations
