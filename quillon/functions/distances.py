@@ -29,6 +29,8 @@ NAMES = {
 }
 #: Widest vector that is unrolled.
 UNROLLED = 96
+#: Rows of either side whose distances are made at a time.
+TILE = (16, 4096)
 
 
 @dataclass(frozen=True)
@@ -58,10 +60,26 @@ class Distance:
 
         if x.shape[1] == 0 and self.name == "chessboard":
             raise ClassifierError("the largest difference of no features is undefined")
-        total, d = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+        found, columns = np.empty((len(x), len(y))), np.ascontiguousarray(y.T)
+        # In squares that stay in a core's cache.
+        for i in range(0, len(x), TILE[0]):
+            for j in range(0, len(y), TILE[1]):
+                own = x[i : i + TILE[0]]
+                parts = ((a[:, None], b[None, j : j + TILE[1]]) for a, b in zip(own.T, columns))
+                found[i : i + TILE[0], j : j + TILE[1]] = self._added(parts, (len(own), min(TILE[1], len(y) - j)))
+        return found
+
+    def pairs(self, x, i, y, j):
+        """Distances of rows i of x to rows j of y (arrays of one shape), as matrix() has them."""
+        return self._added(((a[i], b[j]) for a, b in zip(x.T, y.T)), i.shape)
+
+    def _added(self, parts, shape):
+        import numpy as np
+
+        total, d = np.zeros(shape), np.empty(shape)
         with np.errstate(over="ignore", invalid="ignore"):
-            for a, b in zip(x.T, np.ascontiguousarray(y.T)):
-                np.subtract(a[:, None], b[None, :], out=d)
+            for a, b in parts:
+                np.subtract(a, b, out=d)
                 if self.name == "euclidean":
                     np.multiply(d, d, out=d)
                 else:

@@ -29,6 +29,8 @@ PIVOTS, PIVOT_BYTES = 256, 8 << 20
 MARGIN = 1e-9
 #: The cell of rows that aren't finite.
 LOOSE = -1
+#: Distances of rows to pivots that are held at a time.
+HELD = 1 << 18
 
 
 def is_metric(metric: Distance) -> bool:
@@ -39,7 +41,7 @@ def pivots(train: DataFrame, n_train: int, width: int) -> np.ndarray:
     """Finite training rows with the least hashes of their numbers, as many as the root of all rows but for the bounds."""
     most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max(1, width)), int(n_train**0.5)))
     finite = train.where(~F.exists("features", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
-    found = finite.orderBy(F.xxhash64("row_idx"), "row_idx").select("features").limit(most).collect()
+    found = finite.orderBy(F.xxhash64("r_idx"), "r_idx").select("features").limit(most).collect()
     return np.unique(np.array([r["features"] for r in found], float).reshape(len(found), width), axis=0)
 
 
@@ -100,7 +102,8 @@ def wanted(test: DataFrame, metric: Distance, centres: np.ndarray, cells: list[C
     loose = len(every) - len(near)
 
     def run(batches):
-        for batch in batches:
+        step = max(1, HELD // max(1, len(every)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             x = vectors(pa.chunked_array([batch.column("x")]), width)
             good = np.isfinite(x).all(axis=1)
             d = metric.matrix(np.where(good[:, None], x, 0.0), centres[numbers]) if len(numbers) else np.zeros((len(x), 0))
@@ -133,7 +136,7 @@ def bounds(near: DataFrame, k: int) -> DataFrame:
 
 
 def left(asked: DataFrame, bound: DataFrame) -> DataFrame:
-    """Test rows with ``cell`` for each cell beyond the first that may hold one of their k nearest."""
+    """Test rows with ``cell`` for each cell beyond the first that may hold one of their k nearest, and ``bound``, beyond which none of these is."""
     met = asked.join(bound, ["fold", "row_idx"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     need = F.transform(F.filter("rest", lambda c: c["low"] <= F.col("bound")), lambda c: c["cell"])
-    return met.withColumn("cell", F.explode(need)).drop("first", "rest", "bound")
+    return met.withColumn("cell", F.explode(need)).drop("first", "rest")

@@ -13,20 +13,26 @@ from quillon.errors import ClassifierError, DataError
 from quillon.functions.distances import Distance, distance
 from quillon.functions.sums import Digits, digits, digits_of_vectors
 from quillon.operators import cells
-from quillon.operators.nearest import matcher
+from quillon.operators.nearest import NARROW, block_matcher, matcher
 from quillon.sources.labelled import Labelled
-from quillon.sources.shared import durable
+from quillon.sources.shared import bounded, durable
 
 #: Bytes of a centroid model that may be broadcast; a larger one is dealt into blocks.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of one block of either side.
 BLOCK_BYTES = 16 << 20
 #: Differences of coordinates that one task may take.
-PART_WORK = 10_000_000
+PART_WORK = 5_000_000_000
+#: Bytes of neighbours in a partition that is sorted.
+SORTED_BYTES = 64 << 20
+#: Differences of coordinates from which on rows with equal features are looked for once.
+COPIES_WORK = 1_000_000_000
 #: Classes times features up to which centroid distances are unrolled; the Java VM interprets methods that are much longer.
 UNROLLED = 64
 #: Differences of coordinates from which on neighbours are looked for by cells, if a sample of this many test rows meets less than this share of pairs.
 PRUNED_WORK, SAMPLE, PRUNED_SHARE = 4_000_000_000, 1024, 0.5
+#: Most cells that a test row of that sample may meet on average: as often its features are shuffled.
+SPREAD = 16
 #: Widest vectors whose coordinates are summed as columns; wider ones are summed as rows.
 WIDE = 16
 #: Most partitions that pairs of blocks are dealt into.
@@ -92,11 +98,13 @@ def _one_of(n: int, column: str):
 class Knn(Classifier):
     """Majority of the k nearest; ties by least sum of distances, then by the label's text.
 
-    Of training rows at one distance the first by row number are nearer. Chunks of test rows meet blocks of
-    training rows, each pair in a group of bounded size that gives k rows for each test row; ``blocks`` sets the
-    number of blocks, which else follows from their size.  With ``prune`` pairs that the triangle inequality rules
-    out never meet (see ``cells``); unless it is set, this is done for metrics where there are many pairs and a sample
-    of test rows tells that most are ruled out.  Neighbours are the same either way.
+    Of training rows at one distance the first by row number are nearer. Both sides are packed into blocks, and each
+    pair of blocks meets in a task of its own that gives k rows for each test row; blocks are read from the shuffle as often as
+    they are met, but written once. ``blocks`` sets the number of training blocks, which else follows from their size.  With ``prune`` pairs
+    that the triangle inequality rules out never meet (see ``cells``); unless it is set, this is done for metrics where there are many
+    pairs. Of many pairs a sample of test rows has to tell that most are ruled out, or all meet by blocks, as cells would
+    write each row many times.  Where there are many pairs rows with equal features and fold are looked for once, and of such
+    training rows only those are met that can be among k.  Neighbours are the same in all ways.
     """
 
     k: int = 1
@@ -108,49 +116,114 @@ class Knn(Classifier):
         if isinstance(self.k, bool) or not isinstance(self.k, int) or self.k < 1:
             raise ClassifierError(f"k has to be a whole number above 0, not {self.k!r}")
 
+    @staticmethod
+    def _sides(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+        t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
+        return t, train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
+
     def predict(self, train, test, shape):
-        return self.vote(self.neighbours(train, test, shape))
+        t, r = self._sides(train, test)
+        if self._work(shape) < COPIES_WORK:
+            return self.vote(self._near(t, r, shape))
+        t, asked, r, shape = self._once(t, r, shape)
+        voted = self.vote(self._near(asked, r, shape)).select("fold", "row_idx", "y_pred", "pred_s")
+        return self._each(t, asked, voted, shape).select(*PREDICTED)
 
     def neighbours(self, train, test, shape: Shape) -> DataFrame:
         """fold, row_idx, y_true, true_s, label, label_s, r_idx, d, nth: the k nearest training rows of each test row."""
-        t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
-        r = train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
-        pruned = self._pruned(train, t, r, shape)
-        return self._first(self._all(t, r, shape) if pruned is None else pruned)
+        t, r = self._sides(train, test)
+        if self._work(shape) < COPIES_WORK:
+            return self._near(t, r, shape)
+        t, asked, r, shape = self._once(t, r, shape)
+        near = self._near(asked, r, shape).groupBy("fold", "row_idx").agg(F.collect_list(F.struct("label", "label_s", "r_idx", "d", "nth")).alias("near"))
+        found = self._each(t, asked, near, shape).withColumn("near", F.explode("near"))
+        return found.select("fold", "row_idx", "y_true", "true_s", "near.*")
+
+    @staticmethod
+    def _work(shape: Shape) -> int:
+        return shape.n_train * shape.n_test * max(1, shape.width)
+
+    def _once(self, t: DataFrame, r: DataFrame, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame, Shape]:
+        """Test rows with the fold they are to be looked for in (``as_fold``), one test row of each x and as_fold, and training rows without those that can't be among k.
+
+        Of equal training rows in one fold only the first k can be; of what is left of equal rows, whichever fold is
+        left out, only the first 2 k. A fold without training rows leaves none out: in leave-one-out copies ask for the same.
+        """
+        own = Window.partitionBy("features", "r_fold").orderBy("r_idx")
+        r = r.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= self.k)
+        all_ = Window.partitionBy("features").orderBy("r_idx")
+        r = durable(r.withColumn("nth", F.row_number().over(all_)).where(F.col("nth") <= 2 * self.k).drop("nth"), "training")
+        folds = r.select(F.col("r_fold").alias("fold")).distinct().withColumn("as_fold", F.col("fold"))
+        t = t.join(bounded(folds, folds.count()), "fold", "left").withColumn("as_fold", F.coalesce("as_fold", F.lit(-2).cast("long")))
+        none = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in ("y_true", "true_s")]
+        asked = t.groupBy(F.col("as_fold").alias("fold"), "x").agg(F.min("row_idx").alias("row_idx"))
+        asked = durable(asked.select("fold", "row_idx", *none, "x"), "asked")
+        return t, asked, r, Shape(shape.width, r.count(), asked.count(), shape.n_folds, shape.classes, shape.many)
+
+    def _each(self, t: DataFrame, asked: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
+        """What was found for the test rows asked for, for each test row."""
+        size = shape.n_test * (1 + shape.width + 4 * self.k)
+        keyed = asked.select("fold", "row_idx", "x").join(bounded(found, size), ["fold", "row_idx"]).drop("row_idx").withColumnRenamed("fold", "as_fold")
+        return t.join(bounded(keyed, size), ["as_fold", "x"]).drop("as_fold", "x")
+
+    def _near(self, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame:
+        pruned = self._pruned(t, r, shape)
+        if pruned is None:
+            return self._first(self._all(t, r, shape), shape.n_test * self.k * self._blocks(shape))
+        return self._first(pruned, 2 * shape.n_test * self.k)
+
+    @staticmethod
+    def _spread(near: DataFrame, rows: int) -> DataFrame:
+        """Neighbours of a test row together, in partitions of bounded size."""
+        n = _parts(128 * rows, SORTED_BYTES)
+        return near.repartition(n, "fold", "row_idx") if n > int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")) else near
 
-    def _first(self, near: DataFrame) -> DataFrame:
+    def _first(self, near: DataFrame, rows: int) -> DataFrame:
         first = Window.partitionBy("fold", "row_idx").orderBy("d", "r_idx")
-        return near.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.k)
+        return self._spread(near, rows).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= self.k)
+
+    def _blocks(self, shape: Shape) -> int:
+        return self.blocks or _parts(shape.n_train * _row_bytes(shape.width), 2 * BLOCK_BYTES)
+
+    def _met_by(self, rows: int, width: int) -> int:
+        """Training rows of a block that a test row is compared with."""
+        return min(rows, 256 * self.k) if 0 < width <= NARROW else rows
 
     def _all(self, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame:
         """The k nearest of each block, every chunk of test rows meeting every block."""
-        size, n_test = _row_bytes(shape.width), max(1, shape.n_test)
-        blocks = self.blocks or _parts(shape.n_train * size)
-        work = shape.n_train * n_test * max(1, shape.width) // (PART_WORK * blocks)
-        chunks = min(n_test, max(_parts(n_test * size), _parts(n_test * self.k * 64), work))
-        n = min(PARTITIONS, blocks * chunks)
-        keys = ("chunk", "block")
-        t = t.withColumn("chunk", _one_of(chunks, "row_idx")).withColumn("block", _upto(blocks))
-        r = r.withColumn("block", _one_of(blocks, "r_idx")).withColumn("chunk", _upto(chunks))
-        return self._met(t, r, shape, n, keys)
+        size, n_test, blocks = _row_bytes(shape.width), max(1, shape.n_test), self._blocks(shape)
+        work = self._met_by(shape.n_train, shape.width) * n_test * max(1, shape.width) // (PART_WORK * blocks)
+        chunks = min(n_test, max(_parts(n_test * size), _parts(n_test * self.k * 64), min(work, PARTITIONS // blocks)))
+        tests = self._packed(t, "row_idx", chunks, "tests")
+        # Pairs of partitions: neither side is broadcast, and none is copied into the shuffle.
+        met = tests.hint("shuffle_replicate_nl").crossJoin(self._packed(r, "r_idx", blocks, "trains"))
+        return met.mapInArrow(block_matcher(self.metric, self.k, shape.width), self._near_schema(t, r))
+
+    @staticmethod
+    def _packed(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
+        """Rows in lists, one for each of n partitions."""
+        lists = rows.groupBy(_one_of(n, key).cast("int").alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+        return lists.repartitionById(n, "part").select(name)
 
     def _met(self, t: DataFrame, r: DataFrame, shape: Shape, n: int, keys: tuple) -> DataFrame:
         # Both sides are dealt by the same keys once; groups need no further shuffle.
         left, right = (x.repartition(n, *keys).groupBy(*keys) for x in (t, r))
         return left.cogroup(right).applyInArrow(matcher(self.metric, self.k, shape.width), self._near_schema(t, r))
 
-    def _pruned(self, train: DataFrame, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame | None:
+    def _pruned(self, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame | None:
         """The same from cells that may hold one of the k nearest; None where all pairs are to meet."""
         if not cells.is_metric(self.metric) or shape.width < 1 or self.prune is False or self.blocks is not None:
             return None
-        if self.prune is None and shape.n_train * shape.n_test * shape.width < PRUNED_WORK:
+        many = self._work(shape) >= PRUNED_WORK
+        if self.prune is None and not many:
             return None
-        centres = cells.pivots(train, shape.n_train, shape.width)
+        centres = cells.pivots(r, shape.n_train, shape.width)
         r = cells.celled(r, self.metric, centres, shape.width)
         found = cells.cells_of(r)
-        if self.prune is None:
+        if many:
             some = t.orderBy(F.xxhash64("row_idx"), "row_idx").limit(SAMPLE)
-            if self._share(self._two_steps(some, r, centres, found, shape)[1:], found, shape.n_train) > PRUNED_SHARE:
+            share, each = self._share(self._two_steps(some, r, centres, found, shape)[1:], found, shape.n_train)
+            if share > PRUNED_SHARE or each > SPREAD:
                 return None
         return self._two_steps(t, r, centres, found, shape)[0]
 
@@ -160,7 +233,7 @@ class Knn(Classifier):
         first = asked.withColumn("cell", F.explode("first")).drop("first", "rest")
         # Written: it bounds the second step and is part of the result.
         near = durable(self._by_cell(first, r, found, shape), "near")
-        second = cells.left(asked, cells.bounds(near, self.k))
+        second = cells.left(asked, cells.bounds(self._spread(near, 2 * shape.n_test * self.k), self.k))
         return near.unionByName(self._by_cell(second, r, found, shape)), first.select("row_idx", "cell"), second.select("row_idx", "cell")
 
     def _by_cell(self, t: DataFrame, r: DataFrame, found: list[cells.Cell], shape: Shape) -> DataFrame:
@@ -171,7 +244,7 @@ class Knn(Classifier):
             n = demand.get(c.number, 0)
             if n:
                 blocks = _parts(c.rows * size)
-                dealt.append((c.number, blocks, min(n, max(_parts(n * size), _parts(n * self.k * 64), n * c.rows * max(1, shape.width) // (PART_WORK * blocks), 1))))
+                dealt.append((c.number, blocks, min(n, max(_parts(n * size), _parts(n * self.k * 64), n * self._met_by(c.rows, shape.width) * max(1, shape.width) // (PART_WORK * blocks), 1))))
         # As many rows as pivots.
         parts = F.broadcast(t.sparkSession.createDataFrame(dealt, "cell long, blocks long, chunks long"))
         t, r = t.join(parts, "cell"), r.drop("gap").join(parts, "cell")
@@ -181,21 +254,20 @@ class Knn(Classifier):
         return self._met(t, r, shape, n, ("cell", "chunk", "block"))
 
     @staticmethod
-    def _share(met: tuple[DataFrame, DataFrame], found: list[cells.Cell], n_train: int) -> float:
-        """Pairs of rows that meet, of all pairs."""
+    def _share(met: tuple[DataFrame, DataFrame], found: list[cells.Cell], n_train: int) -> tuple[float, float]:
+        """Pairs of rows that meet, of all pairs, and cells that a test row meets on average."""
         sizes = {c.number: c.rows for c in found}
         demand = met[0].unionByName(met[1]).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-        n_test = met[0].unionByName(met[1]).select("row_idx").distinct().count()
-        return sum(x["n"] * sizes[x["cell"]] for x in demand) / max(1, n_test * n_train)
+        n_test = max(1, met[0].unionByName(met[1]).select("row_idx").distinct().count())
+        return sum(x["n"] * sizes[x["cell"]] for x in demand) / max(1, n_test * n_train), sum(x["n"] for x in demand) / n_test
 
     def pairs_met(self, train: DataFrame, test: DataFrame, shape: Shape) -> float:
         """The share of all pairs that pruning leaves."""
-        t = test.select(F.col("fold_id").alias("fold"), "row_idx", F.col("label").alias("y_true"), F.col("label_s").alias("true_s"), F.col("features").alias("x"))
-        r = train.select(F.col("fold_id").alias("r_fold"), F.col("row_idx").alias("r_idx"), "label", "label_s", "features")
-        centres = cells.pivots(train, shape.n_train, shape.width)
+        t, r = self._sides(train, test)
+        centres = cells.pivots(r, shape.n_train, shape.width)
         r = cells.celled(r, self.metric, centres, shape.width)
         found = cells.cells_of(r)
-        return self._share(self._two_steps(t, r, centres, found, shape)[1:], found, shape.n_train)
+        return self._share(self._two_steps(t, r, centres, found, shape)[1:], found, shape.n_train)[0]
 
     @staticmethod
     def _near_schema(t: DataFrame, r: DataFrame) -> T.StructType:

@@ -1,7 +1,9 @@
 """The k nearest of one block of training rows to each of a chunk of test rows, in bounded memory.
 
-Distances of a tile of test rows to the block are made coordinate by coordinate, and only the k least of
-each row are picked before anything is sorted: pairs never leave the task.
+A tile of test rows meets the block at a time, and pairs never leave the task.  Of finite rows only pairs within a bound on the
+k-th distance, which a part of the block gives, are sorted; for L2 the bound is held against products of matrices, with
+a margin for their rounding, and the distances of what is left are made coordinate by coordinate.  Rows of few coordinates meet those
+next to them in the order of one coordinate, as many as it takes until those beyond are farther in it than the k-th.
 """
 
 from __future__ import annotations
@@ -13,6 +15,12 @@ from quillon.functions.distances import Distance
 
 #: Distances that are held at a time.
 TILE = 1 << 21
+#: Most coordinates of rows that are looked for in the order of one.
+NARROW = 3
+#: A relative margin for rounding.
+MARGIN = 1e-9
+#: The part of a block (one in so many rows) that bounds the k-th distance.
+PART = 16
 
 
 def vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -47,22 +55,106 @@ def least(gaps: np.ndarray, apart: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(columns)
 
 
+def _scores(metric: Distance, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """What orders pairs as their distances do but for an error, and that error's bound for each row of x; None: they are the distances."""
+    if metric.name == "euclidean" and x.shape[1] > NARROW:
+        xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        if max(xx.max(), yy.max()) < 1e150:
+            found = x @ (-2.0 * y).T
+            found += xx[:, None]
+            found += yy[None, :]
+            # Squares below the least normal number lose digits too.
+            return found, 8 * (x.shape[1] + 4) * (np.finfo(float).eps * (xx + yy.max()) + np.finfo(float).tiny)
+    return metric.matrix(x, y), None
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each of m rows (i), ties in the order they come in."""
+    order = np.lexsort((d, i))
+    i, j, d = i[order], j[order], d[order]
+    counts = np.bincount(i, minlength=m)
+    kept = np.arange(len(i)) - np.repeat(counts.cumsum() - counts, counts) < k
+    return i[kept], j[kept], d[kept]
+
+
+def _tile(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of finite rows, few enough to hold all their pairs."""
+    s, error = _scores(metric, x, y)
+    step = PART if len(y) >= PART * 8 * k else 1
+    part = np.where(fold[:, None] == r_fold[None, ::step], np.inf, s[:, ::step])
+    bound = np.partition(part, k - 1, axis=1)[:, k - 1] if k <= part.shape[1] else np.full(len(x), np.inf)
+    if error is not None:
+        bound = bound + 2 * error
+    i, j = np.nonzero(s <= bound[:, None])
+    apart = fold[i] != r_fold[j]
+    i, j = i[apart], j[apart]
+    return _first(i, j, s[i, j] if error is None else metric.pairs(x, i, y, j), len(x), k)
+
+
+def _in_order(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[list, np.ndarray]:
+    """Of finite rows, by the coordinate that spreads widest; what is found, and the test rows for which that takes most of the block."""
+    c = int(np.argmax(y.max(axis=0) - y.min(axis=0)))
+    order = np.argsort(y[:, c], kind="stable")
+    y, r_fold, n = y[order], r_fold[order], len(y)
+    place, todo, span, found = np.searchsorted(y[:, c], x[:, c]), np.arange(len(x)), 4 * k, []
+    while len(todo) and 4 * span < n:
+        later, step = [], max(1, TILE // (16 * span))
+        for at in range(0, len(todo), step):
+            own = todo[at : at + step]
+            low = np.clip(place[own] - span, 0, n - 2 * span)
+            columns = low[:, None] + np.arange(2 * span)
+            d = metric.pairs(x, np.broadcast_to(own[:, None], columns.shape), y, columns)
+            d[fold[own][:, None] == r_fold[columns]] = np.inf
+            numbers = order[columns]
+            picked = np.lexsort((numbers, d), axis=-1)[:, :k]
+            d, numbers = np.take_along_axis(d, picked, axis=1), np.take_along_axis(numbers, picked, axis=1)
+            # What lies beyond is at least as far as the first row there in this one coordinate.
+            edges = np.stack([np.where(low > 0, low - 1, 0), np.minimum(low + 2 * span, n - 1)])
+            out = np.stack([low > 0, low + 2 * span < n])
+            gaps = metric.pairs(x[:, [c]], np.broadcast_to(own, edges.shape), y[:, [c]], edges)
+            done = (d[:, -1] < np.where(out, gaps, np.inf).min(axis=0) * (1 - MARGIN)) & (d[:, -1] < np.inf)
+            found.append((np.repeat(own[done], k), numbers[done].ravel(), d[done].ravel()))
+            later.append(own[~done])
+        todo, span = np.concatenate(later), 4 * span
+    return found, todo
+
+
+def nearest(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Test row, training row and distance of the k nearest of each test row that are not in its fold; of equally near ones the first."""
+    found, todo = [], np.arange(len(x)) if len(y) else np.zeros(0, np.int64)
+    finite = len(y) > 0 and bool(np.isfinite(y).all())
+    if finite and 0 < x.shape[1] <= NARROW and len(todo):
+        good = np.isfinite(x).all(axis=1)
+        near, left = _in_order(metric, x[good], fold[good], y, r_fold, k)
+        at = np.flatnonzero(good)
+        found += [(at[i], j, d) for i, j, d in near]
+        todo = np.sort(np.concatenate([at[left], np.flatnonzero(~good)]))
+    step = max(1, TILE // max(1, len(y)))
+    for at in range(0, len(todo), step):
+        own = todo[at : at + step]
+        if finite and x.shape[1] and np.isfinite(x[own]).all():
+            i, j, d = _tile(metric, x[own], fold[own], y, r_fold, k)
+        else:
+            d = metric.matrix(x[own], y)
+            i, j = least(d, fold[own][:, None] != r_fold[None, :], k)
+            d = d[i, j]
+        found.append((own[i], j, d))
+    return tuple(np.concatenate([f[z] for f in found]) if found else np.zeros(0, kind) for z, kind in enumerate((np.int64, np.int64, np.float64)))
+
+
 def matcher(metric: Distance, k: int, width: int):
-    """For cogroups of test rows (fold, row_idx, y_true, true_s, x) and training rows (r_fold, r_idx, label, label_s, features)."""
+    """For cogroups of test rows (fold, row_idx, y_true, true_s, x) and training rows (r_fold, r_idx, label, label_s, features).
+
+    Where test rows have a ``bound``, neighbours beyond it are left out.
+    """
 
     def run(test: pa.Table, train: pa.Table) -> pa.Table:
         train = train.sort_by("r_idx")
         x, y = vectors(test["x"], width), vectors(train["features"], width)
-        fold, r_fold = whole(test["fold"]), whole(train["r_fold"])
-        rows, columns, gaps = [], [], []
-        step = max(1, TILE // max(1, len(y)))
-        for at in range(0, len(x) if len(y) else 0, step):
-            d = metric.matrix(x[at : at + step], y)
-            i, j = least(d, fold[at : at + step, None] != r_fold[None, :], k)
-            rows.append(i + at)
-            columns.append(j)
-            gaps.append(d[i, j])
-        i, j, d = (np.concatenate(z) if z else np.zeros(0, kind) for z, kind in ((rows, np.int64), (columns, np.int64), (gaps, np.float64)))
+        i, j, d = nearest(metric, x, whole(test["fold"]), y, whole(train["r_fold"]), k)
+        if "bound" in test.column_names:
+            kept = ~(d > test["bound"].to_numpy()[i])
+            i, j, d = i[kept], j[kept], d[kept]
         near = test.select(["fold", "row_idx", "y_true", "true_s"]).take(pa.array(i))
         far = train.select(["label", "label_s", "r_idx"]).take(pa.array(j))
         for name in far.column_names:
@@ -70,3 +162,18 @@ def matcher(metric: Distance, k: int, width: int):
         return near.append_column("d", pa.array(d, pa.float64()))
 
     return run
+
+
+def block_matcher(metric: Distance, k: int, width: int):
+    """For rows with a list of test rows (tests) and one of training rows (trains), as matcher() has them."""
+    met = matcher(metric, k, width)
+
+    def table(column: pa.Array, at: int) -> pa.Table:
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(column.slice(at, 1).flatten())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from met(table(batch.column("tests"), at), table(batch.column("trains"), at)).to_batches()
+
+    return run
