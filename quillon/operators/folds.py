@@ -137,7 +137,7 @@ def _ranked(data: Labelled, stratify: bool, shuffle: bool, seed: int, order: str
         ranks = whole.join(bounded(starts, data.n_classes), "label_s").select("row_idx", (F.col("rank") - F.col("start")).alias("rank"))
     if not data.gapless:
         ranks = ranks.groupBy("row_idx").agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("rows repeat the key "), F.col("row_idx").cast("string")))).otherwise(F.min("rank")).alias("rank"))
-    return data.frame.join(ranks, "row_idx")
+    return data.frame.join(bounded(ranks, data.n), "row_idx")
 
 
 def _dealt(keys: DataFrame, by: list) -> DataFrame:

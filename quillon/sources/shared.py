@@ -85,8 +85,11 @@ BROADCAST_ROWS = 200_000
 
 
 def bounded(side: DataFrame, rows: int) -> DataFrame:
-    """A side with a known number of short rows, to be broadcast if they are few enough."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+    """A side with a known number of short rows, to be broadcast if they are few enough; else neither side is.
+
+    Spark would choose by the size of files, which are far smaller than their rows where values repeat.
+    """
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side.hint("merge")
 
 
 @contextlib.contextmanager
