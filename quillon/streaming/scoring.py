@@ -16,6 +16,7 @@ from quillon.errors import DataError
 from quillon.functions.distances import distance
 from quillon.operators.classify import Knn, NearestCentroid, Shape, check_k, shape_of
 from quillon.sources.labelled import Labelled, label_text
+from quillon.sources.shared import bounded
 
 
 def centroid_model(train: Labelled) -> list[tuple]:
@@ -56,9 +57,10 @@ def neighbours_stream(rows: DataFrame, train: Labelled, what: Knn, place: str, c
     def scored(batch: DataFrame, number: int) -> None:
         held = batch.persist()
         test = held.select("row_idx", "label", label_text(F.col("label"), kind).alias("label_s"), "features", F.lit(0).cast("long").alias("fold_id"))
-        found = what.predict(known, test, shape_of(train, held.count(), 1))
+        n = held.count()
+        found = what.predict(known, test, shape_of(train, n, 1))
         # A row's time meets its prediction by its number.
-        timed = found.select("row_idx", "true_s", "pred_s").join(held.select("row_idx", "ts"), "row_idx")
+        timed = found.select("row_idx", "true_s", "pred_s").join(bounded(held.select("row_idx", "ts"), n), "row_idx")
         timed.write.mode("overwrite").parquet(_written(place, number))
         held.unpersist()
 
