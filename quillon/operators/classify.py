@@ -33,6 +33,8 @@ UNROLLED = 64
 PRUNED_WORK, SAMPLE, PRUNED_SHARE = 4_000_000_000, 1024, 0.5
 #: Most cells that a test row of that sample may meet on average: as often its features are shuffled.
 SPREAD = 16
+#: Bytes of test rows, if each was written for every cell, from which on a sample has to tell too.
+SPREAD_BYTES = 256 << 20
 #: Widest vectors whose coordinates are summed as columns; wider ones are summed as rows.
 WIDE = 16
 #: Most partitions that pairs of blocks are dealt into.
@@ -102,8 +104,8 @@ class Knn(Classifier):
     pair of blocks meets in a task of its own that gives k rows for each test row; blocks are read from the shuffle as often as
     they are met, but written once. ``blocks`` sets the number of training blocks, which else follows from their size.  With ``prune`` pairs
     that the triangle inequality rules out never meet (see ``cells``); unless it is set, this is done for metrics where there are many
-    pairs. Of many pairs a sample of test rows has to tell that most are ruled out, or all meet by blocks, as cells would
-    write each row many times.  Where there are many pairs rows with equal features and fold are looked for once, and of such
+    pairs. Of many pairs, or of rows that would take much room in all cells, a sample of test rows has to tell that most are ruled out, or all meet by blocks,
+    as cells would write each row many times.  Where there are many pairs rows with equal features and fold are looked for once, and of such
     training rows only those are met that can be among k.  Neighbours are the same in all ways.
     """
 
@@ -220,7 +222,7 @@ class Knn(Classifier):
         centres = cells.pivots(r, shape.n_train, shape.width)
         r = cells.celled(r, self.metric, centres, shape.width)
         found = cells.cells_of(r)
-        if many:
+        if many or shape.n_test * len(found) * _row_bytes(shape.width) >= SPREAD_BYTES:
             some = t.orderBy(F.xxhash64("row_idx"), "row_idx").limit(SAMPLE)
             share, each = self._share(self._two_steps(some, r, centres, found, shape)[1:], found, shape.n_train)
             if share > PRUNED_SHARE or each > SPREAD:

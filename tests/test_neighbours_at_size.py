@@ -70,6 +70,20 @@ def test_cells_that_rule_nothing_out(spark, monkeypatch):
     assert found == neighbours(data, KFold(3), Knn(3, prune=False))
 
 
+def test_few_pairs_that_cells_would_write_many_times(spark, monkeypatch):
+    """Below PRUNED_WORK every test row went to every cell: 8,000 vectors of 64 coordinates to 89 of them."""
+    monkeypatch.setattr("quillon.operators.classify.SPREAD_BYTES", 1)
+    monkeypatch.setattr("quillon.operators.classify.SAMPLE", 64)
+    data, how = table(spark, flat(300, 24, 5)), KFold(3)
+    before = shuffled_bytes(spark)
+    want = neighbours(data, how, Knn(3, prune=False))
+    between = shuffled_bytes(spark)
+    chosen, plain = [], Knn._all
+    monkeypatch.setattr(Knn, "_all", lambda *a: chosen.append(1) or plain(*a))
+    assert neighbours(data, how, Knn(3, prune=True)) == want and chosen
+    assert shuffled_bytes(spark) - between < 6 * (between - before)
+
+
 @pytest.mark.parametrize("how", [KFold(4), LeaveOneOut(), Holdout(0.3)])
 @pytest.mark.parametrize("prune", [True, False])
 def test_equal_rows_are_looked_for_once(spark, monkeypatch, how, prune):
