@@ -35,6 +35,8 @@ PRUNED_WORK, SAMPLE, PRUNED_SHARE = 4_000_000_000, 1024, 0.5
 SPREAD = 16
 #: Bytes of test rows, if each was written for every cell, from which on a sample has to tell too.
 SPREAD_BYTES = 256 << 20
+#: Most training blocks of one coordinate that all test rows meet in its order, which takes less than cells do.
+LINE_BLOCKS = 4
 #: Widest vectors whose coordinates are summed as columns; wider ones are summed as rows.
 WIDE = 16
 #: Most partitions that pairs of blocks are dealt into.
@@ -217,7 +219,7 @@ class Knn(Classifier):
         if not cells.is_metric(self.metric) or shape.width < 1 or self.prune is False or self.blocks is not None:
             return None
         many = self._work(shape) >= PRUNED_WORK
-        if self.prune is None and not many:
+        if self.prune is None and (not many or shape.width == 1 and self._blocks(shape) <= LINE_BLOCKS):
             return None
         centres = cells.pivots(r, shape.n_train, shape.width)
         r = cells.celled(r, self.metric, centres, shape.width)

@@ -122,7 +122,16 @@ def _in_order(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[list, np.nd
 def nearest(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Test row, training row and distance of the k nearest of each test row that are not in its fold; of equally near ones the first."""
     found, todo = [], np.arange(len(x)) if len(y) else np.zeros(0, np.int64)
-    finite = len(y) > 0 and bool(np.isfinite(y).all())
+    complete = np.isfinite(y).all(axis=1)
+    finite = len(y) > 0 and bool(complete.all())
+    if len(todo) and not finite and complete.any():
+        # Rows that aren't finite come last: they only matter to test rows with fewer than k others.
+        own = np.flatnonzero(complete)
+        i, j, d = nearest(metric, x, fold, y[own], r_fold[own], k)
+        enough = np.isfinite(x).all(axis=1) & (np.bincount(i[d < np.inf], minlength=len(x)) == k)
+        kept = enough[i]
+        found.append((i[kept], own[j[kept]], d[kept]))
+        todo = np.flatnonzero(~enough)
     if finite and 0 < x.shape[1] <= NARROW and len(todo):
         good = np.isfinite(x).all(axis=1)
         near, left = _in_order(metric, x[good], fold[good], y, r_fold, k)

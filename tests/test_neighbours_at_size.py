@@ -123,3 +123,32 @@ def test_cells_take_few_rows_at_a_time(spark, monkeypatch):
     data = table(spark, flat(200, 2, 4))
     found = neighbours(data, KFold(3), Knn(3, prune=True))
     assert found == neighbours(data, KFold(3), Knn(3, prune=False))
+
+
+@pytest.mark.parametrize("how", [KFold(3), Holdout(0.3)])
+def test_one_coordinate_takes_no_cells(spark, monkeypatch, how):
+    """Cells made distances to 256 pivots of each row, five times, and met twice; the order of the coordinate takes a pass."""
+    data = table(spark, flat(300, 1, 6) + [[float("nan")], [float("inf")], [1e200], [-1e200]])
+    want = neighbours(data, how, Knn(3, prune=True))
+    monkeypatch.setattr("quillon.operators.classify.PRUNED_WORK", 1)
+    monkeypatch.setattr("quillon.operators.classify.COPIES_WORK", 1)
+    monkeypatch.setattr("quillon.operators.cells.pivots", None)
+    assert repr(neighbours(data, how, Knn(3))) == repr(want)
+
+
+def test_a_row_that_is_not_finite_does_not_make_all_pairs(monkeypatch):
+    gap, rng = distance("euclidean"), np.random.default_rng(7)
+    x, y = rng.normal(size=(400, 1)), rng.normal(size=(4000, 1))
+    y[[5, 900]] = [[np.nan], [np.inf]]
+    fold, r_fold = np.zeros(400, np.int64), np.full(4000, -1)
+    all_ = gap.matrix(x, y)
+    i, j = least(all_, np.ones(all_.shape, bool), 3)
+    made, plain = [], type(gap).matrix
+    monkeypatch.setattr(type(gap), "matrix", lambda self, a, b: made.append(len(a) * len(b)) or plain(self, a, b))
+    assert sorted(zip(*nearest(gap, x, fold, y, r_fold, 3))) == sorted(zip(i, j, all_[i, j]))
+    assert sum(made) == 0
+    # Those with fewer than k finite ones meet the others too.
+    few = np.array([[1.0], [np.nan], [np.inf], [2.0]])
+    d = gap.matrix(x, few)
+    i, j = least(d, np.ones(d.shape, bool), 3)
+    assert repr(sorted(zip(*nearest(gap, x, fold, few, r_fold[:4], 3)))) == repr(sorted(zip(i, j, d[i, j])))
