@@ -135,8 +135,8 @@ def bounds(near: DataFrame, k: int) -> DataFrame:
     return kth.select("fold", "row_idx", F.when((F.col("n") < k) | F.isnan("d"), float("inf")).otherwise(F.col("d") * (1 + MARGIN)).alias("bound"))
 
 
-def left(asked: DataFrame, bound: DataFrame) -> DataFrame:
-    """Test rows with ``cell`` for each cell beyond the first that may hold one of their k nearest, and ``bound``, beyond which none of these is."""
-    met = asked.join(bound, ["fold", "row_idx"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+def left(met: DataFrame) -> DataFrame:
+    """Test rows (with their ``bound``, null without one) with ``cell`` for each cell beyond the first that may hold one of their k nearest, and ``bound``, beyond which none of these is."""
+    met = met.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     need = F.transform(F.filter("rest", lambda c: c["low"] <= F.col("bound")), lambda c: c["cell"])
-    return met.withColumn("cell", F.explode(need)).drop("first", "rest")
+    return met.withColumn("cell", F.explode(need)).drop("rest")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from quillon.functions.sums import Digits, digits, digits_of_vectors
 from quillon.operators import cells
 from quillon.operators.nearest import NARROW, block_matcher, matcher
 from quillon.sources.labelled import Labelled
-from quillon.sources.shared import bounded, durable
+from quillon.sources.shared import BROADCAST_ROWS, bounded, durable
 
 #: Bytes of a centroid model that may be broadcast; a larger one is dealt into blocks.
 BROADCAST_BYTES = 32 << 20
@@ -23,8 +23,10 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 16 << 20
 #: Differences of coordinates that one task may take.
 PART_WORK = 5_000_000_000
-#: Bytes of neighbours in a partition that is sorted.
-SORTED_BYTES = 64 << 20
+#: Bytes of a partition that is sorted, and those that a neighbour or a row without its features takes there.
+SORTED_BYTES, SORTED_ROW = 64 << 20, 256
+#: Equal test rows that one task sorts.
+HEAVY = 100_000
 #: Differences of coordinates from which on rows with equal features are looked for once.
 COPIES_WORK = 1_000_000_000
 #: Classes times features up to which centroid distances are unrolled; the Java VM interprets methods that are much longer.
@@ -98,6 +100,11 @@ def _one_of(n: int, column: str):
     return F.pmod(F.xxhash64(column), F.lit(n))
 
 
+def _hashed(vector: str):
+    """A number that equal vectors share; Spark deals rows anew where vectors themselves are the keys of a join or window."""
+    return F.xxhash64(F.transform(vector, lambda x: x + F.lit(0.0)))
+
+
 @dataclass(frozen=True)
 class Knn(Classifier):
     """Majority of the k nearest; ties by least sum of distances, then by the label's text.
@@ -129,18 +136,20 @@ class Knn(Classifier):
         t, r = self._sides(train, test)
         if self._work(shape) < COPIES_WORK:
             return self.vote(self._near(t, r, shape))
+        n_test = shape.n_test
         t, asked, r, shape = self._once(t, r, shape)
-        voted = self.vote(self._near(asked, r, shape)).select("fold", "row_idx", "y_pred", "pred_s")
-        return self._each(t, asked, voted, shape).select(*PREDICTED)
+        voted = self.vote(self._near(asked.drop("n"), r, shape)).select("fold", "row_idx", "y_pred", "pred_s")
+        return self._each(t, asked, voted, shape, n_test).select(*PREDICTED)
 
     def neighbours(self, train, test, shape: Shape) -> DataFrame:
         """fold, row_idx, y_true, true_s, label, label_s, r_idx, d, nth: the k nearest training rows of each test row."""
         t, r = self._sides(train, test)
         if self._work(shape) < COPIES_WORK:
             return self._near(t, r, shape)
+        n_test = shape.n_test
         t, asked, r, shape = self._once(t, r, shape)
-        near = self._near(asked, r, shape).groupBy("fold", "row_idx").agg(F.collect_list(F.struct("label", "label_s", "r_idx", "d", "nth")).alias("near"))
-        found = self._each(t, asked, near, shape).withColumn("near", F.explode("near"))
+        near = self._near(asked.drop("n"), r, shape).groupBy("fold", "row_idx").agg(F.collect_list(F.struct("label", "label_s", "r_idx", "d", "nth")).alias("near"))
+        found = self._each(t, asked, near, shape, n_test).withColumn("near", F.explode("near"))
         return found.select("fold", "row_idx", "y_true", "true_s", "near.*")
 
     @staticmethod
@@ -153,22 +162,49 @@ class Knn(Classifier):
         Of equal training rows in one fold only the first k can be; of what is left of equal rows, whichever fold is
         left out, only the first 2 k. A fold without training rows leaves none out: in leave-one-out copies ask for the same.
         """
-        own = Window.partitionBy("features", "r_fold").orderBy("r_idx")
-        r = r.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= self.k)
-        all_ = Window.partitionBy("features").orderBy("r_idx")
-        r = durable(r.withColumn("nth", F.row_number().over(all_)).where(F.col("nth") <= 2 * self.k).drop("nth"), "training")
+        # First among the rows of a part, so that equal rows, however many, need not fit into one task.
+        n = _parts(shape.n_train * (SORTED_ROW + 8 * shape.width), SORTED_BYTES)
+        r = self._few(r.withColumn("part", _one_of(n, "r_idx")).repartition(n, "part"), "part").drop("part")
+        r = durable(self._few(r.withColumn("key", _hashed("features")).repartition(n, "key"), "key").drop("key"), "training")
         folds = r.select(F.col("r_fold").alias("fold")).distinct().withColumn("as_fold", F.col("fold"))
-        t = t.join(bounded(folds, folds.count()), "fold", "left").withColumn("as_fold", F.coalesce("as_fold", F.lit(-2).cast("long")))
+        t = self._joined(t, folds, ["fold"], folds.count(), _parts(shape.n_test * (SORTED_ROW + 8 * shape.width), SORTED_BYTES), "left")
+        t = t.withColumn("as_fold", F.coalesce("as_fold", F.lit(-2).cast("long")))
         none = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in ("y_true", "true_s")]
-        asked = t.groupBy(F.col("as_fold").alias("fold"), "x").agg(F.min("row_idx").alias("row_idx"))
-        asked = durable(asked.select("fold", "row_idx", *none, "x"), "asked")
+        asked = t.groupBy(F.col("as_fold").alias("fold"), "x").agg(F.min("row_idx").alias("row_idx"), F.count(F.lit(1)).alias("n"))
+        asked = durable(asked.select("fold", "row_idx", *none, "x", "n"), "asked")
         return t, asked, r, Shape(shape.width, r.count(), asked.count(), shape.n_folds, shape.classes, shape.many)
 
-    def _each(self, t: DataFrame, asked: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
-        """What was found for the test rows asked for, for each test row."""
-        size = shape.n_test * (1 + shape.width + 4 * self.k)
-        keyed = asked.select("fold", "row_idx", "x").join(bounded(found, size), ["fold", "row_idx"]).drop("row_idx").withColumnRenamed("fold", "as_fold")
-        return t.join(bounded(keyed, size), ["as_fold", "x"]).drop("as_fold", "x")
+    def _few(self, r: DataFrame, *within: str) -> DataFrame:
+        """Of equal rows in one fold the first k, and of what is left of equal rows the first 2 k."""
+        for keys, n in (("features", "r_fold"), self.k), (("features",), 2 * self.k):
+            first = Window.partitionBy(*within, *keys).orderBy("r_idx")
+            r = r.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= n).drop("nth")
+        return r
+
+    @staticmethod
+    def _joined(rows: DataFrame, side: DataFrame, keys: list[str], n_side: int, n: int, how: str = "inner") -> DataFrame:
+        """Rows meet a side of n_side rows: few are broadcast, else both are sorted in n partitions."""
+        if n_side > BROADCAST_ROWS:
+            # A number that is given: Spark would join partitions until they have some size, compressed.
+            rows, side = rows.repartition(n, *keys), side.repartition(n, *keys)
+        return rows.join(bounded(side, n_side), keys, how)
+
+    def _each(self, t: DataFrame, asked: DataFrame, found: DataFrame, shape: Shape, n_test: int) -> DataFrame:
+        """What was found for the test rows asked for, for each of n_test rows."""
+        size, row = shape.n_test * (1 + shape.width + 4 * self.k), SORTED_ROW + 8 * shape.width
+        n = _parts(shape.n_test * (row + 128 * self.k), SORTED_BYTES)
+        keyed = self._joined(asked.select("fold", "row_idx", "x", "n"), found, ["fold", "row_idx"], size, n).drop("row_idx").withColumnRenamed("fold", "as_fold")
+        if size <= BROADCAST_ROWS:
+            return t.join(F.broadcast(keyed.drop("n")), ["as_fold", "x"]).drop("as_fold", "x")
+        # Equal rows beyond HEAVY are dealt into parts, and what was found for them goes to each.
+        parts = F.ceil(F.col("n") / HEAVY)
+        heavy = F.broadcast(asked.where(F.col("n") > HEAVY).select(F.col("fold").alias("as_fold"), "x", parts.alias("parts")))
+        t = t.join(heavy, ["as_fold", "x"], "left").withColumn("part", F.pmod(F.xxhash64("row_idx"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+        keyed = keyed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+        t, keyed = t.withColumn("key", _hashed("x")), keyed.withColumn("key", _hashed("x")).withColumnRenamed("x", "as_x")
+        met = self._joined(t, keyed, ["as_fold", "key", "part"], size, n + _parts(n_test * row, SORTED_BYTES))
+        # Equal vectors, but not as a key of the join.
+        return met.where("x <= as_x AND x >= as_x").drop("as_fold", "x", "as_x", "key", "part")
 
     def _near(self, t: DataFrame, r: DataFrame, shape: Shape) -> DataFrame:
         pruned = self._pruned(t, r, shape)
@@ -178,9 +214,8 @@ class Knn(Classifier):
 
     @staticmethod
     def _spread(near: DataFrame, rows: int) -> DataFrame:
-        """Neighbours of a test row together, in partitions of bounded size."""
-        n = _parts(128 * rows, SORTED_BYTES)
-        return near.repartition(n, "fold", "row_idx") if n > int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")) else near
+        """Neighbours of a test row together, in partitions of bounded size that Spark doesn't join."""
+        return near.repartition(_parts(SORTED_ROW * rows, SORTED_BYTES), "fold", "row_idx")
 
     def _first(self, near: DataFrame, rows: int) -> DataFrame:
         first = Window.partitionBy("fold", "row_idx").orderBy("d", "r_idx")
@@ -226,7 +261,7 @@ class Knn(Classifier):
         found = cells.cells_of(r)
         if many or shape.n_test * len(found) * _row_bytes(shape.width) >= SPREAD_BYTES:
             some = t.orderBy(F.xxhash64("row_idx"), "row_idx").limit(SAMPLE)
-            share, each = self._share(self._two_steps(some, r, centres, found, shape)[1:], found, shape.n_train)
+            share, each = self._share(self._two_steps(some, r, centres, found, replace(shape, n_test=min(SAMPLE, shape.n_test)))[1:], found, shape.n_train)
             if share > PRUNED_SHARE or each > SPREAD:
                 return None
         return self._two_steps(t, r, centres, found, shape)[0]
@@ -237,7 +272,9 @@ class Knn(Classifier):
         first = asked.withColumn("cell", F.explode("first")).drop("first", "rest")
         # Written: it bounds the second step and is part of the result.
         near = durable(self._by_cell(first, r, found, shape), "near")
-        second = cells.left(asked, cells.bounds(self._spread(near, 2 * shape.n_test * self.k), self.k))
+        bound = cells.bounds(self._spread(near, 2 * shape.n_test * self.k), self.k)
+        n = _parts(shape.n_test * (SORTED_ROW + 8 * shape.width + 32 * len(found)), SORTED_BYTES)
+        second = cells.left(self._joined(asked.drop("first"), bound, ["fold", "row_idx"], shape.n_test, n, "left"))
         return near.unionByName(self._by_cell(second, r, found, shape)), first.select("row_idx", "cell"), second.select("row_idx", "cell")
 
     def _by_cell(self, t: DataFrame, r: DataFrame, found: list[cells.Cell], shape: Shape) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions.distances import distance
 from quillon.operators.classify import Knn, Shape
@@ -152,3 +153,24 @@ def test_a_row_that_is_not_finite_does_not_make_all_pairs(monkeypatch):
     d = gap.matrix(x, few)
     i, j = least(d, np.ones(d.shape, bool), 3)
     assert repr(sorted(zip(*nearest(gap, x, fold, few, r_fold[:4], 3)))) == repr(sorted(zip(i, j, d[i, j])))
+
+
+@pytest.mark.parametrize("how, rows", [(LeaveOneOut(), [[i % 300, 0.0 if i % 2 else -0.0] for i in range(390)] + [[float("nan"), 1]] * 10), (KFold(4), [[7, 7]] * 300 + [[i, 1] for i in range(100)])])
+def test_sorted_partitions_are_bounded_whatever_they_take_compressed(spark, monkeypatch, how, rows):
+    """Spark joined partitions of few bytes, compressed, and chose joins by the size of files: one task sorted all of these rows."""
+    data = table(spark, rows)
+    want = neighbours(data, how, Knn(3, prune=True))
+    for name, value in (("COPIES_WORK", 1), ("BROADCAST_ROWS", 1), ("HEAVY", 40), ("SORTED_BYTES", 64 * 256)):
+        monkeypatch.setattr(f"quillon.operators.classify.{name}", value)
+    monkeypatch.setattr("quillon.sources.shared.BROADCAST_ROWS", 1)
+    # More partitions than are asked for, which Spark joins.
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        assert neighbours(data, how, Knn(3, prune=True)) == want
+        assigned = how.assign(data)
+        shape = Shape(data.width, data.n, data.n, 5, tuple(data.classes))
+        found = Knn(3, prune=False).neighbours(assigned, assigned.where("fold_id >= 0"), shape)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400 * 3 and max(sizes) < 600
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
