@@ -2,7 +2,8 @@
 
 A tile of test rows meets the block at a time, and pairs never leave the task.  Of finite rows only pairs within a bound on the
 k-th distance, which a part of the block gives, are sorted; for L2 the bound is held against products of matrices, with
-a margin for their rounding, and the distances of what is left are made coordinate by coordinate.  Rows of few coordinates meet those
+a margin for their rounding, and the distances of what is left are made coordinate by coordinate.  For Minkowski's
+from p = 2 on it is held against L2, which bounds it.  Rows of few coordinates meet those
 next to them in the order of one coordinate, as many as it takes until those beyond are farther in it than the k-th.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from quillon.functions.distances import Distance
+from quillon.functions.distances import Distance, _power
 
 #: Distances that are held at a time.
 TILE = 1 << 21
@@ -21,6 +22,10 @@ NARROW = 3
 MARGIN = 1e-9
 #: The part of a block (one in so many rows) that bounds the k-th distance.
 PART = 16
+#: The share of pairs beyond which those that a lower bound leaves take as long as all.
+LEFT_SHARE = 0.25
+#: Pairs that are roughly made at a time.
+ROUGH = 2048
 
 
 def vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -91,6 +96,93 @@ def _tile(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, np.
     return _first(i, j, s[i, j] if error is None else metric.pairs(x, i, y, j), len(x), k)
 
 
+class _Squares:
+    """A lower bound of Minkowski's distance for p from 2 on: L2 over its width to the power 1/2 - 1/p.  Scores are halves of squares less the test row's."""
+
+    def __init__(self, metric: Distance, x: np.ndarray, y: np.ndarray, far: float):
+        self.p, self.far, self.centre, self.good = metric.p, far, y.mean(axis=0), True
+        y = y - self.centre
+        yy = np.einsum("ij,ij->i", y, y)
+        self.columns, self.yy = np.concatenate([-y.T, yy[None, :] / 2]).astype(np.float32), yy.max()
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x - self.centre, np.ones((len(x), 1))], axis=1).astype(np.float32) @ self.columns
+
+    def most(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        own, single, double = x - self.centre, np.finfo(np.float32), np.finfo(float)
+        xx, width = np.einsum("ij,ij->i", own, own), x.shape[1]
+        # Powers below the least normal number may have been lost from the bound.
+        bound = (bound * (1 + MARGIN) + (2 * width * double.tiny) ** (1 / self.p)) * width ** (0.5 - 1 / self.p)
+        moved = 8 * width * double.eps * self.far
+        error = 8 * (width + 4) * (float(single.eps) * (xx + self.yy) + float(single.tiny)) + moved * (np.sqrt(xx) + np.sqrt(self.yy) + moved)
+        with np.errstate(over="ignore"):
+            return np.nextafter(((bound * bound - xx) / 2 + error).astype(np.float32), np.float32(np.inf))
+
+
+def _lower(metric: Distance, x: np.ndarray, y: np.ndarray) -> _Squares | None:
+    """Of finite rows, what rules pairs out for less than their distances take; None if there is nothing."""
+    if x.shape[1] <= NARROW or not len(x):
+        return None
+    if metric.name != "minkowski" or metric.p < 2:
+        return None
+    far = float(max(np.abs(x).max(), np.abs(y).max()))
+    made = _Squares(metric, x, y, far) if far < 1e15 else None
+    return made if made is not None and made.good else None
+
+
+def _may_be(metric: Distance, x, i, y, j, bound: np.ndarray, error: float) -> np.ndarray:
+    """Whether rows i of x and j of y (of 32 bits, coordinates with an error) can be within the bound of each row of x."""
+    found, p, width, single = np.empty(len(i), bool), metric.p, x.shape[1], np.finfo(np.float32)
+    far = float(max(np.abs(x).max(), np.abs(y).max())) + float(single.tiny)
+    with np.errstate(over="ignore", under="ignore"):
+        # Coordinates are rounded once, powers and sums at each step.
+        most = bound * (1 + 8 * (width + (p or 1)) * float(single.eps)) + 4 * width * (far * float(single.eps) + error)
+        if p is not None:
+            most = (most + (2 * width * float(single.tiny)) ** (1 / p)) ** p
+        for at in range(0, len(i), ROUGH):
+            own = i[at : at + ROUGH]
+            d = y[j[at : at + ROUGH]]
+            np.subtract(d, x[own], out=d)
+            np.abs(d, out=d)
+            d = d.max(axis=1) if metric.name == "chessboard" else (d if p is None else _power(d, p)).sum(axis=1)
+            found[at : at + ROUGH] = ~(d > most[own]) | np.isinf(d)
+    return found
+
+
+def _left(metric: Distance, lower: _Squares, x, fold, y, rough, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """As _tile() has them, from the pairs that a lower bound leaves; None if these are too many."""
+    s = lower.scores(x)
+    step = PART if len(y) >= PART * 8 * k else 1
+    part = np.where(fold[:, None] == r_fold[None, ::step], np.float32(np.inf), s[:, ::step])
+    if k > part.shape[1]:
+        return None
+
+    def within(most: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        kept = s <= most[:, None]
+        if np.count_nonzero(kept) > LEFT_SHARE * kept.size:
+            return None
+        i, j = np.divmod(np.flatnonzero(kept), len(y))
+        apart = fold[i] != r_fold[j]
+        return i[apart], j[apart]
+
+    def nearest_of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _first(i, j, metric.pairs(x, i, y, j), len(x), k)
+
+    # Pairs of the least scores bound the k-th distance.
+    least_ = within(np.partition(part, k - 1, axis=1)[:, k - 1])
+    if least_ is None:
+        return None
+    i, _, d = nearest_of(*least_)
+    counts = np.bincount(i, minlength=len(x))
+    bound = np.where(counts == k, np.append(d, np.inf)[counts.cumsum() - 1], np.inf)
+    left = within(lower.most(x, bound))
+    if left is None:
+        return None
+    i, j = left
+    kept = _may_be(metric, (x - lower.centre).astype(np.float32), i, rough, j, bound, np.finfo(float).eps * lower.far)
+    return nearest_of(i[kept], j[kept])
+
+
 def _in_order(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[list, np.ndarray]:
     """Of finite rows, by the coordinate that spreads widest; what is found, and the test rows for which that takes most of the block."""
     c = int(np.argmax(y.max(axis=0) - y.min(axis=0)))
@@ -139,6 +231,20 @@ def nearest(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, n
         found += [(at[i], j, d) for i, j, d in near]
         todo = np.sort(np.concatenate([at[left], np.flatnonzero(~good)]))
     step = max(1, TILE // max(1, len(y)))
+    if finite and len(todo):
+        own = todo[np.isfinite(x[todo]).all(axis=1)]
+        lower = _lower(metric, x[own], y)
+        if lower is not None:
+            # Pairs are made coordinate by coordinate.
+            by_column, rough, rows, left = np.asfortranarray(y), (y - lower.centre).astype(np.float32), 4 * step, []
+            for at in range(0, len(own), rows):
+                some = own[at : at + rows]
+                near = _left(metric, lower, x[some], fold[some], by_column, rough, r_fold, k)
+                if near is None:
+                    left.append(some)
+                else:
+                    found.append((some[near[0]], *near[1:]))
+            todo = np.sort(np.concatenate([*left, np.setdiff1d(todo, own)]).astype(np.int64))
     for at in range(0, len(todo), step):
         own = todo[at : at + step]
         if finite and x.shape[1] and np.isfinite(x[own]).all():

@@ -174,3 +174,50 @@ def test_sorted_partitions_are_bounded_whatever_they_take_compressed(spark, monk
         assert sum(sizes) == 400 * 3 and max(sizes) < 600
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def made_by(monkeypatch, gap, *sides):
+    """What nearest() finds, and the distances that it makes."""
+    made = []
+    with monkeypatch.context() as m:
+        for name, size in (("matrix", lambda a, b: len(a) * len(b)), ("pairs", lambda x, i, y, j: i.size)):
+            plain = getattr(type(gap), name)
+            m.setattr(type(gap), name, lambda self, *a, plain=plain, size=size: made.append(size(*a)) or plain(self, *a))
+        return sorted(zip(*nearest(gap, *sides))), sum(made)
+
+
+def few_distances(monkeypatch, metric):
+    """Distances of all pairs were made coordinate by coordinate, which took over four times as long as those of L2."""
+    gap, rng = distance(metric), np.random.default_rng(8)
+    x, y = rng.normal(size=(400, 32)), rng.normal(size=(6000, 32))
+    fold, r_fold = rng.integers(0, 3, len(x)), rng.integers(-1, 3, len(y))
+    all_ = gap.matrix(x, y)
+    i, j = least(all_, fold[:, None] != r_fold[None, :], 3)
+    found, made = made_by(monkeypatch, gap, x, fold, y, r_fold, 3)
+    assert found == sorted(zip(i, j, all_[i, j]))
+    assert made < 0.1 * all_.size
+
+
+def odd_rows(monkeypatch, metric):
+    """What rounding, overflow or ties may do to a bound leaves neighbours as they are."""
+    gap, rng = distance(metric), np.random.default_rng(9)
+    plain = rng.normal(size=(900, 24))
+    odd = [plain + 1e8, plain * 1e-160, plain * 1e-30, plain * 1e30, plain * 1e200, np.round(plain), np.round(plain * 3) + 1e12, plain * 0 + 5, np.sign(plain) * np.exp(8 * np.abs(plain))]
+    odd += [plain * (10.0 ** rng.integers(-9, 9, size=24)), np.repeat(plain[:30], 30, axis=0) + 1e-9 * plain, np.concatenate([plain, [[1e14] * 24]])]
+    for rows in odd:
+        for n in (900, 5):
+            x, y = rows[::9], rows[-n:]
+            fold, r_fold = rng.integers(0, 3, len(x)), rng.integers(-1, 3, len(y))
+            with np.errstate(over="ignore"):
+                all_ = gap.matrix(x, y)
+            i, j = least(all_, fold[:, None] != r_fold[None, :], 4)
+            assert made_by(monkeypatch, gap, x, fold, y, r_fold, 4)[0] == sorted(zip(i, j, all_[i, j]))
+
+
+def test_minkowski_makes_few_distances(monkeypatch):
+    few_distances(monkeypatch, MINKOWSKI)
+
+
+@pytest.mark.parametrize("p", [1, 1.5, 2, 2.5, 3, 7, 64, 300])
+def test_minkowski_of_odd_rows(monkeypatch, p):
+    odd_rows(monkeypatch, {"type": "minkowski", "params": {"p": p}})
