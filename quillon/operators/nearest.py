@@ -2,8 +2,8 @@
 
 A tile of test rows meets the block at a time, and pairs never leave the task.  Of finite rows only pairs within a bound on the
 k-th distance, which a part of the block gives, are sorted; for L2 the bound is held against products of matrices, with
-a margin for their rounding, and the distances of what is left are made coordinate by coordinate.  For Minkowski's
-from p = 2 on it is held against L2, which bounds it.  Rows of few coordinates meet those
+a margin for their rounding, and the distances of what is left are made coordinate by coordinate.  For L1 and the largest difference
+it is held against distances of coordinates rounded to small whole numbers, for Minkowski's from p = 2 on against L2, which bounds it.  Rows of few coordinates meet those
 next to them in the order of one coordinate, as many as it takes until those beyond are farther in it than the k-th.
 """
 
@@ -22,6 +22,10 @@ NARROW = 3
 MARGIN = 1e-9
 #: The part of a block (one in so many rows) that bounds the k-th distance.
 PART = 16
+#: Rows of either side whose whole numbers meet at a time.
+WHOLE_TILE = (32, 4096)
+#: Rows of a block of either side from which the step of whole numbers is taken.
+STEP_ROWS = 128
 #: The share of pairs beyond which those that a lower bound leaves take as long as all.
 LEFT_SHARE = 0.25
 #: Pairs that are roughly made at a time.
@@ -96,6 +100,49 @@ def _tile(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, np.
     return _first(i, j, s[i, j] if error is None else metric.pairs(x, i, y, j), len(x), k)
 
 
+class _Wholes:
+    """A lower bound of L1 or the largest difference: that of coordinates as whole numbers of 16 or 8 bits, less what rounding took from both rows."""
+
+    def __init__(self, metric: Distance, x: np.ndarray, y: np.ndarray, far: float):
+        self.largest, self.far, self.centre = metric.name == "chessboard", far, y.mean(axis=0)
+        self.kind = np.dtype(np.int8 if self.largest else np.int16)
+        # Neither differences nor sums of them may overflow.
+        self.end = np.iinfo(self.kind).max // (2 if self.largest else 2 * y.shape[1])
+        some = np.concatenate([z[:: -(-len(z) // STEP_ROWS)] for z in (x, y)])
+        self.step = float(np.abs(some - self.centre).max()) / max(1, self.end)
+        self.good = self.step > 1e-290 and self.end > 1
+        if self.good:
+            made = [self._codes(y[at : at + WHOLE_TILE[1]]) for at in range(0, len(y), WHOLE_TILE[1])]
+            self.codes, self.lost = np.ascontiguousarray(np.concatenate([c for c, _ in made]).T), max(lost.max() for _, lost in made)
+
+    def _codes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # Cutting off both of two coordinates at the same places takes them no farther apart.
+        at = np.clip((rows - self.centre) / self.step, -self.end, self.end)
+        codes = np.rint(at)
+        lost = np.abs(at - codes)
+        return codes.astype(self.kind), lost.max(axis=1) if self.largest else lost.sum(axis=1)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        own, (rows, columns), n = self._codes(x)[0], WHOLE_TILE, self.codes.shape[1]
+        found = np.empty((len(x), n), self.kind)
+        for i in range(0, len(x), rows):
+            for j in range(0, n, columns):
+                a, b = own[i : i + rows].T, self.codes[:, j : j + columns]
+                total, d = np.zeros((2, a.shape[1], b.shape[1]), self.kind)
+                for one, other in zip(a[:, :, None], b[:, None, :]):
+                    np.subtract(one, other, out=d)
+                    np.abs(d, out=d)
+                    (np.maximum if self.largest else np.add)(total, d, out=total)
+                found[i : i + rows, j : j + columns] = total
+        return found
+
+    def most(self, x: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The largest score of a pair within the bound."""
+        rounding = 4 * x.shape[1] * np.finfo(float).eps * self.far / self.step + 1e-6
+        with np.errstate(over="ignore"):
+            return np.minimum(bound * (1 + MARGIN) / self.step + self._codes(x)[1] + self.lost + rounding, np.iinfo(self.kind).max).astype(self.kind)
+
+
 class _Squares:
     """A lower bound of Minkowski's distance for p from 2 on: L2 over its width to the power 1/2 - 1/p.  Scores are halves of squares less the test row's."""
 
@@ -119,14 +166,18 @@ class _Squares:
             return np.nextafter(((bound * bound - xx) / 2 + error).astype(np.float32), np.float32(np.inf))
 
 
-def _lower(metric: Distance, x: np.ndarray, y: np.ndarray) -> _Squares | None:
+def _lower(metric: Distance, x: np.ndarray, y: np.ndarray) -> _Wholes | _Squares | None:
     """Of finite rows, what rules pairs out for less than their distances take; None if there is nothing."""
     if x.shape[1] <= NARROW or not len(x):
         return None
-    if metric.name != "minkowski" or metric.p < 2:
+    if metric.name == "chessboard":
+        kind = _Wholes
+    elif metric.name == "minkowski" and metric.p >= 2:
+        kind = _Squares
+    else:
         return None
     far = float(max(np.abs(x).max(), np.abs(y).max()))
-    made = _Squares(metric, x, y, far) if far < 1e15 else None
+    made = kind(metric, x, y, far) if far < 1e15 else None
     return made if made is not None and made.good else None
 
 
@@ -149,11 +200,11 @@ def _may_be(metric: Distance, x, i, y, j, bound: np.ndarray, error: float) -> np
     return found
 
 
-def _left(metric: Distance, lower: _Squares, x, fold, y, rough, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _left(metric: Distance, lower: _Wholes | _Squares, x, fold, y, rough, r_fold, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """As _tile() has them, from the pairs that a lower bound leaves; None if these are too many."""
     s = lower.scores(x)
     step = PART if len(y) >= PART * 8 * k else 1
-    part = np.where(fold[:, None] == r_fold[None, ::step], np.float32(np.inf), s[:, ::step])
+    part = np.where(fold[:, None] == r_fold[None, ::step], np.array(np.inf if s.dtype == np.float32 else np.iinfo(s.dtype).max, s.dtype), s[:, ::step])
     if k > part.shape[1]:
         return None
 
@@ -236,7 +287,7 @@ def nearest(metric: Distance, x, fold, y, r_fold, k: int) -> tuple[np.ndarray, n
         lower = _lower(metric, x[own], y)
         if lower is not None:
             # Pairs are made coordinate by coordinate.
-            by_column, rough, rows, left = np.asfortranarray(y), (y - lower.centre).astype(np.float32), 4 * step, []
+            by_column, rough, rows, left = np.asfortranarray(y), (y - lower.centre).astype(np.float32), -(-4 * step // WHOLE_TILE[0]) * WHOLE_TILE[0], []
             for at in range(0, len(own), rows):
                 some = own[at : at + rows]
                 near = _left(metric, lower, x[some], fold[some], by_column, rough, r_fold, k)

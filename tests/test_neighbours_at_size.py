@@ -221,3 +221,8 @@ def test_minkowski_makes_few_distances(monkeypatch):
 @pytest.mark.parametrize("p", [1, 1.5, 2, 2.5, 3, 7, 64, 300])
 def test_minkowski_of_odd_rows(monkeypatch, p):
     odd_rows(monkeypatch, {"type": "minkowski", "params": {"p": p}})
+
+
+def test_largest_difference_makes_few_distances(monkeypatch):
+    few_distances(monkeypatch, "chebyshev")
+    odd_rows(monkeypatch, "chebyshev")
