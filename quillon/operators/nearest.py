@@ -170,7 +170,7 @@ def _lower(metric: Distance, x: np.ndarray, y: np.ndarray) -> _Wholes | _Squares
     """Of finite rows, what rules pairs out for less than their distances take; None if there is nothing."""
     if x.shape[1] <= NARROW or not len(x):
         return None
-    if metric.name == "chessboard":
+    if metric.name in ("cityblock", "chessboard"):
         kind = _Wholes
     elif metric.name == "minkowski" and metric.p >= 2:
         kind = _Squares

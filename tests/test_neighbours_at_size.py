@@ -226,3 +226,8 @@ def test_minkowski_of_odd_rows(monkeypatch, p):
 def test_largest_difference_makes_few_distances(monkeypatch):
     few_distances(monkeypatch, "chebyshev")
     odd_rows(monkeypatch, "chebyshev")
+
+
+def test_manhattan_makes_few_distances(monkeypatch):
+    few_distances(monkeypatch, "manhattan")
+    odd_rows(monkeypatch, "manhattan")
