@@ -41,8 +41,10 @@ SPREAD_BYTES = 256 << 20
 LINE_BLOCKS = 4
 #: Widest vectors whose coordinates are summed as columns; wider ones are summed as rows.
 WIDE = 16
-#: Most partitions that pairs of blocks are dealt into.
+#: Most partitions that groups of a cell are dealt into.
 PARTITIONS = 20_000
+#: Pairs of blocks beyond which chunks of test rows grow up to a block's size, as each pair reads a block of training rows anew.
+PAIRS = 1_000
 
 PREDICTED = ["fold", "row_idx", "y_true", "y_pred", "true_s", "pred_s"]
 
@@ -232,7 +234,7 @@ class Knn(Classifier):
         """The k nearest of each block, every chunk of test rows meeting every block."""
         size, n_test, blocks = _row_bytes(shape.width), max(1, shape.n_test), self._blocks(shape)
         work = self._met_by(shape.n_train, shape.width) * n_test * max(1, shape.width) // (PART_WORK * blocks)
-        chunks = min(n_test, max(_parts(n_test * size), _parts(n_test * self.k * 64), min(work, PARTITIONS // blocks)))
+        chunks = min(n_test, max(_parts(n_test * size), _parts(n_test * self.k * 64), min(work, PAIRS // blocks)))
         tests = self._packed(t, "row_idx", chunks, "tests")
         # Pairs of partitions: neither side is broadcast, and none is copied into the shuffle.
         met = tests.hint("shuffle_replicate_nl").crossJoin(self._packed(r, "r_idx", blocks, "trains"))

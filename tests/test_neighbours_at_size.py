@@ -231,3 +231,15 @@ def test_largest_difference_makes_few_distances(monkeypatch):
 def test_manhattan_makes_few_distances(monkeypatch):
     few_distances(monkeypatch, "manhattan")
     odd_rows(monkeypatch, "manhattan")
+
+
+def test_pairs_of_blocks_are_bounded(spark, monkeypatch):
+    """600,000 vectors made 4,600 pairs, each of which read 32 MB for 1,300 test rows."""
+    data = table(spark, flat(120, 6, 10))
+    want = neighbours(data, KFold(3), Knn(2, blocks=2))
+    monkeypatch.setattr("quillon.operators.classify.PART_WORK", 120 * 120 * 6 // 40)
+    monkeypatch.setattr("quillon.operators.classify.PAIRS", 6)
+    assigned = KFold(3).assign(data)
+    t, r = Knn._sides(assigned, assigned)
+    assert Knn(2, blocks=2)._all(t, r, Shape(6, 120, 120, 3, tuple(data.classes))).rdd.getNumPartitions() <= 6
+    assert neighbours(data, KFold(3), Knn(2, blocks=2)) == want
